@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, quality, warc
+from . import chat, mixing, nearjoin, pieces, pii, quality, warc
 from .common import Workspace, table
 
 
@@ -30,6 +30,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> pieces.Vocabulary:
+    import public_tokenizers
+
+    return pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = [F.col(k.name) for k in pii.BASE]
@@ -38,15 +52,30 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest_of(F.concat(*base)), 256).alias("base_sha256"), pii.digest_of(every).alias("spans"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "copy", "copies", "text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "warc").base
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op6_pii, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op6_pii, op7_mix_sources, op9_warc)}
 
 SQL = {
+    "op7_mix_sources": """
+        WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+             shares AS (SELECT source, n, pow(n, 0.7) AS w FROM sizes),
+             rates AS (SELECT source, w / (SELECT sum(w) FROM shares) * (SELECT sum(n) FROM sizes) / n AS rate FROM shares),
+             steps(source, rate, k, logp, total) AS (
+                 SELECT source, rate, 0, -rate, exp(-rate) FROM rates
+                 UNION ALL
+                 SELECT source, rate, k + 1, logp + ln(rate) - ln(k + 1), total + exp(logp + ln(rate) - ln(k + 1)) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+             u AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS x FROM documents),
+             counted AS (SELECT doc_id, u.source, text, count(s.k) AS copies FROM u JOIN steps s ON s.source IS NOT DISTINCT FROM u.source AND s.total <= u.x GROUP BY doc_id, u.source, text)
+        SELECT doc_id, source, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies, text FROM counted""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              d AS (SELECT page_id, sha1(body) AS payload_digest, strlen(body) AS payload_bytes FROM p),
