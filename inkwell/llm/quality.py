@@ -65,15 +65,16 @@ def repeated_words(tokens: Column, width: int = 8) -> Column:
     return F.when(F.size(tokens) > width, count).otherwise(0).cast("bigint")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document with the counts that the rules look at."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document with the counts that the rules look at, and the columns to carry."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     known = F.array(*map(F.lit, FUNCTION_WORDS))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(F.col(text_col)).alias("w"), lines.alias("l"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *carry, text.alias("text"), words(F.col(text_col)).alias("w"), lines.alias("l"))
     long = lambda x: x.cast("bigint")
     return base.select(
         "doc_id",
+        *carry,
         long(F.size("w")).alias("n_words"),
         long(F.length(F.regexp_replace("text", SPACE_CLASS + "+", ""))).alias("word_chars"),
         long(F.regexp_count("text", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
@@ -139,13 +140,21 @@ def fit(voted: DataFrame, ws: Workspace, n_rules: int, rounds: int = 15, toleran
     return model
 
 
-def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measures, votes, quality (posterior probability), base_failed and kept, one row a document.
+def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to carry, the measures, votes, quality (posterior probability), base_failed and kept, one row a document.
 
     The measures are written once to the shared folder, as the estimation and the result both read them.
     """
     ws = Workspace(docs.sparkSession, "quality")
-    voted = ws.cut(votes(measures(docs, id_col, text_col), rules))
+    voted = ws.cut(votes(measures(docs, id_col, text_col, carry), rules))
     model = fit(voted, ws, len(rules))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return voted.select("*", model.posterior().alias("quality"), failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their columns. Rows are told apart by two hashes of id and text."""
+    key = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(F.lit(3), id_col, text_col)}
+    keyed = docs.withColumns(key)
+    good = score(keyed, rules, threshold, id_col, text_col, tuple(key)).where("kept").select(*key)
+    return keyed.join(good, list(key), "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, nearjoin, pieces, pii, quality, warc
+from . import chat, lines, mixing, nearjoin, nearvec, pieces, pii, ppm, quality, warc
 from .common import Workspace, table
 
 
@@ -44,6 +44,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = [F.col(k.name) for k in pii.BASE]
@@ -56,15 +60,33 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "copy", "copies", "text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "warc").base
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op6_pii, op7_mix_sources, op9_warc)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvec.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op5_lm_score, op6_pii, op7_mix_sources, op8_line_dedup, op9_warc, op10_embedding_near_dedup)
+}
 
 SQL = {
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+             reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+             c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+             n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op7_mix_sources": """
         WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
              shares AS (SELECT source, n, pow(n, 0.7) AS w FROM sizes),
