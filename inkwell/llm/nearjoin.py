@@ -11,7 +11,9 @@ least p - d blocks. Of those, blocks empty in a set are worthless; the remaining
    Common passages alone don't reach that, so they cost no pairs.
 2. Sets meet in star joins: each is verified against one partner of its blocks. Groups of copies collapse into
    components this way without their pairs.
-3. Only sets of different components that still share enough block values are paired in full, and verified.
+3. Sets of different components that still share blocks are sketched once more, now a block a shingle: each emits only
+   its rarest shingles, as many as any partner of a given size must share one of. In near copies with many edits those
+   are shingles of their own, which meet nobody. Sets of different components that meet are verified, all pairs of them.
 
 Sets for which `need` isn't positive also emit their empty blocks; two such sets then meet there. Verification is
 exact on the sets. Equal sets form a class that takes part once. The block values travel packed by ranges of their
@@ -191,6 +193,78 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, items binary")
 
 
+def shared_tokens(sets: DataFrame, ranges: int) -> DataFrame:
+    """(node, token, freq) for the shingles that at least two of the sets have."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            items = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if not items:
+                continue
+            every, owner = np.concatenate(items), np.repeat(nodes, [len(x) for x in items])
+            part = ((every >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            every, owner, part = every[order], owner[order], part[order]
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            cols = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (owner, every)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "nodes", "tokens"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        node = np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64)
+        token = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint64)
+        order = np.argsort(token)
+        node, token = node[order], token[order]
+        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        freq = np.repeat(np.diff(at), np.diff(at))
+        many = freq > 1
+        return pa.table({"node": node[many], "token": token[many].view(np.int64), "freq": freq[many].astype(np.int64)})
+
+    packed = sets.select("node", "items").mapInArrow(pack, "part int, nodes binary, tokens binary")
+    return packed.groupBy("part").applyInArrow(count, "node bigint, token bigint, freq bigint")
+
+
+def sizes_near(top: int = 1 << 40) -> np.ndarray:
+    """Smallest size of each fine class of sizes, growing by a thirtieth."""
+    out = [1]
+    while out[-1] < top:
+        out.append(max(out[-1] + 1, out[-1] * 31 // 30))
+    return np.array(out)
+
+
+CLASSES = sizes_near()
+
+
+def prefix_keys(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, node): by class of its partner's size, a set's rarest shingles, so many that a partner must share one.
+
+    Sets of sizes a and b that link share at least need = NUM * (a + b) / (NUM + DEN), so in one order of all shingles
+    they share one of a's first a - need + 1. In order of frequency, shingles that no other set has come first; they
+    meet nobody. A set with more of them than its prefix is long links with nothing and costs nothing here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for node, n, ranked in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
+                token = ranked.values.field("token").to_numpy().view(np.uint64)
+                own = int(np.searchsorted(CLASSES, n, side="right")) - 1
+                last = int(np.searchsorted(CLASSES, n * DEN // NUM, side="right")) - 1
+                first = int(np.searchsorted(CLASSES, -(-n * NUM // DEN), side="right")) - 1
+                for other in range(first, last + 1):
+                    need = -(-NUM * (n + int(CLASSES[other])) // (NUM + DEN))
+                    take = n - need + 1 - (n - len(token))
+                    if take > 0:
+                        tag = np.uint64(min(own, other) << 16 | max(own, other))
+                        keys.append(mix(mix(token[:take]) ^ mix(np.array([tag]) + np.uint64(99))))
+                        nodes.append(np.full(min(take, len(token)), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    ranked = tokens.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("ranked"))
+    size = sets.select("node", (F.octet_length("items") / 8).cast("bigint").alias("n"))
+    return size.join(ranked, "node").select("node", "n", "ranked").mapInArrow(run, "key bigint, node bigint")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that link."""
 
@@ -228,35 +302,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = entries.select("node").distinct()
     sets = ws.cut(set_table(raw.join(nodes, raw.doc_id == nodes.node, "left_semi")))
 
-    links = None
-    tried = None
-    labels = None
-    for step in ("star", "star", "star", "all"):
-        if labels is None:
-            marked = entries.withColumn("component", F.col("node"))
-        else:
-            marked = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        who = F.struct("component", "node")
-        ends = marked.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo.component <> hi.component")
-        open_ = ws.cut(marked.join(ends, "key"))
-        if step == "star":
-            partner = F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node") if labels is not None else None)
-            met = open_.select("node", "band", "need", partner.alias("other")).where("other IS NOT NULL")
-            met = met.groupBy("node", "other", "band").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-            met = met.withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other"))
-            if tried is not None:
-                met = met.join(tried, ["a", "b"], "left_anti")
-            pairs = met.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", "other")).alias("p")).select("p.a", "p.b").distinct()
-        else:
-            x, y = open_.select("key", "band", "need", "node", "component"), open_.select("key", F.col("need").alias("need2"), F.col("node").alias("other"), F.col("component").alias("component2"))
-            met = x.join(y, "key").where("node < other AND component <> component2")
-            met = met.groupBy(F.col("node").alias("a"), F.col("other").alias("b"), "band").agg(F.count("*").alias("n"), F.greatest(F.first("need"), F.first("need2")).alias("need")).where("n >= need")
-            pairs = met.join(tried, ["a", "b"], "left_anti").select("a", "b").distinct()
-        pairs = ws.cut(pairs)
-        good = ws.cut(verify(pairs, sets))
-        ws.drop(open_)
-        links = good if links is None else links.union(good)
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = connected_components(links, ws)
+    labels = entries.select("node").distinct().withColumn("component", F.col("node"))
+    tried = ws.cut(entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    who = F.struct("component", "node")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """Rows of keys in which components meet, with their own component and the first and last of the key."""
+        known = rows.join(labels, "node")
+        ends = known.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo.component <> hi.component")
+        return known.join(ends, "key")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Labels after the links among new pairs; components, not documents, are merged."""
+        nonlocal tried
+        pairs = ws.cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        good = verify(pairs, sets)
+        at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        edges = ws.cut(good.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        merged = connected_components(edges, ws).toDF("component", "top")
+        return ws.cut(labels.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+    def star(rows: DataFrame, by: list[str], enough: str) -> DataFrame:
+        """For each set of open keys the partner, of another component, with which it shares most of them."""
+        partner = F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node"))
+        met = marked(rows).select("node", *by, partner.alias("other")).groupBy("node", "other", *by).agg(F.count("*").alias("n")).where(enough)
+        best = met.groupBy("node").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+        return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    for _ in range(2):
+        labels = joined(star(entries, ["band", "need"], "n >= need"))
+    left = sets.join(marked(entries).select("node").distinct(), "node", "left_semi")
+    rare = ws.cut(prefix_keys(left, shared_tokens(left, ranges)))
+    labels = joined(star(rare, [], "n > 0"))
+    open_ = ws.cut(marked(rare).select("key", "node", "component"))
+    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    labels = joined(open_.withColumnRenamed("node", "a").join(other, "key").where("a < b AND component <> cb").select("a", "b").distinct())
     ends = classes.join(labels, "node", "left").select(*own, F.coalesce("component", "node").alias("component"))
     return prints.join(ends, own, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
