@@ -1,12 +1,514 @@
-"""Named queries over the supplied tables, with their SQL twins."""
+"""Named queries over the supplied tables, with their SQL twins.
+
+The supplied documents hold few of the things that the document operators look for, so planted rows (negative ids)
+join them in both engines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.functions import text as tx
+from inkwell.operators import blocks, cite, library, profile, quality, redact, references, stats, summary
+
+from . import forge
+
+PLANTED = (
+    (-1, "# Annual report\n\nScope of work\n- first item\n* second item\n## 1.1 Method\nText under method, see 10.1000/xyz123 and https://a.ie/b. and [1, 2].\nAGAIN HTTPS://A.IE/B and [1, 2]\n### 2. Results\nThe index increased by 12% to €40 in 2021."),
+    (-2, "RUNNING HEAD 1\n1.1 Scope\nBody text wraps over\nthe next line.\n\n12\n\n1.2 Method\n• first bullet\ncontinues here\n* second bullet\nTable 3. Numbers of things\nIntroduction ........ 10\n\n13\n"),
+    (-3, "Header line\nText one.\n1 | P a g e\nHeader line\nText two.\n2 | P a g e\nInitials Name Company Title\nBOR Brian O Regan\nABC Anna Byrne Chief\n\nplain end"),
+    (-4, "Contact mary.murphy@example.ie or +353 86 123 4567, 021 490 3000. PPSN 1234567T, not 1234567A. IBAN: IE29AIBK93115212345678.\nCard 4111 1111 1111 1111 and 4111111111111112. VAT IE1234567AB. Eircode T12 AB34. DOB: 01/02/1980. Account no 12345678, sort code 90-12-34. Dear Mary, Dr. John Smith met Mary Murphy in Cork."),
+    (-5, "Note: first. Note: second. Note: third. Sales rose. Costs were reduced by 15% and therefore 20 sites closed. 0 It ended."),
+    (-6, "α=β+γ≤δ±ε×ζ\nCafÃ© Ã¼ber Ã© text\nminimi ses the ses utili sation of things"),
+    (-7, ""),
+)
+
+
+def values(rows: tuple) -> str:
+    quote = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame(list(PLANTED), "doc_id bigint, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(planted)
+
+
+DOCS = f"d AS (SELECT doc_id, text FROM documents UNION ALL SELECT CAST(a AS BIGINT), b FROM (VALUES {values(PLANTED)}) AS p(a, b))"
+BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
+LINES = f"{DOCS}, l AS (SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, trim(ls[pos], {BLANKS}) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS ls FROM d)))"
+WORDS = "len(regexp_extract_all(regexp_replace(regexp_replace(text, '^[''-]+', ''), '-+$', ''), '[A-Za-z''-]+'))"
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- blocks -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN instr(text, '#') > 0 AND strlen(substr(text, 1, instr(text, '#') - 1)) < 8192 THEN 'markdown' ELSE 'text' END AS parser FROM d")
+def parser_dispatch(spark, sf_dir):
+    return blocks.parser_of(docs(spark, sf_dir))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.') THEN 'heading' ELSE 'paragraph' END AS type,
+    CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.') THEN CAST(length(regexp_extract(line, '^(#{{1,6}})', 1)) AS INTEGER) END AS level,
+    CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.') THEN regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1) WHEN regexp_matches(line, '^[-*]\\s+') THEN regexp_replace(line, '^[-*]\\s+', '') ELSE line END AS text
+    FROM l WHERE line <> ''""")
+def md_blocks(spark, sf_dir):
+    return blocks.markdown_blocks(docs(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+') AS marked,
+    strlen(line) < 80 AND NOT regexp_matches(line, '[.!?]$') AND translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') = line AS cap, regexp_replace(line, '^#+', '') AS rest FROM l WHERE line <> '')
+    SELECT doc_id, pos, CASE WHEN marked OR cap THEN 'heading' ELSE 'paragraph' END AS type,
+    CASE WHEN marked THEN CAST(length(rest) - length(ltrim(rest, ' ')) AS INTEGER) WHEN cap THEN 2 END AS level,
+    CASE WHEN marked THEN regexp_replace(line, '^#+\\s+', '') ELSE line END AS text FROM m""")
+def txt_blocks(spark, sf_dir):
+    return blocks.text_blocks(docs(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, pos, regexp_matches(line, '^#{{1,6}}\\s+.') AS h, line FROM l WHERE line <> ''),
+    s AS (SELECT *, sum(CAST(h AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM b),
+    t AS (SELECT doc_id, section, h, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS level, regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1) AS title, regexp_replace(line, '^[-*]\\s+', '') AS text FROM s WHERE section > 0)
+    SELECT doc_id, CAST(section AS BIGINT) AS section, max(title) FILTER (h) AS title, CAST(max(level) FILTER (h) AS INTEGER) AS level, CAST(sum(CASE WHEN h THEN 0 ELSE {WORDS} END) AS BIGINT) AS word_count FROM t GROUP BY doc_id, section""")
+def sections(spark, sf_dir):
+    return blocks.sections(blocks.markdown_blocks(docs(spark, sf_dir)))
+
+
+@query(f"WITH {LINES}, s AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(line, '\\d+', '', 'g'), '\\s+', ' ', 'g'))) AS sig FROM l) SELECT doc_id, sig, count(*) AS n FROM s WHERE sig <> '' GROUP BY ALL")
+def line_signatures(spark, sf_dir):
+    return blocks.line_signatures(docs(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT *, regexp_matches(line, '(?i)^\\s*\\d{{0,4}}\\s*\\|?\\s*p\\s*a\\s*g\\s*e\\b') AS label, regexp_matches(line, '^\\s*\\d{{1,4}}\\s*$') AS num,
+    coalesce(lag(line) OVER w, '') = '' OR coalesce(lead(line) OVER w, '') = '' AS alone FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS (SELECT *, bool_or(label) OVER (PARTITION BY doc_id) AS labelled FROM m)
+    SELECT doc_id, pos, CASE WHEN label THEN 'label' ELSE 'number' END AS kind FROM k WHERE label OR (NOT labelled AND num AND alone)""")
+def page_markers(spark, sf_dir):
+    return blocks.page_markers(docs(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*\\d+\\.\\d+(\\.\\d+)*\\s+\\S') AND length(line) < 150) >= 2 AS skeleton FROM l GROUP BY doc_id")
+def decimal_skeleton(spark, sf_dir):
+    return blocks.decimal_skeleton(docs(spark, sf_dir))
+
+
+@query()
+def table_regions(spark, sf_dir):
+    return blocks.table_regions(docs(spark, sf_dir))
+
+
+@query()
+def line_kinds(spark, sf_dir):
+    return blocks.classify(docs(spark, sf_dir))
+
+
+@query()
+def line_merge(spark, sf_dir):
+    return blocks.merge_lines(docs(spark, sf_dir))
+
+
+@query()
+def list_ratio(spark, sf_dir):
+    return blocks.list_ratio(blocks.merge_lines(docs(spark, sf_dir)))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, regexp_replace(regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1), '^\\s*\\d+(\\.\\d+)*\\.?\\s*', '') AS title FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+.')")
+def heading_titles(spark, sf_dir):
+    return blocks.heading_titles(blocks.markdown_blocks(docs(spark, sf_dir)))
+
+
+@query()
+def math_dense(spark, sf_dir):
+    return blocks.lines_of(docs(spark, sf_dir)).where("line <> ''").select("doc_id", "pos", blocks.is_math_dense(F.col("line")).alias("dense"))
+
+
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1) AS t, pos FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+.')),
+    f AS (SELECT doc_id, arg_min(t, pos) AS t FROM h WHERE strlen(t) > 3 GROUP BY doc_id) SELECT d.doc_id, left(coalesce(f.t, 'document-' || d.doc_id), 255) AS title FROM d LEFT JOIN f USING (doc_id)""")
+def titles(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return blocks.titles(d, blocks.markdown_blocks(d), F.concat(F.lit("document-"), F.col("doc_id")))
+
+
+# -- references, statistics, phrases ----------------------------------------------------------------------------------
+
+FOUND = f"""{DOCS}, r AS (
+    SELECT doc_id, 1 AS kind, unnest(range(len(x))) AS ord, unnest(x) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '10\\.\\d{{4,}}/[^\\s\\]]+') AS x FROM d)
+    UNION ALL SELECT doc_id, 2, unnest(range(len(x))), unnest(x) FROM (SELECT doc_id, regexp_extract_all(text, '(?i)https?://[^\\s)\\]"''<>]+') AS x FROM d)
+    UNION ALL SELECT doc_id, 3, unnest(range(len(x))), unnest(x) FROM (SELECT doc_id, regexp_extract_all(text, '\\[[\\d,\\s\\-]+\\]') AS x FROM d)),
+    k AS (SELECT doc_id, kind, CAST(ord AS INTEGER) AS ord, raw, CASE WHEN kind = 1 THEN raw END AS doi,
+      CASE kind WHEN 1 THEN 'https://doi.org/' || raw WHEN 2 THEN regexp_replace(raw, '[.,;]+$', '') END AS url,
+      lower(CASE WHEN kind = 2 THEN regexp_replace(raw, '[.,;]+$', '') ELSE raw END) AS key FROM r)"""
+
+
+@query(f"WITH {FOUND} SELECT * FROM k")
+def references_extract(spark, sf_dir):
+    return references.extract(docs(spark, sf_dir))
+
+
+@query(f"""WITH {FOUND}, f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY kind, ord) = 1)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, ord) AS INTEGER) AS n, raw, doi, url FROM f QUALIFY n <= 100""")
+def references_dedupe(spark, sf_dir):
+    return references.dedupe(references.extract(docs(spark, sf_dir)))
+
+
+@query(f"""WITH {DOCS}, c AS (SELECT doc_id, {WORDS} AS w, strlen(text) AS bytes, regexp_replace(text, '\\r\\n|\\n|\\r', '. ', 'g') AS flat, greatest(1, len(regexp_extract_all(lower(text), '[aeiouy]+'))) AS y FROM d),
+    s AS (SELECT *, greatest(1, len(regexp_extract_all(CASE WHEN regexp_matches(trim(flat, {BLANKS}), '[.!?]$') THEN flat ELSE flat || '.' END, '[.!?]+'))) AS s FROM c)
+    SELECT doc_id, w AS word_count, CAST(bytes AS BIGINT) AS character_count, CAST(s AS BIGINT) AS sentence_count, CAST(greatest(1, ceil(w / 200.0)) AS BIGINT) AS reading_time_minutes,
+    round(CASE WHEN w = 0 THEN 0.0 ELSE 206.835 - 1.015 * (w / s) - 84.6 * (y / w) END, 1) AS flesch_reading_ease FROM s""")
+def document_stats(spark, sf_dir):
+    return stats.document_stats(docs(spark, sf_dir))
+
+
+@query()
+def language(spark, sf_dir):
+    return stats.language(docs(spark, sf_dir))
+
+
+@query()
+def rake_keyphrases(spark, sf_dir):
+    return stats.rake(docs(spark, sf_dir))
+
+
+@query(f"""WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z''-]+')) AS phrase FROM d),
+    n AS (SELECT doc_id, phrase, CAST(count(*) AS DOUBLE) AS score FROM w WHERE length(phrase) >= 4 AND phrase NOT IN ({", ".join(f"'{w}'" for w in stats.FALLBACK_STOP)}) GROUP BY ALL)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INTEGER) AS rank, phrase, score FROM n QUALIFY rank <= 15""")
+def keyphrase_fallback(spark, sf_dir):
+    return stats.frequent_words(docs(spark, sf_dir))
+
+
+# -- summaries --------------------------------------------------------------------------------------------------------
+
+SENTENCES = f"""{DOCS}, p AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text, {BLANKS}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x NOT IN ('', '0')) AS ss FROM d),
+    s AS (SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM p),
+    g AS (SELECT *, regexp_replace(CASE WHEN regexp_extract(sentence, '^(.{{2,60}}?):\\s', 1) <> '' THEN regexp_extract(sentence, '^(.{{2,60}}?):\\s', 1) ELSE sentence END, '\\s+', ' ', 'g') AS sig0 FROM s)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s")
+def sentences(spark, sf_dir):
+    return summary.sentences(docs(spark, sf_dir))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, lower(sig0) AS signature, count(*) AS n FROM g GROUP BY ALL HAVING n >= 2")
+def template_signatures(spark, sf_dir):
+    return summary.templates(summary.sentences(docs(spark, sf_dir)))
+
+
+@query(f"""WITH {SENTENCES}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(sig0)) AS n FROM g),
+    u AS (SELECT *, sum(CAST(n < 2 AS INTEGER)) OVER (PARTITION BY doc_id) AS single FROM t),
+    v AS (SELECT doc_id, pos, sentence, sum(strlen(sentence)) OVER (PARTITION BY doc_id ORDER BY pos) AS bytes FROM u WHERE n < 2 OR single < 3)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM v WHERE bytes <= 40000""")
+def scaffold_removed(spark, sf_dir):
+    return summary.without_scaffold(summary.sentences(docs(spark, sf_dir)))
+
+
+@query()
+def key_findings(spark, sf_dir):
+    return summary.findings(summary.sentences(docs(spark, sf_dir)))
+
+
+@query()
+def textrank(spark, sf_dir):
+    return summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
+
+
+@query()
+def textrank_pairs(spark, sf_dir):
+    weights = summary.pair_weights(summary.without_scaffold(summary.sentences(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))))
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def summaries(spark, sf_dir):
+    return summary.summaries(summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir)))))
+
+
+@query()
+def templated_summary(spark, sf_dir):
+    return summary.templated(blocks.heading_titles(blocks.markdown_blocks(docs(spark, sf_dir))))
+
+
+# -- quality ----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def split_artefacts(spark, sf_dir):
+    return quality.split_artefacts(docs(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CAST(len(regexp_extract_all(text, '{quality.MOJIBAKE}')) AS BIGINT) AS pairs FROM d WHERE pairs > 0")
+def mojibake_pairs(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(quality.MOJIBAKE)).cast("bigint").alias("pairs")).where("pairs > 0")
+
+
+@query()
+def forge_documents(spark, sf_dir):
+    return forge.forge_documents(docs(spark, sf_dir))
+
+
+# -- citations --------------------------------------------------------------------------------------------------------
+
+STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in cite.STOP)
+TOKENS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s-]+', ' ', 'g'), '\\s+'), lambda t: trim(t, '-')), lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^\\d+$') AND t NOT IN ({STOPS}))"
+BM25 = f"""q AS (SELECT item_id AS passage_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+    tf AS (SELECT doc_id AS ref_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
+    ln AS (SELECT ref_id, sum(tf) AS len FROM tf GROUP BY ref_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM ln) AS total),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    parts AS (SELECT passage_id, ref_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / greatest(1.0, total / n))) * least(qtf, 5) AS contribution
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN ln USING (ref_id), st),
+    scores AS (SELECT passage_id, ref_id, sum(contribution) AS score FROM parts GROUP BY ALL),
+    aff AS (SELECT passage_id, ref_id, score, round(score / max(score) OVER (), 2) AS affinity FROM scores),
+    matched AS (SELECT passage_id, ref_id, affinity, CAST(row_number() OVER (PARTITION BY passage_id ORDER BY affinity DESC, round(score, 9) DESC, ref_id) AS INTEGER) AS rank FROM aff WHERE affinity >= 0.15 QUALIFY rank <= 3)"""
+
+
+def bm25(spark, sf_dir):
+    return cite.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), "text"))
+
+
+@query(f"WITH {BM25} SELECT passage_id, ref_id, round(score, 6) AS score FROM scores")
+def bm25_scores(spark, sf_dir):
+    return cite.scores(bm25(spark, sf_dir)).select("passage_id", "ref_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM25} SELECT * FROM matched")
+def bm25_matches(spark, sf_dir):
+    return cite.matches(cite.affinities(cite.scores(bm25(spark, sf_dir))))
+
+
+@query(f"""WITH {BM25}, e AS (SELECT p.passage_id, p.ref_id, term, row_number() OVER (PARTITION BY p.passage_id, p.ref_id ORDER BY round(contribution, 9) DESC, term) AS k FROM parts p JOIN matched m USING (passage_id, ref_id) QUALIFY k <= 6)
+    SELECT passage_id, ref_id, string_agg(term, ' ' ORDER BY k) AS shared FROM e GROUP BY ALL""")
+def bm25_evidence(spark, sf_dir):
+    parts = bm25(spark, sf_dir)
+    return cite.evidence(parts, cite.matches(cite.affinities(cite.scores(parts))))
+
+
+@query(f"""WITH {BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY affinity DESC, passage_id) AS k FROM matched)
+    SELECT ref_id, CAST(round(100 * avg(affinity) FILTER (k <= 5)) AS INTEGER) AS suitability, count(*) AS coverage FROM k GROUP BY ref_id""")
+def reference_suitability(spark, sf_dir):
+    return cite.suitability(cite.matches(cite.affinities(cite.scores(bm25(spark, sf_dir)))))
+
+
+@query(f"WITH {BM25} SELECT ref_id, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY affinity DESC, passage_id) AS INTEGER) AS k, passage_id, affinity FROM matched QUALIFY k <= 5")
+def reference_passages(spark, sf_dir):
+    return cite.top_passages(cite.matches(cite.affinities(cite.scores(bm25(spark, sf_dir)))))
+
+
+@query("SELECT source, sha256(array_to_string(list_sort(list(sha256(text))), '|')) AS fingerprint FROM documents GROUP BY source")
+def set_fingerprint(spark, sf_dir):
+    return cite.set_fingerprint(table(spark, sf_dir, "documents"), "source", F.col("text"))
+
+
+@query()
+def passage_windows(spark, sf_dir):
+    return cite.windows(table(spark, sf_dir, "documents"), "doc_id")
+
+
+# -- redaction --------------------------------------------------------------------------------------------------------
+
+
+def detected(spark, sf_dir):
+    return redact.detect(docs(spark, sf_dir))
+
+
+@query()
+def redaction_spans(spark, sf_dir):
+    return redact.spans(redact.resolve(detected(spark, sf_dir)))
+
+
+@query()
+def redaction_stats(spark, sf_dir):
+    return redact.stats(redact.resolve(detected(spark, sf_dir)))
+
+
+@query()
+def mask_text(spark, sf_dir):
+    return redact.everywhere(redact.apply_spans(redact.resolve(detected(spark, sf_dir)))).select("doc_id", "text")
+
+
+@query()
+def token_map(spark, sf_dir):
+    return redact.token_map(redact.resolve(detected(spark, sf_dir)))
+
+
+@query()
+def leak_scan(spark, sf_dir):
+    return redact.leaks(redact.everywhere(redact.apply_spans(redact.resolve(detected(spark, sf_dir)))))
+
+
+def _kind(category: str, pattern: str):
+    sql = f"WITH {DOCS} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS x FROM d) GROUP BY doc_id"
+
+    def run(spark, sf_dir):
+        return redact.spans(redact.detect(docs(spark, sf_dir), (category,))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+    run.__name__ = f"pii_{category}"
+    query(sql)(run)
+
+
+_kind("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")
+_kind("vat", r"(?i)\bIE\d{7}[A-Z]{1,2}\b")
+_kind("dob", rf"(?i)(?:DOB|D\.O\.B|date of birth|born)\s*[:\-]?\s*{redact.DATE}")
+
+
+# -- library ----------------------------------------------------------------------------------------------------------
+
+REPORTS = "r AS (SELECT doc_id AS id, sha256(text) AS fingerprint, left(trim(string_split(text, chr(10))[1]), 255) AS title, upper(lang) AS source_type, CAST(strlen(text) AS BIGINT) AS size_bytes, left(text, 500) AS excerpt, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS created_at FROM documents)"
+
+
+def reports(spark, sf_dir):
+    return library.as_reports(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {REPORTS}, w AS (SELECT id, regexp_split_to_array(lower(title || ' ' || excerpt), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM r) SELECT id FROM w WHERE list_contains(ws, 'the') OR len(list_filter(ws, lambda x: starts_with(x, 'ent'))) > 0")
+def library_search(spark, sf_dir):
+    return library.search(reports(spark, sf_dir), "the ent").select("id")
+
+
+@query(f"WITH {REPORTS} SELECT source_type, count(*) AS n FROM r WHERE source_type = 'EN' GROUP BY ALL")
+def library_count(spark, sf_dir):
+    return reports(spark, sf_dir).where("source_type = 'EN'").groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {REPORTS} SELECT id, title FROM r ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20")
+def library_page(spark, sf_dir):
+    return library.page(reports(spark, sf_dir), 2).select("id", "title")
+
+
+@query(f"WITH {REPORTS} SELECT id, fingerprint, size_bytes FROM r WHERE id = 7")
+def report_lookup(spark, sf_dir):
+    return reports(spark, sf_dir).where("id = 7").select("id", "fingerprint", "size_bytes")
+
+
+@query(f"WITH {REPORTS}, g AS (SELECT fingerprint, min(id) AS earliest, max(id) AS latest FROM r GROUP BY ALL HAVING count(*) > 1) SELECT id, earliest, latest FROM r JOIN g USING (fingerprint)")
+def duplicate_documents(spark, sf_dir):
+    return library.duplicates(reports(spark, sf_dir))
+
+
+@query(f"WITH {REPORTS} SELECT CAST(ord AS INTEGER) AS ord, id, title FROM r JOIN (VALUES (0, 9), (1, 3), (2, 12)) AS v(ord, id) USING (id)")
+def merge_select(spark, sf_dir):
+    return library.select_ids(reports(spark, sf_dir), [9, 3, 9, 12, -77]).select("ord", "id", "title")
+
+
+@query(SQL["keyphrase_fallback"].replace("WITH", "WITH", 1).replace("SELECT doc_id, CAST(row_number()", "SELECT phrase, round(sum(score), 4) AS score FROM (SELECT doc_id, CAST(row_number()", 1) + ") GROUP BY phrase ORDER BY score DESC, phrase LIMIT 30")
+def merge_keyphrases(spark, sf_dir):
+    return library.merge_keyphrases(stats.frequent_words(docs(spark, sf_dir)))
+
+
+@query()
+def merge_references(spark, sf_dir):
+    return library.merge_references(references.dedupe(references.extract(docs(spark, sf_dir))), F.col("doc_id"))
+
+
+@query()
+def report_sections(spark, sf_dir):
+    s = library.sections(docs(spark, sf_dir))
+    return s.withColumn("title", library.renumber(F.col("title"), F.col("section")))
+
+
+# -- profiles ---------------------------------------------------------------------------------------------------------
+
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def orders(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    return profile.as_text(df, "o_orderkey"), list(ORDER_COLUMNS)
+
+
+LONG = "x AS (SELECT column_name AS \"column\", value FROM (SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ORDER_COLUMNS) + " FROM orders) UNPIVOT (value FOR column_name IN (" + ", ".join(ORDER_COLUMNS) + ")))"
+
+
+@query(f"""WITH {LONG} SELECT "column", count(*) AS total, count(*) AS "count", CAST(0 AS BIGINT) AS nulls, 0.0 AS null_rate, count(DISTINCT lower(value)) AS "distinct", round(count(DISTINCT lower(value)) / count(*), 4) AS cardinality_ratio, count(DISTINCT lower(value)) = 1 AS constant FROM x GROUP BY "column" """)
+def profile_counts(spark, sf_dir):
+    return profile.counts(*orders(spark, sf_dir))
+
+
+@query()
+def profile_types(spark, sf_dir):
+    return profile.types(*orders(spark, sf_dir))
+
+
+@query(f"""WITH x AS (SELECT column_name AS "column", value AS v FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMBERS)} FROM orders) UNPIVOT (value FOR column_name IN ({", ".join(NUMBERS)})))
+    SELECT "column", count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY "column" """)
+def profile_numeric(spark, sf_dir):
+    text, _ = orders(spark, sf_dir)
+    return profile.numeric_stats(text, list(NUMBERS)).withColumns({c: F.round(c, 2) for c in ("mean", "std")})
+
+
+@query(f"""WITH x AS (SELECT column_name AS "column", value AS v FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMBERS)} FROM orders) UNPIVOT (value FOR column_name IN ({", ".join(NUMBERS)}))),
+    q AS (SELECT "column", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY ALL) SELECT "column", count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers FROM x JOIN q USING ("column") GROUP BY ALL""")
+def profile_outliers(spark, sf_dir):
+    text, _ = orders(spark, sf_dir)
+    return profile.outliers(text, list(NUMBERS), profile.numeric_stats(text, list(NUMBERS)))
+
+
+@query('WITH x AS (SELECT column_name AS "column", value FROM (SELECT o_orderstatus, o_orderpriority FROM orders) UNPIVOT (value FOR column_name IN (o_orderstatus, o_orderpriority))) SELECT "column", CAST(min(length(value)) AS INTEGER) AS min_len, CAST(max(length(value)) AS INTEGER) AS max_len, round(avg(length(value)), 1) AS avg_len FROM x GROUP BY "column"')
+def profile_lengths(spark, sf_dir):
+    return profile.lengths(orders(spark, sf_dir)[0], ["o_orderstatus", "o_orderpriority"])
+
+
+@query('WITH x AS (SELECT column_name AS "column", lower(value) AS value FROM (SELECT o_orderstatus, o_orderpriority FROM orders) UNPIVOT (value FOR column_name IN (o_orderstatus, o_orderpriority))), n AS (SELECT "column", value, count(*) AS n FROM x GROUP BY ALL) SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM n QUALIFY rank <= 3')
+def profile_top_values(spark, sf_dir):
+    return profile.top_values(orders(spark, sf_dir)[0], ["o_orderstatus", "o_orderpriority"])
+
+
+@query()
+def profile_pii(spark, sf_dir):
+    return profile.personal(*orders(spark, sf_dir))
+
+
+LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _pairs(cols):
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _pairs(LINE_NUMBERS)))
+def profile_correlation(spark, sf_dir):
+    text = profile.as_text(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), "l_quantity")
+    return profile.correlations(text, list(LINE_NUMBERS)).withColumn("r", F.round("r", 6))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM lineitem HAVING abs(corr({a}, {b})) >= 0.5" for a, b in _pairs(LINE_NUMBERS)))
+def profile_strong_pairs(spark, sf_dir):
+    text = profile.as_text(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), "l_quantity")
+    return profile.strong_pairs(profile.correlations(text, list(LINE_NUMBERS)))
+
+
+@query('WITH g AS (SELECT l_quantity, l_discount, l_tax, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS "rows", count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g')
+def profile_duplicates(spark, sf_dir):
+    cols = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+    return profile.duplicates(profile.as_text(table(spark, sf_dir, "lineitem").select(*cols), "l_quantity"), cols)
+
+
+@query()
+def profile_score(spark, sf_dir):
+    text, cols = orders(spark, sf_dir)
+    return profile.score(profile.counts(text, cols), profile.types(text, cols), profile.duplicates(text, cols))
+
+
+@query()
+def profile_events(spark, sf_dir):
+    return profile.profile(table(spark, sf_dir, "events").drop("props"), "event_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return forge.forge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

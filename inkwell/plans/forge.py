@@ -1,0 +1,39 @@
+"""The document forge: blocks to structure, statistics, references, phrases, summary, checks and score, one plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkwell.functions.text import word_count
+from inkwell.operators import blocks, quality, references, stats, summary
+
+
+def forge_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, title, word_count, language, sections, references, phrases, scores, stars, issues and verdict flags.
+
+    Every part is an aggregation by doc_id, so the joins reuse one partitioning of small rows; the texts themselves are
+    read by narrow projections.
+    """
+    parsed = blocks.parse(docs)
+    per_block = parsed.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.when(F.col("type") == "heading", F.length("text")).otherwise(0)).alias("heading_chars"), F.sum(F.length("text")).alias("text_chars"))
+    sections = blocks.sections(parsed).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.count_if(F.col("word_count") == 0).alias("empty_sections"), F.try_divide(F.max("word_count"), F.sum("word_count")).alias("top_share"))
+    refs = references.dedupe(references.extract(docs)).groupBy("doc_id").agg(F.count("*").alias("n_references"))
+    phrases = stats.rake(docs).groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count_if(F.col("phrase").rlike(quality.GLYPHS)).alias("glyph_phrases"))
+    shorts = summary.summaries(summary.lead(summary.sentences(docs))).select("doc_id", "short")
+    title = blocks.titles(docs, parsed, F.concat(F.lit("document-"), F.col("doc_id")))
+    base = docs.select("doc_id", word_count(F.col("text")).alias("words"), F.octet_length("text").alias("size_bytes"), F.regexp_count("text", F.lit(quality.MOJIBAKE)).alias("mojibake"))
+    facts = base
+    for part in (per_block, sections, refs, phrases, shorts, title, stats.language(docs)):
+        facts = facts.join(part, "doc_id", "left")
+    zero = {c: 0 for c in ("n_blocks", "heading_chars", "text_chars", "n_sections", "empty_sections", "n_references", "n_phrases", "glyph_phrases")}
+    facts = facts.fillna(zero).withColumns({"summary": F.coalesce("short", F.lit("")), "source_type": F.lit("TXT"), "top_share": F.coalesce("top_share", F.lit(0.0))})
+    checked = quality.checks(facts)
+    scored = checked.withColumns({
+        "structure_score": quality.structure_score(F.col("n_blocks"), F.col("n_sections"), F.col("top_share")),
+        "content_score": quality.content_score(F.octet_length("summary"), F.col("n_phrases"), F.col("words"), F.coalesce("content_loss", F.lit(False))),
+        "reference_score": quality.reference_score(F.col("n_references")),
+    })
+    total = quality.composite(F.col("structure_score"), F.col("content_score"), F.col("reference_score"))
+    out = scored.withColumn("knowledge_score", total).join(quality.verdict(checked), "doc_id")
+    return out.select("doc_id", "title", F.col("words").alias("word_count"), "language", F.col("n_sections").alias("sections"), "n_references", "n_phrases", "structure_score", "content_score", "reference_score", "knowledge_score", quality.stars(F.col("knowledge_score")).alias("stars"), "issues", "verdict_flags")
