@@ -236,16 +236,17 @@ CLASSES = sizes_near()
 
 
 def prefix_keys(sets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(key, node): by class of its partner's size, a set's rarest shingles, so many that a partner must share one.
+    """(key, node, side): by class of its partner's size, a set's rarest shingles, so many that a partner must share one.
 
     Sets of sizes a and b that link share at least need = NUM * (a + b) / (NUM + DEN), so in one order of all shingles
     they share one of a's first a - need + 1. In order of frequency, shingles that no other set has come first; they
-    meet nobody. A set with more of them than its prefix is long links with nothing and costs nothing here.
+    meet nobody. A set with more of them than its prefix is long links with nothing and costs nothing here. side is 0
+    in keys of one class, else 1 for sets of the smaller class and 2 for those of the larger, which meet only each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, nodes, sides = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for node, n, ranked in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
                 token = ranked.values.field("token").to_numpy().view(np.uint64)
                 own = int(np.searchsorted(CLASSES, n, side="right")) - 1
@@ -257,12 +258,13 @@ def prefix_keys(sets: DataFrame, tokens: DataFrame) -> DataFrame:
                     if take > 0:
                         tag = np.uint64(min(own, other) << 16 | max(own, other))
                         keys.append(mix(mix(token[:take]) ^ mix(np.array([tag]) + np.uint64(99))))
-                        nodes.append(np.full(min(take, len(token)), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                        nodes.append(np.full(len(keys[-1]), node, np.int64))
+                        sides.append(np.full(len(keys[-1]), 0 if own == other else 1 if own < other else 2, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sides))], names=["key", "node", "side"])
 
     ranked = tokens.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("ranked"))
     size = sets.select("node", (F.octet_length("items") / 8).cast("bigint").alias("n"))
-    return size.join(ranked, "node").select("node", "n", "ranked").mapInArrow(run, "key bigint, node bigint")
+    return size.join(ranked, "node").select("node", "n", "ranked").mapInArrow(run, "key bigint, node bigint, side int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,10 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(2):
         labels = joined(star(entries, ["band", "need"], "n >= need"))
     left = sets.join(marked(entries).select("node").distinct(), "node", "left_semi")
-    rare = ws.cut(prefix_keys(left, shared_tokens(left, ranges)))
+    met = prefix_keys(left, shared_tokens(left, ranges))
+    two = met.groupBy("key").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.count("*").alias("n")).where("n > 1 AND (low = 0 OR low <> high)")
+    rare = ws.cut(met.join(two.select("key"), "key", "left_semi"))
     labels = joined(star(rare, [], "n > 0"))
-    open_ = ws.cut(marked(rare).select("key", "node", "component"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    labels = joined(open_.withColumnRenamed("node", "a").join(other, "key").where("a < b AND component <> cb").select("a", "b").distinct())
+    open_ = ws.cut(marked(rare).select("key", "node", "side", "component"))
+    other = open_.select("key", F.col("node").alias("b"), F.col("side").alias("sb"), F.col("component").alias("cb"))
+    labels = joined(open_.withColumnRenamed("node", "a").join(other, "key").where("component <> cb AND (side < sb OR (side = 0 AND sb = 0 AND a < b))").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = classes.join(labels, "node", "left").select(*own, F.coalesce("component", "node").alias("component"))
     return prints.join(ends, own, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
