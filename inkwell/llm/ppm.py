@@ -36,7 +36,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 END = b"\n"
 ORDER = 5
 FOLDS, HELD = 5, 1
-CHUNK_BYTES = 48_000_000
+CHUNK_BYTES = 40_000_000
 #: Bytes of text that a counting task combines before its counts are shuffled.
 COUNT_BYTES = 96_000_000
 AT_ONCE = 3_000_000
@@ -67,6 +67,14 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], sizes
 
 
+def slices_of(rows: pa.Table, step: int = 500) -> Iterator[list[list[bytes]]]:
+    """Tokens of a table's texts, some megabytes at once, without a second copy of all of them."""
+    for at in range(0, rows.num_rows, step):
+        part = rows.column("text").slice(at, step).to_pylist()
+        for lists, _ in batches_of(part, [None] * len(part)):
+            yield lists
+
+
 def batches_of(texts: list[bytes | None], extra: list) -> Iterator[tuple[list[list[bytes]], list]]:
     """Texts as tokens, some megabytes at once."""
     out: list = []
@@ -205,14 +213,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     # What each chunk holds. All three uses of the chunks read one shuffle.
     def held_words(rows: pa.Table) -> pa.Table:
         found: set = set()
-        for lists, _ in batches_of(rows.column("text").to_pylist(), [None] * rows.num_rows):
+        for lists in slices_of(rows):
             for t in lists:
                 found.update(t)
         chunk = rows.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([chunk] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
 
     def held_grams(rows: pa.Table) -> pa.Table:
-        parts = [pd.unique(grams([coded(t) for t in lists])[0]) for lists, _ in batches_of(rows.column("text").to_pylist(), [None] * rows.num_rows)]
+        parts = [pd.unique(grams([coded(t) for t in lists])[0]) for lists in slices_of(rows)]
         found = pd.unique(np.concatenate(parts))
         return pa.table({"chunk": np.full(len(found), rows.column("chunk")[0].as_py(), np.int32), "gram": found})
 
@@ -233,8 +241,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         gram, value = part.column("gram").to_numpy(), part.column("value").to_numpy()
         by = np.argsort(gram)
         gram, value = gram[by], value[by]
+        del found, part, by
         n_tokens, n_known, base, model = [], [], [], []
-        for lists, _ in batches_of(texts.column("text").to_pylist(), [None] * texts.num_rows):
+        for lists in slices_of(texts):
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             at = np.cumsum(sizes) - sizes
             c = np.fromiter((counts.get(w, 0.0) for t in lists for w in t), np.float64, int(sizes.sum()))
