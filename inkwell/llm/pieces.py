@@ -60,7 +60,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     size, n = 1, len(codes)
     while True:
         follow = np.zeros(n, np.int64)
-        follow[: n - size] = rank[size:] + 1
+        follow[: max(n - size, 0)] = rank[size:] + 1
         key = rank * (n + 2) + follow
         order = np.argsort(key, kind="stable")
         size *= 2

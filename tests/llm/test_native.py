@@ -1,0 +1,103 @@
+"""Quality rules, chat formatting and personal data against brute force, with odd inputs."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from inkwell.llm import chat, pii, quality
+
+SPACE = r"[^\x20\x09-\x0D]"
+
+
+def base_of(text):
+    text = text or ""
+    w = re.findall(SPACE + "+", text)
+    lines = [x for x in text.split("\n") if re.search(SPACE, x)]
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times, covered = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if times[x] > 1:
+            covered.update(range(i, i + 8))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def texts(rng):
+    words = ["the", "of", "sun", "a", "#", "été", "x" * 40, "ok."]
+    out = [None, "", " \t\n", "one", "a b c d e f g h " * 40, "the cat sat. " * 3000, "same line here now\n" * 5]
+    return out + [" ".join(rng.choices(words, k=rng.randint(1, 120))).replace("ok. ", "ok.\n") for _ in range(60)]
+
+
+def test_quality(spark):
+    rows = list(enumerate(texts(random.Random(1))))
+    docs = spark.createDataFrame([(i, t, "clash", i) for i, t in rows], "doc_id bigint, text string, votes string, n_words int")
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = base_of(t)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, i
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r.base_failed and r.kept)
+    assert quality.score(docs.limit(0)).count() == 0
+    kept = {i for i, r in got.items() if r.kept}
+    assert {r.doc_id for r in quality.keep(docs).collect()} == kept
+    assert quality.keep(docs).columns == docs.columns
+    assert quality.score(docs.union(docs)).count() == 2 * len(rows)
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(2)
+    bits = ["\\", "<", "|", "<|im_end|>", "<|im_start|>", "[INST]", "[/INST]", "</s>", "<s>", "a", "\n", "[", "<<SYS>>", "é", "𝄞", ""]
+    rows = [(c, i, rng.choice(["user", "assistant", None, "as<|im_sep|>s\\"]), rng.choice([None, "".join(rng.choices(bits, k=rng.randint(0, 9)))])) for c in range(12) for i in range(rng.choice([1, 3, 700]))]
+    rows += [(99, 5, "user", "b"), (99, 5, "user", "a"), (99, None, "assistant", "first"), (99, 5, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    f = chat.format_chats(df)
+    got = {r.conv_id: r for r in f.select("conv_id", chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    by = defaultdict(list)
+    for c, i, r, t in rows:
+        by[c].append((-1 if i is None else i, r or "", t or ""))
+    for c, ts in by.items():
+        ts.sort()
+        assert [(x.role, x.text) for x in got[c].t] == [x[1:] for x in ts], c
+        assert got[c].l == "".join(t for _, r, t in ts if r == "assistant")
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def luhn(s):
+    total = 0
+    for i, ch in enumerate(reversed(s)):
+        v = int(ch) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def spans_of(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
+    ]
+    found = [(m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0])]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_pii(spark):
+    rng = random.Random(3)
+    bits = ["a@b.c", "_x@y.z", "1.2.3.4", ".", "999", "-", " ", "+1", "4111111111111111", "+44 20 7946 0958", "GB82WEST12345698765432", "123-45-6789", "é", "𝄞", "@", "ssn ", "1", "(555)", "x" * 50, "7" * 40, "\n", "000.1"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 400 if i % 50 == 0 else 12)))) for i in range(600)] + [(-1, None), (-2, ""), (-3, "a" * 100_000 + " 1" * 5000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, email string")
+    found = pii.find(df.drop("email"))
+    got = {r.doc_id: r for r in found.select("doc_id", pii.digest_of(F.concat("email", "ip", "card", "phone")).alias("b")).collect()}
+    for i, t in rows:
+        assert got[i].b == spans_of(t or ""), (i, t)
+    assert pii.find(df.limit(0)).count() == 0
+    one = pii.find(spark.createDataFrame([(1, "IBAN: IE29AIBK93115212345678, my ssn is 123-45-6789, mail a@b.co")], "doc_id long, text string"))
+    assert pii.redact(one).first().text == "IBAN: [iban], my ssn is [ssn], mail [email]"
+    bad = pii.find(spark.createDataFrame([(1, "IE29AIBK93115212345679 and number 123-45-6789")], "doc_id long, text string")).first()
+    assert bad.iban == [] and bad.ssn == []
+
+
