@@ -48,7 +48,7 @@ def mod97(x: Column) -> Column:
         n = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
         return F.when(n < 10, acc * 10 + n).otherwise(acc * 100 + n) % 97
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("[0-9A-Z]"), F.lit(0)), F.lit(0), step)
 
 
 def valid(kind: str, x: Column) -> Column:
