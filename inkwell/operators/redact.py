@@ -49,7 +49,7 @@ def iban_valid(x: Column) -> Column:
         n = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
         return F.when(n < 10, acc * 10 + n).otherwise(acc * 100 + n) % 97
 
-    return F.length(bare).between(15, 34) & (F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1)
+    return F.length(bare).between(15, 34) & (F.aggregate(F.regexp_extract_all(turned, F.lit("[0-9A-Z]"), F.lit(0)), F.lit(0), step) == 1)
 
 
 def eircode_valid(x: Column, keys: tuple[str, ...]) -> Column:
