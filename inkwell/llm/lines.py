@@ -8,9 +8,10 @@ Variants: leaving out one word of each of two lines at the same place gives equa
 replacement, and a line without one word equals the shorter line if a word was put in. So each line emits the hash of
 its rest for every word, keyed by place, and its own hash; equal keys are joined by aggregation to the earliest member,
 never by pairs, and what is found is verified on the words. Only lines that share a half with another line can be within
-one edit (the edit spares either the first or the last half), so only those emit variants.
+one edit (the edit spares either the first or the last half), so only those emit variants, and only of the other half.
 
-Keys are two 64-bit hashes. A document's rows are rebuilt from its text by leaving out positions, which keeps the rest
+Lines are told apart by two 64-bit hashes; variants by one with place and size, as what they find is verified: a clash
+there could hide a near copy but never drop a line. A document's rows are rebuilt from its text by leaving out positions, which keeps the rest
 as it is. Nulls and extremes: a null text has no lines and stays null; blank lines stay; lines of any length are compared
 whole; repeated rows are rebuilt alike; null ids come first; an empty table gives an empty result; extra columns stay.
 """
@@ -44,25 +45,29 @@ def occurrences(docs: DataFrame) -> DataFrame:
     line = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
     cut = line.select("k1", "k2", "_id", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
     near = F.when(F.size("w") >= NEAR_WORDS, halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
-    return cut.select("k1", "k2", "_id", "pos", *hashes(F.col("w"), names=("h1", "h2")), near.alias("halves"))
+    return cut.select("k1", "k2", "_id", "pos", *hashes(F.col("w"), names=("h1", "h2")), F.size("w").alias("size"), near.alias("halves"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another distinct line."""
-    keyed = distinct.select(*LINE, "first", F.explode("halves").alias("key"))
+    """Distinct lines that share a half with another distinct line; words after `after` or up to `upto` may differ."""
+    keyed = distinct.select(*LINE, "first", "size", F.posexplode("halves").alias("nth", "key"))
     who = F.struct(*LINE)
     shared = keyed.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("key")
-    return keyed.join(shared, "key", "left_semi").groupBy(*LINE).agg(F.min("first").alias("first"))
+    half = F.floor((F.col("size") - F.floor(F.col("nth") / 2)) / 2).cast("int")
+    front = F.col("nth") % 2 == 0
+    found = keyed.join(shared, "key", "left_semi").groupBy(*LINE)
+    return found.agg(F.min("first").alias("first"), F.min(F.when(front, half)).alias("after"), F.max(F.when(~front, F.col("size") - half)).alias("upto"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(rest, rest2, place, size): the line without each of its words, and itself with place 0."""
+    """(rest, place, size): the line without each word in which it may differ, and itself with place 0."""
 
     def all_of(w: Column) -> Column:
         n = F.size(w)
         rest = lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(n - i, F.lit(0))))
-        one = lambda i, r: F.struct(*hashes(r, names=("rest", "rest2")), i.alias("place"), n.alias("size"))
-        return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: let(rest(i), lambda r: one(i, r))), F.array(one(F.lit(0), w)))
+        one = lambda i, r: F.struct(F.xxhash64(r).alias("rest"), i.alias("place"), n.alias("size"))
+        places = F.filter(F.sequence(F.lit(1), n), lambda i: (i > F.coalesce("after", n)) | (i <= F.coalesce("upto", F.lit(0))))
+        return F.concat(F.transform(places, lambda i: one(i, rest(i))), F.array(one(F.lit(0), w)))
 
     by_hash = F.transform("w", lambda x: F.xxhash64(x))
     return lines.select(*LINE, "first", F.explode(let(by_hash, all_of)).alias("v")).select(*LINE, "first", "v.*")
@@ -82,25 +87,26 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def near_lines(distinct: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
     """Distinct lines (h1, h2) that have an earlier line within one word's edit."""
     some = ws.cut(candidates(distinct))
-    wanted = some.select("*", "first.k1", "first.k2", "first.pos").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", *LINE, "first")).alias("takes"))
+    wanted = some.select("*", "first.k1", "first.k2", "first.pos").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", *LINE, "first", "after", "upto")).alias("takes"))
     text = docs.select("k1", "k2", "_text")
     split = text.join(wanted, ["k1", "k2"]).select("takes", F.split("_text", "\n", -1).alias("ls"))
     lines = split.select(F.explode(F.transform("takes", lambda t: F.struct(t.alias("t"), F.get("ls", t["pos"]).alias("line")))).alias("x")).select("x.t.*", words(F.col("x.line")).alias("w"))
-    lines = ws.cut(lines.select(*LINE, "first", "w").dropDuplicates(LINE))
-    every = variants(lines)
-    own = ws.cut(every)
+    lines = ws.cut(lines.select(*LINE, "first", "after", "upto", "w").dropDuplicates(LINE))
+    own = ws.cut(variants(lines))
     # Replacement: equal rests at the same place of lines of the same size.
-    sub = ["rest", "rest2", "place", "size"]
+    sub = ["rest", "place", "size"]
     top = own.where("place > 0").groupBy(*sub).agg(F.min(F.struct("first", *LINE)).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     replaced = own.join(top, sub).where("top.first < first").select(*LINE, "top.h1", "top.h2", "top.first").toDF("h1", "h2", "o1", "o2", "ofirst")
     # A word put in: a longer line's rest is the shorter line itself; whichever is later goes.
-    whole = own.where("place = 0").select("rest", "rest2", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("ofirst"))
-    put = own.where("place > 0").join(whole, ["rest", "rest2"]).select(*LINE, "first", "o1", "o2", "ofirst")
+    whole = own.where("place = 0").select("rest", (F.col("size") + 1).alias("size"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("ofirst"))
+    put = own.where("place > 0").join(whole, ["rest", "size"]).select(*LINE, "first", "o1", "o2", "ofirst")
     longer = put.where("ofirst < first").select(*LINE, "o1", "o2", "ofirst")
     shorter = put.where("first < ofirst").select(F.col("o1").alias("h1"), F.col("o2").alias("h2"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("ofirst"))
     pairs = replaced.unionByName(longer).unionByName(shorter).groupBy(*LINE).agg(F.min(F.struct("ofirst", "o1", "o2")).alias("o")).select(*LINE, "o.o1", "o.o2")
     later, earlier = lines.select(*LINE, "w"), lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("w").alias("ow"))
-    return ws.cut(pairs.join(later, LINE).join(earlier, ["o1", "o2"]).where(within_one_edit(F.col("w"), F.col("ow"))).select(*LINE).distinct())
+    out = ws.cut(pairs.join(later, LINE).join(earlier, ["o1", "o2"]).where(within_one_edit(F.col("w"), F.col("ow"))).select(*LINE).distinct())
+    ws.drop(own, some, lines)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = keyed.select("k1", "k2", "_id", "_text")
     seen = ws.cut(occurrences(slim))
     place = F.struct(F.col("_id").alias("id"), "k1", "k2", "pos")
-    distinct = ws.cut(seen.groupBy(*LINE).agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    distinct = ws.cut(seen.groupBy(*LINE).agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("halves").alias("halves")))
     near = near_lines(distinct.where(F.size("halves") > 0), slim, ws)
     marked = distinct.select(*LINE, "first", "n").join(near.withColumn("near", F.lit(True)), LINE, "left")
     dupes = marked.where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
