@@ -21,51 +21,57 @@ MATH = r"[\x{0370}-\x{03FF}\x{2070}-\x{209F}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x
 HEAD = 8192
 
 
-def parser_of(docs: DataFrame) -> DataFrame:
-    """doc_id, parser: Markdown if a `#` stands in the first 8192 bytes, else plain text."""
+def parser_expr() -> Column:
+    """Markdown if a `#` stands in the first 8192 bytes, else plain text."""
     head = F.substring(F.encode("text", "UTF-8"), 1, HEAD)
-    marked = F.instr(F.decode(head, "ISO-8859-1"), "#") > 0
-    return docs.select("doc_id", F.when(marked, "markdown").otherwise("text").alias("parser"))
+    return F.when(F.instr(F.decode(head, "ISO-8859-1"), "#") > 0, "markdown").otherwise("text")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos from 0, line (trimmed)."""
-    return docs.select("doc_id", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("pos", "line")).withColumn("line", trim(F.col("line")))
+def parser_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", parser_expr().alias("parser"))
 
 
-def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, type, level, text: one block a non-blank line."""
-    line = F.col("line")
+def lines_of(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, columns to carry, pos from 0, line (trimmed)."""
+    return docs.select("doc_id", *carry, F.posexplode(F.split("text", LINE_BREAK, -1)).alias("pos", "line")).withColumn("line", trim(F.col("line")))
+
+
+def markdown_block(line: Column) -> Column:
     heading, bullet = line.rlike(r"^#{1,6}\s+."), line.rlike(r"^[-*]\s+")
-    return lines_of(docs).where("line <> ''").select(
-        "doc_id",
-        "pos",
+    return F.struct(
         F.when(heading, "heading").otherwise("paragraph").alias("type"),
         F.when(heading, F.length(F.regexp_extract(line, r"^(#{1,6})", 1))).alias("level"),
         F.when(heading, F.regexp_extract(line, r"^#{1,6}\s+(.+)", 1)).when(bullet, F.regexp_replace(line, r"^[-*]\s+", "")).otherwise(line).alias("text"),
     )
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """Plain text: `#` headings (their level counts the spaces after the marks), short lines in capitals are headings."""
-    line = F.col("line")
+def text_block(line: Column) -> Column:
+    """`#` headings (their level counts the spaces after the marks); short lines in capitals are headings."""
     marked = line.rlike(r"^#{1,6}\s+")
     ascii_upper = F.translate(line, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     capital = (F.octet_length(line) < 80) & ~line.rlike(r"[.!?]$") & (ascii_upper == line)
     rest = F.regexp_replace(line, "^#+", "")
-    return lines_of(docs).where("line <> ''").select(
-        "doc_id",
-        "pos",
+    return F.struct(
         F.when(marked | capital, "heading").otherwise("paragraph").alias("type"),
         F.when(marked, F.length(rest) - F.length(F.ltrim(rest))).when(capital, 2).alias("level"),
         F.when(marked, F.regexp_replace(line, r"^#+\s+", "")).otherwise(line).alias("text"),
     )
 
 
+def markdown_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, type, level, text: one block a non-blank line."""
+    return lines_of(docs).where("line <> ''").select("doc_id", "pos", markdown_block(F.col("line")).alias("b")).select("doc_id", "pos", "b.*")
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    return lines_of(docs).where("line <> ''").select("doc_id", "pos", text_block(F.col("line")).alias("b")).select("doc_id", "pos", "b.*")
+
+
 def parse(docs: DataFrame) -> DataFrame:
-    """Blocks of each document by its parser."""
-    routed = docs.join(parser_of(docs), "doc_id")
-    return markdown_blocks(routed.where("parser = 'markdown'")).unionByName(text_blocks(routed.where("parser = 'text'")))
+    """Blocks of each document by its parser, in one projection."""
+    rows = lines_of(docs.select("doc_id", "text", parser_expr().alias("parser")), "parser").where("line <> ''")
+    block = F.when(F.col("parser") == "markdown", markdown_block(F.col("line"))).otherwise(text_block(F.col("line")))
+    return rows.select("doc_id", "pos", block.alias("b")).select("doc_id", "pos", "b.*")
 
 
 # -- line rules of the normaliser ---------------------------------------------------------------------------------
