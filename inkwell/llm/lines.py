@@ -2,7 +2,8 @@
 
 Lines are trimmed and compared by words. A line goes if an equal line occurs earlier (by document id, then position),
 or if a line within one word's edit (one word put in, left out or replaced) first occurs earlier than its own first
-occurrence. Lines of fewer than `MIN_WORDS` words stay; only lines of at least `NEAR_WORDS` are compared inexactly.
+occurrence. Every line with a word takes part. Lines of one or two words go as equal lines only: an edit leaves no more
+than half of their words, so any one-word line would be a near copy of any other (`NEAR_WORDS`; figures in the README).
 
 Variants: leaving out one word of each of two lines at the same place gives equal rests if the lines differ there by a
 replacement, and a line without one word equals the shorter line if a word was put in. So each line emits the hash of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Workspace, let, words
 
-MIN_WORDS, NEAR_WORDS = 4, 8
+MIN_WORDS, NEAR_WORDS = 1, 3
 LINE = ["h1", "h2"]
 
 
@@ -40,7 +41,7 @@ def halves(w: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line that takes part: its document's key and id, position, hashes and, for long ones, halves."""
+    """A row for each line that takes part: its document's key and id, position, hashes and, if compared inexactly, halves."""
     exploded = docs.select("k1", "k2", "_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("pos", "line"))
     line = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
     cut = line.select("k1", "k2", "_id", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)

@@ -143,6 +143,13 @@ def test_lines(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    docs = ["Home\nAll rights reserved.\nMenu one\na b c d\np q r s t u v", "Home\n  All   rights reserved.\nMenu two\na b x d\n\np q r s u v", "Contact\nall rights reserved.\nMenu one\na b c\nHome page"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup_lines(df).collect()}
+    assert got == {0: (docs[0], 0), 1: ("Menu two\n", 4), 2: ("Contact\nHome page", 3)}
+
+
 def test_mixing(spark):
     rows = [(i, "big" if i % 3 else None if i % 2 else "small", f"t{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
