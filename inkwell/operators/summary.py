@@ -15,6 +15,8 @@ from .stats import STOP, density
 SIGNAL = r"(?i)%|\d{2,}|\b(therefore|thus|conclude[ds]?|concluded|significant(ly)?|increase[ds]?|decrease[ds]?|reduced|improved)\b"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve".split()
 CAP_BYTES, DAMPING, ROUNDS, KEPT = 40_000, 0.85, 20, 8
+#: Cells of a document's matrices up to which ranks are found with them; larger documents take sums by term.
+CELLS = 4_000_000
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -35,11 +37,16 @@ def templates(found: DataFrame) -> DataFrame:
 
 
 def without_scaffold(found: DataFrame) -> DataFrame:
-    """Sentences without templates, or all where fewer than three would stay, up to 40 000 bytes."""
+    """Sentences without templates, or all where fewer than three would stay."""
     w = Window.partitionBy("doc_id")
     rows = found.withColumn("sig", signature(F.col("sentence"))).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "sig")))
-    rows = rows.withColumn("single", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n < 2 OR single < 3")
-    return rows.withColumn("bytes", F.sum(F.octet_length("sentence")).over(w.orderBy("pos"))).where(F.col("bytes") <= CAP_BYTES).select("doc_id", "pos", "sentence")
+    return rows.withColumn("single", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n < 2 OR single < 3").select("doc_id", "pos", "sentence")
+
+
+def head(found: DataFrame) -> DataFrame:
+    """Whole sentences up to 40 000 bytes a document, as the SQL of scaffold_removed has it; nothing is ranked from these."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return found.withColumn("bytes", F.sum(F.octet_length("sentence")).over(w)).where(F.col("bytes") <= CAP_BYTES).select("doc_id", "pos", "sentence")
 
 
 def findings(found: DataFrame, k: int = 5) -> DataFrame:
@@ -62,26 +69,49 @@ def pair_weights(found: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "i", "j", (F.col("common") / (F.ln("n") + F.ln("m"))).alias("weight"))
 
 
+def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
+    """A score a sentence by power iteration over shared terms over the logarithms of both sizes.
+
+    Past `cells` no matrix is made: what sentences of one size give a term is summed, then what its terms give a sentence,
+    so memory grows with the text and not with the square of its sentences. Both ways give the same scores.
+    """
+    n, ids = len(sets), {}
+    where = np.repeat(np.arange(n), [len(s) for s in sets])
+    term = np.array([ids.setdefault(t, len(ids)) for s in sets for t in s], np.int64)
+    common = np.bincount(where, minlength=n)
+    size = np.log(np.maximum(common, 2))
+    if n * max(n, len(ids)) <= cells:
+        hits = np.zeros((n, max(1, len(ids))))
+        hits[where, term] = 1
+        weight = hits @ hits.T / (size[:, None] + size[None, :])
+        np.fill_diagonal(weight, 0)
+        spread = weight.__matmul__
+    else:
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            out = -common * x / (2 * size)
+            for level in np.unique(size):
+                by_term = np.bincount(term, np.where(size == level, x, 0)[where], len(ids))
+                out += np.bincount(where, by_term[term], n) / (level + size)
+            return out
+
+    total = spread(np.ones(n))
+    # A weight is far above this; below are sentences that share nothing, or what rounding leaves of them.
+    linked = total > 1e-6
+    score = np.ones(n)
+    for _ in range(ROUNDS):
+        score = (1 - DAMPING) + DAMPING * spread(np.where(linked, score / np.where(linked, total, 1), 0))
+    return score
+
+
 def text_rank(found: DataFrame) -> DataFrame:
-    """doc_id, rank, pos, sentence: the eight sentences that others resemble most. A document is one group, and what
-    is ranked of it is bounded by bytes, so a group is small."""
+    """doc_id, rank, pos, sentence: the eight sentences that others resemble most, of whole documents. A document is one
+    group, as large as its text."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         stop = set(STOP)
-        sets = [[t for t in np.unique(s.lower().split()).tolist() if t not in stop] for s in rows["sentence"]]
-        vocabulary = {t: i for i, t in enumerate(sorted({t for s in sets for t in s}))}
-        hits = np.zeros((len(sets), max(1, len(vocabulary))), np.float32)
-        for i, s in enumerate(sets):
-            hits[i, [vocabulary[t] for t in s]] = 1
-        size = np.log(np.maximum(hits.sum(axis=1), 2))
-        weight = hits @ hits.T / (size[:, None] + size[None, :])
-        np.fill_diagonal(weight, 0)
-        out = weight.sum(axis=1)
-        step = weight / np.where(out > 0, out, 1)[:, None]
-        score = np.full(len(sets), 1.0)
-        for _ in range(ROUNDS):
-            score = (1 - DAMPING) + DAMPING * step.T @ score
+        score = rank_scores([sorted(set(s.lower().split()) - stop) for s in rows["sentence"]])
         best = np.lexsort((rows["pos"], -np.round(score, 6)))[:KEPT]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "pos": rows["pos"].iloc[best].astype(np.int32), "sentence": rows["sentence"].iloc[best]})
 

@@ -215,7 +215,7 @@ def template_signatures(spark, sf_dir):
     v AS (SELECT doc_id, pos, sentence, sum(strlen(sentence)) OVER (PARTITION BY doc_id ORDER BY pos) AS bytes FROM u WHERE n < 2 OR single < 3)
     SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM v WHERE bytes <= 40000""")
 def scaffold_removed(spark, sf_dir):
-    return summary.without_scaffold(summary.sentences(docs(spark, sf_dir)))
+    return summary.head(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
 
 
 @query()

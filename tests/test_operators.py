@@ -2,11 +2,12 @@
 
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
-from inkwell.operators import blocks, cite, library, profile, redact
+from inkwell.operators import blocks, cite, library, profile, redact, summary
 from inkwell.plans import catalogue
 from inkwell.sources import documents, tables, writers
 
@@ -126,3 +127,29 @@ def test_stream(spark, tmp_path):
     q = ingest.drain(ingest.arrivals(spark, str(tmp_path / "in")), blocks.text_blocks, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_long_documents_are_ranked_whole(spark):
+    filler = " ".join(f"u{i} v{i} w{i}." for i in range(4000))
+    tail = ["Copper mines feed copper smelters.", "Copper smelters feed copper wire plants.", "Copper wire plants buy copper mines."]
+    endless = "word " * 9000
+    df = spark.createDataFrame([(1, filler + " " + " ".join(tail)), (2, endless)], "doc_id long, text string")
+    found = summary.without_scaffold(summary.sentences(df))
+    ranked = summary.text_rank(found).collect()
+    assert {r.sentence for r in ranked if r.doc_id == 1 and r.rank <= 3} == set(tail)
+    assert [r.rank for r in ranked if r.doc_id == 2] == [1]
+    assert {r.doc_id for r in summary.lead(summary.sentences(df)).collect()} == {1, 2}
+    assert {r.doc_id for r in summary.summaries(summary.text_rank(found)).collect()} == {1, 2}
+
+
+def test_rank_scores():
+    rng = np.random.default_rng(5)
+    sets = [sorted({f"t{x}" for x in rng.zipf(1.4, rng.integers(0, 30)) if x < 500}) for _ in range(150)] + [[], ["alone"]]
+    size = [np.log(max(len(s), 2)) for s in sets]
+    weight = np.array([[0 if i == j else len(set(a) & set(b)) / (size[i] + size[j]) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    score, out = np.ones(len(sets)), weight.sum(axis=1)
+    for _ in range(summary.ROUNDS):
+        score = (1 - summary.DAMPING) + summary.DAMPING * weight @ np.where(out > 0, score / np.where(out > 0, out, 1), 0)
+    for cells in (0, summary.CELLS):
+        assert np.allclose(summary.rank_scores(sets, cells), score, atol=1e-9)
+    assert summary.rank_scores([[]], 0).round(6).tolist() == [0.15] and len(summary.rank_scores([], 0)) == 0
