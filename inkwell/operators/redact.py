@@ -9,6 +9,24 @@ B = r"(?<![A-Za-z0-9_])"
 E = r"(?![A-Za-z0-9_])"
 DATE = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})"
 NAME = r"[A-Z][a-z]+"
+#: Routing keys of postcodes (fixed values).
+ROUTING = tuple("D02 D04 D06 D08 A65 A75 A82 A94 T12 T23 V94 H91 K45 N39 F12 F23 F26 F28 F31 F42 F45 F52 F56 F91 F92 F93 F94 P12 P17 P24 P25 P31 P32 P36 P43 P47 P51 P56 P61 P67 P72 P75 P81 P85 R14 R32 R35 R42 R45 R51 R93 W12 W23 W34 W91 X35 X42 Y14 Y21 Y25 Y34 Y35".split())
+#: Names (fixed values). A surname with an apostrophe is looked up without it and so never found.
+FIRST_NAMES = tuple("liam mary sean aoife ciara patrick niamh conor emma oisin siobhan cian orla declan fiona brian sinead eoin aine padraig".split())
+SURNAMES = tuple("murphy kelly o'brien ryan walsh o'sullivan o'connor byrne o'neill mccarthy doyle lynch o'regan kennedy quinn daly burke collins gallagher".split())
+#: Words that end a street's name (fixed values).
+STREETS = "Road|Street|Avenue|Lane|Drive|Park|Close|Court|Way|Place|Square|Terrace|Crescent|Grove|Green|Estate|Downs|Heights|Manor|View|Walk|Row|Rise|Hill|Gardens|Mews|Wood|Woods|Vale|Meadows|Lawn|Lawns|Quay|Pier|Strand|Boulevard|Bypass|Parkway|Nook|Village|Gate|Bridge|Cottages|Centre|Center"
+
+
+# Parts of addresses: a capitalised word, a house line, a street line, a break between lines, a line that looks like one.
+W = r"[A-Z][A-Za-z'’\-]+"
+HOUSE = rf"\d{{1,4}}[A-Z]?\s+{W}(?:\s+{W}){{0,5}}(?:\s+(?:{STREETS}))?"
+STREET = rf"(?:{W}(?:\s+{W}){{0,5}}\s+)?(?:{STREETS})(?:\s+{W}){{0,4}}"
+TITLED = rf"(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+)?{W}\s+{W}"
+BREAK = r"[^\S\n]*\n\s*"
+LINE = rf"(?:\d{{1,4}}[A-Z]?[^\S\n]+[^\n]*?|(?>[^\n]*?{B}(?i:{STREETS}){E})[^\n]*?)"
+PERSON = rf"(?:(?i:Mr|Mrs|Ms|Dr|Prof)\.?[^\S\n]+[^\n]*|(?=[A-Z][a-z]+\s+[A-Z])(?i:{'|'.join(FIRST_NAMES)})[^\S\n]+(?i:{'|'.join(n for n in SURNAMES if chr(39) not in n)}))"
+POSTCODE = rf"{B}(?i:(?:{'|'.join(ROUTING)})[A-Z0-9]?\s?[A-Z0-9]{{4}}){E}"
 #: Categories with their tier, pattern and captured group (fixed values), in order of detection.
 PATTERNS = (
     ("ppsn", 1, rf"(?i){B}\d{{7}}[A-W][AHWTX]?{E}", 0),
@@ -25,7 +43,15 @@ PATTERNS = (
     ("person", 3, rf"{B}Dear\s+({NAME}){E}", 1),
     ("person", 3, rf"{B}(?:From|To|Cc):\s*({NAME}(?:\s+{NAME})?){E}", 1),
     ("name", 3, rf"{B}[A-Z][a-z]{{2,}}\s+(?:[A-Z]['’][a-z]{{2,}}|[A-Z][a-z]{{2,}}){E}", 0),
+    ("address", 3, rf"{B}{HOUSE}{BREAK}{STREET}{E}", 0),
+    ("address", 3, rf"{B}\d{{1,4}}[A-Z]?\s+{W}(?:\s+{W}){{0,5}}\s+(?:{STREETS}){E}", 0),
+    ("address", 3, rf"{B}(?:\d{{1,4}}[A-Z]?\s+)?{W}(?:\s+{W}){{0,5}}\s+(?:{STREETS})(?:\s+{W}){{0,4}}{E}", 0),
+    ("address", 3, rf"(?m)(?:^|\n)\s*+{TITLED}{BREAK}{HOUSE}{BREAK}{STREET}{E}", 0),
+    ("address", 3, rf"(?m)(?:^|\n)\s*+{TITLED}{BREAK}{HOUSE}{E}", 0),
+    ("address", 3, rf"(?m)^[^\S\n]*+((?:{PERSON}{BREAK})?(?:{LINE}{BREAK}){{0,2}}{LINE})(?=\s*{POSTCODE})", 1),
 )
+#: What a text must hold for an address pattern to match, by pattern: cheap to look for, so most texts are read once.
+NEEDED = dict(zip((p for c, _, p, _ in PATTERNS if c == "address"), 4 * [rf"{B}(?:{STREETS}){E}"] + [r"\n\s*+\d"] + [POSTCODE], strict=True))
 LABELS = {"ppsn": "PPSN", "iban": "IBAN", "card": "CARD", "vat": "VAT", "eircode": "EIRCODE", "email": "EMAIL", "phone": "PHONE", "dob": "DOB", "account": "ACCOUNT", "person": "PERSON", "address": "ADDRESS"}
 MASK = "XXXXXXXXX"
 SPAN = "array<struct<start:int,back:int,tier:int,category:string,surface:string>>"
@@ -56,15 +82,6 @@ def eircode_valid(x: Column, keys: tuple[str, ...]) -> Column:
     return F.left(F.upper(F.regexp_replace(x, r"\s+", "")), F.lit(3)).isin(*keys)
 
 
-#: Routing keys of postcodes (fixed values).
-ROUTING = tuple("D02 D04 D06 D08 A65 A75 A82 A94 T12 T23 V94 H91 K45 N39 F12 F23 F26 F28 F31 F42 F45 F52 F56 F91 F92 F93 F94 P12 P17 P24 P25 P31 P32 P36 P43 P47 P51 P56 P61 P67 P72 P75 P81 P85 R14 R32 R35 R42 R45 R51 R93 W12 W23 W34 W91 X35 X42 Y14 Y21 Y25 Y34 Y35".split())
-#: Names (fixed values). A surname with an apostrophe is looked up without it and so never found.
-FIRST_NAMES = tuple("liam mary sean aoife ciara patrick niamh conor emma oisin siobhan cian orla declan fiona brian sinead eoin aine padraig".split())
-SURNAMES = tuple("murphy kelly o'brien ryan walsh o'sullivan o'connor byrne o'neill mccarthy doyle lynch o'regan kennedy quinn daly burke collins gallagher".split())
-#: Words that end a street's name (fixed values).
-STREETS = "Road|Street|Avenue|Lane|Drive|Park|Close|Court|Way|Place|Square|Terrace|Crescent|Grove|Green|Estate|Downs|Heights|Manor|View|Walk|Row|Rise|Hill|Gardens|Mews|Wood|Woods|Vale|Meadows|Lawn|Lawns|Quay|Pier|Strand|Boulevard|Bypass|Parkway|Nook|Village|Gate"
-
-
 def known_name(x: Column) -> Column:
     parts = F.split(F.lower(x), r"\s+")
     return parts[0].isin(*FIRST_NAMES) & F.regexp_replace(parts[1], "['’]", "").isin(*SURNAMES)
@@ -96,7 +113,8 @@ def spans_of(text: Column, category: str, tier: int, pattern: str, group: int) -
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     out = F.aggregate(rows, first, walk, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), F.filter(out, lambda s: valid(category, s["surface"]))).otherwise(F.array().cast(SPAN))
+    some = text.rlike(NEEDED[pattern]) & text.rlike(pattern) if pattern in NEEDED else text.rlike(pattern)
+    return F.when(some, F.filter(out, lambda s: valid(category, s["surface"]))).otherwise(F.array().cast(SPAN))
 
 
 def detect(fields: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
@@ -125,20 +143,30 @@ def spans(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", (-F.col("s.back")).alias("length"), "s.category", "s.tier", "s.surface")
 
 
-def apply_spans(found: DataFrame, token: Column | None = None) -> DataFrame:
-    """doc_id, text with resolved spans replaced, from the right so that offsets hold."""
+def surface_key(surface: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(surface), r"\s+", " "))
+
+
+def apply_spans(found: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """doc_id, text with resolved spans replaced, from the right so that offsets hold: by a mask, or by the tokens that
+    token_map gives for the same spans."""
+    rows = found.withColumn("_tokens", F.lit(None).cast("map<string,string>"))
+    if tokens is not None:
+        entry = F.struct(F.concat_ws(" ", "category", "key"), "token")
+        rows = found.join(tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_tokens")), "doc_id", "left")
 
     def put(text: Column, s: Column) -> Column:
-        return F.concat(F.left(text, s["start"]), F.lit(MASK), F.substr(text, s["start"] - s["back"] + 1))
+        token = F.element_at("_tokens", F.concat_ws(" ", s["category"], surface_key(s["surface"])))
+        return F.concat(F.left(text, s["start"]), F.coalesce(token, F.lit(MASK)), F.substr(text, s["start"] - s["back"] + 1))
 
-    return found.select("doc_id", F.aggregate(F.reverse("spans"), F.col("text"), put).alias("text"), "spans")
+    return rows.select("doc_id", F.aggregate(F.reverse("spans"), F.col("text"), put).alias("text"), "spans")
 
 
 def token_map(found: DataFrame) -> DataFrame:
     """(doc_id, category, surface, token): tokens numbered by label within a document in order of allocation."""
     from pyspark.sql.window import Window
 
-    key = F.lower(F.regexp_replace(F.trim("surface"), r"\s+", " "))
+    key = surface_key(F.col("surface"))
     labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
     rows = spans(found).withColumn("key", key).groupBy("doc_id", "category", "key").agg(F.max("start").alias("last"), F.max_by("surface", "start").alias("surface"))
     number = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy(F.desc("last"), "key"))

@@ -153,3 +153,19 @@ def test_rank_scores():
     for cells in (0, summary.CELLS):
         assert np.allclose(summary.rank_scores(sets, cells), score, atol=1e-9)
     assert summary.rank_scores([[]], 0).round(6).tolist() == [0.15] and len(summary.rank_scores([], 0)) == 0
+
+
+def test_addresses(spark):
+    address = lambda text: {x for c, x in spans(spark, text) if c == "address"}
+    planted = "69 Belgard Downs\nRochestown Road Douglas Cork"
+    assert address(planted) == {planted}
+    assert address("lives at 12 Oak Park now") == {"12 Oak Park"} and address("a long road to Cork") == set()
+    assert address("go to\nFlat over the shop, main street\nT12 AB34") == {"Flat over the shop, main street"}
+    assert address("Mary Murphy\n4 the cross\nold mill lane\nT12 AB34") == {"Mary Murphy\n4 the cross\nold mill lane"}
+    assert address("old mill lane\nZ99 AB34") == set()
+    assert {x.strip() for x in address("John Smith\n5 Elm Tree\n")} == {"John Smith\n5 Elm Tree"}
+    found = redact.resolve(redact.detect(spark.createDataFrame([(1, f"at {planted}. Mail a@b.ie")], "doc_id long, text string")))
+    assert redact.apply_spans(found).first().text == "at XXXXXXXXX. Mail XXXXXXXXX"
+    assert redact.apply_spans(found, redact.token_map(found)).first().text == "at [ADDRESS-1]. Mail [EMAIL-1]"
+    done = redact.everywhere(redact.apply_spans(found))
+    assert redact.leaks(done).first().leaks == 0 and redact.leaks(found).first().leaks == 2
