@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,11 +16,32 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Remove a job's shuffle files when its result is written.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even if lambdas in the body use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -53,14 +75,18 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
 class Workspace:
     """Tables in the folder that driver and executors share (spark.checkpoint.dir).
 
-    A table written here cuts lineage: losing an executor afterwards costs nothing that was written. Only where
-    the session names no folder, as in tests on one machine, a temporary one is made.
+    A table written here cuts lineage: losing an executor afterwards costs nothing that was written, and the shuffle
+    files behind it are freed at once. Only on one machine, as in tests, may the session name no folder; a
+    temporary one is made then. On a cluster that raises an error, as executors wouldn't see each other's files.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
             base = tempfile.mkdtemp(prefix="inkwell-")
             atexit.register(shutil.rmtree, base, True)
             spark.conf.set("spark.checkpoint.dir", base)
@@ -71,7 +97,12 @@ class Workspace:
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count:03d}"
         self.count += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -2,8 +2,9 @@
 
 Lines are trimmed and compared by words. A line goes if an equal line occurs earlier (by document id, then position),
 or if a line within one word's edit (one word put in, left out or replaced) first occurs earlier than its own first
-occurrence. Every line with a word takes part. Lines of one or two words go as equal lines only: an edit leaves no more
-than half of their words, so any one-word line would be a near copy of any other (`NEAR_WORDS`; figures in the README).
+occurrence. Every line with a word takes part (`min_words`). By default lines of one or two words go as equal lines only: an
+edit leaves no more than half of their words, so any one-word line would be a near copy of any other (`near_words`, which
+may be 1; figures in the README).
 
 Variants: leaving out one word of each of two lines at the same place gives equal rests if the lines differ there by a
 replacement, and a line without one word equals the shorter line if a word was put in. So each line emits the hash of
@@ -12,9 +13,12 @@ never by pairs, and what is found is verified on the words. Only lines that shar
 one edit (the edit spares either the first or the last half), so only those emit variants, and only of the other half.
 
 Lines are told apart by two 64-bit hashes; variants by one with place and size, as what they find is verified: a clash
-there could hide a near copy but never drop a line. A document's rows are rebuilt from its text by leaving out positions, which keeps the rest
-as it is. Nulls and extremes: a null text has no lines and stays null; blank lines stay; lines of any length are compared
-whole; repeated rows are rebuilt alike; null ids come first; an empty table gives an empty result; extra columns stay.
+there could hide a near copy but never drop a line. A document's rows are rebuilt from its text by leaving out
+positions, which keeps the rest as it is.
+
+Nulls and extremes: a null text has no lines and stays null; blank lines stay; lines of any length are compared whole;
+repeated rows (equal id and text) are one document to the comparison and rebuilt alike; null ids come first; an empty
+table gives an empty result. Extra columns stay, whatever their names; only `n_lines` and `n_dropped` are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, let, words
+from .common import SPACES, Workspace, let, named, unused, words
 
+#: Words a line needs to be compared at all, and to be compared inexactly.
 MIN_WORDS, NEAR_WORDS = 1, 3
 LINE = ["h1", "h2"]
 
@@ -40,12 +45,12 @@ def halves(w: Column) -> Column:
     return F.flatten(F.transform(sizes, lambda k: F.array(one(k, "first", F.slice(w, F.lit(1), k)), one(k, "last", F.slice(w, n - k + 1, k)))))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """A row for each line that takes part: its document's key and id, position, hashes and, if compared inexactly, halves."""
     exploded = docs.select("k1", "k2", "_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("pos", "line"))
     line = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
-    cut = line.select("k1", "k2", "_id", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    near = F.when(F.size("w") >= NEAR_WORDS, halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
+    cut = line.select("k1", "k2", "_id", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    near = F.when(F.size("w") >= near_words, halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
     return cut.select("k1", "k2", "_id", "pos", *hashes(F.col("w"), names=("h1", "h2")), F.size("w").alias("size"), near.alias("halves"))
 
 
@@ -110,29 +115,31 @@ def near_lines(distinct: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """The documents with later copies of lines left out, and n_lines and n_dropped."""
     ws = Workspace(docs.sparkSession, "lines")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_text": F.col(text_col), "k1": F.xxhash64(id_col, text_col), "k2": F.xxhash64(F.lit(5), id_col, text_col)})
-    slim = keyed.select("k1", "k2", "_id", "_text")
-    seen = ws.cut(occurrences(slim))
+    key1, key2, gaps = unused(docs, "k1", "k2", "drops")
+    keyed = docs.withColumns({key1: F.xxhash64(id_col, text_col), key2: F.xxhash64(F.lit(5), id_col, text_col)})
+    slim = keyed.select(named(key1).alias("k1"), named(key2).alias("k2"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    seen = ws.cut(occurrences(slim, min_words, near_words))
     place = F.struct(F.col("_id").alias("id"), "k1", "k2", "pos")
     distinct = ws.cut(seen.groupBy(*LINE).agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("halves").alias("halves")))
     near = near_lines(distinct.where(F.size("halves") > 0), slim, ws)
     marked = distinct.select(*LINE, "first", "n").join(near.withColumn("near", F.lit(True)), LINE, "left")
     dupes = marked.where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = seen.select("k1", "k2", "_id", "pos", *LINE).join(dupes, LINE).where(F.col("near") | (place != F.col("first")))
-    drops = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_drops"))
-    ls = F.split("_text", "\n", -1)
+    drops = ws.cut(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drops")))
+    ws.drop(seen, distinct, near)
+
+    text, drop = F.col(text_col), named(gaps)
+    ls = F.split(text, "\n", -1)
 
     def rest(parts: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
         return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
 
-    joined = keyed.join(drops, ["k1", "k2"], "left")
-    out = joined.withColumns({
-        text_col: F.when(F.col("_drops").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(let(ls, rest)),
-        "n_lines": F.when(F.col("_text").isNull(), 0).otherwise(F.size(ls)).cast("bigint"),
-        "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint"),
-    })
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    joined = keyed.join(drops.toDF(key1, key2, gaps), [key1, key2], "left")
+    rebuilt = F.when(drop.isNull() | text.isNull(), text).otherwise(let(ls, rest))
+    n_lines, n_dropped = F.when(text.isNull(), 0).otherwise(F.size(ls)).cast("bigint"), F.coalesce(F.size(drop), F.lit(0)).cast("bigint")
+    kept = [rebuilt.alias(c) if c == text_col else named(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return joined.select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, Workspace, let, words
+from .common import SPACE_CLASS, Workspace, let, named, unused, words
 
 #: Frequent function words of the corpus languages (fixed values).
 FUNCTION_WORDS = "the of and to in is that for with as on are was be le la de des et les du un une en que qui dans der die das und ist nicht von zu den mit ein eine el los las y por con para una".split()
@@ -104,40 +104,62 @@ class Model:
 
     def posterior(self) -> Column:
         """Probability of a good document, given its votes; an abstention doesn't move it."""
-        odds = F.lit(math.log(self.share / (1 - self.share)))
-        for i, (a, b) in enumerate(zip(self.on_good, self.on_bad, strict=True)):
-            vote = F.get("votes", F.lit(i))
-            odds = odds + F.when(vote == 1, math.log(a / (1 - b))).when(vote == -1, math.log((1 - a) / b)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+        weights = [(math.log(a / (1 - b)), math.log((1 - a) / b)) for a, b in zip(self.on_good, self.on_bad, strict=True)]
+        return posterior(F.col("votes"), F.lit(math.log(self.share / (1 - self.share))), *(F.array(*map(F.lit, side)) for side in zip(*weights, strict=True)))
 
 
-def fit(voted: DataFrame, ws: Workspace, n_rules: int, rounds: int = 15, tolerance: float = 1e-3) -> Model:
-    """Expectation-maximisation over the counts of vote patterns; each round is one aggregation of that small table.
+def posterior(votes: Column, prior: Column, plus: Column, minus: Column) -> Column:
+    """Log odds of a good document: the prior's, and for each vote for or against it that rule's weight."""
+    moved = F.zip_with(votes, F.arrays_zip(plus.alias("p"), minus.alias("m")), lambda v, w: F.when(v == 1, w["p"]).when(v == -1, w["m"]).otherwise(F.lit(0.0)))
+    return 1 / (1 + F.exp(-F.aggregate(moved, prior, lambda total, x: total + x)))
+
+
+#: Where the estimation starts, and the weight in votes (of PRIOR documents) that keeps rare votes from extremes.
+START = Model(0.85, (0.97,), (0.4,))
+PRIOR = 10.0
+ROUNDS = 15
+
+
+def fit(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Model:
+    """Expectation-maximisation over the counts of vote patterns.
 
     Rules look at different faults, so a bad document passes most of them: accuracies are estimated by class, and kept
-    on the side where a vote against makes a bad document likelier.
+    on the side where a vote against makes a bad document likelier. The counts (at most 3 ** n_rules) meet in one row;
+    all rounds are one expression over it, with the parameters as its state.
     """
-    patterns = ws.cut(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1))
-    model = Model(0.85, (0.97,) * n_rules, (0.4,) * n_rules)
-    for _ in range(rounds):
-        p = model.posterior()
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
-        for i in range(n_rules):
-            v, n = F.get("votes", F.lit(i)), F.col("n")
-            parts = {"g": (v == 1, p), "gv": (v != 0, p), "b": (v == -1, 1 - p), "bv": (v != 0, 1 - p)}
-            sums += [F.sum(F.when(when, n * weight).otherwise(0.0)).alias(f"{k}{i}") for k, (when, weight) in parts.items()]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            break
-        on_good = tuple(min(0.995, max(0.6, (row[f"g{i}"] + 9.7) / (row[f"gv{i}"] + 10))) for i in range(n_rules))
-        on_bad = tuple(min(0.98, max(1.5 * (1 - a), 0.02, (row[f"b{i}"] + 4) / (row[f"bv{i}"] + 10))) for i, a in enumerate(on_good))
-        new = Model(min(0.98, max(0.02, (row["good"] + 8.5) / (row["all"] + 10))), on_good, on_bad)
-        change = max(abs(a - b) for a, b in zip((new.share, *on_good, *on_bad), (model.share, *model.on_good, *model.on_bad), strict=True))
-        model = new
-        if change < tolerance:
-            break
-    ws.drop(patterns)
-    return model
+    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("ps"))
+    total = lambda parts, of: F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + of(x))
+    clamp = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    log_odds = lambda a, b: F.zip_with(a, b, lambda x, y: F.ln(x / y))
+    less = lambda a: F.transform(a, lambda x: 1 - x)
+
+    def expected(m: Column) -> Column:
+        """Of each pattern the votes, and how many good and bad documents it stands for."""
+        weights = F.struct(log_odds(m["on_good"], less(m["on_bad"])).alias("plus"), log_odds(less(m["on_good"]), m["on_bad"]).alias("minus"))
+
+        def split(w: Column) -> Column:
+            good = lambda x: posterior(x["votes"], F.ln(m["share"] / (1 - m["share"])), w["plus"], w["minus"])
+            return F.transform("ps", lambda x: let(good(x), lambda p: F.struct(x["votes"].alias("votes"), (x["n"] * p).alias("good"), (x["n"] * (1 - p)).alias("bad"))))
+
+        return let(weights, split)
+
+    def maximised(parts: Column) -> Column:
+        rules = F.sequence(F.lit(0), F.lit(n_rules - 1))
+
+        def right(i: Column, kind: str, vote: int, start: float) -> Column:
+            of = lambda on: total(parts, lambda x: F.when(on(F.get(x["votes"], i)), x[kind]).otherwise(F.lit(0.0)))
+            return (of(lambda v: v == vote) + PRIOR * start) / (of(lambda v: v != 0) + PRIOR)
+
+        good = F.transform(rules, lambda i: clamp(right(i, "good", 1, START.on_good[0]), 0.6, 0.995))
+        bad = lambda g: F.transform(rules, lambda i: clamp(F.greatest(1.5 * (1 - F.get(g, i)), right(i, "bad", -1, START.on_bad[0])), 0.02, 0.98))
+        n_good, n_bad = (total(parts, lambda x, k=k: x[k]) for k in ("good", "bad"))
+        share = clamp((n_good + PRIOR * START.share) / (n_good + n_bad + PRIOR), 0.02, 0.98)
+        return let(good, lambda g: F.struct(share.alias("share"), g.alias("on_good"), bad(g).alias("on_bad")))
+
+    first = F.struct(F.lit(START.share).alias("share"), F.array_repeat(F.lit(START.on_good[0]), n_rules).alias("on_good"), F.array_repeat(F.lit(START.on_bad[0]), n_rules).alias("on_bad"))
+    model = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda m, _: let(expected(m), maximised))
+    row = patterns.select(model.alias("m")).first()["m"]
+    return Model(row["share"], tuple(row["on_good"]), tuple(row["on_bad"]))
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -147,14 +169,14 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
     """
     ws = Workspace(docs.sparkSession, "quality")
     voted = ws.cut(votes(measures(docs, id_col, text_col, carry), rules))
-    model = fit(voted, ws, len(rules))
+    model = fit(voted, len(rules))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return voted.select("*", model.posterior().alias("quality"), failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns. Rows are told apart by two hashes of id and text."""
-    key = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(F.lit(3), id_col, text_col)}
-    keyed = docs.withColumns(key)
+    """The rows of docs that are kept, with all their columns. Rows are told apart by two hashes of id and text."""
+    key = unused(docs, "k1", "k2")
+    keyed = docs.withColumns({key[0]: F.xxhash64(id_col, text_col), key[1]: F.xxhash64(F.lit(3), id_col, text_col)})
     good = score(keyed, rules, threshold, id_col, text_col, tuple(key)).where("kept").select(*key)
-    return keyed.join(good, list(key), "left_semi").select(*docs.columns)
+    return keyed.join(good, key, "left_semi").select(*map(named, docs.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, lines, mixing, nearjoin, nearvec, pieces, pii, ppm, quality, warc
 from .common import Workspace, table
+from .sql import SQL  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,32 +79,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op5_lm_score, op6_pii, op7_mix_sources, op8_line_dedup, op9_warc, op10_embedding_near_dedup)
 }
-
-SQL = {
-    "op10_embedding_near_dedup": """
-        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-             links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
-             reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
-             c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
-             n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
-        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
-    "op7_mix_sources": """
-        WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-             shares AS (SELECT source, n, pow(n, 0.7) AS w FROM sizes),
-             rates AS (SELECT source, w / (SELECT sum(w) FROM shares) * (SELECT sum(n) FROM sizes) / n AS rate FROM shares),
-             steps(source, rate, k, logp, total) AS (
-                 SELECT source, rate, 0, -rate, exp(-rate) FROM rates
-                 UNION ALL
-                 SELECT source, rate, k + 1, logp + ln(rate) - ln(k + 1), total + exp(logp + ln(rate) - ln(k + 1)) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
-             u AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS x FROM documents),
-             counted AS (SELECT doc_id, u.source, text, count(s.k) AS copies FROM u JOIN steps s ON s.source IS NOT DISTINCT FROM u.source AND s.total <= u.x GROUP BY doc_id, u.source, text)
-        SELECT doc_id, source, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies, text FROM counted""",
-    "op9_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-             d AS (SELECT page_id, sha1(body) AS payload_digest, strlen(body) AS payload_bytes FROM p),
-             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
-        FROM m""",
-}

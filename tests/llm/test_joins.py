@@ -131,10 +131,15 @@ def test_lines(spark):
             if len(w) >= lines.MIN_WORDS:
                 first.setdefault(w, (i, p))
     near = {a for a in first if len(a) >= lines.NEAR_WORDS and any(len(b) >= lines.NEAR_WORDS and b != a and first[b] < first[a] and one_edit(a, b) for b in first)}
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, h1 string").repartition(3)
-    got = {r.doc_id: r for r in lines.dedup_lines(df.drop("h1")).collect()}
+    names = ["k1", "_k1", "K2", "h1", "_id", "_text", "_drops", "pos", "first", "n_lines"]
+    df = spark.createDataFrame([(i, t, *(f"{n} {i}" for n in names)) for i, t in docs.items()], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    out = lines.dedup_lines(df)
+    assert out.columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r[n] == f"{n} {i}" for i, r in got.items() for n in names if n != "n_lines")
     for i, t in docs.items():
         out = []
+        assert got[i].n_lines == (0 if t is None else t.count("\n") + 1)
         for p, x in enumerate((t or "").split("\n")):
             w = tuple(re.findall(WORD, x))
             if not (len(w) >= lines.MIN_WORDS and (w in near or first[w] != (i, p))):
@@ -150,6 +155,17 @@ def test_short_lines(spark):
     assert got == {0: (docs[0], 0), 1: ("Menu two\n", 4), 2: ("Contact\nHome page", 3)}
 
 
+def test_lines_parameters_and_odd_rows(spark):
+    texts = [(None, "one two three four"), (3, "one two three four\nx y"), (3, "one two three four\nx y"), (5, "x z\n\nlast one here"), (6, None), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_dropped) for r in lines.dedup_lines(df).collect()), key=repr)
+    want = [(None, "one two three four", 0), (3, "x y", 1), (3, "x y", 1), (5, "x z\n\nlast one here", 0), (6, None, 0), (None, None, 0)]
+    assert got == sorted(want, key=repr)
+    short = {r.doc_id: r.text for r in lines.dedup_lines(df.where("doc_id IN (3, 5)").distinct(), near_words=2).collect()}
+    assert short == {3: "one two three four\nx y", 5: "\nlast one here"}
+    assert {r.n_dropped for r in lines.dedup_lines(df, min_words=5).collect()} == {0}
+
+
 def test_mixing(spark):
     rows = [(i, "big" if i % 3 else None if i % 2 else "small", f"t{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -1,9 +1,11 @@
 """Quality rules, chat formatting and personal data against brute force, with odd inputs."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkwell.llm import chat, pii, quality
@@ -47,6 +49,59 @@ def test_quality(spark):
     assert quality.score(docs.union(docs)).count() == 2 * len(rows)
 
 
+def estimated(patterns, rounds):
+    """Expectation-maximisation by plain loops: share, and each rule's accuracy on good and on bad documents."""
+    rules = len(next(iter(patterns)))
+    share, good, bad = 0.85, [0.97] * rules, [0.4] * rules
+    for _ in range(rounds):
+        p = {v: posterior(v, share, good, bad) for v in patterns}
+        sums = lambda on, weight: sum(n * weight(p[v]) for v, n in patterns.items() if on(v))
+        new_good = [min(0.995, max(0.6, (sums(lambda v: v[i] == 1, lambda x: x) + 9.7) / (sums(lambda v: v[i] != 0, lambda x: x) + 10))) for i in range(rules)]
+        new_bad = [min(0.98, max(0.02, 1.5 * (1 - new_good[i]), (sums(lambda v: v[i] == -1, lambda x: 1 - x) + 4) / (sums(lambda v: v[i] != 0, lambda x: 1 - x) + 10))) for i in range(rules)]
+        share = min(0.98, max(0.02, (sums(lambda v: True, lambda x: x) + 8.5) / (sum(patterns.values()) + 10)))
+        good, bad = new_good, new_bad
+    return share, good, bad
+
+
+def posterior(votes, share, good, bad):
+    odds = math.log(share / (1 - share))
+    for v, a, b in zip(votes, good, bad):
+        odds += math.log(a / (1 - b)) if v == 1 else math.log((1 - a) / b) if v == -1 else 0.0
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_estimation(spark):
+    """The model, posteriors and verdicts against plain loops; the estimates leave their start and tell rules apart."""
+    rng = random.Random(4)
+    patterns, rows = Counter(), []
+    for i in range(4000):
+        bad = rng.random() < 0.3
+        votes = [0 if rng.random() < 0.1 else -1 if rng.random() < (p if bad else q) else 1 for p, q in ((0.9, 0.01), (0.5, 0.05), (0.05, 0.04), (0.8, 0.1))]
+        patterns[tuple(votes)] += 1
+        rows.append((i, votes, bad))
+    voted = spark.createDataFrame(rows, "doc_id long, votes array<tinyint>, bad boolean").repartition(3)
+    share, good, bad = estimated(patterns, quality.ROUNDS)
+    model = quality.fit(voted, 4)
+    assert np.allclose([model.share, *model.on_good, *model.on_bad], [share, *good, *bad], rtol=1e-9)
+    assert 0.6 < share < 0.8 and bad[0] > 0.75 and bad[0] - bad[2] > 0.5 and good[0] > good[3]
+    got = {r.doc_id: r.q for r in voted.select("doc_id", model.posterior().alias("q")).collect()}
+    assert all(math.isclose(got[i], posterior(v, share, good, bad), rel_tol=1e-9) for i, v, _ in rows)
+    assert sum((got[i] < 0.5) == b for i, _, b in rows) > 0.93 * len(rows)
+    nothing = quality.fit(voted.limit(0), 4)
+    assert np.allclose([nothing.share, *nothing.on_good, *nothing.on_bad], [0.85] + [0.97] * 4 + [0.4] * 4)
+
+
+def test_quality_keeps_odd_rows(spark):
+    fine = "The river is wide and the water of the river was clear. It is the end of that road for us, and that was good as it was. "
+    other = "The house on the hill was old and its doors were shut. A man with a hat walked to it, and that is all that the story says of him."
+    rows = [(None, fine, "a", 1), (1, other, "b", 2), (1, other, "b", 2), (2, None, "c", 3), (3, "", "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k1 string, `_K2` int")
+    scored = quality.score(docs).collect()
+    assert len(scored) == 5 and {r.doc_id for r in scored if r.base_failed} == {2, 3}
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[:3], key=repr)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["\\", "<", "|", "<|im_end|>", "<|im_start|>", "[INST]", "[/INST]", "</s>", "<s>", "a", "\n", "[", "<<SYS>>", "é", "𝄞", ""]
