@@ -51,7 +51,7 @@ def collapse(x: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     mb, kb = n / 1048576.0, n / 1024.0
-    return F.when(n >= 1048576, F.concat(F.format_number(mb, "0.0"), F.lit(" MB"))).when(n >= 1024, F.concat(F.round(kb).cast("bigint").cast("string"), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    return F.when(n >= 1048576, F.concat(F.format_number(mb, 1), F.lit(" MB"))).when(n >= 1024, F.concat(F.round(kb).cast("bigint").cast("string"), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def clip(x: Column, width: int) -> Column:

@@ -74,6 +74,18 @@ def parse(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", block.alias("b")).select("doc_id", "pos", "b.*")
 
 
+def paragraph_blocks(text: Column) -> Column:
+    """Blocks of extracted text (a PDF's, or one recognised elsewhere): paragraphs between blank lines; a paragraph of under
+    100 bytes without an end mark is a heading of level 2."""
+    parts = F.filter(F.transform(F.split(trim(F.coalesce(text, F.lit(""))), r"\n\s*\n"), trim), lambda x: x != "")
+
+    def block(x: Column, i: Column) -> Column:
+        head = (F.octet_length(x) < 100) & ~x.rlike(r"[.!?]$")
+        return F.struct(i.alias("pos"), F.when(head, "heading").otherwise("paragraph").alias("type"), x.alias("text"), F.when(head, 2).alias("level"))
+
+    return F.transform(parts, block)
+
+
 # -- line rules of the normaliser ---------------------------------------------------------------------------------
 
 
@@ -139,10 +151,12 @@ def is_math_dense(text: Column) -> Column:
 
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, pos, kind of each line, first match wins: blank, leader, caption, section, numbered, bullet or text."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    rows = lines_of(docs).withColumn("next", F.first(F.when(F.col("line") != "", F.col("line")), ignorenulls=True).over(after))
-    rows = rows.join(decimal_skeleton(docs), "doc_id")
+    after = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    section = F.col("line").rlike(SECTION) & (F.length("line") < 150)
+    rows = lines_of(docs).withColumns({
+        "next": F.last(F.when(F.col("line") != "", F.col("line")), ignorenulls=True).over(after),
+        "skeleton": F.sum(section.cast("int")).over(Window.partitionBy("doc_id")) >= 2,
+    })
     line, following = F.col("line"), F.coalesce(F.col("next"), F.lit(""))
     words = word_count(line)
     title = words.between(1, 12) & (F.length(line) <= 90) & ~line.rlike(r":\s+\S+\s+\S+") & ~following.rlike(r"^\p{Ll}")
@@ -195,3 +209,18 @@ def titles(docs: DataFrame, blocks: DataFrame, stem: Column) -> DataFrame:
     """doc_id, title: the first heading of over three bytes, else the stem; at most 255 characters."""
     first = blocks.where((F.col("type") == "heading") & (F.octet_length("text") > 3)).groupBy("doc_id").agg(F.min_by("text", "pos").alias("h"))
     return docs.select("doc_id", stem.alias("stem")).join(first, "doc_id", "left").select("doc_id", F.left(F.coalesce("h", "stem"), F.lit(255)).alias("title"))
+
+
+def short_title(found: Column, stem: Column) -> Column:
+    """The first heading of a document's blocks that is no bare number and at most 200 characters, else the stem."""
+    heads = F.filter(found, lambda x: (x["type"] == "heading") & (trim(x["text"]) != "") & (F.length(x["text"]) <= 200) & ~x["text"].rlike(r"^\d+\.\s*$"))
+    return F.coalesce(F.get(F.transform(heads, lambda x: trim(x["text"])), F.lit(0)), stem)
+
+
+def pages_shown(kind: Column, pages: Column) -> Column:
+    """How a report states its pages."""
+    return F.when(kind == "PDF", pages.cast("string")).when(kind.isin("CSV", "TSV", "XLSX", "JSON"), "n/a (dataset)").otherwise("n/a (flowed format)")
+
+
+def page_list(pages: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(pages, F.lit(1))))

@@ -31,6 +31,44 @@ def windows(docs: DataFrame, id_col: str, size: int = 120) -> DataFrame:
     return docs.select(id_col, w.alias("w")).select(id_col, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i * size + 1, F.lit(size)), " "))).alias("passage", "text"))
 
 
+#: Kinds of documents whose references can be compared, and passages of a document at most (fixed values).
+KINDS, PASSAGES = ("PDF", "DOCX", "MD", "TXT"), 80
+
+
+def document_text(text: Column, blocks: Column) -> Column:
+    """The whole text, else the texts of the blocks."""
+    return F.coalesce(F.nullif(text, F.lit("")), F.array_join(F.filter(F.transform(blocks, lambda x: x["text"]), lambda x: x != ""), " "))
+
+
+def passages(prepared: DataFrame, id_col: str = "doc_id", size: int = 120, cap: int = PASSAGES) -> DataFrame:
+    """id, passage, label, title, text of prepared documents (text, blocks): what precedes the first heading and each section
+    with a text; windows of `size` words where that gives fewer than two."""
+    found = F.col("blocks")
+    heads = F.filter(F.transform(found, lambda x, i: F.when(x["type"] == "heading", i)), lambda i: i.isNotNull())
+    joined = lambda a: F.trim(F.array_join(F.filter(F.transform(a, lambda x: x["text"]), lambda x: x != ""), " "))
+    piece = lambda label, title, text: F.struct(label.alias("label"), title.alias("title"), text.alias("text"))
+
+    def section(p: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("heads", i + 1), F.size(found))
+        title = F.get(found, p)["text"]
+        return piece(F.coalesce(F.nullif(title, F.lit("")), F.lit("Section")), title, joined(F.slice(found, p + 2, end - p - 1)))
+
+    first = piece(F.lit("Preamble"), F.lit(""), joined(F.slice(found, 1, F.coalesce(F.get("heads", F.lit(0)), F.size(found)))))
+    by_section = prepared.select(id_col, document_text(F.col("text"), found).alias("whole"), "blocks", heads.alias("heads"))
+    by_section = by_section.withColumn("sections", F.filter(F.concat(F.array(first), F.transform("heads", section)), lambda x: x["text"] != ""))
+    w = F.filter(F.split("whole", r"\s+"), lambda t: t != "")
+    parts = by_section.withColumn("w", w).withColumn("n", F.ceil(F.size("w") / size).cast("int"))
+    window = lambda i: piece(F.concat(F.lit("Passage "), (i + 1).cast("string"), F.lit(" of "), F.col("n").cast("string")), F.lit(""), F.array_join(F.slice("w", i * size + 1, F.lit(size)), " "))
+    windowed = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), window))
+    chosen = F.when(F.size("sections") > 1, F.col("sections")).otherwise(F.coalesce(windowed, F.col("sections")))
+    return parts.select(id_col, F.posexplode(F.slice(chosen, 1, cap)).alias("passage", "p")).select(id_col, "passage", "p.*")
+
+
+def suited(docs: DataFrame, kind: Column) -> DataFrame:
+    """Documents that can be compared; tables can't."""
+    return docs.where(kind.isin(*KINDS))
+
+
 def bm25(passages: DataFrame, refs: DataFrame) -> DataFrame:
     """(passage_id, ref_id, term, contribution) for terms that both hold: an equi-join on the term.
 
@@ -54,7 +92,10 @@ def scores(parts: DataFrame) -> DataFrame:
 
 
 def affinities(scored: DataFrame) -> DataFrame:
-    """Scores as shares of the greatest one, to two places; the maximum is a one-row table."""
+    """Scores as shares of the greatest one, to two places; the maximum is a one-row table.
+
+    Pairs without a shared term have no row; their affinity is zero, and no match or report ever shows one.
+    """
     top = scored.agg(F.max("score").alias("top"))
     return scored.crossJoin(F.broadcast(top)).select("passage_id", "ref_id", "score", F.round(F.col("score") / F.col("top"), 2).alias("affinity"))
 
@@ -79,6 +120,11 @@ def suitability(matched: DataFrame) -> DataFrame:
     return ranked.groupBy("ref_id").agg(F.round(100 * F.avg(F.when(F.col("k") <= 5, F.col("affinity")))).cast("int").alias("suitability"), F.count("*").alias("coverage"))
 
 
+def ranked(suited_refs: DataFrame) -> DataFrame:
+    """References by suitability, the best first; ties by coverage, then id."""
+    return suited_refs.orderBy(F.desc("suitability"), F.desc("coverage"), "ref_id")
+
+
 def top_passages(matched: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("ref_id").orderBy(F.desc("affinity"), "passage_id")
     return matched.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("ref_id", "k", "passage_id", "affinity")
@@ -88,6 +134,13 @@ def tier(affinity: Column) -> Column:
     return F.when(affinity >= 0.85, "great").when(affinity >= 0.75, "okay").when(affinity > 0.65, "poor").otherwise("none")
 
 
-def set_fingerprint(groups: DataFrame, by: str, text: Column) -> DataFrame:
-    """One digest of a group's texts, whatever their order."""
-    return groups.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(text, 256))), "|"), 256).alias("fingerprint"))
+def set_fingerprint(groups: DataFrame, by: str, text: Column, parts: int = 256) -> DataFrame:
+    """One digest of a group's texts, whatever their order.
+
+    Digests of texts are dealt by their first byte into parts; each part's sorted digests are hashed, then the parts'
+    digests in order. A group of any size so spreads over tasks, and `parts` short rows meet in its last one.
+    """
+    digest = groups.select(by, F.sha2(text, 256).alias("d")).withColumn("part", F.pmod(F.conv(F.left("d", F.lit(2)), 16, 10).cast("int"), F.lit(parts)))
+    hashed = digest.groupBy(by, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "|"), 256).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "|")
+    return hashed.groupBy(by).agg(F.sha2(whole, 256).alias("fingerprint"))

@@ -47,8 +47,9 @@ def select_ids(reports: DataFrame, ids: list[int]) -> DataFrame:
 
 def merge_keyphrases(phrases: DataFrame, k: int = 30) -> DataFrame:
     """phrase, score: sums over reports, case and accents aside, the greatest first."""
-    key = F.lower("phrase")
-    return phrases.groupBy(key.alias("phrase")).agg(F.round(F.sum("score"), 4).alias("score")).orderBy(F.desc("score"), "phrase").limit(k)
+    key = F.collate(F.lower("phrase"), "UNICODE_CI_AI")
+    sums = phrases.select(key.alias("key"), F.lower("phrase").alias("phrase"), "score").groupBy("key").agg(F.min("phrase").alias("phrase"), F.round(F.sum("score"), 4).alias("score"))
+    return sums.select("phrase", "score").orderBy(F.desc("score"), "phrase").limit(k)
 
 
 def merge_references(refs: DataFrame, order: Column) -> DataFrame:
@@ -70,3 +71,8 @@ def sections(markdown: DataFrame) -> DataFrame:
 def renumber(title: Column, report: Column) -> Column:
     """`3. Topic` in report 2 becomes `2.3 Topic`."""
     return F.when(title.rlike(r"^\d+\.\s+"), F.concat(report.cast("string"), F.lit("."), F.regexp_replace(title, r"^(\d+)\.\s+", "$1 "))).otherwise(title)
+
+
+def by_job(reports: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The reports of jobs (job_id)."""
+    return reports.join(jobs.select("job_id").distinct(), "job_id", "left_semi")

@@ -24,6 +24,9 @@ POSTCODE = r"(?i)^[AC-FHKNPRTV-Y][0-9]{2}\s?[0-9AC-FHKNPRTV-Y]{4}$"
 PHONE = r"^\+?[0-9][0-9 ().-]{6,}$"
 NAME_HINT = r"(?i)\b(name|first_?name|last_?name|surname|email|e-?mail|phone|mobile|tel|address|eircode|postcode|zip|ppsn|dob|birth|passport|iban)\b"
 STRONG = 0.5
+QUARTILES = (0.25, 0.5, 0.75)
+#: Accuracy of the sketch that brackets quartiles: a rank is off by one part in so many.
+SKETCH = 10_000
 
 
 def as_text(df: DataFrame, order: str) -> DataFrame:
@@ -89,20 +92,41 @@ def number(c: Column) -> Column:
     return F.when(~is_missing(c) & is_numeric(bare), bare.try_cast("double"))
 
 
+def numbers(text: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x) of all cells that hold a number."""
+    return long_form(text, columns).select("column", number(F.col("value")).alias("x")).where("x IS NOT NULL")
+
+
 def numeric_stats(text: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, min, max, mean, std, q1, median, q3: one aggregation of all columns; quartiles interpolate by rank."""
-    aggs = []
-    for i, c in enumerate(columns):
-        x = number(F.col(c))
-        aggs += [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).alias(f"s{i}")]
-    row = text.agg(*aggs)
-    out = row.select(F.explode(F.array(*(F.col(f"s{i}") for i in range(len(columns))))).alias("s")).select("s.*").where("n > 0")
-    return out.select("column", "n", "min", "max", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """column, n, min, max, mean, std, q1, median, q3; quartiles interpolate by rank and are exact.
+
+    A sketch of bounded size brackets each quartile; values are counted by value, and only those within a bracket are
+    ranked, so no task sorts a column. The neighbours of a bracket are kept, as a rank may fall just beside it.
+    """
+    x = numbers(text, columns)
+    ends = [p + side * 2 / SKETCH for p in QUARTILES for side in (-1, 1)]
+    basic = x.groupBy("column").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.percentile_approx("x", ends, SKETCH).alias("ends"))
+    share = F.get(F.array(*map(F.lit, QUARTILES)), F.col("q"))
+    brackets = basic.select("column", "n", "ends", F.explode(F.sequence(F.lit(0), F.lit(len(QUARTILES) - 1))).alias("q")).select("column", "q", (share * (F.col("n") - 1)).alias("at"), F.get("ends", 2 * F.col("q")).alias("lo"), F.get("ends", 2 * F.col("q") + 1).alias("hi"))
+    by_value = x.groupBy("column", "x").agg(F.count("*").alias("c"))
+    placed = by_value.join(F.broadcast(brackets), "column")
+    below, above = F.col("x") < F.col("lo"), F.col("x") > F.col("hi")
+    sides = placed.groupBy("column", "q").agg(F.sum(F.when(below, F.col("c")).otherwise(0)).alias("under"), F.max(F.when(below, F.col("x"))).alias("before"), F.min(F.when(above, F.col("x"))).alias("after"))
+    ranked = placed.where(~below & ~above).withColumn("upto", F.sum("c").over(Window.partitionBy("column", "q").orderBy("x"))).join(F.broadcast(sides), ["column", "q"])
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda rank: (F.col("under") + F.col("upto") - F.col("c") <= rank) & (rank < F.col("under") + F.col("upto"))
+    one = lambda name: F.first(name).alias(name)
+    found = ranked.groupBy("column", "q").agg(F.max(F.when(holds(low), F.col("x"))).alias("a"), F.max(F.when(holds(high), F.col("x"))).alias("b"), F.max("upto").alias("inside"), *map(one, ("at", "under", "before", "after")))
+    value = lambda rank, inside: F.when(rank < F.col("under"), F.col("before")).when(rank >= F.col("under") + F.col("inside"), F.col("after")).otherwise(inside)
+    left, right = value(F.floor("at"), F.col("a")), value(F.ceil("at"), F.col("b"))
+    quartile = left + (right - left) * (F.col("at") - F.floor("at"))
+    per_column = found.select("column", "q", quartile.alias("v")).groupBy("column").agg(*(F.max(F.when(F.col("q") == i, F.col("v"))).alias(name) for i, name in enumerate(("q1", "median", "q3"))))
+    return basic.drop("ends").join(F.broadcast(per_column), "column")
 
 
 def outliers(text: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
     """column, outliers: values strictly beyond 1.5 interquartile ranges from the quartiles (one row a column joins)."""
-    long = long_form(text, columns).select("column", number(F.col("value")).alias("x")).where("x IS NOT NULL")
+    long = numbers(text, columns)
     fences = stats.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
     return long.join(F.broadcast(fences), "column").groupBy("column").agg(F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("outliers"))
 
@@ -138,17 +162,15 @@ def personal(text: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlations(text: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, n, r): Pearson's r of each pair of numeric columns over rows that have both, null if under three rows or
-    without variance. All pairs in one aggregation."""
-    aggs = []
-    for a, b in combinations(columns, 2):
-        x, y = number(F.col(a)), number(F.col(b))
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
-        r = F.when((F.count(x) >= 3) & (spread > 0), F.try_divide(F.covar_pop(x, y), spread))
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), r.alias("r")).alias(f"p{len(aggs)}"))
-    row = text.agg(*aggs)
-    return row.select(F.explode(F.array(*(F.col(f"p{i}") for i in range(len(aggs))))).alias("p")).select("p.*")
+    without variance. Cells become numbers once; a row gives its pairs, which are combined in each task."""
+    cells = text.select(*(number(F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for k, (i, j) in enumerate(combinations(range(len(columns)), 2))))
+    both = cells.select(F.explode(pairs).alias("p")).select("p.k", F.when(F.col("p.x").isNotNull() & F.col("p.y").isNotNull(), F.col("p.x")).alias("x"), F.when(F.col("p.x").isNotNull(), F.col("p.y")).alias("y"))
+    agg = both.groupBy("k").agg(F.count("x").alias("n"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop(F.when(F.col("x").isNotNull(), F.col("y"))).alias("vy"))
+    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(columns, 2)))
+    spread = F.sqrt(F.col("vx") * F.col("vy"))
+    r = F.when((F.col("n") >= 3) & (spread > 0), F.try_divide("c", spread))
+    return agg.select(F.get(names, F.col("k")).alias("p"), "n", r.alias("r")).select("p.a", "p.b", "n", "r")
 
 
 def strong_pairs(pairs: DataFrame) -> DataFrame:
@@ -191,14 +213,41 @@ def profile(df: DataFrame, order: str) -> DataFrame:
 
 
 def findings(profiled: DataFrame, pairs: DataFrame, dups: DataFrame) -> DataFrame:
-    """(rank, finding): what a reader should know, in order."""
-    pct = lambda x: F.concat(F.format_number(100 * x, "0.0"), F.lit("%"))
+    """(g, k, finding): what a reader should know, in order of group g and rank k within it."""
+    pct = lambda x: F.concat(F.format_number(100 * x, 1), F.lit("%"))
+    column = F.col("column")
+
+    def some(g: int, rows: DataFrame, order: list, *parts) -> DataFrame:
+        return rows.select(F.lit(g).alias("g"), F.row_number().over(Window.partitionBy(F.lit(g)).orderBy(*order)).alias("k"), F.concat(*parts).alias("finding"))
+
     rows = [
-        strong_pairs(pairs).withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "a", "b"))).where("k <= 5").select(F.lit(1).alias("g"), F.concat_ws(" ", F.col("a"), F.lit("and"), F.col("b"), F.lit("move together, r ="), F.col("r")).alias("finding")),
-        profiled.where("null_rate >= 0.05").select(F.lit(2), F.concat(F.col("column"), F.lit(" is missing in "), pct(F.col("null_rate")), F.lit(" of rows"))),
-        profiled.where("outliers > 0").select(F.lit(3), F.concat(F.col("column"), F.lit(" has "), F.col("outliers"), F.lit(" outliers"))),
-        profiled.where("cardinality_ratio >= 0.99 AND count = distinct").select(F.lit(4), F.concat(F.col("column"), F.lit(" is unique and may be an identifier"))),
-        profiled.where("constant").select(F.lit(5), F.concat(F.col("column"), F.lit(" holds one value"))),
-        dups.where("duplicate_rows > 0").select(F.lit(6), F.concat(F.col("duplicate_rows"), F.lit(" rows repeat others"))),
+        some(1, strong_pairs(pairs), [F.desc(F.abs("r")), "a", "b"], "a", F.lit(" and "), "b", F.lit(" move together, r = "), F.col("r").cast("string")).where("k <= 5"),
+        some(2, profiled.where("null_rate >= 0.05"), ["column"], column, F.lit(" is missing in "), pct(F.col("null_rate")), F.lit(" of rows")),
+        some(3, profiled.where("outliers > 0"), ["column"], column, F.lit(" has "), F.col("outliers").cast("string"), F.lit(" outliers")),
+        some(4, profiled.where("cardinality_ratio >= 0.99 AND count = distinct"), ["column"], column, F.lit(" is unique and may be an identifier")),
+        some(5, profiled.where("constant"), ["column"], column, F.lit(" holds one value")),
+        some(6, dups.where("duplicate_rows > 0"), ["rows"], F.col("duplicate_rows").cast("string"), F.lit(" rows repeat others")),
     ]
-    return reduce(DataFrame.union, rows).select("g", "finding")
+    return reduce(DataFrame.union, rows)
+
+
+def verdict(profiled: DataFrame, dups: DataFrame) -> DataFrame:
+    """One row: issues (columns of mixed types, personal data), notes, verdict, flags. A profile has a row a column."""
+    names = lambda rows: F.array_join(F.array_sort(F.filter(F.collect_list(rows), lambda x: x.isNotNull())), ", ")
+    mixed = F.concat("column", F.lit(" ("), "type", F.lit(", "), F.format_number(100 * F.col("type_agreement"), 0), F.lit("%)"))
+    typed = ~F.col("type").isin("string", "empty")
+    agg = profiled.agg(names(F.when(typed & (F.col("type_agreement") < 0.95), mixed)).alias("mixed"), names(F.when(F.col("pii"), F.concat("column", F.lit(" ("), "pii_reason", F.lit(")")))).alias("pii"), F.max("total").alias("rows"))
+    whole = agg.crossJoin(F.broadcast(dups.select("duplicate_rows")))
+    issues = F.array_compact(F.array(F.when(F.col("mixed") != "", F.concat(F.lit("Mixed-type columns: "), "mixed")), F.when(F.col("pii") != "", F.concat(F.lit("Possible personal data: "), "pii"))))
+    notes = F.array(F.concat(F.lit("Types come from the first "), F.lit(str(TYPE_SAMPLE)), F.lit(" values of a column, personal data from the first "), F.lit(str(PII_SAMPLE)), F.lit("; all else from all rows.")))
+    flags = F.array_compact(F.array(F.when(F.col("pii") != "", "pii"), F.when(F.col("duplicate_rows") > 0, "duplicates"), F.when(F.col("mixed") != "", "mixed_type")))
+    text = F.when(F.size("issues") > 0, F.concat(F.lit("Profiled with "), F.size("issues").cast("string"), F.lit(" issue(s)."))).otherwise("Profiled without issues.")
+    return whole.select(issues.alias("issues"), notes.alias("notes"), flags.alias("flags")).withColumn("verdict", text)
+
+
+def overview(profiled: DataFrame, kept: int | None = None) -> DataFrame:
+    """One row: row_count, kept, truncated, columns and a sentence; reading time and the like don't apply to a table."""
+    agg = profiled.agg(F.max("total").alias("row_count"), F.count("*").alias("columns"), F.count_if(F.col("type").isin("integer", "float")).alias("numeric"))
+    rows = F.col("row_count") if kept is None else F.least(F.col("row_count"), F.lit(kept))
+    text = F.concat(F.lit("A table of "), F.col("row_count").cast("string"), F.lit(" rows and "), F.col("columns").cast("string"), F.lit(" columns, "), F.col("numeric").cast("string"), F.lit(" of them numeric."))
+    return agg.select("row_count", rows.cast("bigint").alias("kept"), (rows < F.col("row_count")).alias("truncated"), "columns", text.alias("overview"))

@@ -1,4 +1,4 @@
-"""Verdicts and the knowledge score of a forged document."""
+"""Verdicts and the knowledge score of a document."""
 
 from __future__ import annotations
 
@@ -13,11 +13,15 @@ STEMS = "the and for are was her his she you our out not can has had but all any
 FLOOR = {"DOCX": 10.0, "PDF": 2.0, "TXT": 20.0, "MD": 20.0}
 
 
+def fragments(text: Column) -> Column:
+    """Words that extraction has split before their ending, each once, in order."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(\p{{Ll}}{{3,}} (?:{ENDINGS}))(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda x: ~F.split(x, " ")[0].isin(*STEMS)))
+
+
 def split_artefacts(docs: DataFrame) -> DataFrame:
-    """doc_id, fragment: words that extraction has split before their ending, each once."""
-    found = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}_])(\p{{Ll}}{{3,}} (?:{ENDINGS}))(?![\p{{L}}\p{{N}}_])"), F.lit(1))
-    rows = docs.select("doc_id", F.explode(found).alias("fragment"))
-    return rows.where(~F.split("fragment", " ")[0].isin(*STEMS)).distinct()
+    """doc_id, fragment: one row a split word of a document."""
+    return docs.select("doc_id", F.explode(fragments(F.col("text"))).alias("fragment"))
 
 
 def checks(facts: DataFrame) -> DataFrame:
@@ -27,12 +31,16 @@ def checks(facts: DataFrame) -> DataFrame:
     glyph_phrases, source_type.
     """
     floors = F.create_map(*(F.lit(x) for kv in FLOOR.items() for x in kv))
-    loss = ((F.col("n_sections") >= 3) & (F.col("empty_sections") >= 0.9 * F.col("n_sections"))) | ((F.col("size_bytes") > 4096) & (F.col("words") / (F.col("size_bytes") / 1024) < floors[F.col("source_type")]))
+    facts = facts.withColumns({
+        "empty_body": (F.col("n_sections") >= 3) & (F.col("empty_sections") >= 0.9 * F.col("n_sections")),
+        "thin": (F.col("size_bytes") > 4096) & (F.col("words") / (F.col("size_bytes") / 1024) < floors[F.col("source_type")]),
+        "all_headings": F.coalesce(F.try_divide("heading_chars", "text_chars") >= 0.8, F.lit(False)),
+    })
     return facts.withColumns({
         "no_content": F.col("n_blocks") == 0,
         "no_summary": F.trim("summary") == "",
         "short_document": (F.col("words") > 0) & (F.col("words") < 50),
-        "content_loss": loss | (F.try_divide("heading_chars", "text_chars") >= 0.8),
+        "content_loss": F.col("empty_body") | F.col("thin") | F.col("all_headings"),
         "contamination": (F.col("glyph_phrases") > 0) | F.col("summary").rlike(GLYPHS),
         "mojibake_found": F.col("mojibake") >= 3,
     })
@@ -41,10 +49,52 @@ def checks(facts: DataFrame) -> DataFrame:
 ISSUES = ("no_content", "no_summary", "short_document", "content_loss", "contamination", "mojibake_found")
 
 
-def verdict(checked: DataFrame) -> DataFrame:
-    """doc_id, issues, verdict_flags (in order, space-joined)."""
-    flags = F.filter(F.array(*(F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c.removesuffix("_found"))) for c in ISSUES)), lambda x: x.isNotNull())
-    return checked.select("doc_id", F.size(flags).alias("issues"), F.array_join(flags, " ").alias("verdict_flags"))
+def flags() -> Column:
+    """Names of the checks that failed, and of what the source itself has wrong, in order."""
+    found = [F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c.removesuffix("_found"))) for c in ISSUES]
+    found += [F.when(F.size("fragments") > 0, "source_artefacts"), F.when(F.col("n_formulas") > 0, "equation_degraded")]
+    return F.array_compact(F.array(*found))
+
+
+def issues() -> Column:
+    """What is wrong with an extraction, in words; from the columns of checks."""
+    c = F.col
+    say = lambda when, *parts: F.when(F.coalesce(when, F.lit(False)), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
+    kb = c("size_bytes") / 1024
+    return F.array_compact(F.array(
+        say(c("no_content"), "No readable content blocks were found."),
+        say(c("no_summary"), "No summary could be made; the extract may be too short."),
+        say(c("short_document"), "The document is very short (", c("words").cast("string"), " words), so the analysis is less certain."),
+        say(c("empty_body"), c("empty_sections").cast("string"), " of ", c("n_sections").cast("string"), " sections have no body content; the body may not have been read."),
+        say(c("thin"), "Only ", c("words").cast("string"), " words were recovered from ", F.round(kb).cast("bigint").cast("string"), " KB (", F.round(c("words") / kb, 1).cast("string"), " words a KB)."),
+        say(c("all_headings"), "The text is almost only section headings."),
+        say(c("contamination"), "List glyphs reached the key phrases or the summary."),
+        say(c("mojibake_found"), "Broken character encodings remain in the text."),
+    ))
+
+
+def notes() -> Column:
+    """What a reader should know about an extraction that went well: furniture, what wasn't analysed, tables, formulas,
+    split words, numbering."""
+    c = F.col
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    quoted = lambda a, n: text('"', F.array_join(F.slice(a, 1, n), '", "'), '"')
+    once = F.array_distinct("removed")
+    missing = F.array_compact(F.array(F.lit("Entities"), F.lit("Figures"), F.when(c("n_tables") + c("n_flattened") == 0, "Tables (none detected)"), F.when(c("n_references") == 0, "References (none detected)")))
+    return F.array_compact(F.array(
+        F.when(F.size("removed") > 0, text(F.size("removed").cast("string"), " line(s) of page furniture were removed: ", quoted(once, 6), F.when(F.size(once) > 6, " …").otherwise(""), ".")),
+        text("Not analysed: ", F.array_join(missing, ", "), ". These don't count in the score."),
+        F.when(c("n_tables") > 0, text(c("n_tables").cast("string"), " table(s) kept with rows and columns.")),
+        F.when(c("n_flattened") > 0, text(c("n_flattened").cast("string"), " table region(s) lost their cells; rows stand as lines.")),
+        F.when(c("n_formulas") > 0, text(c("n_formulas").cast("string"), " region(s) of formulas may have lost symbols.")),
+        F.when(F.size("fragments") > 0, text(F.size("fragments").cast("string"), " word(s) are split in the source, such as ", quoted(c("fragments"), 3), ".")),
+        F.lit("Section numbers are fixed; sections without content are left out, not renumbered."),
+    ))
+
+
+def verdict_text(n_issues: Column, n_notes: Column) -> Column:
+    some = F.concat(F.lit(" and "), n_notes, F.lit(" note(s)"))
+    return F.when(n_issues > 0, F.concat(F.lit("Extracted with "), n_issues, F.lit(" issue(s)"), F.when(n_notes > 0, some).otherwise(""), F.lit("."))).when(n_notes > 0, F.concat(F.lit("Extracted without issues; "), n_notes, F.lit(" note(s)."))).otherwise("Extracted without issues.")
 
 
 def structure_score(blocks: Column, sections: Column, top_share: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 B = r"(?<![A-Za-z0-9_])"
@@ -11,7 +11,7 @@ DATE = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}\s+
 NAME = r"[A-Z][a-z]+"
 #: Routing keys of postcodes (fixed values).
 ROUTING = tuple("D02 D04 D06 D08 A65 A75 A82 A94 T12 T23 V94 H91 K45 N39 F12 F23 F26 F28 F31 F42 F45 F52 F56 F91 F92 F93 F94 P12 P17 P24 P25 P31 P32 P36 P43 P47 P51 P56 P61 P67 P72 P75 P81 P85 R14 R32 R35 R42 R45 R51 R93 W12 W23 W34 W91 X35 X42 Y14 Y21 Y25 Y34 Y35".split())
-#: Names (fixed values). A surname with an apostrophe is looked up without it and so never found.
+#: Names to find where no lists are given by `read_names` (fixed values). A surname with an apostrophe is looked up without it and so never found.
 FIRST_NAMES = tuple("liam mary sean aoife ciara patrick niamh conor emma oisin siobhan cian orla declan fiona brian sinead eoin aine padraig".split())
 SURNAMES = tuple("murphy kelly o'brien ryan walsh o'sullivan o'connor byrne o'neill mccarthy doyle lynch o'regan kennedy quinn daly burke collins gallagher".split())
 #: Words that end a street's name (fixed values).
@@ -82,24 +82,32 @@ def eircode_valid(x: Column, keys: tuple[str, ...]) -> Column:
     return F.left(F.upper(F.regexp_replace(x, r"\s+", "")), F.lit(3)).isin(*keys)
 
 
-def known_name(x: Column) -> Column:
+def read_names(spark: SparkSession, path: str, limit: int = 20_000) -> tuple[str, ...]:
+    """A list of names from a file, one a line, for `detect`; comments and blank lines are skipped, a longer list refused."""
+    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("n")).where("n <> '' AND NOT startswith(n, '#')").distinct().orderBy("n").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} names in {path}")
+    return tuple(r["n"] for r in rows)
+
+
+def known_name(x: Column, first_names: tuple[str, ...], surnames: tuple[str, ...]) -> Column:
     parts = F.split(F.lower(x), r"\s+")
-    return parts[0].isin(*FIRST_NAMES) & F.regexp_replace(parts[1], "['’]", "").isin(*SURNAMES)
+    return parts[0].isin(*first_names) & F.regexp_replace(parts[1], "['’]", "").isin(*surnames)
 
 
-def valid(category: str, x: Column) -> Column:
+def valid(category: str, x: Column, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES)) -> Column:
     checks = {
         "ppsn": lambda: ppsn_valid(x),
         "iban": lambda: iban_valid(x),
         "card": lambda: F.length(digits(x)).between(13, 19) & F.call_function("luhn_check", digits(x)),
         "eircode": lambda: eircode_valid(x, ROUTING),
-        "name": lambda: known_name(x),
+        "name": lambda: known_name(x, *names),
         "phone": lambda: F.length(digits(x)).between(9, 13),
     }
     return checks.get(category, lambda: F.lit(True))()
 
 
-def spans_of(text: Column, category: str, tier: int, pattern: str, group: int) -> Column:
+def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES)) -> Column:
     """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -114,13 +122,20 @@ def spans_of(text: Column, category: str, tier: int, pattern: str, group: int) -
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     out = F.aggregate(rows, first, walk, lambda acc: acc["out"])
     some = text.rlike(NEEDED[pattern]) & text.rlike(pattern) if pattern in NEEDED else text.rlike(pattern)
-    return F.when(some, F.filter(out, lambda s: valid(category, s["surface"]))).otherwise(F.array().cast(SPAN))
+    return F.when(some, F.filter(out, lambda s: valid(category, s["surface"], names))).otherwise(F.array().cast(SPAN))
+
+
+def fields_of(prepared: DataFrame) -> DataFrame:
+    """doc_id, field, text of prepared documents (text, blocks): the texts of the blocks, or the whole text without any."""
+    texts = F.filter(F.transform("blocks", lambda x: x["text"]), lambda t: t != "")
+    return prepared.select("doc_id", F.posexplode(F.when(F.size("blocks") > 0, texts).otherwise(F.array("text"))).alias("field", "text"))
 
 
-def detect(fields: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
-    """fields (doc_id, text) with `spans`: all confirmed spans by start, longer first."""
-    found = [spans_of(F.col("text"), *p) for p in PATTERNS if categories is None or p[0] in categories]
-    return fields.select("doc_id", "text", F.sort_array(F.concat(*found)).alias("spans"))
+def detect(fields: DataFrame, categories: tuple[str, ...] | None = None, first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = SURNAMES) -> DataFrame:
+    """fields (doc_id, text and, if they have it, field) with `spans`: all confirmed spans by start, longer first."""
+    found = [spans_of(F.col("text"), *p, (first_names, surnames)) for p in PATTERNS if categories is None or p[0] in categories]
+    own = ["doc_id", "field"] if "field" in fields.columns else ["doc_id"]
+    return fields.select(*own, "text", F.sort_array(F.concat(*found)).alias("spans"))
 
 
 def resolve(found: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import sentence_count, syllable_count, word_count
 
+from .quality import GLYPHS
+
 #: Function words by language, for a profile by stop words (fixed values).
 LANGUAGES = {
     "en": "the of and to in is that for with as on are was be by this it from or an",
@@ -17,34 +19,51 @@ LANGUAGES = {
 }
 #: English words that end a key phrase (fixed values).
 STOP = "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
+#: Words that report a change or a conclusion (fixed value).
+CHANGE = r"(?i)\b(therefore|thus|conclude[ds]?|significant(ly)?|increase[ds]?|decrease[ds]?|reduced|improved)\b"
 FALLBACK_STOP = ("this", "that", "with", "from", "have", "were", "been", "their", "which", "would")
 
 
+def readability(text: Column) -> Column:
+    """word_count, character_count (bytes), sentence_count, reading_time_minutes, flesch_reading_ease, as one struct."""
+    text = F.coalesce(text, F.lit(""))
+    counts = F.struct(word_count(text).alias("w"), sentence_count(text).alias("s"), syllable_count(text).alias("y"))
+
+    def whole(n: Column) -> Column:
+        w, s, y = n["w"], n["s"], n["y"]
+        ease = F.when(w == 0, 0.0).otherwise(206.835 - 1.015 * F.try_divide(w, s) - 84.6 * F.try_divide(y, w))
+        minutes = F.greatest(F.lit(1), F.ceil(w / 200)).cast("bigint")
+        return F.struct(w.alias("word_count"), F.octet_length(text).cast("bigint").alias("character_count"), s.alias("sentence_count"), minutes.alias("reading_time_minutes"), F.round(ease, 1).alias("flesch_reading_ease"))
+
+    return F.get(F.transform(F.array(counts), whole), F.lit(0))
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
     """doc_id, word_count, character_count (bytes), sentence_count, reading_time_minutes, flesch_reading_ease."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    w, s, y = word_count(text), sentence_count(text), syllable_count(text)
-    base = docs.select("doc_id", w.alias("word_count"), F.octet_length(text).cast("bigint").alias("character_count"), s.alias("sentence_count"), y.alias("_y"))
-    ease = F.when(F.col("word_count") == 0, 0.0).otherwise(206.835 - 1.015 * F.try_divide("word_count", "sentence_count") - 84.6 * F.try_divide("_y", "word_count"))
-    return base.select("doc_id", "word_count", "character_count", "sentence_count", F.greatest(F.lit(1), F.ceil(F.col("word_count") / 200)).cast("bigint").alias("reading_time_minutes"), F.round(ease, 1).alias("flesch_reading_ease"))
+    return docs.select("doc_id", readability(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-def language(docs: DataFrame) -> DataFrame:
-    """doc_id, language: und below 25 words, else the language with most of its function words, English on none."""
-    tokens = F.split(F.lower(F.left(F.coalesce(F.col("text"), F.lit("")), F.lit(2000))), r"[^\p{L}]+")
+def language_of(text: Column, chars: int = 2000) -> Column:
+    """und below 25 words, else the language with most of its function words in the first `chars`, English on none."""
+    head = F.split(F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(chars))), r"[^\p{L}]+")
+
+    def hits(t: Column, i: int, lang: str, known: str) -> Column:
+        return F.struct(F.size(F.filter(t, lambda x: x.isin(*known.split()))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
+
+    def best(t: Column) -> Column:
+        return F.array_max(F.array(*(hits(t, i, *item) for i, item in enumerate(LANGUAGES.items()))))
 
-    def share(i: int, lang: str, known: str) -> Column:
-        return F.struct(F.size(F.filter("t", lambda x: x.isin(*known.split()))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
+    top = F.get(F.transform(F.array(head), best), F.lit(0))
+    return F.when(word_count(text) < 25, "und").when(top["n"] == 0, "en").otherwise(top["lang"])
 
-    hits = F.array(*(share(i, lang, known) for i, (lang, known) in enumerate(LANGUAGES.items())))
-    best = F.array_max("h")
-    rows = docs.select("doc_id", tokens.alias("t"), word_count(F.col("text")).alias("w")).withColumn("h", hits)
-    return rows.select("doc_id", F.when(F.col("w") < 25, "und").when(best["n"] == 0, "en").otherwise(best["lang"]).alias("language"))
+
+def language(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", language_of(F.col("text")).alias("language"))
 
 
 def phrases(docs: DataFrame) -> DataFrame:
     """doc_id, phrase, words: maximal runs of words between stop words and punctuation, each occurrence."""
-    plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n|\r|\n", " . ")
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), GLYPHS, " "), r"\r\n|\r|\n", " . ")
     pieces = F.split(F.lower(plain), r"[^\p{L}\p{N}\s'-]+")
     stop = rf"(^|\s)(?:{'|'.join(STOP)})(?=\s|$)"
     runs = F.flatten(F.transform(pieces, lambda p: F.split(F.regexp_replace(F.regexp_replace(F.trim(p), stop, "$1|"), r"\|\s*", "|"), r"\|")))
@@ -72,5 +91,4 @@ def frequent_words(docs: DataFrame, k: int = 15) -> DataFrame:
 
 def density(text: Column) -> Column:
     """How much a sentence reports: currency, percentages, numbers, verbs of change."""
-    verbs = r"(?i)\b(therefore|thus|conclude[ds]?|significant(ly)?|increase[ds]?|decrease[ds]?|reduced|improved)\b"
-    return 4 * F.regexp_count(text, F.lit("[€£$]")) + 3 * F.regexp_count(text, F.lit("%")) + 2 * F.regexp_count(text, F.lit(r"\b\d{2,}\b")) + F.regexp_count(text, F.lit(verbs))
+    return 4 * F.regexp_count(text, F.lit("[€£$]")) + 3 * F.regexp_count(text, F.lit("%")) + 2 * F.regexp_count(text, F.lit(r"\b\d{2,}\b")) + F.regexp_count(text, F.lit(CHANGE))

@@ -59,11 +59,16 @@ def findings(found: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "sentence", "score")
 
 
-def pair_weights(found: DataFrame) -> DataFrame:
-    """(doc_id, i, j, weight): shared words of sentence pairs over the logarithms of their lengths; an equi-join."""
+def term_sets(found: DataFrame) -> DataFrame:
+    """doc_id, pos, sentence and its distinct words but stop words."""
     words = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*STOP))
-    rows = found.select("doc_id", "pos", words.alias("w")).withColumn("n", F.size("w")).where("n > 1")
-    t = rows.select("doc_id", "pos", "n", F.explode(F.array_distinct("w")).alias("term"))
+    return found.select("doc_id", "pos", "sentence", F.array_sort(F.array_distinct(words)).alias("terms"))
+
+
+def pair_weights(found: DataFrame) -> DataFrame:
+    """(doc_id, i, j, weight): shared words of sentence pairs over the logarithms of their sizes (two at least); an equi-join
+    on document and word, so a word that is frequent everywhere meets only within a document."""
+    t = term_sets(found).select("doc_id", "pos", F.greatest(F.size("terms"), F.lit(2)).alias("n"), F.explode("terms").alias("term"))
     u = t.select("doc_id", F.col("pos").alias("j"), F.col("n").alias("m"), "term")
     pairs = t.join(u, ["doc_id", "term"]).where("pos < j").groupBy("doc_id", F.col("pos").alias("i"), "j").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
     return pairs.select("doc_id", "i", "j", (F.col("common") / (F.ln("n") + F.ln("m"))).alias("weight"))
@@ -105,22 +110,50 @@ def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
 
 
 def text_rank(found: DataFrame) -> DataFrame:
-    """doc_id, rank, pos, sentence: the eight sentences that others resemble most, of whole documents. A document is one
-    group, as large as its text."""
+    """doc_id, rank, pos, sentence: the eight sentences that others resemble most by pair_weights, of whole documents. A
+    document is one group, as large as its text."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
-        stop = set(STOP)
-        score = rank_scores([sorted(set(s.lower().split()) - stop) for s in rows["sentence"]])
+        score = rank_scores(rows["terms"].tolist())
         best = np.lexsort((rows["pos"], -np.round(score, 6)))[:KEPT]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "pos": rows["pos"].iloc[best].astype(np.int32), "sentence": rows["sentence"].iloc[best]})
 
-    return found.groupBy("doc_id").applyInPandas(run, "doc_id bigint, rank int, pos int, sentence string")
+    return term_sets(found).groupBy("doc_id").applyInPandas(run, "doc_id bigint, rank int, pos int, sentence string")
 
 
 def lead(found: DataFrame, k: int = KEPT) -> DataFrame:
-    """The fallback: the first sentences that aren't templates."""
-    return without_scaffold(found).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("rank") <= k).select("doc_id", "rank", "pos", "sentence")
+    """The fallback: the first sentences that aren't templates, or the first ones where all are."""
+    w = Window.partitionBy("doc_id")
+    rows = found.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", signature(F.col("sentence")))))
+    rows = rows.withColumn("single", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n < 2 OR single = 0")
+    return rows.withColumn("rank", F.row_number().over(w.orderBy("pos"))).where(F.col("rank") <= k).select("doc_id", "rank", "pos", "sentence")
+
+
+def ranked_or_lead(found: DataFrame) -> DataFrame:
+    """doc_id, rank, pos, sentence: a document's ranked sentences without templates, or its lead where none are left."""
+    plain = templates(found).select("doc_id", "signature")
+    ranked = text_rank(without_scaffold(found)).withColumn("signature", signature(F.col("sentence")))
+    both = ranked.join(plain, ["doc_id", "signature"], "left_anti").select("doc_id", F.lit(0).alias("choice"), "rank", "pos", "sentence")
+    both = both.unionByName(lead(found).withColumn("choice", F.lit(1)))
+    return both.withColumn("best", F.min("choice").over(Window.partitionBy("doc_id"))).where("choice = best").select("doc_id", "rank", "pos", "sentence")
+
+
+def normal(s: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
+
+
+def is_genuine(s: Column, furniture: Column) -> Column:
+    """Reports something, isn't a row of dates and holds none of the lines (normalised) that aren't prose."""
+    dates = F.regexp_count(s, F.lit(r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"))
+    return s.rlike(SIGNAL) & (dates < 2) & ~F.exists(furniture, lambda f: normal(s).contains(f))
+
+
+def densest(found: Column, k: int = 5) -> Column:
+    """The k sentences of an array that report most, equal ones once, earlier first."""
+    keyed = F.transform(found, lambda s, i: F.struct((-density(s)).alias("score"), i.alias("at"), s.alias("s"), normal(s).alias("key")))
+    once = F.filter(keyed, lambda x: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == x["at"] + 1)
+    return F.transform(F.slice(F.array_sort(once), 1, k), lambda x: x["s"])
 
 
 def summaries(ranked: DataFrame) -> DataFrame:
@@ -130,6 +163,24 @@ def summaries(ranked: DataFrame) -> DataFrame:
     return agg.select("doc_id", first_words(join(F.slice("s", 1, 5)), 150).alias("short"), first_words(join(F.col("s")), 500).alias("extended"))
 
 
+def joined_words(found: Column, n: int, words: int) -> Column:
+    return first_words(F.array_join(F.slice(found, 1, n), " "), words)
+
+
+def lead_sentence(blocks: Column) -> Column:
+    """The first sentence of the first paragraph before any heading, else empty."""
+    first = F.get(F.filter(blocks, lambda x: (x["type"] == "heading") | ((x["type"] == "paragraph") & (trim(x["text"]) != ""))), F.lit(0))
+    parts = F.filter(F.split(trim(first["text"]), r"(?<=[.!?])\s+"), lambda x: ~x.isin("", "0"))
+    return F.when(first["type"] == "paragraph", F.coalesce(F.get(parts, F.lit(0)), trim(first["text"]))).otherwise(F.lit(""))
+
+
+def template_body(titles: Column) -> Column:
+    """`Defines N sections: a; b; c.`"""
+    n = F.size(titles)
+    word = F.coalesce(F.get(F.array(*map(F.lit, NUMBERS)), n), n.cast("string"))
+    return F.concat(F.lit("Defines "), word, F.lit(" sections: "), F.array_join(titles, "; "), F.lit("."))
+
+
 def templated(headings: DataFrame) -> DataFrame:
     """doc_id, body: `Defines N sections: a; b; c.` for documents that are lists under headings."""
     agg = headings.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "title"))).alias("hs")).where("n >= 2")

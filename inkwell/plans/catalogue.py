@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
-from inkwell.operators import blocks, cite, library, profile, quality, redact, references, stats, summary
+from inkwell.operators import blocks, cite, library, normalise, profile, quality, redact, references, stats, summary
 
-from . import forge
+from . import documents
 
 PLANTED = (
     (-1, "# Annual report\n\nScope of work\n- first item\n* second item\n## 1.1 Method\nText under method, see 10.1000/xyz123 and https://a.ie/b. and [1, 2].\nAGAIN HTTPS://A.IE/B and [1, 2]\n### 2. Results\nThe index increased by 12% to €40 in 2021."),
@@ -44,6 +44,62 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 LINES = f"{DOCS}, l AS (SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, trim(ls[pos], {BLANKS}) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS ls FROM d)))"
 WORDS = "len(regexp_extract_all(regexp_replace(regexp_replace(text, '^[''-]+', ''), '-+$', ''), '[A-Za-z''-]+'))"
 
+
+
+def _words(text: str) -> str:
+    return WORDS.replace("text", text)
+
+
+def _matches(text: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns) + ")"
+
+
+TOKENS_OF = "regexp_split_to_array(line, '\\s+')"
+HEADER_LINE = f"""(line <> '' AND length(line) <= 70 AND NOT {_matches("line", "[.!?:;,]$", blocks.BULLET, blocks.NUMBERED, blocks.SECTION, blocks.LEADER)} AND len({TOKENS_OF}) BETWEEN 3 AND 8
+    AND len(list_filter({TOKENS_OF}, lambda t: regexp_matches(t, '^[(\\[]?\\p{{Lu}}'))) >= greatest(3, len({TOKENS_OF}) - 1))"""
+ROW_LINE = f"""(line <> '' AND length(line) <= 120 AND NOT {_matches("line", blocks.BULLET, blocks.SECTION, blocks.LEADER)} AND len({TOKENS_OF}) >= 3 AND {_matches(f"{TOKENS_OF}[1]", "^\\d{1,3}$", "^\\p{Lu}{2,5}$")})"""
+
+def _is_math(x: str) -> str:
+    return f"""(length({x}) BETWEEN 3 AND 600 AND len(regexp_extract_all({x}, '{blocks.MATH}')) >= 5 AND len(regexp_extract_all({x}, '{blocks.MATH}')) / greatest(1, length(regexp_replace({x}, '\\s+', '', 'g'))) >= 0.12
+    AND len(list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda t: regexp_full_match(t, '\\p{{L}}{{3,}}'))) <= len(regexp_extract_all({x}, '{blocks.MATH}')))"""
+
+
+#: Lines with page furniture marked.
+MARKED = f"""{LINES},
+    m1 AS (SELECT *, {_matches("line", blocks.PAGE_LABEL)} AS label, lower(trim(regexp_replace(regexp_replace(line, '\\d+', '', 'g'), '\\s+', ' ', 'g'), {BLANKS})) AS sig,
+      coalesce(lag(line) OVER o, '') = '' OR coalesce(lead(line) OVER o, '') = '' AS alone FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    m2 AS (SELECT *, bool_or(label) OVER (PARTITION BY doc_id) AS labelled, sig <> '' AND count(*) OVER (PARTITION BY doc_id, sig) >= {normalise.REPEATS} AS recurs FROM m1),
+    m3 AS (SELECT *, CASE WHEN label THEN 'label' WHEN NOT labelled AND {_matches("line", blocks.PAGE_NUMBER)} AND alone THEN 'number' END AS marker,
+      line <> '' AND CASE WHEN labelled THEN NOT recurs ELSE {_matches("line", blocks.BULLET, blocks.NUMBERED, blocks.SECTION, "[.!?,;:]$")} OR length(line) > 80 END AS stops FROM m2),
+    reach AS (SELECT a.doc_id, a.pos, k.pos AS mark, k.marker FROM m3 a JOIN m3 k ON a.doc_id = k.doc_id AND k.marker IS NOT NULL AND k.pos <> a.pos AND abs(k.pos - a.pos) <= {normalise.REACH} AND (k.pos > a.pos OR k.labelled) WHERE a.line <> '' AND NOT a.stops),
+    near AS (SELECT doc_id, pos, mark, marker FROM reach QUALIFY row_number() OVER (PARTITION BY doc_id, pos, mark > pos ORDER BY abs(mark - pos)) = 1),
+    walked AS (SELECT n.doc_id, n.pos FROM near n JOIN m3 b ON b.doc_id = n.doc_id AND b.pos BETWEEN least(n.pos, n.mark) AND greatest(n.pos, n.mark) AND b.pos <> n.mark GROUP BY n.doc_id, n.pos, n.mark, n.marker
+      HAVING NOT bool_or(b.stops) AND (n.marker = 'label' OR count(*) FILTER (b.line <> '' AND b.marker IS NULL) <= {normalise.LONE})),
+    marked AS (SELECT doc_id, pos, line, marker, marker IS NOT NULL OR EXISTS (SELECT 1 FROM walked w WHERE w.doc_id = m3.doc_id AND w.pos = m3.pos) AS dropped FROM m3)"""
+
+
+def _kinds(source: str, tables: bool) -> str:
+    """CTEs from lines (doc_id, pos, line, dropped) to `kinds` (doc_id, pos, line, opens, kind), dropped lines left out."""
+    return f"""k1 AS (SELECT *, {f"NOT dropped AND {HEADER_LINE}" if tables else "false"} AS header, {f"NOT dropped AND {ROW_LINE}" if tables else "false"} AS "row" FROM {source}),
+    k2 AS (SELECT *, last_value(CASE WHEN line <> '' THEN header END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS header_before,
+      first_value(CASE WHEN line <> '' THEN line END IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following,
+      first_value(CASE WHEN line <> '' THEN "row" END IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS row_after,
+      sum(CAST({_matches("line", blocks.SECTION)} AND length(line) < 150 AND NOT dropped AS INTEGER)) OVER (PARTITION BY doc_id) >= 2 AS skeleton FROM k1 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    k3 AS (SELECT *, header AND coalesce(row_after, false) AS opens, last_value(CASE WHEN "row" AND coalesce(header_before, false) THEN 1 WHEN line = '' OR (NOT dropped AND NOT "row") THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) = 1 AS inside FROM k2),
+    kinds AS (SELECT doc_id, pos, line, opens, CASE WHEN line = '' THEN 'blank' WHEN opens OR ("row" AND coalesce(inside, false)) THEN 'row' WHEN {_matches("line", blocks.LEADER)} THEN 'leader' WHEN {_matches("line", blocks.CAPTION)} THEN 'caption'
+      WHEN {_matches("line", blocks.SECTION)} AND length(line) < 150 THEN CASE WHEN {_matches("coalesce(following, '')", blocks.LEADER)} THEN 'leader' ELSE 'section' END
+      WHEN NOT skeleton AND {_matches("line", blocks.NUMBERED)} AND {_words("line")} BETWEEN 1 AND 12 AND length(line) <= 90 AND NOT {_matches("line", ":\\s+\\S+\\s+\\S+")} AND NOT {_matches("coalesce(following, '')", "^\\p{Ll}")} THEN 'numbered'
+      WHEN {_matches("line", blocks.BULLET)} THEN 'bullet' ELSE 'text' END AS kind FROM k3 WHERE NOT dropped),
+    b1 AS (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM (SELECT *, kind = 'text' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) IN ('text', 'bullet'), false) AS joins FROM kinds)),
+    merged AS (SELECT doc_id, block, min(pos) AS pos, arg_min(kind, pos) AS kind, bool_or(opens) AS opens, trim(string_agg(CASE WHEN kind = 'bullet' THEN regexp_replace(line, '{blocks.BULLET}', '') ELSE line END, ' ' ORDER BY pos), {BLANKS}) AS x FROM b1 WHERE kind NOT IN ('blank', 'leader') GROUP BY doc_id, block),
+    named AS (SELECT *, CASE kind WHEN 'caption' THEN 'caption' WHEN 'section' THEN 'heading' WHEN 'numbered' THEN 'heading' WHEN 'bullet' THEN 'list' ELSE 'paragraph' END AS type FROM merged)"""
+
+
+ALL_LINES = f"{LINES}, every AS (SELECT *, false AS dropped FROM l)"
+PARTS = f"""parts AS (SELECT doc_id, pos, 0 AS part, 'note' AS type, '{normalise.TABLE_NOTE}' AS text, CAST(NULL AS INTEGER) AS level, false AS table_row, false AS math_degraded FROM named WHERE x <> '' AND opens
+    UNION ALL SELECT doc_id, pos, 1, type, x, CASE WHEN type = 'heading' THEN 2 END, kind = 'row', kind = 'text' AND {_is_math("x")} FROM named WHERE x <> ''
+    UNION ALL SELECT doc_id, pos, 2, 'note', '{normalise.MATH_NOTE}', NULL, false, false FROM named WHERE x <> '' AND kind = 'text' AND {_is_math("x")})"""
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -109,22 +165,25 @@ def decimal_skeleton(spark, sf_dir):
     return blocks.decimal_skeleton(docs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LINES}, t AS (SELECT *, {HEADER_LINE} AS header, {ROW_LINE} AS "row" FROM l),
+    i AS (SELECT *, sum(CAST(NOT "row" AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM t), runs AS (SELECT doc_id, min(pos) AS pos, count(*) AS "rows" FROM i WHERE "row" GROUP BY doc_id, island),
+    b AS (SELECT doc_id, pos, lag(pos) OVER o AS start, lag(header) OVER o AS header FROM t WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, start, "rows" FROM runs JOIN b USING (doc_id, pos) WHERE header""")
 def table_regions(spark, sf_dir):
     return blocks.table_regions(docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {ALL_LINES}, {_kinds('every', False)} SELECT doc_id, pos, line, kind FROM kinds")
 def line_kinds(spark, sf_dir):
     return blocks.classify(docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {ALL_LINES}, {_kinds('every', False)} SELECT doc_id, CAST(block AS BIGINT) AS block, type, x AS text FROM named")
 def line_merge(spark, sf_dir):
     return blocks.merge_lines(docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {ALL_LINES}, {_kinds('every', False)} SELECT doc_id, round(avg(CAST(type = 'list' AS INTEGER)), 3) AS list_ratio FROM named GROUP BY doc_id")
 def list_ratio(spark, sf_dir):
     return blocks.list_ratio(blocks.merge_lines(docs(spark, sf_dir)))
 
@@ -134,7 +193,24 @@ def heading_titles(spark, sf_dir):
     return blocks.heading_titles(blocks.markdown_blocks(docs(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {MARKED} SELECT doc_id, pos, line, marker FROM marked WHERE dropped")
+def furniture_lines(spark, sf_dir):
+    return normalise.marked_lines(docs(spark, sf_dir)).where("dropped").select("doc_id", "pos", "line", "marker")
+
+
+@query(f"WITH {MARKED}, {_kinds('marked', True)}, {PARTS} SELECT * FROM parts")
+def normalised_blocks(spark, sf_dir):
+    return normalise.clean_blocks(docs(spark, sf_dir))
+
+
+@query(f"""WITH {MARKED}, {_kinds('marked', True)}, {PARTS},
+    t AS (SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY pos, part) FILTER (type <> 'note'), '') AS text, round(avg(CAST(type = 'list' AS INTEGER)), 3) AS list_ratio, count(*) AS blocks FROM parts GROUP BY doc_id)
+    SELECT doc_id, t.text, list_ratio, blocks FROM t""")
+def normalised_documents(spark, sf_dir):
+    return normalise.normalise(docs(spark, sf_dir)).where("size(blocks) > 0").select("doc_id", "text", "list_ratio", F.size("blocks").cast("bigint").alias("blocks"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, {_is_math("line")} AS dense FROM l WHERE line <> ''")
 def math_dense(spark, sf_dir):
     return blocks.lines_of(docs(spark, sf_dir)).where("line <> ''").select("doc_id", "pos", blocks.is_math_dense(F.col("line")).alias("dense"))
 
@@ -176,12 +252,26 @@ def document_stats(spark, sf_dir):
     return stats.document_stats(docs(spark, sf_dir))
 
 
-@query()
+LANGUAGE = ", ".join(f"{{'n': len(list_filter(t, lambda x: x IN ({', '.join(chr(39) + w + chr(39) for w in known.split())}))), 'o': {-i}, 'lang': '{lang}'}}" for i, (lang, known) in enumerate(stats.LANGUAGES.items()))
+
+
+@query(f"""WITH {DOCS}, t AS (SELECT doc_id, {WORDS} AS w, regexp_split_to_array(lower(left(text, 2000)), '[^\\p{{L}}]+') AS t FROM d), h AS (SELECT doc_id, w, list_max([{LANGUAGE}]) AS best FROM t)
+    SELECT doc_id, CASE WHEN w < 25 THEN 'und' WHEN best.n = 0 THEN 'en' ELSE best.lang END AS language FROM h""")
 def language(spark, sf_dir):
     return stats.language(docs(spark, sf_dir))
 
 
-@query()
+#: Key phrases: runs of words between stop words and punctuation, scored by degree over frequency.
+RAKE = f"""{DOCS}, pc AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '{quality.GLYPHS}', ' ', 'g'), '\\r\\n|\\r|\\n', ' . ', 'g')), '[^\\p{{L}}\\p{{N}}\\s''-]+') AS ps FROM d)),
+    tk AS (SELECT doc_id, i, unnest(range(len(ws))) AS j, unnest(ws) AS w FROM (SELECT doc_id, i, regexp_split_to_array(trim(p, {BLANKS}), '\\s+') AS ws FROM pc WHERE trim(p, {BLANKS}) <> '')),
+    rn AS (SELECT *, w IN ({", ".join("'" + w + "'" for w in stats.STOP)}) AS stop, sum(CAST(w IN ({", ".join("'" + w + "'" for w in stats.STOP)}) AS INTEGER)) OVER (PARTITION BY doc_id, i ORDER BY j) AS run FROM tk),
+    ph AS (SELECT doc_id, i, run, string_agg(w, ' ' ORDER BY j) AS phrase, list(w ORDER BY j) AS words FROM rn WHERE NOT stop GROUP BY doc_id, i, run HAVING regexp_matches(string_agg(w, ' ' ORDER BY j), '\\p{{L}}')),
+    wt AS (SELECT doc_id, word, sum(n) / count(*) AS w FROM (SELECT doc_id, unnest(words) AS word, len(words) AS n FROM ph) GROUP BY doc_id, word),
+    sc AS (SELECT doc_id, phrase, round(sum(wt.w), 4) AS score FROM (SELECT DISTINCT doc_id, phrase, unnest(words) AS word, unnest(range(len(words))) AS at FROM ph) JOIN wt USING (doc_id, word) GROUP BY doc_id, phrase),
+    rk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INTEGER) AS rank, phrase, score FROM sc WHERE length(phrase) BETWEEN 3 AND 80 QUALIFY rank <= 15)"""
+
+
+@query(f"WITH {RAKE} SELECT * FROM rk")
 def rake_keyphrases(spark, sf_dir):
     return stats.rake(docs(spark, sf_dir))
 
@@ -218,7 +308,10 @@ def scaffold_removed(spark, sf_dir):
     return summary.head(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, c AS (SELECT doc_id, pos, sentence, 4 * len(regexp_extract_all(sentence, '[€£$]')) + 3 * len(regexp_extract_all(sentence, '%')) + 2 * len(regexp_extract_all(sentence, '\\b\\d{{2,}}\\b'))
+      + len(regexp_extract_all(sentence, '{stats.CHANGE}')) AS score FROM s WHERE regexp_matches(sentence, '{summary.SIGNAL}') AND len(regexp_extract_all(sentence, '\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}}')) < 2),
+    o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(sentence, '\\s+', ' ', 'g')) ORDER BY pos) = 1)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS INTEGER) AS rank, sentence, CAST(score AS INTEGER) AS score FROM o QUALIFY rank <= 5""")
 def key_findings(spark, sf_dir):
     return summary.findings(summary.sentences(docs(spark, sf_dir)))
 
@@ -228,9 +321,13 @@ def textrank(spark, sf_dir):
     return summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(sig0)) AS n FROM g),
+    u AS (SELECT doc_id, pos, sentence FROM (SELECT *, sum(CAST(n < 2 AS INTEGER)) OVER (PARTITION BY doc_id) AS single FROM t) WHERE n < 2 OR single < 3),
+    w AS (SELECT doc_id, pos, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({", ".join("'" + w + "'" for w in stats.STOP)}))) AS ws FROM u),
+    e AS (SELECT doc_id, pos, greatest(len(ws), 2) AS n, unnest(ws) AS term FROM w)
+    SELECT a.doc_id, CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(count(*) / (ln(any_value(a.n)) + ln(any_value(b.n))), 6) AS weight FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY a.doc_id, a.pos, b.pos""")
 def textrank_pairs(spark, sf_dir):
-    weights = summary.pair_weights(summary.without_scaffold(summary.sentences(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))))
+    weights = summary.pair_weights(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -239,7 +336,9 @@ def summaries(spark, sf_dir):
     return summary.summaries(summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir)))))
 
 
-@query()
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, pos, regexp_replace(regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1), '^\\s*\\d+(\\.\\d+)*\\.?\\s*', '') AS title FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+.')),
+    g AS (SELECT doc_id, count(*) AS n, string_agg(title, '; ' ORDER BY pos) AS titles FROM h GROUP BY doc_id HAVING count(*) >= 2)
+    SELECT doc_id, 'Defines ' || coalesce([{", ".join(f"'{w}'" for w in summary.NUMBERS)}][n + 1], CAST(n AS VARCHAR)) || ' sections: ' || titles || '.' AS body FROM g""")
 def templated_summary(spark, sf_dir):
     return summary.templated(blocks.heading_titles(blocks.markdown_blocks(docs(spark, sf_dir))))
 
@@ -247,7 +346,8 @@ def templated_summary(spark, sf_dir):
 # -- quality ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {DOCS}, f AS (SELECT doc_id, replace(unnest(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])(\\p{{Ll}}{{3,}}  (?:{quality.ENDINGS}))(?:$|[^\\p{{L}}\\p{{N}}_])', 1)), '  ', ' ') AS fragment FROM d)
+    SELECT DISTINCT doc_id, fragment FROM f WHERE split_part(fragment, ' ', 1) NOT IN ({", ".join(f"'{w}'" for w in quality.STEMS)})""")
 def split_artefacts(spark, sf_dir):
     return quality.split_artefacts(docs(spark, sf_dir))
 
@@ -257,9 +357,12 @@ def mojibake_pairs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(quality.MOJIBAKE)).cast("bigint").alias("pairs")).where("pairs > 0")
 
 
+REPORT = ("doc_id", "title", "doc_class", "word_count", "language", "n_sections", "n_references", "n_phrases", "list_ratio", "summary", "findings_note", "structure_score", "content_score", "reference_score", "knowledge_score", "stars", "verdict", "verdict_flags")
+
+
 @query()
-def forge_documents(spark, sf_dir):
-    return forge.forge_documents(docs(spark, sf_dir))
+def document_reports(spark, sf_dir):
+    return documents.document_reports(docs(spark, sf_dir)).select(*REPORT, F.size("issues").alias("issues"), F.size("notes").alias("notes"))
 
 
 # -- citations --------------------------------------------------------------------------------------------------------
@@ -309,16 +412,23 @@ def reference_passages(spark, sf_dir):
     return cite.top_passages(cite.matches(cite.affinities(cite.scores(bm25(spark, sf_dir)))))
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(sha256(text))), '|')) AS fingerprint FROM documents GROUP BY source")
+@query("""WITH p AS (SELECT source, left(d, 2) AS part, sha256(string_agg(d, '|' ORDER BY d)) AS d FROM (SELECT source, sha256(text) AS d FROM documents) GROUP BY ALL)
+    SELECT source, sha256(string_agg(d, '|' ORDER BY part)) AS fingerprint FROM p GROUP BY source""")
 def set_fingerprint(spark, sf_dir):
     return cite.set_fingerprint(table(spark, sf_dir, "documents"), "source", F.col("text"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 120) AS BIGINT))) AS passage FROM w)
+    SELECT doc_id, CAST(passage AS INTEGER) AS passage, array_to_string(list_slice(w, passage * 120 + 1, passage * 120 + 120), ' ') AS text FROM p""")
 def passage_windows(spark, sf_dir):
     return cite.windows(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query()
+def document_passages(spark, sf_dir):
+    return cite.passages(normalise.prepare(docs(spark, sf_dir)))
+
+
 # -- redaction --------------------------------------------------------------------------------------------------------
 
 
@@ -405,17 +515,20 @@ def merge_select(spark, sf_dir):
     return library.select_ids(reports(spark, sf_dir), [9, 3, 9, 12, -77]).select("ord", "id", "title")
 
 
-@query(SQL["keyphrase_fallback"].replace("WITH", "WITH", 1).replace("SELECT doc_id, CAST(row_number()", "SELECT phrase, round(sum(score), 4) AS score FROM (SELECT doc_id, CAST(row_number()", 1) + ") GROUP BY phrase ORDER BY score DESC, phrase LIMIT 30")
+@query(f"WITH {RAKE} SELECT min(phrase) AS phrase, round(sum(score), 4) AS score FROM rk GROUP BY strip_accents(lower(phrase)) ORDER BY score DESC, phrase LIMIT 30")
 def merge_keyphrases(spark, sf_dir):
-    return library.merge_keyphrases(stats.frequent_words(docs(spark, sf_dir)))
+    return library.merge_keyphrases(stats.rake(docs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {FOUND}, f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY kind, ord) = 1), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, ord) AS INTEGER) AS n FROM f QUALIFY n <= 100),
+    m AS (SELECT doc_id, n, raw, coalesce('doi:' || lower(doi), 'url:' || lower(url), 'raw:' || lower(trim(raw))) AS key FROM n) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, n) = 1""")
 def merge_references(spark, sf_dir):
     return library.merge_references(references.dedupe(references.extract(docs(spark, sf_dir))), F.col("doc_id"))
 
 
-@query()
+@query(f"""WITH {DOCS}, ls AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)), h AS (SELECT *, regexp_matches(line, '^##\\s+') AS head FROM ls),
+    n AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h), g AS (SELECT doc_id, section, max(regexp_replace(line, '^##\\s+', '')) FILTER (head) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '') AS body FROM n WHERE section > 0 GROUP BY doc_id, section)
+    SELECT doc_id, CAST(section AS BIGINT) AS section, CASE WHEN regexp_matches(title, '^\\d+\\.\\s+') THEN section || '.' || regexp_replace(title, '^(\\d+)\\.\\s+', '\\1 ') ELSE title END AS title, body FROM g""")
 def report_sections(spark, sf_dir):
     s = library.sections(docs(spark, sf_dir))
     return s.withColumn("title", library.renumber(F.col("title"), F.col("section")))
@@ -423,16 +536,32 @@ def report_sections(spark, sf_dir):
 
 # -- profiles ---------------------------------------------------------------------------------------------------------
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+TEXTS = ("o_orderstatus", "o_orderdate", "o_orderpriority")
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+LINE_NUMBERS = LINE_COLUMNS[:8]
 
 
 def orders(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
-    return profile.as_text(df, "o_orderkey"), list(ORDER_COLUMNS)
+    df = table(spark, sf_dir, "orders")
+    return profile.as_text(df, "o_orderkey"), df.columns
+
+
+def long_sql(columns, kind="VARCHAR", source="orders") -> str:
+    """(column, value, _row) of the columns, all of one type."""
+    return f'SELECT "column", value, _row FROM (SELECT o_orderkey AS _row, ' + ", ".join(f"CAST({c} AS {kind}) AS {c}_" for c in columns) + f" FROM {source}) UNPIVOT (value FOR \"column\" IN (" + ", ".join(f"{c}_ AS '{c}'" for c in columns) + "))"
 
 
-LONG = "x AS (SELECT column_name AS \"column\", value FROM (SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ORDER_COLUMNS) + " FROM orders) UNPIVOT (value FOR column_name IN (" + ", ".join(ORDER_COLUMNS) + ")))"
+LONG = f"x AS ({long_sql(ORDER_COLUMNS)})"
+BARE = "replace(trim(value), ',', '')"
+DAY = f"""(({_matches("value", *profile.DATES)}) AND coalesce(try_strptime(CASE WHEN regexp_matches(value, '{profile.DATES[0]}') THEN regexp_split_to_array(value, '[ T]')[1] ELSE value END, ['%Y-%m-%d', '%m/%d/%Y', '%d-%b-%Y']) IS NOT NULL, false))"""
+FIRST = 'SELECT "column", value FROM x QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY _row, value) <= {n}'
+TYPES = f"""ft AS ({FIRST.format(n=profile.TYPE_SAMPLE)}),
+    sh AS (SELECT "column", avg(CAST(lower(trim(value)) IN ({", ".join(f"'{w}'" for w in profile.BOOLEANS)}) AS INTEGER)) AS b, avg(CAST(regexp_matches({BARE}, '^-?[0-9]+$') AS INTEGER)) AS i,
+      avg(CAST(regexp_matches({BARE}, '{tx.NUMERIC}') AS INTEGER)) AS f, avg(CAST({DAY} AS INTEGER)) AS d FROM ft GROUP BY "column"),
+    types AS (SELECT "column", CASE WHEN b >= 0.95 THEN 'boolean' WHEN i >= 0.95 THEN 'integer' WHEN f >= 0.95 THEN 'float' WHEN d >= 0.9 THEN 'date' ELSE 'string' END AS type,
+      round(CASE WHEN b >= 0.95 THEN b WHEN i >= 0.95 THEN i WHEN f >= 0.95 THEN f WHEN d >= 0.9 THEN d ELSE 1.0 END, 3) AS type_agreement FROM sh)"""
 
 
 @query(f"""WITH {LONG} SELECT "column", count(*) AS total, count(*) AS "count", CAST(0 AS BIGINT) AS nulls, 0.0 AS null_rate, count(DISTINCT lower(value)) AS "distinct", round(count(DISTINCT lower(value)) / count(*), 4) AS cardinality_ratio, count(DISTINCT lower(value)) = 1 AS constant FROM x GROUP BY "column" """)
@@ -440,66 +569,75 @@ def profile_counts(spark, sf_dir):
     return profile.counts(*orders(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {LONG}, {TYPES} SELECT * FROM types")
 def profile_types(spark, sf_dir):
     return profile.types(*orders(spark, sf_dir))
 
 
-@query(f"""WITH x AS (SELECT column_name AS "column", value AS v FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMBERS)} FROM orders) UNPIVOT (value FOR column_name IN ({", ".join(NUMBERS)})))
-    SELECT "column", count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY "column" """)
+@query(f"""WITH x AS ({long_sql(NUMBERS, "DOUBLE")})
+    SELECT "column", count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM x GROUP BY "column" """)
 def profile_numeric(spark, sf_dir):
     text, _ = orders(spark, sf_dir)
-    return profile.numeric_stats(text, list(NUMBERS)).withColumns({c: F.round(c, 2) for c in ("mean", "std")})
+    stats = profile.numeric_stats(text, list(NUMBERS))
+    return stats.withColumns({c: F.round(c, 2) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
-@query(f"""WITH x AS (SELECT column_name AS "column", value AS v FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMBERS)} FROM orders) UNPIVOT (value FOR column_name IN ({", ".join(NUMBERS)}))),
-    q AS (SELECT "column", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY ALL) SELECT "column", count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers FROM x JOIN q USING ("column") GROUP BY ALL""")
+@query(f"""WITH x AS ({long_sql(NUMBERS, "DOUBLE")}),
+    q AS (SELECT "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM x GROUP BY ALL) SELECT "column", count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers FROM x JOIN q USING ("column") GROUP BY ALL""")
 def profile_outliers(spark, sf_dir):
     text, _ = orders(spark, sf_dir)
     return profile.outliers(text, list(NUMBERS), profile.numeric_stats(text, list(NUMBERS)))
 
 
-@query('WITH x AS (SELECT column_name AS "column", value FROM (SELECT o_orderstatus, o_orderpriority FROM orders) UNPIVOT (value FOR column_name IN (o_orderstatus, o_orderpriority))) SELECT "column", CAST(min(length(value)) AS INTEGER) AS min_len, CAST(max(length(value)) AS INTEGER) AS max_len, round(avg(length(value)), 1) AS avg_len FROM x GROUP BY "column"')
+@query(f'WITH x AS ({long_sql(TEXTS)}) SELECT "column", CAST(min(length(value)) AS INTEGER) AS min_len, CAST(max(length(value)) AS INTEGER) AS max_len, round(avg(length(value)), 1) AS avg_len FROM x GROUP BY "column"')
 def profile_lengths(spark, sf_dir):
-    return profile.lengths(orders(spark, sf_dir)[0], ["o_orderstatus", "o_orderpriority"])
+    return profile.lengths(orders(spark, sf_dir)[0], list(TEXTS))
 
 
-@query('WITH x AS (SELECT column_name AS "column", lower(value) AS value FROM (SELECT o_orderstatus, o_orderpriority FROM orders) UNPIVOT (value FOR column_name IN (o_orderstatus, o_orderpriority))), n AS (SELECT "column", value, count(*) AS n FROM x GROUP BY ALL) SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM n QUALIFY rank <= 3')
+@query(f'WITH x AS ({long_sql(TEXTS)}), n AS (SELECT "column", lower(value) AS value, count(*) AS n FROM x GROUP BY ALL) SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM n QUALIFY rank <= 3')
 def profile_top_values(spark, sf_dir):
-    return profile.top_values(orders(spark, sf_dir)[0], ["o_orderstatus", "o_orderpriority"])
+    return profile.top_values(orders(spark, sf_dir)[0], list(TEXTS))
 
 
-@query()
+@query(f"""WITH {LONG}, fp AS ({FIRST.format(n=profile.PII_SAMPLE)}),
+    sh AS (SELECT "column", avg(CAST(regexp_matches(trim(value), '{profile.EMAIL}') AS INTEGER)) AS m, avg(CAST(regexp_matches(trim(value), '{profile.POSTCODE}') AS INTEGER)) AS e,
+      avg(CAST(regexp_matches(trim(value), '{profile.PHONE}') AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 AS INTEGER)) AS p FROM fp GROUP BY "column"),
+    r AS (SELECT "column", CASE WHEN m >= 0.5 THEN 'email addresses' WHEN e >= 0.5 THEN 'Eircodes' WHEN p >= 0.5 THEN 'phone numbers' WHEN regexp_matches("column", '{profile.NAME_HINT}') THEN 'column name' END AS reason FROM sh)
+    SELECT "column", reason IS NOT NULL AS pii, coalesce(reason, '') AS pii_reason FROM r""")
 def profile_pii(spark, sf_dir):
     return profile.personal(*orders(spark, sf_dir))
 
 
-LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-
-
 def _pairs(cols):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _pairs(LINE_NUMBERS)))
 def profile_correlation(spark, sf_dir):
-    text = profile.as_text(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), "l_quantity")
+    text = profile.as_text(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return profile.correlations(text, list(LINE_NUMBERS)).withColumn("r", F.round("r", 6))
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM lineitem HAVING abs(corr({a}, {b})) >= 0.5" for a, b in _pairs(LINE_NUMBERS)))
+#: Beside the numbers, twice the quantity (a strong pair) and the price left after the discount.
+MADE = {"l_double": "2 * l_quantity", "l_net": "l_extendedprice * (1 - l_discount)"}
+
+
+@query("WITH m AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in MADE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM m HAVING abs(corr({a}, {b})) >= 0.5" for a, b in _pairs((*LINE_NUMBERS, *MADE))))
 def profile_strong_pairs(spark, sf_dir):
-    text = profile.as_text(table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS), "l_quantity")
-    return profile.strong_pairs(profile.correlations(text, list(LINE_NUMBERS)))
+    made = table(spark, sf_dir, "lineitem").withColumns({k: F.expr(v) for k, v in MADE.items()})
+    return profile.strong_pairs(profile.correlations(profile.as_text(made, "l_orderkey"), [*LINE_NUMBERS, *MADE]))
 
 
-@query('WITH g AS (SELECT l_quantity, l_discount, l_tax, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS "rows", count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g')
+@query('WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 3), g AS (SELECT *, count(*) AS n FROM x GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS "rows", count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g')
 def profile_duplicates(spark, sf_dir):
-    cols = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    return profile.duplicates(profile.as_text(table(spark, sf_dir, "lineitem").select(*cols), "l_quantity"), cols)
+    """Whole rows of lineitem, third lines planted twice: the table itself repeats none."""
+    df = table(spark, sf_dir, "lineitem")
+    return profile.duplicates(profile.as_text(df.union(df.where("l_linenumber = 3")), "l_orderkey"), df.columns)
 
 
-@query()
+@query(f"""WITH {LONG}, {TYPES}, c AS (SELECT 1.0 AS completeness, coalesce(avg(type_agreement) FILTER (type NOT IN ('string', 'empty')), 1.0) AS consistency FROM types),
+    i AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) / (SELECT count(*) FROM orders) AS integrity)
+    SELECT completeness, round(consistency, 6) AS consistency, round(integrity, 6) AS integrity, CAST(round(100 * (0.5 * completeness + 0.4 * consistency + 0.1 * integrity)) AS INTEGER) AS score FROM c, i""")
 def profile_score(spark, sf_dir):
     text, cols = orders(spark, sf_dir)
     return profile.score(profile.counts(text, cols), profile.types(text, cols), profile.duplicates(text, cols))
@@ -507,8 +645,15 @@ def profile_score(spark, sf_dir):
 
 @query()
 def profile_events(spark, sf_dir):
-    return profile.profile(table(spark, sf_dir, "events").drop("props"), "event_id")
+    return profile.profile(table(spark, sf_dir, "events"), "event_id")
+
+
+@query()
+def profile_findings(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    text, cols = profile.as_text(df, "c_custkey"), df.columns
+    return profile.findings(profile.profile(df, "c_custkey"), profile.correlations(text, ["c_custkey", "c_nationkey", "c_acctbal"]), profile.duplicates(text, cols))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forge.forge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.document_reports(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*REPORT)

@@ -15,21 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT = 500 * 1024 * 1024
+#: Bytes that the kind of a file is read from.
+HEAD = 8192
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Media types by kind (fixed values).
 MEDIA = {"PDF": "application/pdf", "DOCX": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "XLSX": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "CSV": "text/csv", "TSV": "text/tab-separated-values", "JSON": "application/json", "MD": "text/markdown", "TXT": "text/plain"}
 
 
 def kind_of(content: Column, path: Column) -> Column:
-    """PDF, DOCX, XLSX, MD, CSV, TSV, JSON, TXT, or null for binary files of unknown kind."""
+    """PDF, DOCX, XLSX, MD, CSV, TSV, JSON, TXT, or null for binary files of unknown kind.
+
+    Text is valid UTF-8 without control characters in its first bytes, the last of which may be cut short.
+    """
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    head = F.substring(content, 1, 8192)
-    clean = F.is_valid_utf8(F.decode(head, "ISO-8859-1")) & ~F.decode(head, "ISO-8859-1").rlike(r"[\x00-\x08\x0E-\x1F]")
-    zipped = F.hex(F.substring(content, 1, 4)) == "504B0304"
-    return (
-        F.when(F.hex(F.substring(content, 1, 4)) == "25504446", "PDF").when(zipped & (ext == "xlsx"), "XLSX").when(zipped, "DOCX").when(ext == "md", "MD")
-        .when(clean & ext.isin("csv", "tsv", "json"), F.upper(ext)).when(clean, "TXT")
-    )
+    head = F.substring(content, 1, HEAD)
+    cut = F.octet_length(head) == HEAD
+    valid = lambda less: F.is_valid_utf8(F.substring(head, F.lit(1), F.octet_length(head) - less).cast("string"))
+    utf8 = valid(0) | (cut & (valid(1) | valid(2) | valid(3)))
+    clean = utf8 & ~F.decode(head, "ISO-8859-1").rlike(r"[\x00-\x08\x0E-\x1F]")
+    start = F.hex(F.substring(content, 1, 4))
+    zipped = F.when(ext.isin("xlsx", "xls"), "XLSX").when(ext.isin("csv", "tsv"), F.upper(ext)).otherwise("DOCX")
+    return F.when(start == "25504446", "PDF").when(start == "504B0304", zipped).when(ext == "md", "MD").when(clean & ext.isin("csv", "tsv", "json"), F.upper(ext)).when(clean, "TXT")
 
 
 def inspect(files: DataFrame) -> DataFrame:
@@ -90,6 +96,15 @@ def docx_blocks(content: bytes) -> list[tuple[str, str, int | None]]:
     return out
 
 
+def docx_title(content: bytes) -> str | None:
+    """The title among a document's core properties."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return None
+        found = ElementTree.fromstring(z.read("docProps/core.xml")).find("{http://purl.org/dc/elements/1.1/}title")
+    return (found.text or "").strip() or None if found is not None else None
+
+
 def space_repair(x: str) -> str:
     """Blanks that run-in extraction lost: after colons but between digits, and between sentences."""
     x = re.sub(r"(?<!\d):(?=\S)|:(?=[^\s\d])", ": ", x)
@@ -118,12 +133,13 @@ def is_readable(x: str) -> bool:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text) of text, Markdown, DOCX and PDF files; a file is one row of a task's batch."""
+    """(path, kind, text, meta_title) of text, Markdown, DOCX and PDF files; a file is one row of a task's batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            texts = []
+            texts, titles = [], []
             for kind, content in zip(files["kind"], files["content"], strict=True):
+                titles.append(docx_title(content) if kind == "DOCX" else None)
                 if kind == "DOCX":
                     texts.append("\n".join(("#" * (level or 1) + " " if t == "heading" else "") + x for t, x, level in docx_blocks(content)))
                 elif kind == "PDF":
@@ -131,8 +147,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     texts.append(found if is_readable(found) else "")
                 else:
                     texts.append(decode_bytes(content))
-            yield pd.DataFrame({"path": files["path"], "kind": files["kind"], "text": texts})
+            yield pd.DataFrame({"path": files["path"], "kind": files["kind"], "text": texts, "meta_title": titles})
 
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= LIMIT)
     kinds = files.withColumn("kind", kind_of(F.col("content"), F.col("path"))).where(F.col("kind").isin("TXT", "MD", "DOCX", "PDF"))
-    return kinds.select("path", "kind", "content").mapInPandas(run, "path string, kind string, text string")
+    return kinds.select("path", "kind", "content").mapInPandas(run, "path string, kind string, text string, meta_title string")

@@ -1,4 +1,4 @@
-"""Arriving files as a stream: a bounded number a trigger, each forged once, sources archived afterwards."""
+"""Arriving files as a stream: a bounded number a trigger, each reported once, sources archived afterwards."""
 
 from __future__ import annotations
 
@@ -20,11 +20,11 @@ def arrivals(spark: SparkSession, path: str, archive: str | None = None, per_tri
     return files.select(F.xxhash64("path").alias("doc_id"), "text", "path")
 
 
-def drain(stream: DataFrame, forge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Forge all that has arrived, batch by batch, and stop; a restart goes on where the checkpoint says."""
+def drain(stream: DataFrame, report: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Report on all that has arrived, batch by batch, and stop; a restart goes on where the checkpoint says."""
 
     def batch(docs: DataFrame, number: int) -> None:
-        forge(docs).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        report(docs).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
-from inkwell.operators import blocks, cite, library, profile, redact, summary
+from inkwell.operators import blocks, cite, library, normalise, profile, redact, summary
 from inkwell.plans import catalogue
+from inkwell.plans import documents as plan
 from inkwell.sources import documents, tables, writers
 
 
@@ -84,7 +85,14 @@ def test_headers_and_delimiters(spark, tmp_path):
     df = tables.read_delimited(spark, str(tmp_path / "x.csv"))
     assert df.columns == ["a", "b", "b_2"] and [tuple(r) for r in df.collect()] == [("1", "x;y", "3"), ("4", "5", "")]
     (tmp_path / "x.json").write_text('{"records":[{"a":1,"b":{"c":2}}]}')
-    assert tables.read_json_records(spark, str(tmp_path / "x.json")).first().asDict() == {"a": "1", "b": '{"c":"2"}'}
+    assert tables.read_json_records(spark, str(tmp_path / "x.json")).first().asDict() == {"a": "1", "b": '{"c":2}'}
+    (tmp_path / "y.json").write_text('[{"z":true,"a":null},7,{"b":[1],"z":"t"}]')
+    got = tables.read_json_records(spark, str(tmp_path / "y.json"))
+    assert got.columns == ["z", "a", "b"] and [tuple(r) for r in got.collect()] == [("true", "", ""), ("t", "", "[1]")]
+    (tmp_path / "w.csv").write_bytes("näme;x\nü€;".encode() + "é€\n".encode("cp1252"))
+    got = tables.read_delimited(spark, str(tmp_path / "w.csv"))
+    assert [tuple(r) for r in got.collect()] == [("ü€", "é€")]
+    assert tables.measured(df, 1).first().asDict() == {"row_count": 2, "kept": 1, "truncated": True}
 
 
 def test_repairs():
@@ -100,7 +108,11 @@ def test_files(spark, tmp_path):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     with zipfile.ZipFile(tmp_path / "in/d.docx", "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "in/e.csv").write_bytes(b"\xff\xfe")
+    (tmp_path / "in/f.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "in/g.txt").write_bytes(b"x" * 8191 + "é".encode())
     got = {r.path.rsplit("/", 1)[1]: (r.kind, r.text) for r in documents.read_documents(spark, str(tmp_path / "in")).collect()}
+    assert got.pop("g.txt")[0] == "TXT"
     assert got == {"a.txt": ("TXT", "plain text"), "b.md": ("MD", "# Title"), "d.docx": ("DOCX", "## Head\nBody")}
     info = documents.inspect(spark.read.format("binaryFile").load(str(tmp_path / "in"))).collect()
     assert {r.kind for r in info} == {"TXT", "MD", "DOCX"}
@@ -169,3 +181,141 @@ def test_addresses(spark):
     assert redact.apply_spans(found, redact.token_map(found)).first().text == "at [ADDRESS-1]. Mail [EMAIL-1]"
     done = redact.everywhere(redact.apply_spans(found))
     assert redact.leaks(done).first().leaks == 0 and redact.leaks(found).first().leaks == 2
+
+
+def workbook(path, rows):
+    cell = lambda i, j, x: f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{x}</t></is></c>'
+    body = "".join(f'<row r="{i + 1}">{"".join(cell(i, j, x) for j, x in enumerate(r) if x)}</row>' for i, r in enumerate(rows))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_workbook(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["", ""], ["b", "a", ""], ["1", "", "x"], ["2", "y", ""]])
+    df = tables.read_workbook(spark, str(tmp_path / "a.xlsx"))
+    assert df.columns == ["b", "a"] and [tuple(r) for r in df.collect()] == [("1", ""), ("2", "y")]
+
+
+def test_quartiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    sets = {"a": rng.normal(size=30_000).round(3), "b": rng.zipf(1.5, 20_000).clip(0, 10**6).astype(float), "c": np.array([3.0]), "d": np.array([1.0, 9.0]), "e": np.repeat([1.0, 2.0, 7.0], [5000, 9000, 1000])}
+    width = max(map(len, sets.values()))
+    rows = [(i, *(repr(float(v[i])) if i < len(v) else None for v in sets.values())) for i in range(width)]
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} string" for c in sets))
+    got = {r.column: r for r in profile.numeric_stats(profile.as_text(df, "i"), list(sets)).collect()}
+    for c, v in sets.items():
+        assert np.allclose([got[c].q1, got[c].median, got[c].q3], np.quantile(v, [0.25, 0.5, 0.75]), rtol=1e-12), c
+        assert got[c].n == len(v) and np.isclose(got[c].mean, v.mean())
+
+
+def test_correlations_use_complete_pairs(spark):
+    rows = [("1", "2", "x"), ("2", "4", "5"), ("3", None, "6"), ("4", "8", "7"), ("5", "11", "1")]
+    got = {(r.a, r.b): (r.n, r.r) for r in profile.correlations(spark.createDataFrame(rows, "a string, b string, c string"), ["a", "b", "c"]).collect()}
+    assert got["a", "b"][0] == 4 and np.isclose(got["a", "b"][1], np.corrcoef([1, 2, 4, 5], [2, 4, 8, 11])[0, 1])
+    assert got["a", "c"][0] == 4 and got["b", "c"][0] == 3 and np.isclose(got["b", "c"][1], np.corrcoef([4, 8, 11], [5, 7, 1])[0, 1])
+
+
+def test_walk_from_page_numbers(spark):
+    """Four lines go above a bare number, blank ones count as steps, content and the thirteenth line stop the walk."""
+    text = "one two\n\nhead a\nhead b\nhead c\nhead d\nhead e\n\n3\n\nA sentence ends.\nfoot\n4\n"
+    rows = [(1, text), (2, "top" + "\n" * 11 + "x\n7\n"), (3, "far" + "\n" * 13 + "8\n"), (4, None), (5, "Run head 1\nbody one\nRun head 2\nPage 2\nRun head 3\nlast\nPage 3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {(r.doc_id, r.line) for r in normalise.marked_lines(df).where("dropped").collect()}
+    assert gone == {(1, x) for x in ("head b", "head c", "head d", "head e", "3", "foot", "4")} | {(2, "top"), (2, "x"), (2, "7"), (3, "8")} | {(5, x) for x in ("Run head 2", "Page 2", "Run head 3", "Page 3")}
+    got = {r.doc_id: r for r in normalise.prepare(df).collect()}
+    assert got[4].blocks == [] and got[4].text == "" and got[1].text == "one two\nhead a\nA sentence ends."
+    assert got[5].header == "Run head 2 Run head 3" and got[3].text == "far"
+
+
+def test_titles_from_furniture(spark):
+    text = "Title page\nAnnual Plan of Cork 2025\nx\n\nAnnual Plan of Cork\n1 | Page\nbody text here\nAnnual Plan of Cork\n2 | Page\nmore"
+    got = normalise.prepare(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.header == "Annual Plan of Cork 2025" and got.removed == ["Annual Plan of Cork", "1 | Page", "Annual Plan of Cork", "2 | Page"]
+
+
+LIST = "Lead words stand here. More.\n\n1.1 Scope\n• cut costs by 12%\n• plain item\n\n1.2 Method\n• cut costs by 12%\n• hired 20 people\n• on 1/2/2020 and 3/4/2021 nothing\n"
+
+
+def test_reports(spark):
+    long = "The river rose by 12% in 2021. " + " ".join(f"River water number {i} flows past the old mill town." for i in range(30))
+    rows = [(1, LIST), (2, long), (3, "# Head\ntext ¥"), (4, "")]
+    reports = plan.document_reports(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in reports.collect()}
+    assert got[1].doc_class == "list-dominant" and got[1].summary == "Lead words stand here. Defines two sections: Scope; Method."
+    assert got[1].key_findings == ["hired 20 people"] and [(s.title, s.words) for s in got[1].sections] == [("1.1 Scope", 5), ("1.2 Method", 8)]
+    assert got[2].doc_class == "prose" and got[2].title == "document-2" and got[2].n_phrases >= 5 and "content_loss" not in got[2].verdict_flags
+    assert got[3].title == "Head" and got[3].source_type == "MD" and got[4].verdict_flags == "no_content no_summary"
+    md = {r.doc_id: r.markdown for r in writers.document_markdown(reports).collect()}
+    heads = lambda x: [h for h in x.split("\n") if h.startswith("## ")]
+    assert heads(md[1]) == [f"## {h}" for h in ("1. Executive Summary", "2. Knowledge Score", "3. Document Metadata", "4. Quality Verdict", "5. Contents", "6. Structure", "7. Key Findings", "8. Key Phrases", "13. Statistics", "14. Full Extracted Text")]
+    assert "- hired 20 people" in md[1] and "### 1.1 Scope (5 words)" in md[1] and md[1].startswith("---\ntitle: ") and "\n### Head" not in md[4]
+    chosen = spark.createDataFrame([(0, 2, "Two", md[2]), (1, 1, "One", md[1])], "ord int, doc_id long, title string, markdown string")
+    phrases, refs = spark.createDataFrame([("p", 2.0), ("q", 3.0)], "phrase string, score double"), spark.createDataFrame([("r1",)], "raw string")
+    whole = writers.compilation_markdown("Both", chosen, phrases, refs).first().markdown
+    assert whole.index("# Document 1 — Two") < whole.index("# Document 2 — One") and "## 2.4 Quality Verdict" in whole and "- q\n- p" in whole
+    short = writers.compilation_markdown("Both", chosen, phrases, refs, context=True).first().markdown
+    assert "## 1.4 Quality Verdict" in short and "Knowledge Score" not in short
+
+
+def test_dataset_report(spark):
+    rows = [(i, float(i), 2.0 * i, "a@b.ie" if i % 2 else None, "x") for i in range(40)] + [(0, 0.0, 0.0, None, "x")]
+    df = spark.createDataFrame(rows, "id long, v double, w double, mail string, one string")
+    text, cols = profile.as_text(df, "id"), df.columns
+    whole, dups, pairs = profile.profile(df, "id"), profile.duplicates(text, cols), profile.correlations(text, ["v", "w"])
+    found = profile.findings(whole, pairs, dups)
+    said = [r.finding for r in found.orderBy("g", "k").collect()]
+    assert said[0] == "v and w move together, r = 1.0" and "mail is missing in 51.2% of rows" in said and "one holds one value" in said and said[-1] == "1 rows repeat others"
+    judged = profile.verdict(whole, dups).first()
+    assert judged.flags == ["pii", "duplicates"] and "mail (email addresses)" in judged.issues[0]
+    assert profile.overview(whole, 10).first().truncated
+    md = writers.dataset_markdown("T", whole, profile.score(profile.counts(text, cols), profile.types(text, cols), dups), pairs, found, profile.verdict(whole, dups)).first().markdown
+    assert [h for h in md.split("\n") if h.startswith("## ")] == [f"## {h}" for h in ("1. Overview", "2. Knowledge Score", "3. Dataset Metadata", "4. Quality Verdict", "5. Key Findings", "6. Column Profile", "7. Correlation Matrix")]
+
+
+def test_passages(spark):
+    words = " ".join(f"w{i}" for i in range(250))
+    rows = [(1, "# One\nfirst text\nsecond\n# Empty\n# Two\nlast"), (2, words), (3, ""), (4, "intro\n# Head\nbody #")]
+    got = [(r.doc_id, r.passage, r.label, r.text) for r in cite.passages(normalise.prepare(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy("doc_id", "passage").collect()]
+    assert got[:2] == [(1, 0, "One", "first text second"), (1, 1, "Two", "last")]
+    assert [(x[2], len(x[3].split())) for x in got if x[0] == 2] == [("Passage 1 of 3", 120), ("Passage 2 of 3", 120), ("Passage 3 of 3", 10)]
+    assert [x[1:] for x in got if x[0] == 4] == [(0, "Preamble", "intro"), (1, "Head", "body #")] and not [x for x in got if x[0] == 3]
+
+
+def test_citation_report(spark):
+    passages = spark.createDataFrame([(1, "P1", "solar energy policy energy"), (2, "P2", "castles walls repair")], "passage_id long, title string, text string")
+    refs = spark.createDataFrame([(0, "solar panels convert sunlight solar energy"), (1, "wind turbines convert wind energy"), (2, "medieval castles stone walls")], "ref_id long, text string")
+    parts = cite.bm25(passages, refs)
+    matched = cite.matches(cite.affinities(cite.scores(parts)))
+    suited = cite.ranked(cite.suitability(matched))
+    assert [r.ref_id for r in suited.collect()] == [0, 2, 1]
+    names = spark.createDataFrame([(0, "Sun"), (1, "Wind"), (2, "Stone")], "ref_id long, name string")
+    md = writers.citation_markdown("Work", passages, matched, cite.evidence(parts, matched), suited, names).first().markdown
+    assert "| Sun | 100% | 1 |" in md and md.index("### P1") < md.index("### P2") and "- Stone (0.99, great): castles walls" in md
+
+
+def test_redaction_report(spark):
+    prepared = spark.createDataFrame([(1, "x", [("mail a@b.ie",), ("to a@b.ie",)]), (2, "c@d.ie", [])], "doc_id long, text string, blocks array<struct<text:string>>")
+    fields = redact.detect(redact.fields_of(prepared))
+    assert sorted((r.doc_id, r.field, len(r.spans)) for r in fields.collect()) == [(1, 0, 1), (1, 1, 1), (2, 0, 1)]
+    found = redact.resolve(redact.detect(spark.createDataFrame([(1, "mail a@b.ie, c@d.ie")], "doc_id long, text string")))
+    tokens = redact.token_map(found)
+    md = writers.redaction_markdown(redact.apply_spans(found, tokens), found, tokens).first().markdown
+    assert "| email | 2 |" in md and "mail [EMAIL-2], [EMAIL-1]" in md and "| [EMAIL-1] | c@d.ie |" in md
+
+
+def test_library_deletes_with_children(spark, tmp_path):
+    reports = spark.createDataFrame([(1, "j1"), (2, "j2")], "id long, job_id string")
+    writers.write_library(reports, spark.createDataFrame([(1, "p"), (2, "q"), (2, " ")], "report_id long, phrase string"), spark.createDataFrame([(2, "r")], "report_id long, raw string"), str(tmp_path / "a"))
+    writers.delete_reports(str(tmp_path / "a"), spark.createDataFrame([(2,)], "report_id long"), str(tmp_path / "b"))
+    assert [spark.read.parquet(str(tmp_path / f"b/{t}")).count() for t in ("reports", "keyphrases", "references")] == [1, 1, 0]
+    assert [r.id for r in library.by_job(reports, spark.createDataFrame([("j2",), ("j2",)], "job_id string")).collect()] == [2]
+
+
+def test_phrases_merge_across_accents(spark):
+    df = spark.createDataFrame([("Café", 1.0), ("cafe", 2.0), ("tea", 2.5)], "phrase string, score double")
+    assert [tuple(r) for r in library.merge_keyphrases(df).collect()] == [("cafe", 3.0), ("tea", 2.5)]
+
+
+def test_paragraph_blocks(spark):
+    got = spark.createDataFrame([("HEAD\n\n A line.\nsame\n \n" + "x" * 120,)], "t string").select(blocks.paragraph_blocks(F.col("t")).alias("b")).first().b
+    assert [(b.type, b.level) for b in got] == [("heading", 2), ("heading", 2), ("paragraph", None)]
