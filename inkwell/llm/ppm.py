@@ -7,13 +7,15 @@ one are excluded; below order 0 the remaining byte values share evenly. A text's
 logarithm of its probability.
 
 Pretrained: a byte's code length depends on its six-byte gram only, so it is computed once per distinct gram. Counts of
-grams and words are taken in tasks, summed by a shuffle and never capped, so the trie grows with the corpus. The part
-of the trie below a two-byte context is worked on in one group; its size is bounded by the alphabet (256 ** 4 grams),
-not by the data. Orders 0 and 1 are at most 65 536 counts and travel with the tasks. Texts are then dealt into chunks of
-bounded bytes by a hash of their id; each chunk gets the code lengths and counts of just the grams and words it holds.
+grams and words are taken in tasks, summed by a shuffle and never capped, so the trie grows with the corpus; a task hands
+on its counts whenever they reach a bound. The part of the trie below a three-byte context is worked on in one group,
+of at most 256 ** 3 grams. Orders 0 to 2 are at most 256 ** 3 counts, of which languages use few, and travel with the tasks.
+Texts are then dealt into chunks of bounded bytes by a hash of their id; each chunk gets the code lengths and counts of
+just the grams and words it holds.
 Adaptive: each text is coded by a model that has seen only the text so far.
 
-Nulls and extremes: a null text is empty and consists of the end token; a null id counts as training and stays null;
+Nulls and extremes: a null text is empty and consists of the end token; ids may have any plain type; a null id counts
+as training and stays null;
 texts of any length are scored whole; repeated rows train as often as they occur and are all returned; without training
 texts every symbol is equally likely; an empty table gives an empty result; extra columns are ignored.
 """
@@ -39,7 +41,9 @@ FOLDS, HELD = 5, 1
 CHUNK_BYTES = 40_000_000
 #: Bytes of text that a counting task combines before its counts are shuffled.
 COUNT_BYTES = 96_000_000
-AT_ONCE = 3_000_000
+#: Bytes of text, and rows of a batch, that are worked on together; grams that a task holds before it hands them on.
+AT_ONCE, ROWS = 1_000_000, 500
+HOLD = 1_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -67,51 +71,47 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], sizes
 
 
-def slices_of(rows: pa.Table, step: int = 500) -> Iterator[list[list[bytes]]]:
-    """Tokens of a table's texts, some megabytes at once, without a second copy of all of them."""
-    for at in range(0, rows.num_rows, step):
-        part = rows.column("text").slice(at, step).to_pylist()
-        for lists, _ in batches_of(part, [None] * len(part)):
-            yield lists
-
-
-def batches_of(texts: list[bytes | None], extra: list) -> Iterator[tuple[list[list[bytes]], list]]:
-    """Texts as tokens, some megabytes at once."""
+def slices_of(texts: pa.Array | pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
+    """Tokens of texts, a bounded number of bytes (or one text) at once, without a second copy of all texts."""
     out: list = []
-    also: list = []
     size = 0
-    for t, x in zip(texts, extra, strict=True):
-        out.append(tokens_of(t))
-        also.append(x)
-        size += len(t or b"")
-        if size > AT_ONCE:
-            yield out, also
-            out, also, size = [], [], 0
+    for at in range(0, len(texts), ROWS):
+        for t in texts.slice(at, ROWS).to_pylist():
+            out.append(tokens_of(t))
+            size += len(t or b"")
+            if size > AT_ONCE:
+                yield out
+                out, size = [], 0
     if out:
-        yield out, also
+        yield out
 
 
 class Tally:
-    """Counts of integer grams, merged now and then."""
+    """Counts of integer grams in bounded memory: merged, and handed on when too many differ."""
 
-    def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+    def __init__(self, hold: int = HOLD):
+        self.keys, self.counts, self.held, self.hold = [], [], 0, hold
 
-    def add(self, keys: np.ndarray, weight: int) -> None:
+    def add(self, keys: np.ndarray, weight: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         code, distinct = pd.factorize(keys)
         self.keys.append(distinct)
         self.counts.append(np.bincount(code, minlength=len(distinct)) * weight)
         self.held += len(distinct)
-        if self.held > 2_000_000:
-            self.total()
+        if self.held > 2 * self.hold:
+            self.merge()
+            if self.held > self.hold:
+                yield from self.rest()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+    def merge(self) -> None:
         code, distinct = pd.factorize(np.concatenate(self.keys))
         counts = np.bincount(code, np.concatenate(self.counts), len(distinct)).astype(np.int64)
         self.keys, self.counts, self.held = [distinct], [counts], len(distinct)
-        return distinct, counts
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.keys:
+            self.merge()
+            yield self.keys[0], self.counts[0]
+            self.keys, self.counts, self.held = [], [], 0
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -121,11 +121,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         words: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(tokens_of(text))
-            if len(words) > 1_500_000:
-                yield out()
-                words.clear()
+            for lists in slices_of(batch.column(0)):
+                for tokens in lists:
+                    words.update(tokens)
+                if len(words) > HOLD:
+                    yield out()
+                    words.clear()
         yield out()
 
     return docs.where("NOT held_out").select("text").mapInArrow(run, "word binary, n bigint")
@@ -136,57 +137,65 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
+        out = lambda found: (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["gram", "n"]) for pair in found)
         for batch in batches:
-            for lists, held in batches_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind in (False, True):
-                    part = [coded(t) for t, h in zip(lists, held, strict=True) if h == kind]
-                    if part:
-                        tally.add(grams(part)[0], 0 if kind else 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.total()], names=["gram", "n"])
+            rows = pa.Table.from_batches([batch])
+            for held in (False, True):
+                for lists in slices_of(rows.filter(pa.compute.equal(rows.column("held_out"), held)).column("text")):
+                    yield from out(tally.add(grams([coded(t) for t in lists])[0], 0 if held else 1))
+        yield from out(tally.rest())
 
     return docs.select("text", "held_out").mapInArrow(run, "gram bigint, n bigint")
 
 
-def code_lengths(counts: DataFrame, low: np.ndarray) -> DataFrame:
-    """(gram, value): base-10 logarithm of each gram's probability. low: counts by last context byte and symbol."""
-    order0 = low.sum(axis=0)
+def code_lengths(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, value): base-10 logarithm of each gram's probability. low: counts by last two context bytes and symbol,
+    as sorted keys and numbers."""
+    keys, number = low
+    pairs = np.bincount(keys & 65535, number, 65536).reshape(256, 256)
+    order0 = pairs.sum(axis=0)
 
     def level(c: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of a symbol and of the escape, of what the exclusion has left."""
         twice = np.where(total > 0, 2.0 * total, 1.0)
         return (2 * c - 1) / twice, np.where(total > 0, kinds / twice, 1.0)
 
+    def below(c: np.ndarray, longer: np.ndarray) -> tuple[np.float64, np.float64]:
+        """Total and number of the symbols that a longer context hasn't excluded."""
+        left = np.where(longer > 0, 0, c)
+        return np.float64(left.sum()), np.float64((left > 0).sum())
+
     def run(rows: pa.Table) -> pa.Table:
-        """Grams with the last two context bytes in common; b2 and b3 are the second and third byte of a gram."""
+        """Grams with the last three context bytes in common; b4 is the one before them."""
         g, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
-        sym, last, b3, b23 = g & 255, int(g[0] >> 8 & 255), g >> 24 & 255, g >> 24 & 65535
-        seen = n > 0
+        sym, b4, seen = g & 255, g >> 32 & 255, n > 0
+        last = int(g[0] >> 8)
+        c1, c0, c2 = pairs[last & 255], order0, np.zeros(256)
+        i, j = np.searchsorted(keys, [(last & 65535) << 8, ((last & 65535) + 1) << 8])
+        c2[keys[i:j] & 255] = number[i:j]
         ctx = pd.factorize(g >> 8)[0]
         size = int(ctx.max()) + 1
-        four, pair4 = pd.factorize(b23 << 8 | sym)
+        four, pair4 = pd.factorize(b4 << 8 | sym)
         u4 = np.bincount(four, n, len(pair4))
         ctx4, sym4 = pair4 >> 8, pair4 & 255
-        t4, f4 = np.bincount(ctx4, u4, 65536), np.bincount(ctx4, u4 > 0, 65536)
-        c3 = np.bincount((ctx4 & 255) << 8 | sym4, u4, 65536).reshape(256, 256)
-        c2, c1, c0 = c3.sum(axis=0), low[last].astype(np.float64), order0.astype(np.float64)
+        t4, f4 = np.bincount(ctx4, u4, 256), np.bincount(ctx4, u4 > 0, 256)
+        c3 = np.bincount(sym4, u4, 256)
         c4 = u4[four]
         t5, f5 = np.bincount(ctx, n, size), np.bincount(ctx, seen, size)
-        f3, f2, f1, f0 = (c3 > 0).sum(axis=1), (c2 > 0).sum(), (c1 > 0).sum(), (c0 > 0).sum()
         p5, e5 = level(n, t5[ctx], f5[ctx])
         out4 = np.bincount(ctx, np.where(seen, c4, 0), size)
-        p4, e4 = level(c4, t4[b23] - out4[ctx], f4[b23] - f5[ctx])
-        out3 = np.bincount(ctx4, np.where(u4 > 0, c3[ctx4 & 255, sym4], 0), 65536)
-        p3, e3 = level(c3[b3, sym], c3.sum(axis=1)[b3] - out3[b23], f3[b3] - f4[b23])
-        out2 = ((c3 > 0) * c2).sum(axis=1)
-        p2, e2 = level(c2[sym], c2.sum() - out2[b3], f2 - f3[b3])
-        p1, e1 = level(c1[sym], np.float64(c1.sum() - c1[c2 > 0].sum()), np.float64(f1 - f2))
-        p0, e0 = level(c0[sym], np.float64(c0.sum() - c0[c1 > 0].sum()), np.float64(f0 - f1))
-        p = e0 / max(256 - f0, 1)
-        for c, known, escape in ((c0[sym], p0, e1), (c1[sym], p1, e2), (c2[sym], p2, e3), (c3[b3, sym], p3, e4), (c4, p4, e5)):
+        p4, e4 = level(c4, t4[b4] - out4[ctx], f4[b4] - f5[ctx])
+        out3 = np.bincount(ctx4, np.where(u4 > 0, c3[sym4], 0), 256)
+        p3, e3 = level(c3[sym], c3.sum() - out3[b4], (c3 > 0).sum() - f4[b4])
+        p2, e2 = level(c2[sym], *below(c2, c3))
+        p1, e1 = level(c1[sym], *below(c1, c2))
+        p0, e0 = level(c0[sym], *below(c0, c1))
+        p = e0 / max(256 - (c0 > 0).sum(), 1)
+        for c, known, escape in ((c0[sym], p0, e1), (c1[sym], p1, e2), (c2[sym], p2, e3), (c3[sym], p3, e4), (c4, p4, e5)):
             p = escape * np.where(c > 0, known, p)
         return pa.table({"gram": g, "value": np.log10(np.where(seen, p5, p))})
 
-    return counts.withColumn("suffix", F.expr("(gram >> 8) & 65535")).groupBy("suffix").applyInArrow(run, "gram bigint, value double")
+    return counts.withColumn("suffix", F.expr("(gram >> 8) & 16777215")).groupBy("suffix").applyInArrow(run, "gram bigint, value double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,22 +214,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     words = ws.cut(word_counts(whole).groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     counted = ws.cut(gram_counts(whole).groupBy("gram").agg(F.sum("n").alias("n")))
-    low = np.zeros((256, 256), np.int64)
-    for pair, n in counted.groupBy(F.expr("gram & 65535").alias("pair")).agg(F.sum("n").alias("n")).collect():
-        low[pair >> 8, pair & 255] = n
-    lengths = code_lengths(counted, low)
+    few = counted.where("n > 0").groupBy(F.expr("gram & 16777215").alias("key")).agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    lengths = code_lengths(counted, (few.column("key").to_numpy(), few.column("n").to_numpy()))
 
     # What each chunk holds. All three uses of the chunks read one shuffle.
     def held_words(rows: pa.Table) -> pa.Table:
         found: set = set()
-        for lists in slices_of(rows):
+        for lists in slices_of(rows.column("text")):
             for t in lists:
                 found.update(t)
         chunk = rows.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([chunk] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
 
     def held_grams(rows: pa.Table) -> pa.Table:
-        parts = [pd.unique(grams([coded(t) for t in lists])[0]) for lists in slices_of(rows)]
+        parts = [pd.unique(grams([coded(t) for t in lists])[0]) for lists in slices_of(rows.column("text"))]
         found = pd.unique(np.concatenate(parts))
         return pa.table({"chunk": np.full(len(found), rows.column("chunk")[0].as_py(), np.int32), "gram": found})
 
@@ -231,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     def log_base(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         is_word = found.column("word").is_valid()
@@ -243,7 +250,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         gram, value = gram[by], value[by]
         del found, part, by
         n_tokens, n_known, base, model = [], [], [], []
-        for lists in slices_of(texts):
+        for lists in slices_of(texts.column("text")):
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             at = np.cumsum(sizes) - sizes
             c = np.fromiter((counts.get(w, 0.0) for t in lists for w in t), np.float64, int(sizes.sum()))
@@ -290,7 +297,8 @@ def score_adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [adaptive_bits(coded(tokens_of(t))) for t in batch.column(1).to_pylist()]
+            values = [adaptive_bits(coded(t)) for lists in slices_of(batch.column(1)) for t in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")

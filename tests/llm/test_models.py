@@ -52,7 +52,8 @@ def gram_value(gram, seen):
 
 
 @pytest.mark.parametrize("chunk", [3000, 10**9])
-def test_language_model(spark, chunk):
+def test_language_model(spark, chunk, monkeypatch):
+    monkeypatch.setattr(ppm.Tally.__init__, "__defaults__", (50,))
     rng = random.Random(6)
     texts = {i: " ".join(rng.choices(["The", "cat", "sat", "ß", "on", "mat.", "zq" * 9], k=rng.randint(0, 60))) for i in range(60)} | {100: None, 101: "", 102: "word " * 4000}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, score int").repartition(4)
@@ -76,6 +77,17 @@ def test_language_model(spark, chunk):
     assert ppm.score(df.limit(0)).count() == 0
 
 
+def test_language_model_of_odd_rows(spark):
+    """Ids of other types, null ids, repeated rows and no training text at all."""
+    rows = [("a", "the cat"), ("a", "the cat"), (None, "the cat"), ("b", None)]
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, round(r.score, 9)) for r in ppm.score(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=repr)
+    assert [g[0] for g in got] == ["a", "a", "b", None] and len({g[3] for g in got if g[0] != "b"}) == 1 and got[2][2] == 1
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = ppm.score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
+    assert alone.held_out and alone.train_tokens == 0 and math.isclose(alone.score, -3 * math.log10(256))
+    assert ppm.score_adaptive(spark.createDataFrame(rows, "doc_id string, text string")).count() == 4
+
+
 def test_held_out_texts_are_predicted(spark):
     """A model that has learned the words beats an even guess by far on texts it hasn't seen."""
     rng = random.Random(8)
