@@ -10,7 +10,8 @@ most `SMALL` sources, counted first, are broadcast instead.
 
 Nulls and extremes: a null source is a source of its own; a null id is hashed as an empty string; null and long texts
 pass through; repeated rows get equal numbers of copies each; weights given for absent sources are ignored and sources
-without a weight get none; an empty table gives an empty result. Extra columns are kept; `copy`, `copies` are added.
+without a weight get none; an empty table gives an empty result. Extra columns are kept, whatever their names; `copies`
+and `copy` are added, in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, unused
+
 SMALL = 10_000
 SALTS = 64
 POWER = 0.7
@@ -56,19 +59,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float, powe
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, power: float = POWER, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents' columns, with a row for each copy, its number and the number of copies, globally shuffled."""
-    table = rates(docs, weights, epochs, power, source_col).select(F.col("source").alias("_source"), F.col("steps").alias("_steps")).persist()
-    try:
-        few = table.limit(SMALL + 1).count() <= SMALL
-    finally:
-        table.unpersist()
-    if few:
-        joined = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(F.col("_source")))
+    source, steps, salt, u, order = unused(docs, "source", "steps", "salt", "u", "order")
+    table = rates(docs, weights, epochs, power, source_col).select(F.col("source").alias(source), F.col("steps").alias(steps))
+    same = named(source_col).eqNullSafe(named(source))
+    if table.limit(SMALL + 1).count() <= SMALL:
+        joined = docs.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, dealt[source_col].eqNullSafe(F.col("_source")) & (dealt["_salt"] == salted["_salt"])).drop("_salt")
-    u = uniform(seed, F.col(id_col))
-    counted = joined.withColumn("_u", u).withColumn("copies", F.size(F.filter("_steps", lambda c: c <= F.col("_u")))).drop("_u", "_steps", "_source")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (dealt[salt] == salted[salt]))
+    kept = [named(c) for c in docs.columns if c.lower() not in ("copy", "copies")]
+    key = F.col(id_col)
+    counted = joined.select("*", uniform(seed, key).alias(u)).select(*kept, key.alias(order), F.size(F.filter(named(steps), lambda c: c <= named(u))).alias("copies"))
     copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"))
-    return copies.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    copies = copies.withColumn(order, F.xxhash64(F.lit(seed), named(order), F.col("copy")))
+    return copies.repartition(named(order)).sortWithinPartitions(named(order)).drop(order)

@@ -17,12 +17,13 @@ least p - d blocks. Of those, blocks empty in a set are worthless; the remaining
 
 Sets for which `need` isn't positive also emit their empty blocks; two such sets then meet there. Verification is
 exact on the sets. Equal sets form a class that takes part once. The block values travel packed by ranges of their
-hash, so a task sorts arrays instead of Spark moving a row for each. No caps: no link between different sets is lost.
+hash, so a task sorts arrays instead of Spark moving a row for each; there are as many ranges as bound a range's keys. No caps: no link between different sets is lost.
 
 Nulls and extremes: a text that is null or has no words has no shingles and links with nothing, its component is its
 own id. Texts of any length are taken whole. Repeated rows are returned alike; rows that share an id but differ in
-text count as one document that has the links of both. A null id gets a null component. Extra columns are ignored; an
-empty table gives an empty result.
+text count as one document that has the links of both. Ids are integers. A null id links with nothing and gets as its
+component the document of an equal set that has an id, else null. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components
-from .shingles import WordHashes, mix, shingle_sets
+from .shingles import WordHashes, mix, shingle_sets, slices
 
 #: The threshold as a ratio: 100 * intersection >= 80 * union.
 NUM, DEN = 4, 5
+#: Sketch keys that a task packs together; shingles whose keys a range holds on average, at most.
+FLUSH, RANGE = 1_000_000, 4_000_000
 
 
 def bands(top: int = 1 << 40) -> np.ndarray:
@@ -88,7 +91,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, one, two = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), known):
                 n.append(len(s))
@@ -128,7 +131,7 @@ def packed_keys(docs: DataFrame, ranges: int) -> DataFrame:
         slots: list = []
         keys: list = []
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             for s in shingle_sets(batch.column(0).to_pylist(), known):
                 if not len(s):
                     continue
@@ -140,7 +143,7 @@ def packed_keys(docs: DataFrame, ranges: int) -> DataFrame:
                         slots.append((fp, band, need))
                         keys.append(k)
                         held += len(k)
-                if held > 3_000_000:
+                if held > FLUSH:
                     yield flush(slots, keys)
                     slots, keys, held = [], [], 0
         if held:
@@ -186,7 +189,7 @@ def set_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             packed = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "items"])
 
@@ -197,7 +200,7 @@ def shared_tokens(sets: DataFrame, ranges: int) -> DataFrame:
     """(node, token, freq) for the shingles that at least two of the sets have."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             items = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not items:
@@ -245,7 +248,7 @@ def prefix_keys(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, nodes, sides = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for node, n, ranked in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
                 token = ranked.values.field("token").to_numpy().view(np.uint64)
@@ -271,7 +274,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -289,11 +292,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, one row a document."""
     spark = docs.sparkSession
     ws = Workspace(spark, "nearjoin")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     prints = ws.cut(fingerprints(raw))
     own = ["fp", "fp2", "n_shingles"]
     classes = ws.cut(prints.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("node")))
+    total = prints.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     hits = ws.cut(shared_keys(packed_keys(raw, ranges)))
 
     # Sets that keep as many block values as any partner must share with them.

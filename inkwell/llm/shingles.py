@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -12,11 +13,22 @@ WIDTH = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words whose hashes a task remembers; rows of a batch that it works on at once.
+REMEMBER, ROWS = 250_000, 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of bounded rows, so that what is unpacked of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 class WordHashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBER:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -58,6 +58,14 @@ def test_ngram_join(spark):
     assert nearjoin.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_rows_without_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, a), (None, b), (4, a), (5, a), (None, None), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 2, 4), (None, 2, None), (4, 2, 4), (5, 2, 4), (None, 0, None), (None, 2, None)], key=repr)
+
+
 def test_band_bounds():
     for size in range(1, 3000):
         band = int(np.searchsorted(nearjoin.BANDS, size))
@@ -89,6 +97,9 @@ def test_vectors(spark):
                     links[b] += 1
         assert got == {i: (links[i], forest.find(i), forest.find(i) == i) for i, _ in data}
     assert nearvec.near_duplicates(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in nearvec.near_duplicates(odd).collect()), key=repr)
+    assert got == sorted([(None, 0, None, None), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)], key=repr)
 
 
 def test_components(spark):
@@ -182,6 +193,22 @@ def test_mixing(spark):
         mixing.SMALL = few
 
 
+def test_mixing_odd_rows(spark):
+    """Clashing names stay; a rate of 4 repeats null ids, null and long texts and equal rows alike."""
+    names = ["_source", "steps", "_steps", "_u", "_order", "Copies", "rate"]
+    rows = [(i, "s", t, *(f"{n} {i}" for n in names)) for i, t in ((1, "a"), (2, None), (3, "long " * 40_000), (4, "same"), (4, "same"), (None, "x"), (None, "y"))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.mix_sources(df, epochs=4.0)
+    assert out.columns == [c for c in df.columns if c != "Copies"] + ["copies", "copy"]
+    got = out.collect()
+    assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names if n != "Copies") or any(r.doc_id is None for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id, r.text].append(r.copy)
+    assert sorted(by[4, "same"]) == sorted(list(range(1, max(by[4, "same"]) + 1)) * 2)
+    assert sorted(by[None, "x"]) == sorted(by[None, "y"]) and all(min(c) == 1 for c in by.values())
+
+
 def test_archive(spark, tmp_path):
     big, small = "x" * 1500, "y"
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "ü", "ü" * 700), (7, "u", big)]
@@ -198,4 +225,8 @@ def test_archive(spark, tmp_path):
         assert body == want + b"\r\n\r\n" and f"Content-Length: {len(want)}".encode() in head
     assert got[6].payload_bytes == 1400
     warc.write(df.limit(0), str(tmp_path / "none"))
-    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0 and warc.records(spark, str(tmp_path / "none")).count() == 0
+    odd = spark.createDataFrame([(None, "u", big, "a"), (8, "u", big, "b"), (8, "u", big, "c"), (9, None, None, "d")], "page_id long, url string, html string, payload string")
+    warc.write(odd, str(tmp_path / "odd"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "odd")).collect()), key=repr)
+    assert got == sorted([(None, "revisit", 8), (8, "response", None), (8, "response", None), (9, "response", None)], key=repr)
