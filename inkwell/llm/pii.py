@@ -1,12 +1,14 @@
 r"""Personal data: patterns propose spans, checksums confirm them, words nearby move their score. DataFrame functions only.
 
 The base kinds are email, ip, card and phone: leftmost non-overlapping matches, dropped without another try if the parts
-of an address exceed 255, the digits fail Luhn or their number is wrong. Added kinds (iban by mod 97, ssn by its ranges)
-count only if their score reaches a threshold; a word of the kind's context within `NEAR` code points raises it.
+of an address exceed 255, the digits fail Luhn or their number is wrong. Added kinds (iban by mod 97, ssn by its ranges,
+keys by their issuers' formats, secrets by being long and mixed, passport numbers) count only if their score reaches a
+threshold; a word of the kind's context within `NEAR` code points raises it, and the weaker kinds need one.
 
 Offsets are code points, end exclusive. They come from splitting the text by the same pattern: a match starts after
 all earlier pieces and matches. Patterns take runs of their characters whole, so a long run isn't tried from each of
-its characters; `\G` lets a match begin in a run whose head the last match has used.
+its characters; `\G` lets a match begin in a run whose head the last match has used. Repeated groups are possessive, as
+Java's matcher takes a stack frame a repetition of others and thousands of them would end the executor.
 
 Nulls and extremes: a null text is empty and has no spans; a null id stays null; texts of any length are read whole;
 repeated rows are all returned; an empty table gives an empty result; extra columns of the input are ignored.
@@ -64,14 +66,24 @@ def valid(kind: str, x: Column) -> Column:
 
 
 BASE = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "@", 0.9, "mail|contact|write|reach"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write|reach"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server|login"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])+", r"[0-9][\x20-]?[0-9]", 0.7, "card|visa|credit|payment|cc"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.7, "card|visa|credit|payment|cc"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "call|phone|tel|mobile|fax"),
 )
+SECRETS = "token|secret|api|key|password|passwd|pwd|auth|bearer|credential|private"
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social|security|tax"),
+    Kind(
+        "key",
+        r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+        "A[KS]IA|gh[pousr]_|sk-|xox|AIza|eyJ|PRIVATE KEY",
+        0.8,
+        SECRETS,
+    ),
+    Kind("secret", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}+", "[A-Za-z0-9_+/=-]{20}", 0.3, SECRETS),
+    Kind("passport", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", "[A-Z][0-9]{6}", 0.3, "passport|reisepass|passeport|pasaporte"),
 )
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
@@ -114,6 +126,11 @@ def digest_of(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores_of(spans: Column) -> Column:
+    """The scores of all spans, in the order of digest_of, comma-joined."""
+    return F.array_join(F.transform(F.sort_array(spans), lambda s: s["score"].cast("string")), ",")
+
+
 def redact(found: DataFrame) -> DataFrame:
     """doc_id and text with every span replaced by its kind in brackets; of overlapping spans the first, longer one."""
     every = F.concat(*(F.col(k.name) for k in BASE + ADDED))

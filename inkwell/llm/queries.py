@@ -54,7 +54,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [F.col(k.name) for k in pii.BASE]
     counts = [F.size(c).cast("bigint").alias(f"n_{k.name}") for c, k in zip(base, pii.BASE, strict=True)]
     every = F.concat(*base, *(F.col(k.name) for k in pii.ADDED))
-    return found.select("doc_id", *counts, F.sha2(pii.digest_of(F.concat(*base)), 256).alias("base_sha256"), pii.digest_of(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest_of(F.concat(*base)), 256).alias("base_sha256"), pii.digest_of(every).alias("spans"), pii.scores_of(every).alias("scores"), F.size(every).cast("bigint").alias("n_spans"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
