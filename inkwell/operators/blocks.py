@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import LINE_BREAK, collapse, trim, word_count
 
-# Line patterns.
+# Line patterns. Groups repeat a bounded number of times, as Java's matcher takes a stack frame for each.
 BULLET = r"^\s*(?:[\x{2022}\x{2023}\x{25AA}\x{25CF}\x{25E6}\x{2043}\x{2219}\x{00B7}\x{2713}\x{2714}\x{2717}\x{2718}\x{2610}\x{2611}\x{2612}\x{2700}-\x{27BF}\x{E000}-\x{F8FF}]\s*|[*\x{2013}\x{2014}-]\s+)"
 CAPTION = r"(?i)^(fig(?:ure)?\.?|table)\s+\d+[a-z]?\s*[.:\x{2014}\x{2013}\-]\s*\S"
 NUMBERED = r"^\s*\d+\.\s+[A-Z]"
-SECTION = r"^\s*\d+\.\d+(\.\d+)*\s+\S"
+SECTION = r"^\s*\d+\.\d+(\.\d+){0,50}\s+\S"
+NUMBER = r"^\s*\d+(\.\d+){0,50}\.?\s*"
 PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
 PAGE_LABEL = r"(?i)^\s*\d{0,4}\s*\|?\s*p\s*a\s*g\s*e\b"
-LEADER = r"\.(\s?\.){3,}"
+LEADER = r"\.(\s?\.){3}"
 MATH = r"[\x{0370}-\x{03FF}\x{2070}-\x{209F}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}\x{00B1}\x{00D7}\x{00F7}\x{221A}\x{2211}\x{220F}\x{222B}\x{2260}\x{2264}\x{2265}\x{2248}\x{2208}\x{2207}\x{2202}\x{221E}=]"
 
 HEAD = 8192
@@ -186,7 +187,7 @@ def list_ratio(blocks: DataFrame) -> DataFrame:
 
 
 def heading_titles(blocks: DataFrame) -> DataFrame:
-    return blocks.where("type = 'heading'").select("doc_id", "pos", F.regexp_replace("text", r"^\s*\d+(\.\d+)*\.?\s*", "").alias("title"))
+    return blocks.where("type = 'heading'").select("doc_id", "pos", F.regexp_replace("text", NUMBER, "").alias("title"))
 
 
 # -- structure -------------------------------------------------------------------------------------------------------

@@ -110,7 +110,7 @@ def valid(category: str, x: Column, names: tuple[tuple[str, ...], tuple[str, ...
 def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES)) -> Column:
     """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     pieces = F.split(text, pattern, -1)
     rows = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.slice(pieces, F.lit(1), F.size(matches)).alias("p"))
 

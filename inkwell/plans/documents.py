@@ -51,7 +51,7 @@ def document_reports(docs: DataFrame, stem: Column | None = None, meta_title: Co
     one small row a document.
     """
     names = docs.select("doc_id", (F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem).alias("stem"), (F.lit(None).cast("string") if meta_title is None else meta_title).alias("meta_title"))
-    strip = lambda x: F.regexp_replace(x, r"^\s*\d+(\.\d+)*\.?\s*", "")
+    strip = lambda x: F.regexp_replace(x, blocks.NUMBER, "")
     prose = F.concat(F.col("removed"), F.transform(F.filter("blocks", lambda x: x["table_row"]), lambda x: x["text"]))
     prepared = normalise.prepare(docs.select("doc_id", "text")).withColumns({
         "titles": F.transform(F.filter("blocks", lambda x: x["type"] == "heading"), lambda x: strip(x["text"])),

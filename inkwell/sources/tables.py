@@ -18,6 +18,15 @@ RECORD_KEYS = ("data", "records", "rows", "items")
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give half as many splits as there are cores, or fewer, dealt over all cores; others as they are.
+
+    Only small tables have so few splits, so what is shuffled stays small. Rows, not splits, are what the work grows with.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def clean_header(names: list[str | None]) -> list[str]:
     """Trimmed; blank ones numbered by place; repeated ones by count; at most 256."""
     out, seen = [], {}
