@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct segments remembered by a task, and characters of new ones indexed at once.
-REMEMBERED, AT_ONCE = 300_000, 1_500_000
+REMEMBERED, AT_ONCE = 200_000, 750_000
+#: Texts of a batch that are worked on at once.
+ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,8 @@ class Vocabulary:
         crossing = [pieces[i] for i in plain if re.search(f"[^{SPACE}]{SPACE}", pieces[i])]
         if crossing:
             raise ValueError(f"pieces that go on after a space aren't supported: {crossing[:3]}")
+        if any(sp.get_score(i) != int(sp.get_score(i)) for i in plain):
+            raise ValueError("only vocabularies learned by merges are supported: scores of others are probabilities, not an order")
         by = {pieces[i]: i for i in range(n) if sp.is_byte(i)}
         at = tuple(by[f"<0x{b:02X}>"] for b in range(256))
         return cls(pieces, tuple(sorted((i for i in plain if len(pieces[i]) > 1), key=lambda i: (-sp.get_score(i), i))), at, frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unknown(i)))
@@ -196,8 +200,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_cols: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 ids, offsets = encoder.encode(texts)
                 same = [decoder.decode(ids[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
