@@ -15,8 +15,9 @@ least p - d blocks. Of those, blocks empty in a set are worthless; the remaining
    its rarest shingles, as many as any partner of a given size must share one of. In near copies with many edits those
    are shingles of their own, which meet nobody. Sets of different components that meet are verified, all pairs of them.
 
-Sets for which `need` isn't positive also emit their empty blocks; two such sets then meet there. Verification is
-exact on the sets. Equal sets form a class that takes part once. The block values travel packed by ranges of their
+Sets for which `need` isn't positive also emit their empty blocks; two such sets then meet there. Pairs that meet are
+first held against the sets' bit sketches: each shingle flips one of `BITS` bits, so the sketches' Hamming distance is at
+most the sets' difference, and a pair beyond the bound goes before any set is shipped. Verification is exact on the sets. Equal sets form a class that takes part once. The block values travel packed by ranges of their
 hash, so a task sorts arrays instead of Spark moving a row for each; there are as many ranges as bound a range's keys. No caps: no link between different sets is lost.
 
 Nulls and extremes: a text that is null or has no words has no shingles and links with nothing, its component is its
@@ -42,6 +43,7 @@ from .shingles import WordHashes, mix, shingle_sets, slices
 NUM, DEN = 4, 5
 #: Sketch keys that a task packs together; shingles whose keys a range holds on average, at most.
 FLUSH, RANGE = 1_000_000, 4_000_000
+BITS = 1024
 
 
 def bands(top: int = 1 << 40) -> np.ndarray:
@@ -184,16 +186,25 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, schema)
 
 
+def bit_sketch(found: np.ndarray) -> np.ndarray:
+    """BITS parities as 64-bit integers."""
+    flips = np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the set as bytes, in order."""
+    """doc_id, the set's size, its bit sketch and its items as bytes, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches):
-            packed = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), known)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "items"])
+            sets = list(shingle_sets(batch.column(1).to_pylist(), known))
+            bits = np.concatenate([bit_sketch(s) for s in sets]) if sets else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, lists, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "bits", "items"])
 
-    return docs.mapInArrow(run, "node bigint, items binary")
+    return docs.mapInArrow(run, "node bigint, n bigint, bits array<bigint>, items binary")
 
 
 def shared_tokens(sets: DataFrame, ranges: int) -> DataFrame:
@@ -266,8 +277,14 @@ def prefix_keys(sets: DataFrame, tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sides))], names=["key", "node", "side"])
 
     ranked = tokens.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("ranked"))
-    size = sets.select("node", (F.octet_length("items") / 8).cast("bigint").alias("n"))
-    return size.join(ranked, "node").select("node", "n", "ranked").mapInArrow(run, "key bigint, node bigint, side int")
+    return sets.select("node", "n").join(ranked, "node").select("node", "n", "ranked").mapInArrow(run, "key bigint, node bigint, side int")
+
+
+def within_bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose bit sketches differ in no more bits than linked sets of their sizes may differ in items."""
+    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return pairs.join(x, "a").join(y, "b").where((DEN + NUM) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nonlocal tried
         pairs = ws.cut(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
-        good = verify(pairs, sets)
+        good = verify(within_bound(pairs, sets), sets)
         at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         edges = ws.cut(good.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         merged = connected_components(edges, ws).toDF("component", "top")

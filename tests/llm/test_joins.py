@@ -66,6 +66,15 @@ def test_ngram_join_of_rows_without_id(spark):
     assert got == sorted([(None, 2, 4), (None, 2, None), (4, 2, 4), (5, 2, 4), (None, 0, None), (None, 2, None)], key=repr)
 
 
+def test_bit_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 900), np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**64, rng.integers(0, 300), np.uint64))))
+        apart = sum(int(x).bit_count() for x in (nearjoin.bit_sketch(a) ^ nearjoin.bit_sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (len(a) > 400 or len(b) or apart)
+
+
 def test_band_bounds():
     for size in range(1, 3000):
         band = int(np.searchsorted(nearjoin.BANDS, size))
