@@ -18,7 +18,7 @@ positions, which keeps the rest as it is.
 
 Nulls and extremes: a null text has no lines and stays null; blank lines stay; lines of any length are compared whole;
 repeated rows (equal id and text) are one document to the comparison and rebuilt alike; null ids come first; an empty
-table gives an empty result. Extra columns stay, whatever their names; only `n_lines` and `n_dropped` are replaced.
+table gives an empty result. Extra columns stay, whatever their names; only those called as the counts are replaced.
 """
 
 from __future__ import annotations
@@ -115,8 +115,8 @@ def near_lines(distinct: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """The documents with later copies of lines left out, and n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with later copies of lines left out, and n_lines and n_dropped (names: `counts`)."""
     ws = Workspace(docs.sparkSession, "lines")
     key1, key2, gaps = unused(docs, "k1", "k2", "drops")
     keyed = docs.withColumns({key1: F.xxhash64(id_col, text_col), key2: F.xxhash64(F.lit(5), id_col, text_col)})
@@ -141,5 +141,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.join(drops.toDF(key1, key2, gaps), [key1, key2], "left")
     rebuilt = F.when(drop.isNull() | text.isNull(), text).otherwise(let(ls, rest))
     n_lines, n_dropped = F.when(text.isNull(), 0).otherwise(F.size(ls)).cast("bigint"), F.coalesce(F.size(drop), F.lit(0)).cast("bigint")
-    kept = [rebuilt.alias(c) if c == text_col else named(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return joined.select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    kept = [rebuilt.alias(c) if c == text_col else named(c) for c in docs.columns if c.lower() not in counts]
+    return joined.select(*kept, n_lines.alias(counts[0]), n_dropped.alias(counts[1]))

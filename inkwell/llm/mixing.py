@@ -57,8 +57,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float, powe
     return weighed.join(F.broadcast(total)).select("source", mean.alias("rate")).withColumn("steps", F.when(F.col("rate") > 0, cumulative(F.col("rate"))).otherwise(F.array(F.lit(1.0))))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, power: float = POWER, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents' columns, with a row for each copy, its number and the number of copies, globally shuffled."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, power: float = POWER, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", names: tuple[str, str] = ("copies", "copy")) -> DataFrame:
+    """The documents' columns, with a row for each copy, the number of copies and its own (`names`), globally shuffled."""
     source, steps, salt, u, order = unused(docs, "source", "steps", "salt", "u", "order")
     table = rates(docs, weights, epochs, power, source_col).select(F.col("source").alias(source), F.col("steps").alias(steps))
     same = named(source_col).eqNullSafe(named(source))
@@ -68,9 +68,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
         salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
         joined = dealt.join(salted, same & (dealt[salt] == salted[salt]))
-    kept = [named(c) for c in docs.columns if c.lower() not in ("copy", "copies")]
+    kept = [named(c) for c in docs.columns if c.lower() not in names]
     key = F.col(id_col)
-    counted = joined.select("*", uniform(seed, key).alias(u)).select(*kept, key.alias(order), F.size(F.filter(named(steps), lambda c: c <= named(u))).alias("copies"))
-    copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    copies = copies.withColumn(order, F.xxhash64(F.lit(seed), named(order), F.col("copy")))
+    counted = joined.select("*", uniform(seed, key).alias(u)).select(*kept, key.alias(order), F.size(F.filter(named(steps), lambda c: c <= named(u))).alias(names[0]))
+    copies = counted.where(named(names[0]) > 0).withColumn(names[1], F.explode(F.sequence(F.lit(1), named(names[0]))))
+    copies = copies.withColumn(order, F.xxhash64(F.lit(seed), named(order), named(names[1])))
     return copies.repartition(named(order)).sortWithinPartitions(named(order)).drop(order)

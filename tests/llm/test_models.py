@@ -126,3 +126,30 @@ def test_pipeline(spark, tmp_path):
     assert out["line_dedup"] == clean and out["ngram_jaccard"] == clean
     last = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in last} <= clean and all(r.restored for r in last)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a null source and clashing names through every stage; then empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    fine = "The river is wide and the water of the river was clear. It is the end of that road for us, and that was good as it was."
+    other = "The house on the hill was old and its doors were shut. A man with a hat walked to it, and that is all that the story says of him."
+    third = "In the morning the light of the sun was on the field and the trees, and a bird sang to the day that had come with all of its work."
+    names = ["_k1", "_key", "n_lines", "_drops", "copies", "_source"]
+    rows = [(1, fine, "a"), (1, fine, "a"), (None, other, None), (None, other, None), (4, None, "b"), (5, "", "b"), (6, "short text", "a"), (7, third, "b"), (None, third, "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", s, 1, *(f"{n} {t}" for n in names)) for i, t, s in rows], schema)
+    wanted = {"quality_rules": [(1, fine)] * 2 + [(None, other)] * 2 + [(7, third), (None, third)], "line_dedup": [(1, fine)] * 2 + [(None, other)] * 2 + [(None, third)], "ngram_jaccard": [(1, fine), (None, other), (None, third)]}
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = docs.collect()
+        if name in wanted:
+            assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(wanted[name], key=repr)
+        if name != "sentencepiece":
+            assert [f.name for f in docs.schema] == schema.replace("`", "").replace(" long", "").replace(" string", "").split(", ")
+            assert all(r[n] == f"{n} {r.text}" for r in got for n in names if name != "line_dedup" or r.text in (fine, other, third))
+    assert all(r.restored for r in got) and {r.doc_id for r in got} <= {1, None}
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
