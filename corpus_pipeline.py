@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines go, and documents of which no word is left (null texts among them); n_chars follows."""
-    cleaned = lines.dedup_lines(docs).where(F.col("text").rlike(f"(?!{SPACE_CLASS})(?s:.)"))
+    cleaned = lines.dedup_lines(docs, counts=tuple(unused(docs, "lines", "dropped"))).where(F.col("text").rlike(f"(?!{SPACE_CLASS})(?s:.)"))
     size = F.length("text").cast("bigint")
     return cleaned.select(*(size.alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own; rows without an id share one number of copies.
     """
-    return mixing.mix_sources(docs).select(*map(named, docs.columns))
+    return mixing.mix_sources(docs, names=tuple(unused(docs, "copies", "copy"))).select(*map(named, docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
