@@ -426,7 +426,18 @@ def passage_windows(spark, sf_dir):
     return cite.windows(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+@query(f"""WITH {MARKED}, {_kinds('marked', True)}, {PARTS}, p AS (SELECT doc_id, text, instr(text, '#') > 0 AND strlen(substr(text, 1, instr(text, '#') - 1)) < 8192 AS md FROM d),
+    blk AS (SELECT x.doc_id, x.pos, x.part, x.type, x.text FROM parts x JOIN p USING (doc_id) WHERE NOT md
+      UNION ALL SELECT l.doc_id, pos, 1, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.') THEN 'heading' ELSE 'paragraph' END,
+        CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.') THEN regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1) WHEN regexp_matches(line, '^[-*]\\s+') THEN regexp_replace(line, '^[-*]\\s+', '') ELSE line END FROM l JOIN p USING (doc_id) WHERE md AND line <> ''),
+    sec AS (SELECT *, sum(CAST(type = 'heading' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos, part) AS s FROM blk),
+    pas AS (SELECT doc_id, s, coalesce(max(text) FILTER (type = 'heading'), '') AS title, trim(coalesce(string_agg(text, ' ' ORDER BY pos, part) FILTER (type <> 'heading' AND text <> ''), '')) AS text FROM sec GROUP BY doc_id, s),
+    good AS (SELECT doc_id, s, CASE WHEN s = 0 THEN 'Preamble' WHEN title = '' THEN 'Section' ELSE title END AS label, title, text, count(*) OVER (PARTITION BY doc_id) AS n FROM pas WHERE text <> ''),
+    body AS (SELECT p.doc_id, any_value(CASE WHEN md THEN p.text ELSE t.text END) AS whole FROM p LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos, part) AS text FROM parts WHERE type <> 'note' GROUP BY doc_id) t USING (doc_id) GROUP BY p.doc_id),
+    win AS (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 120) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(whole, '\\s+'), lambda x: x <> '') AS w FROM body WHERE doc_id NOT IN (SELECT doc_id FROM good WHERE n > 1))),
+    every AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS passage, label, title, text FROM good WHERE n > 1
+      UNION ALL SELECT doc_id, CAST(i AS INTEGER), 'Passage ' || (i + 1) || ' of ' || CAST(ceil(len(w) / 120) AS BIGINT), '', array_to_string(list_slice(w, i * 120 + 1, i * 120 + 120), ' ') FROM win)
+    SELECT * FROM every WHERE passage < {cite.PASSAGES}""")
 def document_passages(spark, sf_dir):
     return cite.passages(normalise.prepare(docs(spark, sf_dir)))
 
