@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import trim, word_count
 from inkwell.operators import blocks, normalise, quality, references, stats, summary
+from inkwell.sources.workspace import Workspace
 
 #: Share of list blocks, with two headings or more, from which a summary is a template of the headings.
 LIST_SHARE = 0.5
@@ -47,8 +48,8 @@ def document_reports(docs: DataFrame, stem: Column | None = None, meta_title: Co
     """One row a document: title, blocks, statistics, references, phrases, summaries, checks, notes, scores and flags.
 
     docs: doc_id, text and what `stem` (a name without suffix) and `meta_title` refer to. Documents are prepared by one
-    shuffle of their lines; what needs no neighbours is one projection over them, and phrases and sentences come back as
-    one small row a document.
+    shuffle of their lines and written once, as are their ranked sentences, since several parts read both; what needs no
+    neighbours is one projection, and phrases and findings come back as one small row a document.
     """
     names = docs.select("doc_id", (F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem).alias("stem"), (F.lit(None).cast("string") if meta_title is None else meta_title).alias("meta_title"))
     strip = lambda x: F.regexp_replace(x, blocks.NUMBER, "")
@@ -58,7 +59,9 @@ def document_reports(docs: DataFrame, stem: Column | None = None, meta_title: Co
         "furniture": F.array_distinct(F.filter(F.transform(prose, summary.normal), lambda x: F.length(x) >= 8)),
     })
     prepared = prepared.withColumn("by_template", (F.col("list_ratio") >= LIST_SHARE) & (F.size("titles") >= 2))
-    ranked = summary.ranked_or_lead(summary.sentences(prepared.select("doc_id", "text")))
+    ws = Workspace(docs.sparkSession, "documents")
+    prepared = ws.cut(prepared)
+    ranked = ws.cut(summary.ranked_or_lead(summary.sentences(prepared.select("doc_id", "text"))))
     short = ranked.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]).alias("ranked"))
     phrases = stats.rake(prepared.select("doc_id", "text")).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "phrase", "score"))), lambda x: F.struct(x["phrase"].alias("phrase"), x["score"].alias("score"))).alias("phrases"))
     whole = prepared.join(names, "doc_id", "left").join(short, "doc_id", "left").join(phrases, "doc_id", "left").join(findings(prepared, ranked), "doc_id", "left")

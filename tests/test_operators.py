@@ -316,6 +316,36 @@ def test_phrases_merge_across_accents(spark):
     assert [tuple(r) for r in library.merge_keyphrases(df).collect()] == [("cafe", 3.0), ("tea", 2.5)]
 
 
+def test_small_columns(spark):
+    found = [("paragraph", "x"), ("heading", "3."), ("heading", " "), ("heading", "Real one")]
+    df = spark.createDataFrame([(found, "PDF", 3)], "b array<struct<type:string,text:string>>, k string, n int")
+    r = df.select(blocks.short_title(F.col("b"), F.lit("stem")).alias("t"), blocks.short_title(F.slice("b", 1, 3), F.lit("stem")).alias("s"), blocks.pages_shown(F.col("k"), F.col("n")).alias("p"), blocks.page_list(F.col("n")).alias("l")).first()
+    assert tuple(r) == ("Real one", "stem", "3", [1, 2, 3])
+    shown = lambda k: one(spark, k, lambda c: blocks.pages_shown(c, F.lit(1)))
+    assert shown("CSV") == "n/a (dataset)" and shown("MD") == "n/a (flowed format)"
+    size = lambda n: one(spark, n, tx.format_bytes, "long")
+    assert [size(n) for n in (12, 2048, 3 << 20)] == ["12 B", "2 KB", "3.0 MB"]
+
+
+def test_name_lists(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("# list\nTove\n\nada\n")
+    first = redact.read_names(spark, str(tmp_path / "names.txt"))
+    assert first == ("ada", "tove")
+    df = spark.createDataFrame([(1, "then Tove Jansson met Mary Murphy")], "doc_id long, text string")
+    got = redact.spans(redact.detect(df, ("name",), first, ("jansson",))).collect()
+    assert [r.surface for r in got] == ["Tove Jansson"]
+    with pytest.raises(ValueError):
+        redact.read_names(spark, str(tmp_path / "names.txt"), limit=1)
+
+
+def test_windowed_counts(spark):
+    from inkwell.streaming import ingest
+
+    events = spark.createDataFrame([("2024-01-01 10:05:00", "a", 1.0), ("2024-01-01 10:55:00", "a", 2.0), ("2024-01-01 11:01:00", "a", 4.0)], "t string, event_type string, value double")
+    got = ingest.windowed_counts(events.withColumn("ts", F.to_timestamp("t"))).collect()
+    assert sorted((r.n, r.total) for r in got) == [(1, 4.0), (2, 3.0)]
+
+
 def test_paragraph_blocks(spark):
     got = spark.createDataFrame([("HEAD\n\n A line.\nsame\n \n" + "x" * 120,)], "t string").select(blocks.paragraph_blocks(F.col("t")).alias("b")).first().b
     assert [(b.type, b.level) for b in got] == [("heading", 2), ("heading", 2), ("paragraph", None)]
