@@ -24,6 +24,12 @@ PLANTED = (
     (-5, "Note: first. Note: second. Note: third. Sales rose. Costs were reduced by 15% and therefore 20 sites closed. 0 It ended."),
     (-6, "α=β+γ≤δ±ε×ζ\nCafÃ© Ã¼ber Ã© text\nminimi ses the ses utili sation of things"),
     (-7, ""),
+    (-8, "A short lead stands here. It goes on.\n\n1.1 Scope\n• costs were reduced by 12%\n• plain item\n\n1.2 Method\n• costs were reduced by 12%\n• 20 people were hired\n• on 1/2/2020 and 3/4/2021 nothing\n\n1.3 End\n• last item 40%\n"),
+    (-9, "one line here\n\nhead a\nhead b\nhead c\nhead d\nhead e\n\n3\n\nA sentence ends.\nfoot\n4\n\nfar from it" + "\n" * 14 + "8\n"),
+    (-10, "Plan of Works 2025\nx\n\nPlan of Works\n1 | Page\nbody text\nPlan of Works\nFigure 2: A map of roads\n2 | Page\nmore of the body\nTeam Member Role\n\n1 Anna Lead\n22 Brian Tester\nnot a row here\nPlan of Works\n3 | Page\nend."),
+    (-11, "# Report\n## 1. Summary\nfirst words\n\n## 2. Scores\n- 40 points\n## Plain\ntail\n### 3. Deep\n\n#### 3.1 Deeper words\n- a\n## 4. Quality Verdict\n"),
+    (-12, "VAT IE7654321A and ie1234567wb; VAT: IE12345678. Born 1 January 1970, DOB 1980-02-03, date of birth: 4/5/90. Sort code 12-34-56. Mail a.b@c.org, x_y@z.co.uk; From: John Byrne, To: Anna. Call 0871234567. IBAN GB82 WEST 1234 5698 7654 32 ok. T23 XY12\n12 Oak Park\nCork Road\n"),
+    (-13, "1. Opening words\nbody one\n2. Second part\nlower case follows\n3. Third: a b c\n∑x=α+β≈γ≥δ≠ε\nContents . . . . . 3\nTable 4 - Numbers\nCafé and cafe. CAFÉ!\nsee https://b.ie/x, HTTPS://B.IE/X and [3-5] [3-5]; 10.5555/AbC 10.5555/abc\n"),
 )
 
 
