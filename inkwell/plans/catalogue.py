@@ -324,22 +324,39 @@ def key_findings(spark, sf_dir):
     return summary.findings(summary.sentences(docs(spark, sf_dir)))
 
 
-@query()
+#: Sentences without templates, their words, and pairs of sentences that share some.
+PAIRS = f"""{SENTENCES}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(sig0)) AS n FROM g),
+    u AS MATERIALIZED (SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM (SELECT *, sum(CAST(n < 2 AS INTEGER)) OVER (PARTITION BY doc_id) AS single FROM t) WHERE n < 2 OR single < 3),
+    w AS (SELECT doc_id, pos, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({", ".join("'" + w + "'" for w in stats.STOP)}))) AS ws FROM u),
+    e AS MATERIALIZED (SELECT doc_id, pos, greatest(len(ws), 2) AS n, unnest(ws) AS term FROM w),
+    pr AS MATERIALIZED (SELECT a.doc_id, a.pos AS i, b.pos AS j, count(*) / (ln(any_value(a.n)) + ln(any_value(b.n))) AS weight FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY a.doc_id, a.pos, b.pos)"""
+_ROUNDS = ",\n".join(
+    f"s{k} AS MATERIALIZED (SELECT u.doc_id, u.pos, {1 - summary.DAMPING:.2f} + {summary.DAMPING} * coalesce(x.s, 0) AS score FROM u LEFT JOIN (SELECT q.doc_id, q.i, sum(q.w * s.score) AS s FROM q JOIN s{k - 1} s ON s.doc_id = q.doc_id AND s.pos = q.j GROUP BY q.doc_id, q.i) x ON x.doc_id = u.doc_id AND x.i = u.pos)"
+    for k in range(1, summary.ROUNDS + 1)
+)
+RANKED = f"""{PAIRS}, dirs AS MATERIALIZED (SELECT doc_id, i, j, weight FROM pr UNION ALL SELECT doc_id, j, i, weight FROM pr),
+    q AS MATERIALIZED (SELECT doc_id, i, j, weight / sum(weight) OVER (PARTITION BY doc_id, j) AS w FROM dirs), s0 AS MATERIALIZED (SELECT doc_id, pos, 1.0 AS score FROM u), {_ROUNDS},
+    ranked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, pos) AS INTEGER) AS rank, pos, sentence FROM s{summary.ROUNDS} JOIN u USING (doc_id, pos) QUALIFY rank <= {summary.KEPT})"""
+
+
+@query(f"WITH {RANKED} SELECT * FROM ranked")
 def textrank(spark, sf_dir):
     return summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
 
 
-@query(f"""WITH {SENTENCES}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(sig0)) AS n FROM g),
-    u AS (SELECT doc_id, pos, sentence FROM (SELECT *, sum(CAST(n < 2 AS INTEGER)) OVER (PARTITION BY doc_id) AS single FROM t) WHERE n < 2 OR single < 3),
-    w AS (SELECT doc_id, pos, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({", ".join("'" + w + "'" for w in stats.STOP)}))) AS ws FROM u),
-    e AS (SELECT doc_id, pos, greatest(len(ws), 2) AS n, unnest(ws) AS term FROM w)
-    SELECT a.doc_id, CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(count(*) / (ln(any_value(a.n)) + ln(any_value(b.n))), 6) AS weight FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY a.doc_id, a.pos, b.pos""")
+@query(f"WITH {PAIRS} SELECT doc_id, i, j, round(weight, 6) AS weight FROM pr")
 def textrank_pairs(spark, sf_dir):
     weights = summary.pair_weights(summary.without_scaffold(summary.sentences(docs(spark, sf_dir))))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-@query()
+def _first_words(x: str, n: int) -> str:
+    words = f"regexp_split_to_array(trim({x}, {BLANKS}), '\\s+')"
+    return f"CASE WHEN len({words}) > {n} THEN array_to_string(list_slice({words}, 1, {n}), ' ') || '…' ELSE {x} END"
+
+
+@query(f"""WITH {RANKED}, j AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY rank) FILTER (rank <= 5) AS a, string_agg(sentence, ' ' ORDER BY rank) AS b FROM ranked GROUP BY doc_id)
+    SELECT doc_id, {_first_words("a", 150)} AS short, {_first_words("b", 500)} AS extended FROM j""")
 def summaries(spark, sf_dir):
     return summary.summaries(summary.text_rank(summary.without_scaffold(summary.sentences(docs(spark, sf_dir)))))
 
