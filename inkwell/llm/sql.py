@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import pii, quality
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,7 +49,50 @@ _ESCAPE = "text"
 for _old, _new in (("\\", "\\\\"), ("<|", "<\\|"), ("<s>", "<\\s>"), ("</s>", "<\\/s>"), ("<SYS>>", "<\\SYS>>"), ("</SYS>>", "<\\/SYS>>"), ("<<\\SYS>>", "<\\<\\SYS>>"), ("<<\\/SYS>>", "<\\<\\/SYS>>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]")):
     _ESCAPE = f"replace({_ESCAPE}, '{_old}', '{_new}')"
 
+#: The kinds' patterns without look-around: maximal runs, checked afterwards, or word boundaries.
+_FOUND = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"[0-9-]{11,}",
+    "key": r"\b(?:A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "secret": r"[A-Za-z0-9_+/=-]{20,}",
+    "passport": r"\b[A-Z]{1,2}[0-9]{6,8}\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_BARE = "replace(m, ' ', '')"
+_VALID = f"""CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(x, 3) AS INTEGER) <= 255)) = 4
+    WHEN 'card' THEN length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN x >= '5' THEN 2 * CAST(x AS INTEGER) - 9 ELSE 2 * CAST(x AS INTEGER) END)) % 10 = 0
+    WHEN 'phone' THEN length({_DIGITS}) BETWEEN 10 AND 15
+    WHEN 'iban' THEN length({_BARE}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr({_BARE}, 5) || left({_BARE}, 4), ''), lambda x: CASE WHEN x >= 'A' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), ''), ''), lambda x: CAST(x AS INTEGER)), lambda a, x: (a * 10 + x) % 97) = 1
+    WHEN 'ssn' THEN regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')
+    WHEN 'secret' THEN length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    ELSE true END"""
+
+
+def _personal() -> str:
+    kinds = (*pii.BASE, *pii.ADDED)
+    found = " UNION ALL ".join(f"SELECT doc_id, '{k.name}' AS kind, {r} AS rank, regexp_extract_all(text, '{_FOUND[k.name]}') AS ms, regexp_split_to_array(text, '{_FOUND[k.name]}') AS gs FROM d" for r, k in enumerate(kinds))
+    score = " ".join(f"WHEN '{k.name}' THEN round(least(1.0, {k.score}::DOUBLE + CASE WHEN regexp_matches(around, '(?i)(?:^|[^A-Za-z])(?:{k.context})') THEN 0.25 ELSE 0.0 END), 4)" for k in kinds)
+    base = ", ".join(f"'{k.name}'" for k in pii.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({found}),
+             u AS (SELECT doc_id, kind, rank, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(list_slice(gs, 1, len(ms))) AS g FROM f),
+             p AS (SELECT doc_id, kind, rank, m, CAST(sum(length(m) + length(g)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+             c AS MATERIALIZED (SELECT *, stop - length(m) AS start FROM p WHERE {_VALID}),
+             v AS (SELECT c.*, substr(text, greatest(start - {pii.NEAR} + 1, 1), least(start, {pii.NEAR})) || chr(10) || substr(text, stop + 1, {pii.NEAR}) AS around FROM c JOIN d USING (doc_id)),
+             s AS (SELECT *, kind || ':' || start || ':' || stop AS label, CASE kind {score} END AS score FROM v),
+             k AS (SELECT * FROM s WHERE kind IN ({base}) OR score >= 0.5),
+             g AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg(label, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256, string_agg(label, ',' ORDER BY start, rank) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY start, rank) AS scores, count(*) AS n_spans FROM k GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
 SQL = {
+    "op6_pii": _personal(),
     "op1_quality_rules": _quality(),
     "op2_chat_format": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
