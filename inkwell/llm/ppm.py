@@ -41,9 +41,9 @@ FOLDS, HELD = 5, 1
 CHUNK_BYTES = 40_000_000
 #: Bytes of text that a counting task combines before its counts are shuffled.
 COUNT_BYTES = 96_000_000
-#: Bytes of text, and rows of a batch, that are worked on together; grams that a task holds before it hands them on.
+#: Bytes of text, and rows of a batch, that are worked on together; grams and words that a task holds before it hands them on.
 AT_ONCE, ROWS = 1_000_000, 500
-HOLD = 1_000_000
+HOLD, WORDS = 600_000, 200_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -114,38 +114,34 @@ class Tally:
             self.keys, self.counts, self.held = [], [], 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): counts in training texts by task."""
+def tallies(docs: DataFrame) -> DataFrame:
+    """(word, gram, n), one of word and gram null: counts in training texts by task; grams of held-out texts come with 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-        for batch in batches:
-            for lists in slices_of(batch.column(0)):
-                for tokens in lists:
-                    words.update(tokens)
-                if len(words) > HOLD:
-                    yield out()
-                    words.clear()
-        yield out()
-
-    return docs.where("NOT held_out").select("text").mapInArrow(run, "word binary, n bigint")
+        tally, words = Tally(), Counter()
 
+        def gram_rows(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(pair[0]), pa.binary()), *map(pa.array, pair)], names=["word", "gram", "n"])
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): counts in training texts by task; grams of held-out texts come with 0."""
+        def word_rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
+            words.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        out = lambda found: (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["gram", "n"]) for pair in found)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             for held in (False, True):
                 for lists in slices_of(rows.filter(pa.compute.equal(rows.column("held_out"), held)).column("text")):
-                    yield from out(tally.add(grams([coded(t) for t in lists])[0], 0 if held else 1))
-        yield from out(tally.rest())
+                    if not held:
+                        for tokens in lists:
+                            words.update(tokens)
+                        if len(words) > WORDS:
+                            yield word_rows()
+                    yield from map(gram_rows, tally.add(grams([coded(t) for t in lists])[0], 0 if held else 1))
+        yield word_rows()
+        yield from map(gram_rows, tally.rest())
 
-    return docs.select("text", "held_out").mapInArrow(run, "gram bigint, n bigint")
+    return docs.select("text", "held_out").mapInArrow(run, "word binary, gram bigint, n bigint")
 
 
 def code_lengths(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -210,30 +206,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     chunks = max(1, math.ceil(size / chunk_bytes))
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.xxhash64(F.substring("text", 1, 64))), F.lit(chunks)).cast("int"))
 
-    whole = texts.coalesce(max(1, math.ceil(size / COUNT_BYTES)))
-    words = ws.cut(word_counts(whole).groupBy("word").agg(F.sum("n").alias("n")))
+    counts = ws.cut(tallies(texts.coalesce(max(1, math.ceil(size / COUNT_BYTES)))))
+    words = ws.cut(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = ws.cut(counts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    ws.drop(counts)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counted = ws.cut(gram_counts(whole).groupBy("gram").agg(F.sum("n").alias("n")))
     few = counted.where("n > 0").groupBy(F.expr("gram & 16777215").alias("key")).agg(F.sum("n").alias("n")).toArrow().sort_by("key")
     lengths = code_lengths(counted, (few.column("key").to_numpy(), few.column("n").to_numpy()))
 
-    # What each chunk holds. All three uses of the chunks read one shuffle.
-    def held_words(rows: pa.Table) -> pa.Table:
-        found: set = set()
+    def held(rows: pa.Table) -> pa.Table:
+        """The distinct words and grams of a chunk."""
+        words: set = set()
+        tally = Tally(math.inf)
         for lists in slices_of(rows.column("text")):
             for t in lists:
-                found.update(t)
-        chunk = rows.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
-
-    def held_grams(rows: pa.Table) -> pa.Table:
-        parts = [pd.unique(grams([coded(t) for t in lists])[0]) for lists in slices_of(rows.column("text"))]
-        found = pd.unique(np.concatenate(parts))
-        return pa.table({"chunk": np.full(len(found), rows.column("chunk")[0].as_py(), np.int32), "gram": found})
+                words.update(t)
+            list(tally.add(grams([coded(t) for t in lists])[0], 0))
+            if tally.held > 2 * HOLD:
+                tally.merge()
+        found = next(tally.rest())[0]
+        return pa.table({
+            "chunk": pa.array(np.full(len(words) + len(found), rows.column("chunk")[0].as_py(), np.int32)),
+            "word": pa.chunked_array([pa.array(list(words), pa.binary()), pa.nulls(len(found), pa.binary())]),
+            "gram": pa.chunked_array([pa.nulls(len(words), pa.int64()), pa.array(found)]),
+        })
 
     dealt = texts.groupBy("chunk")
-    known = dealt.applyInArrow(held_words, "chunk int, word binary").join(words, "word").select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
-    coded_by = dealt.applyInArrow(held_grams, "chunk int, gram bigint").join(lengths, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value")
+    holds = ws.cut(dealt.applyInArrow(held, "chunk int, word binary, gram bigint"))
+    known = holds.where("word IS NOT NULL").join(words, "word").select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
+    coded_by = holds.where("gram IS NOT NULL").drop("word").join(lengths, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value")
 
     def log_base(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))

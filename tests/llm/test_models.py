@@ -54,6 +54,7 @@ def gram_value(gram, seen):
 @pytest.mark.parametrize("chunk", [3000, 10**9])
 def test_language_model(spark, chunk, monkeypatch):
     monkeypatch.setattr(ppm.Tally.__init__, "__defaults__", (50,))
+    monkeypatch.setattr(ppm, "WORDS", 3)
     rng = random.Random(6)
     texts = {i: " ".join(rng.choices(["The", "cat", "sat", "ß", "on", "mat.", "zq" * 9], k=rng.randint(0, 60))) for i in range(60)} | {100: None, 101: "", 102: "word " * 4000}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, score int").repartition(4)
