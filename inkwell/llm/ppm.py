@@ -38,12 +38,12 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 END = b"\n"
 ORDER = 5
 FOLDS, HELD = 5, 1
-CHUNK_BYTES = 40_000_000
+CHUNK_BYTES = 20_000_000
 #: Bytes of text that a counting task combines before its counts are shuffled.
 COUNT_BYTES = 96_000_000
 #: Bytes of text, and rows of a batch, that are worked on together; grams and words that a task holds before it hands them on.
 AT_ONCE, ROWS = 1_000_000, 500
-HOLD, WORDS = 600_000, 200_000
+HOLD, WORDS = 1_000_000, 200_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -217,14 +217,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     def held(rows: pa.Table) -> pa.Table:
         """The distinct words and grams of a chunk."""
         words: set = set()
-        tally = Tally(math.inf)
+        found, parts = np.empty(0, np.int64), []
         for lists in slices_of(rows.column("text")):
             for t in lists:
                 words.update(t)
-            list(tally.add(grams([coded(t) for t in lists])[0], 0))
-            if tally.held > 2 * HOLD:
-                tally.merge()
-        found = next(tally.rest())[0]
+            parts.append(pd.unique(grams([coded(t) for t in lists])[0]))
+            if sum(map(len, parts)) > HOLD:
+                found, parts = pd.unique(np.concatenate((found, *parts))), []
+        found = pd.unique(np.concatenate((found, *parts)))
+        pa.default_memory_pool().release_unused()
         return pa.table({
             "chunk": pa.array(np.full(len(words) + len(found), rows.column("chunk")[0].as_py(), np.int32)),
             "word": pa.chunked_array([pa.array(list(words), pa.binary()), pa.nulls(len(found), pa.binary())]),
@@ -243,13 +244,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         is_word = found.column("word").is_valid()
-        part = found.filter(is_word)
+        part = found.select(["word", "value"]).filter(is_word)
         counts = dict(zip(part.column("word").to_pylist(), part.column("value").to_pylist(), strict=True))
-        part = found.filter(pa.compute.invert(is_word))
+        part = found.select(["gram", "value"]).filter(pa.compute.invert(is_word))
         gram, value = part.column("gram").to_numpy(), part.column("value").to_numpy()
         by = np.argsort(gram)
         gram, value = gram[by], value[by]
         del found, part, by
+        pa.default_memory_pool().release_unused()
         n_tokens, n_known, base, model = [], [], [], []
         for lists in slices_of(texts.column("text")):
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -267,7 +269,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             "train_tokens": np.full(texts.num_rows, total, np.int64), "base_score": cat(base), "score": cat(model),
         })
 
-    return dealt.cogroup(known.union(coded_by).groupBy("chunk")).applyInArrow(scored, schema)
+    found = ws.cut(known.union(coded_by))
+    ws.drop(holds, words, counted)
+    return dealt.cogroup(found.groupBy("chunk")).applyInArrow(scored, schema)
 
 
 def adaptive_bits(text: bytes, order: int = ORDER) -> float:
