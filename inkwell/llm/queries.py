@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, nearjoin, nearvec, pieces, pii, ppm, quality, warc
+from . import align, chat, collocations, lines, mixing, nearjoin, nearvec, pagetext, pieces, pii, ppm, quality, warc
 from .common import Workspace, table
 from .sql import SQL  # noqa: F401
 
@@ -75,7 +75,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = align.byte_level(public_tokenizers.path("byte_bpe_50k.json")), align.piece_level(public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), first, second)
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op5_lm_score, op6_pii, op7_mix_sources, op8_line_dedup, op9_warc, op10_embedding_near_dedup)
+    for f in (op1_quality_rules, op2_chat_format, op3_ngram_jaccard, op4_sentencepiece, op5_lm_score, op6_pii, op7_mix_sources, op8_line_dedup, op9_warc, op10_embedding_near_dedup, op11_collocations, op12_token_alignment, op13_page_text)
 }

@@ -91,6 +91,13 @@ def _personal() -> str:
         SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+#: What an `article` element holds, as blocks; the pages have one each, and only these references in it.
+_BLOCKS = r"regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>')"
+_PLAIN = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
+for _name, _char in (("quot;?", '"'), ("#x27;", "''"), ("#39;", "''"), ("lt;?", "<"), ("gt;?", ">"), ("amp;?", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_name}', '{_char}', 'g')"
+
+
 SQL = {
     "op6_pii": _personal(),
     "op1_quality_rules": _quality(),
@@ -146,4 +153,21 @@ SQL = {
                CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM m""",
+    "op11_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+             g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS t(k) WHERE len(w) >= k)),
+             f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 10),
+             totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+             c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+             cuts AS (SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+             scored AS (SELECT cuts.*, h.n AS l, t.n AS r, CAST((a::HUGEINT * a * 1000000) // (h.n::HUGEINT * t.n) AS BIGINT) AS score FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+             low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+             inside AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS around FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+             rows AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, totals.n AS n, score FROM rows JOIN totals USING (lang) QUALIFY rank <= 2000""",
+    "op13_page_text": f"""
+        WITH b AS (SELECT page_id, url, list_filter(list_transform({_BLOCKS}, lambda x: trim(regexp_replace({_PLAIN}, '[\\s\\x0B\\x{{A0}}]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM pages),
+             t AS (SELECT page_id, url, array_to_string(coalesce(blocks, []), chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
 }
