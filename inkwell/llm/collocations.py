@@ -35,7 +35,7 @@ UND = "und"
 #: Lower case, piece ends to line feeds, tabs to spaces (bytes of UTF-8).
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + 9 * b"\n")
 #: Bytes of text in a shard; bits of the bitmap for a frequent phrase, and its largest size (16 MB).
-SHARD, BITS_EACH, MOST_BITS = 12_000_000, 16, 1 << 27
+SHARD, BITS_EACH, MOST_BITS = 5_000_000, 16, 1 << 27
 #: Rows of a batch that are looked at, or handed on, at once.
 ROWS, OUT = 500, 100_000
 #: Parts of a language whose best phrases are found apart.
@@ -49,8 +49,10 @@ class Automaton:
 
     def __init__(self, texts: list[bytes], depth: int):
         tokens = b" \n ".join(texts).translate(FOLD).replace(b"\n", b" \n ").split(b" ")
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        parts = [pa.array(tokens[at : at + OUT], pa.binary()) for at in range(0, len(tokens), OUT)]
         del tokens
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        del parts
         words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         plain = np.array([w not in (b"", b"\n") for w in words], bool) if words else np.empty(0, bool)
         empty = words.index(b"") if b"" in words else -1
