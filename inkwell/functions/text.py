@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,54 @@ def first_words(x: Column, limit: int) -> Column:
     """At most `limit` words, with an ellipsis if cut."""
     parts = F.split(trim(x), r"\s+")
     return F.when(F.size(parts) > limit, F.concat(F.array_join(F.slice(parts, 1, limit), " "), F.lit("…"))).otherwise(x)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, even if lambdas in the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, total: Callable[[Column], Column], both: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For each place of an array the total of what stands before it; by blocks, so that long arrays stay cheap."""
+
+    def blocks(a: Column) -> Column:
+        last = F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(a, b * block + 1, block)))
+
+    def run(a: Column, sums: Column) -> Column:
+        before = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+        return let(before, lambda w: F.transform(a, lambda _, i: both(F.get(w, F.floor(i / block).cast("int")), total(F.slice(a, i - i % block + 1, i % block)))))
+
+    return let(values, lambda a: let(blocks(a), lambda sums: run(a, sums)))
+
+
+def running_sums(values: Column) -> Column:
+    """What stands before each place of an array of longs, summed up."""
+    return running(values, lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x), lambda x, y: x + y)
+
+
+def runs(items: Column, start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
+    """Items sorted by start as an array of runs: one that starts after all before it have ended opens a new run."""
+
+    def cut_up(xs: Column, reach: Column) -> Column:
+        opens = F.filter(F.transform(xs, lambda x, i: F.when(start(x) >= F.get(reach, i), i)), lambda i: i.isNotNull())
+        return let(opens, lambda at: F.transform(at, lambda o, j: F.slice(xs, o + 1, F.coalesce(F.get(at, j + 1), F.size(xs)) - o)))
+
+    reach = lambda xs: running(F.transform(xs, lambda x: end(x).cast("bigint")), lambda part: F.coalesce(F.array_max(part), F.lit(0).cast("bigint")), F.greatest)
+    return let(items, lambda xs: let(reach(xs), lambda r: cut_up(xs, r)))
+
+
+#: Characters of a block of a text that is cut in many places.
+BLOCK = 256
+
+
+def in_blocks(text: Column) -> Column:
+    """A text as blocks of equal length, from which `cut` takes parts without walking through the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """Characters of a text in blocks, from start (from 0); fewer at the text's end."""
+    first, rest = F.floor(start / BLOCK).cast("int"), (start % BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((rest + length) / BLOCK).cast("int") + 1)
+    return F.when(length > 0, F.substr(F.array_join(some, ""), rest + 1, length.cast("int"))).otherwise("")

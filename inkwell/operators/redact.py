@@ -1,9 +1,22 @@
-"""Redaction: detectors with checksums, overlap resolution, masks and tokens, leak scan."""
+"""Redaction: detectors with checksums, overlap resolution, masks and tokens, leak scan.
+
+A document is a number of fields (doc_id, field, text); a table without `field` has one field a document. Spans are found and
+resolved field by field; then every surface found in a document goes from all of its fields: surfaces and the fields' runs of
+words are joined by hashes of their words, so that no pattern is tried for each surface and row.
+
+Nulls and extremes: a null text has no spans and stays null; an empty table gives empty results; texts and fields of any
+length or number are read whole, in time that grows with them; repeated documents should have ids of their own, as
+fields of one id are one document; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from inkwell.functions.text import cut, in_blocks, let, running_sums, runs
+from inkwell.sources.workspace import Workspace
 
 B = r"(?<![A-Za-z0-9_])"
 E = r"(?![A-Za-z0-9_])"
@@ -25,7 +38,15 @@ STREET = rf"(?:{W}(?:\s+{W}){{0,5}}\s+)?(?:{STREETS})(?:\s+{W}){{0,4}}"
 TITLED = rf"(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+)?{W}\s+{W}"
 BREAK = r"[^\S\n]*\n\s*"
 LINE = rf"(?:\d{{1,4}}[A-Z]?[^\S\n]+[^\n]*?|(?>[^\n]*?{B}(?i:{STREETS}){E})[^\n]*?)"
-PERSON = rf"(?:(?i:Mr|Mrs|Ms|Dr|Prof)\.?[^\S\n]+[^\n]*|(?=[A-Z][a-z]+\s+[A-Z])(?i:{'|'.join(FIRST_NAMES)})[^\S\n]+(?i:{'|'.join(n for n in SURNAMES if chr(39) not in n)}))"
+
+
+def person(first_names: tuple[str, ...], surnames: tuple[str, ...]) -> str:
+    """A line with a title, or of a known first name and surname."""
+    words = lambda names: "|".join(n for n in names if n.isalpha())
+    known = rf"|(?=[A-Z][a-z]+\s+[A-Z])(?i:{words(first_names)})[^\S\n]+(?i:{words(surnames)})"
+    return rf"(?:(?i:Mr|Mrs|Ms|Dr|Prof)\.?[^\S\n]+[^\n]*{known if words(first_names) and words(surnames) else ''})"
+
+
 POSTCODE = rf"{B}(?i:(?:{'|'.join(ROUTING)})[A-Z0-9]?\s?[A-Z0-9]{{4}}){E}"
 #: Categories with their tier, pattern and captured group (fixed values), in order of detection.
 PATTERNS = (
@@ -48,10 +69,17 @@ PATTERNS = (
     ("address", 3, rf"{B}(?:\d{{1,4}}[A-Z]?\s+)?{W}(?:\s+{W}){{0,5}}\s+(?:{STREETS})(?:\s+{W}){{0,4}}{E}", 0),
     ("address", 3, rf"(?m)(?:^|\n)\s*+{TITLED}{BREAK}{HOUSE}{BREAK}{STREET}{E}", 0),
     ("address", 3, rf"(?m)(?:^|\n)\s*+{TITLED}{BREAK}{HOUSE}{E}", 0),
-    ("address", 3, rf"(?m)^[^\S\n]*+((?:{PERSON}{BREAK})?(?:{LINE}{BREAK}){{0,2}}{LINE})(?=\s*{POSTCODE})", 1),
+    ("address", 3, rf"(?m)^[^\S\n]*+((?:{person(FIRST_NAMES, SURNAMES)}{BREAK})?(?:{LINE}{BREAK}){{0,2}}{LINE})(?=\s*{POSTCODE})", 1),
 )
+
+
+def patterns(first_names: tuple[str, ...], surnames: tuple[str, ...]) -> tuple[tuple[str, int, str, int], ...]:
+    """The categories' patterns with other names to find."""
+    return tuple((c, t, p.replace(person(FIRST_NAMES, SURNAMES), person(first_names, surnames)), g) for c, t, p, g in PATTERNS)
+
+
 #: What a text must hold for an address pattern to match, by pattern: cheap to look for, so most texts are read once.
-NEEDED = dict(zip((p for c, _, p, _ in PATTERNS if c == "address"), 4 * [rf"{B}(?:{STREETS}){E}"] + [r"\n\s*+\d"] + [POSTCODE], strict=True))
+NEEDED = (*4 * (rf"{B}(?:{STREETS}){E}",), r"\n\s*+\d", POSTCODE)
 LABELS = {"ppsn": "PPSN", "iban": "IBAN", "card": "CARD", "vat": "VAT", "eircode": "EIRCODE", "email": "EMAIL", "phone": "PHONE", "dob": "DOB", "account": "ACCOUNT", "person": "PERSON", "address": "ADDRESS"}
 MASK = "XXXXXXXXX"
 SPAN = "array<struct<start:int,back:int,tier:int,category:string,surface:string>>"
@@ -107,21 +135,24 @@ def valid(category: str, x: Column, names: tuple[tuple[str, ...], tuple[str, ...
     return checks.get(category, lambda: F.lit(True))()
 
 
-def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES)) -> Column:
+def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES), needed: str | None = None) -> Column:
     """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     pieces = F.split(text, pattern, -1)
-    rows = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.slice(pieces, F.lit(1), F.size(matches)).alias("p"))
+    zipped = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.slice(pieces, F.lit(1), F.size(matches)).alias("p"))
 
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"]) + F.length(x["m"]) - F.length(x["g"])
-        span = F.struct(start.alias("start"), (-F.length(x["g"])).alias("back"), F.lit(tier).alias("tier"), F.lit("person" if category == "name" else category).alias("category"), x["g"].alias("surface"))
-        return F.struct((acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(rows: Column) -> Column:
+        size = lambda x: (F.length(x["p"]) + F.length(x["m"])).cast("bigint")
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    out = F.aggregate(rows, first, walk, lambda acc: acc["out"])
-    some = text.rlike(NEEDED[pattern]) & text.rlike(pattern) if pattern in NEEDED else text.rlike(pattern)
+        def span(x: Column, at: Column) -> Column:
+            start = (at + size(x)).cast("int") - F.length(x["g"])
+            return F.struct(start.alias("start"), (-F.length(x["g"])).alias("back"), F.lit(tier).alias("tier"), F.lit("person" if category == "name" else category).alias("category"), x["g"].alias("surface"))
+
+        return let(running_sums(F.transform(rows, size)), lambda at: F.transform(rows, lambda x, i: span(x, F.get(at, i))))
+
+    out = let(zipped, placed)
+    some = text.rlike(needed) & text.rlike(pattern) if needed else text.rlike(pattern)
     return F.when(some, F.filter(out, lambda s: valid(category, s["surface"], names))).otherwise(F.array().cast(SPAN))
 
 
@@ -133,77 +164,217 @@ def fields_of(prepared: DataFrame) -> DataFrame:
 
 def detect(fields: DataFrame, categories: tuple[str, ...] | None = None, first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = SURNAMES) -> DataFrame:
     """fields (doc_id, text and, if they have it, field) with `spans`: all confirmed spans by start, longer first."""
-    found = [spans_of(F.col("text"), *p, (first_names, surnames)) for p in PATTERNS if categories is None or p[0] in categories]
-    own = ["doc_id", "field"] if "field" in fields.columns else ["doc_id"]
-    return fields.select(*own, "text", F.sort_array(F.concat(*found)).alias("spans"))
+    needed = iter(NEEDED)
+    every = [(p, next(needed) if p[0] == "address" else None) for p in patterns(first_names, surnames)]
+    found = [spans_of(F.col("text"), *p, (first_names, surnames), n) for p, n in every if categories is None or p[0] in categories]
+    return fields.select(*own_of(fields), "text", F.sort_array(F.concat(*found)).alias("spans"))
+
+
+def own_of(fields: DataFrame) -> list[str]:
+    return ["doc_id", "field"] if "field" in fields.columns else ["doc_id"]
+
+
+def end_of(s: Column) -> Column:
+    return s["start"] - s["back"]
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """One of overlapping spans: a new one replaces the first it overlaps if of a stricter tier or longer, else it goes."""
+    """One of overlapping spans: a new one replaces the first it overlaps if of a stricter tier or longer, else it goes.
+
+    Only spans of a run are held against each other.
+    """
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, s: Column) -> Column:
-        end = s["start"] - s["back"]
-        hits = F.transform(acc, lambda k: (k["start"] < end) & (s["start"] < k["start"] - k["back"]))
+        hits = F.transform(acc, lambda k: (k["start"] < end_of(s)) & (s["start"] < end_of(k)))
         at = F.array_position(hits, True).cast("int")
         old = F.get(acc, at - 1)
         better = (s["tier"] < old["tier"]) | ((s["tier"] == old["tier"]) & (s["back"] < old["back"]))
         swapped = F.transform(acc, lambda k, i: F.when(i == at - 1, s).otherwise(k))
         return F.when(at == 0, F.concat(acc, F.array(s))).when(better, swapped).otherwise(acc)
 
-    return found.withColumn("spans", F.sort_array(F.aggregate("spans", F.array().cast(SPAN), step)))
+    fold = lambda run: F.when(F.size(run) < 2, run).otherwise(F.aggregate(run, none, step))
+    resolved = F.sort_array(F.flatten(F.transform(runs(F.col("spans"), lambda s: s["start"], end_of), fold)))
+    return found.withColumn("spans", F.when(F.size("spans") > 1, resolved).otherwise(F.col("spans")))
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """doc_id, start, length, category, tier, surface: one row a span."""
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", (-F.col("s.back")).alias("length"), "s.category", "s.tier", "s.surface")
+    """doc_id, field if there is one, start, length, category, tier, surface: one row a span."""
+    #: An inner explode would make Spark look for empty arrays first, by computing them twice.
+    rows = found.select(*own_of(found), F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
+    return rows.select(*own_of(found), "s.start", (-F.col("s.back")).alias("length"), "s.category", "s.tier", "s.surface")
 
 
 def surface_key(surface: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(surface), r"\s+", " "))
 
 
-def apply_spans(found: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """doc_id, text with resolved spans replaced, from the right so that offsets hold: by a mask, or by the tokens that
-    token_map gives for the same spans."""
-    rows = found.withColumn("_tokens", F.lit(None).cast("map<string,string>"))
-    if tokens is not None:
-        entry = F.struct(F.concat_ws(" ", "category", "key"), "token")
-        rows = found.join(tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_tokens")), "doc_id", "left")
-
-    def put(text: Column, s: Column) -> Column:
-        token = F.element_at("_tokens", F.concat_ws(" ", s["category"], surface_key(s["surface"])))
-        return F.concat(F.left(text, s["start"]), F.coalesce(token, F.lit(MASK)), F.substr(text, s["start"] - s["back"] + 1))
-
-    return rows.select("doc_id", F.aggregate(F.reverse("spans"), F.col("text"), put).alias("text"), "spans")
+def with_field(found: DataFrame) -> DataFrame:
+    return found if "field" in found.columns else found.withColumn("field", F.lit(0))
 
 
 def token_map(found: DataFrame) -> DataFrame:
-    """(doc_id, category, surface, token): tokens numbered by label within a document in order of allocation."""
-    from pyspark.sql.window import Window
-
-    key = surface_key(F.col("surface"))
+    """doc_id, category, key, surface, token: tokens numbered by label within a document in order of allocation.
+
+    The spans of the first field come first, the last of them before the others; then surfaces of the other fields, longer ones
+    first; of surfaces that differ in category only, the later ones last.
+    """
+    rows = spans(with_field(found)).withColumn("key", surface_key(F.col("surface")))
+    firsts = with_field(found).where("text <> ''").groupBy("doc_id").agg(F.min("field").alias("first"))
+    keyed = rows.join(firsts, "doc_id").groupBy("doc_id", "category", "key").agg(
+        F.max(F.when(F.col("field") == F.col("first"), F.col("start"))).alias("last"),
+        F.min(F.struct("field", "start")).alias("seen"),
+        F.max_by("surface", F.struct((-F.col("field")).alias("f"), "start")).alias("surface"),
+    )
+    again = F.row_number().over(Window.partitionBy("doc_id", F.lower("surface")).orderBy("seen")) > 1
     labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
-    rows = spans(found).withColumn("key", key).groupBy("doc_id", "category", "key").agg(F.max("start").alias("last"), F.max_by("surface", "start").alias("surface"))
-    number = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy(F.desc("last"), "key"))
-    return rows.select("doc_id", "category", "key", "surface", F.concat(F.lit("["), labels[F.col("category")], F.lit("-"), number, F.lit("]")).alias("token"))
+    turn = F.when(F.col("last").isNotNull(), 0).when(F.col("again"), 2).otherwise(1)
+    number = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy(turn, F.desc("last"), F.when(turn == 1, -F.length("surface")), "seen", "key"))
+    return keyed.withColumn("again", again).select("doc_id", "category", "key", "surface", F.concat(F.lit("["), labels[F.col("category")], F.lit("-"), number, F.lit("]")).alias("token"))
 
 
-def everywhere(masked: DataFrame) -> DataFrame:
-    """Every surface found in a document replaced wherever it stands as a word, longest first."""
-    surfaces = F.array_sort(F.array_distinct(F.transform("spans", lambda s: F.struct((-F.length(s["surface"])).alias("n"), s["surface"].alias("s")))))
+# -- every surface of a document in all of its fields ---------------------------------------------------------------------
 
-    def put(text: Column, s: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), s["s"], F.lit(r"\E(?![\p{L}\p{N}])"))
-        return F.regexp_replace(text, quoted, F.lit(MASK))
+WORD = r"\p{L}\p{N}"
+EDGE = rf"(?<=[{WORD}])(?=[^{WORD}])|(?<=[^{WORD}])(?=[{WORD}])"
+ITEM = "array<struct<start:bigint,end:bigint,turn:int,back:bigint,key:string,put:string>>"
 
-    return masked.select("doc_id", F.aggregate(surfaces, F.col("text"), put).alias("text"), "spans")
 
+def surfaces(found: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, key, category, surface, n, words, lead, trail: the distinct surfaces of each document, upper and lower case alike.
+
+    words: a hash of the surface from its first word to its last, n of them; lead and trail: what stands around these.
+    """
+    key = F.lower("surface") if key is None else key
+    one = spans(with_field(found)).groupBy("doc_id", key.alias("key")).agg(F.min_by(F.struct("surface", "category"), F.struct("field", "start")).alias("s"))
+    core = F.regexp_replace("key", rf"^[^{WORD}]+|[^{WORD}]+$", "")
+    return one.select(
+        "doc_id", "key", "s.category", "s.surface", F.regexp_count(core, F.lit(rf"[{WORD}]+")).alias("n"), F.xxhash64(core).alias("words"),
+        F.regexp_extract("key", rf"^([^{WORD}]*)", 1).alias("lead"), F.regexp_extract("key", rf"([^{WORD}]*)$", 1).alias("trail"),
+    ).where("n > 0")
+
+
+def runs_of_words(fields: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, field, n, words, start, length, before, after, opens, closes: every run of n words, for the n a document's
+    surfaces have (sizes: doc_id, sizes); before and after: what stands between it and the next word."""
+    text = F.col("text")
 
-def leaks(redacted: DataFrame) -> DataFrame:
-    """doc_id, leaks: surfaces of three characters or more that the redacted text still holds."""
-    norm = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
-    left = F.filter(F.array_distinct(F.transform("spans", lambda s: s["surface"])), lambda s: (F.length(s) >= 3) & (F.instr(norm(F.col("text")), norm(s)) > 0))
-    return redacted.select("doc_id", F.size(left).alias("leaks"))
+    def runs(parts: Column) -> Column:
+        def at(starts: Column) -> Column:
+            def run(j: Column, n: Column) -> Column:
+                core = F.array_join(F.slice(parts, j + 1, 2 * n - 1), "")
+                before, after = F.when(j > 0, F.get(parts, j - 1)).otherwise(""), F.coalesce(F.get(parts, j + 2 * n - 1), F.lit(""))
+                return F.struct(
+                    n.alias("n"), F.xxhash64(F.lower(core)).alias("words"), F.get(starts, j).alias("start"), F.length(core).cast("bigint").alias("length"), before.alias("before"), after.alias("after"),
+                    (j < 2).alias("opens"), (j + 2 * n >= F.size(parts)).alias("closes"),
+                )
+
+            words = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda j: F.get(parts, j).rlike(rf"^[{WORD}]"))
+            fits = lambda j: F.filter("sizes", lambda n: j + 2 * n - 2 < F.size(parts))
+            return F.flatten(F.transform(words, lambda j: F.transform(fits(j), lambda n: run(j, n))))
+
+        return let(running_sums(F.transform(parts, lambda x: F.length(x).cast("bigint"))), at)
+
+    rows = fields.join(sizes, "doc_id").where("text <> ''").select("doc_id", "field", F.explode_outer(let(F.split(text, EDGE, -1), runs)).alias("r"))
+    return rows.where("r IS NOT NULL").select("doc_id", "field", "r.*")
+
+
+def occurrences(fields: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, field, start, end and the columns of wanted (surfaces): where surfaces stand as whole words."""
+    sizes = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("n").cast("int"))).alias("sizes"))
+    met = runs_of_words(fields, sizes).join(wanted, ["doc_id", "n", "words"])
+    left = (F.col("lead") == "") | (F.endswith("before", "lead") & (F.col("opens") | (F.length("before") > F.length("lead"))))
+    right = (F.col("trail") == "") | (F.startswith("after", "trail") & (F.col("closes") | (F.length("after") > F.length("trail"))))
+    start = F.col("start") - F.length("lead")
+    return met.where(left & right).select("doc_id", "field", start.alias("start"), (F.col("start") + F.col("length") + F.length("trail")).alias("end"), *(c for c in wanted.columns if c not in ("doc_id", "n", "words", "lead", "trail")))
+
+
+def chosen(items: Column) -> Column:
+    """Of overlapping items the one with the lowest turn, then the longest, then by key and place; items sorted by start."""
+    none = F.array().cast(ITEM)
+
+    def best(run: Column) -> Column:
+        ranked = F.array_sort(F.transform(run, lambda x: F.struct(x["turn"].alias("turn"), x["back"].alias("back"), x["key"].alias("key"), x["start"].alias("start"), x.alias("x"))))
+        keep = lambda acc, r: F.when(F.exists(acc, lambda k: (k["start"] < r["x"]["end"]) & (r["x"]["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(r["x"])))
+        return F.when(F.size(run) < 2, run).otherwise(F.sort_array(F.aggregate(ranked, none, keep)))
+
+    return F.when(F.size(items) < 2, items).otherwise(F.flatten(F.transform(runs(items, lambda x: x["start"], lambda x: x["end"]), best)))
+
+
+def put_in(text: Column, items: Column) -> Column:
+    """A text with items, sorted and apart, replaced by what is put for them."""
+
+    def whole(xs: Column, blocks: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(xs, i - 1)["end"]).otherwise(F.lit(0).cast("bigint"))
+        parts = F.transform(xs, lambda x, i: F.concat(cut(blocks, before(i), x["start"] - before(i)), x["put"]))
+        return F.concat(F.array_join(parts, ""), cut(blocks, before(F.size(xs)), F.length(text) - before(F.size(xs))))
+
+    return F.when(F.size(items) > 0, let(items, lambda xs: let(in_blocks(text), lambda blocks: whole(xs, blocks)))).otherwise(text)
+
+
+def item(start: Column, end: Column, turn: int, key: Column, put: Column) -> Column:
+    return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(turn).alias("turn"), (start - end).cast("bigint").alias("back"), key.alias("key"), put.alias("put"))
+
+
+def apply_spans(found: DataFrame, tokens: DataFrame | None = None, everywhere: bool = True) -> DataFrame:
+    """doc_id, field if there is one, text, spans: resolved spans replaced by a mask, or by the tokens that token_map gives for
+    the same spans, and so, if `everywhere`, every surface of a document wherever it stands as a word in any field.
+
+    A field's own spans come first, then longer surfaces; what has been replaced isn't looked at again. found: a table,
+    or a plan that is cheap to compute twice (`redact` writes it).
+    """
+    every = with_field(found)
+    label = lambda category, key: F.concat_ws(" ", category, key)
+    put_for = lambda category, surface: F.coalesce(F.element_at("_tokens", label(category, surface_key(surface))), F.lit(MASK))
+    if tokens is None:
+        maps = None
+        rows = every.withColumn("_tokens", F.lit(None).cast("map<string,string>"))
+    else:
+        maps = tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(label(F.col("category"), F.col("key")), "token"))).alias("_tokens"))
+        rows = every.join(maps, "doc_id", "left")
+    own = F.transform("spans", lambda s: item(s["start"], end_of(s), 0, s["surface"], put_for(s["category"], s["surface"])))
+    if everywhere:
+        wanted = surfaces(every).select("doc_id", "key", "category", "surface", "n", "words", "lead", "trail")
+        met = occurrences(every.select("doc_id", "field", "text"), wanted)
+        met = met.withColumn("_tokens", F.lit(None).cast("map<string,string>")) if maps is None else met.join(maps, "doc_id", "left")
+        more = met.groupBy("doc_id", "field").agg(F.collect_list(item(F.col("start"), F.col("end"), 1, F.col("key"), put_for(F.col("category"), F.col("surface")))).alias("_more"))
+        rows = rows.join(more, ["doc_id", "field"], "left")
+        own = F.concat(own, F.coalesce("_more", F.array().cast(ITEM)))
+    items = rows.withColumn("_items", chosen(F.array_sort(own)))
+    return items.select(*own_of(found), put_in(F.col("text"), F.col("_items")).alias("text"), "spans")
+
+
+def leaks(redacted: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, leaks, leaked: how many surfaces of three characters or more, found in any field of a document, its redacted fields
+    still hold as words, and which. found: what was redacted, if `redacted` has no spans."""
+    plain = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
+    source = redacted if found is None else found
+    wanted = surfaces(source, plain(F.col("surface"))).where(F.length("key") >= 3)
+    left = occurrences(with_field(redacted).select("doc_id", "field", plain(F.col("text")).alias("text")), wanted)
+    counted = left.groupBy("doc_id").agg(F.count_distinct("key").alias("n"), F.sort_array(F.collect_set("key")).alias("leaked"))
+    every = redacted.select("doc_id").distinct()
+    return every.join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("leaks"), F.coalesce("leaked", F.array().cast("array<string>")).alias("leaked"))
+
+
+def redact(fields: DataFrame, mode: str = "mask", categories: tuple[str, ...] | None = None, first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = SURNAMES) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Whole documents: (doc_id, field, text, spans, leaks), what was found, and the tokens (None under a mask).
+
+    fields: doc_id, text and, if documents have several, field. mode: `mask` or `token`. A document of which a surface is left
+    isn't released: its texts are null and `leaks` tells how many are left. What was found, and the result, are written once.
+    """
+    if mode not in ("mask", "token"):
+        raise ValueError(f"mode is mask or token, not {mode}")
+    ws = Workspace(fields.sparkSession, "redact")
+    found = ws.cut(resolve(detect(fields, categories, first_names, surnames)))
+    tokens = token_map(found) if mode == "token" else None
+    done = ws.cut(apply_spans(found, tokens))
+    return released(done), found, tokens
+
+
+def released(redacted: DataFrame) -> DataFrame:
+    """The redacted fields with their documents' `leaks`; texts of documents with leaks are null."""
+    out = redacted.join(leaks(redacted).select("doc_id", "leaks"), "doc_id", "left")
+    return out.select(*own_of(redacted), F.when(F.col("leaks") == 0, F.col("text")).alias("text"), "spans", "leaks")
 
 
 def stats(found: DataFrame) -> DataFrame:

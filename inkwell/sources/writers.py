@@ -151,17 +151,23 @@ def citation_markdown(title: str, passages: DataFrame, matched: DataFrame, evide
 
 
 def redaction_markdown(redacted: DataFrame, found: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """doc_id, markdown: counts by category, the redacted text and, if asked for, the map from tokens back. redacted: doc_id, text."""
+    """doc_id, markdown: counts by category, the redacted fields in order and, if asked for, the map from tokens back.
+
+    A document that still holds a surface is refused: its markdown is null. redacted: doc_id, text and, if there is one, field.
+    """
+    left = redact.leaks(redacted, found).select("doc_id", "leaks")
+    fields = redact.with_field(redacted).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("field", "text"))), lambda x: x["text"]), "\n\n").alias("text")).join(left, "doc_id")
     counts = redact.spans(found).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
     rows = counts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("category", F.col("n").cast("string")))).alias("r"), F.sum("n").alias("all"))
     table = table_markdown(F.concat(F.array(F.array(F.lit("category"), F.lit("redacted"))), F.col("r")))
-    out = redacted.select("doc_id", "text").join(rows, "doc_id", "left")
+    out = fields.join(rows, "doc_id", "left")
     if tokens is not None:
         pairs = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("token", "surface"))).alias("map"))
         out = out.join(pairs, "doc_id", "left")
     back = None if tokens is None else section("Re-identification map", table_markdown(F.concat(F.array(F.array(F.lit("token"), F.lit("surface"))), F.col("map"))), F.size("map") > 0)
     summary = lines(say(F.coalesce("all", F.lit(0)), " span(s) redacted."), F.when(F.size("r") > 0, F.concat(F.lit("\n"), table)))
-    return out.select("doc_id", lines(section("Redaction summary", summary), section("Document (redacted)", F.col("text")), back).alias("markdown"))
+    whole = lines(section("Redaction summary", summary), section("Document (redacted)", F.col("text")), back)
+    return out.select("doc_id", F.when(F.col("leaks") == 0, whole).alias("markdown"))
 
 
 def compilation_markdown(title: str, chosen: DataFrame, phrases: DataFrame, refs: DataFrame, context: bool = False) -> DataFrame:

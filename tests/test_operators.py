@@ -42,10 +42,65 @@ def test_detectors(spark):
 
 def test_redaction_leaves_no_surface(spark):
     df = spark.createDataFrame(list(catalogue.PLANTED), "doc_id long, text string")
-    done = redact.everywhere(redact.apply_spans(redact.resolve(redact.detect(df))))
+    done = redact.apply_spans(redact.resolve(redact.detect(df)))
     assert {r.leaks for r in redact.leaks(done).collect()} == {0}
 
 
+FIELDS = [
+    (1, 0, "Dear Mary, Dr. John Smith met us."), (1, 1, "Later John Smith left. john smith too; Johnsmith, xJohn Smith no."), (1, 2, "call +353 86 123 4567 or a@b.ie"),
+    (1, 3, "no+353 86 123 4567 / (+353 86 123 4567) A@B.IE mary Mary's"), (2, 0, "nothing John Smith"), (3, 0, None), (4, 0, ""),
+]
+
+
+@pytest.mark.parametrize(("mode", "want"), [
+    ("mask", ["Dear X, Dr. X met us.", "Later X left. X too; Johnsmith, xJohn Smith no.", "call X or X", "noX / (X) X X X's", "nothing John Smith", None, ""]),
+    ("token", ["Dear [PERSON-2], Dr. [PERSON-1] met us.", "Later [PERSON-1] left. [PERSON-1] too; Johnsmith, xJohn Smith no.", "call [PHONE-1] or [EMAIL-1]", "no[PHONE-1] / ([PHONE-1]) [EMAIL-1] [PERSON-2] [PERSON-2]'s", "nothing John Smith", None, ""]),
+])
+def test_a_surface_goes_from_all_fields(spark, mode, want):
+    df = spark.createDataFrame([(*r, "clash") for r in FIELDS], "doc_id long, field int, text string, key string").repartition(3)
+    out, found, tokens = redact.redact(df, mode)
+    got = sorted((r.doc_id, r.field, r.text, r.leaks) for r in out.collect())
+    assert [(d, f, t and t.replace("XXXXXXXXX", "X"), n) for d, f, t, n in got] == [(d, f, w, 0) for (d, f, _), w in zip(FIELDS, want, strict=True)]
+    assert (tokens is None) == (mode == "mask")
+    md = {r.doc_id: r.markdown for r in writers.redaction_markdown(out, found, tokens).collect()}
+    assert "| person | 2 |" in md[1] and "0 span(s)" in md[2]
+    #: Masked in their own fields only, surfaces are left elsewhere, and the report is refused.
+    partly = redact.apply_spans(found, everywhere=False)
+    assert [(r.doc_id, r.leaks, r.leaked) for r in redact.leaks(partly).orderBy("doc_id").collect()] == [(1, 2, ["john smith", "mary"])] + [(i, 0, []) for i in (2, 3, 4)]
+    assert writers.redaction_markdown(partly, found).where("doc_id = 1").first().markdown is None
+    assert redact.released(partly).where("doc_id = 1 AND text IS NOT NULL").count() == 0
+    assert redact.redact(df.limit(0), mode)[0].count() == 0
+
+
+def test_of_overlapping_repeats_the_longest_goes(spark):
+    df = spark.createDataFrame([(1, 0, "Dr. John Smith, Dr. Smith"), (1, 1, "john smith smith john Smith")], "doc_id long, field int, text string")
+    got = [r.text for r in redact.redact(df, "token")[0].orderBy("field").collect()]
+    assert got == ["Dr. [PERSON-2], Dr. [PERSON-1]", "[PERSON-2] [PERSON-1] [PERSON-2]"]
+    with pytest.raises(ValueError, match="mask or token"):
+        redact.redact(df, "hide")
+
+
+def test_long_fields_with_many_spans(spark):
+    n = 3000
+    df = spark.createDataFrame([(1, 0, " ".join(f"mail user{i}@host{i % 97}.com now" for i in range(n))), (1, 1, "again USER7@host7.com " * n)], "doc_id long, field int, text string")
+    got = [r.text for r in redact.redact(df, categories=("email",))[0].orderBy("field").collect()]
+    assert got == [" ".join(["mail XXXXXXXXX now"] * n), "again XXXXXXXXX " * n]
+
+
+def test_texts_in_blocks(spark):
+    from inkwell.functions import text as tx
+
+    text = "".join(chr(0x1F600 + i % 60) if i % 7 == 0 else chr(97 + i % 26) for i in range(1500))
+    df = spark.createDataFrame([(text, s, n) for s, n in ((0, 3), (255, 2), (256, 256), (100, 900), (1498, 9), (5, 0), (1500, 4))], "t string, s long, n long")
+    for r in df.select("s", "n", tx.cut(tx.in_blocks(F.col("t")), F.col("s"), F.col("n")).alias("x")).collect():
+        assert r.x == text[r.s : r.s + r.n]
+    sums = spark.createDataFrame([(list(range(300)),), ([],)], "a array<long>").select(tx.running_sums(F.col("a")).alias("x")).collect()
+    assert sums[0].x == [sum(range(i)) for i in range(300)] and sums[1].x == []
+    pairs = [(0, 3), (1, 9), (2, 4), (9, 10), (12, 13), (12, 12)]
+    got = spark.createDataFrame([(pairs,)], "a array<struct<s:long,e:long>>").select(tx.runs(F.col("a"), lambda x: x["s"], lambda x: x["e"]).alias("x")).first().x
+    assert [[tuple(p) for p in r] for r in got] == [pairs[:3], pairs[3:4], pairs[4:]]
+
+
 def test_bm25(spark):
     refs = spark.createDataFrame([(0, "solar panels convert sunlight solar energy"), (1, "wind turbines convert wind energy"), (2, "medieval castles stone walls")], "ref_id long, text string")
     passages = spark.createDataFrame([(1, "solar energy policy energy"), (2, "castles walls repair")], "passage_id long, text string")
@@ -179,7 +234,7 @@ def test_addresses(spark):
     found = redact.resolve(redact.detect(spark.createDataFrame([(1, f"at {planted}. Mail a@b.ie")], "doc_id long, text string")))
     assert redact.apply_spans(found).first().text == "at XXXXXXXXX. Mail XXXXXXXXX"
     assert redact.apply_spans(found, redact.token_map(found)).first().text == "at [ADDRESS-1]. Mail [EMAIL-1]"
-    done = redact.everywhere(redact.apply_spans(found))
+    done = redact.apply_spans(found)
     assert redact.leaks(done).first().leaks == 0 and redact.leaks(found).first().leaks == 2
 
 
