@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import LINE_BREAK, collapse, trim, word_count
 
-# Line patterns. Groups repeat a bounded number of times, as Java's matcher takes a stack frame for each.
+# Line patterns. Repeated groups are possessive, as Java's matcher takes a stack frame for each repetition of others.
 BULLET = r"^\s*(?:[\x{2022}\x{2023}\x{25AA}\x{25CF}\x{25E6}\x{2043}\x{2219}\x{00B7}\x{2713}\x{2714}\x{2717}\x{2718}\x{2610}\x{2611}\x{2612}\x{2700}-\x{27BF}\x{E000}-\x{F8FF}]\s*|[*\x{2013}\x{2014}-]\s+)"
 CAPTION = r"(?i)^(fig(?:ure)?\.?|table)\s+\d+[a-z]?\s*[.:\x{2014}\x{2013}\-]\s*\S"
 NUMBERED = r"^\s*\d+\.\s+[A-Z]"
-SECTION = r"^\s*\d+\.\d+(\.\d+){0,50}\s+\S"
-NUMBER = r"^\s*\d+(\.\d+){0,50}\.?\s*"
+SECTION = r"^\s*\d+\.\d+(?:\.\d+)*+\s+\S"
+NUMBER = r"^\s*\d+(?:\.\d+)*+\.?\s*"
 PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
 PAGE_LABEL = r"(?i)^\s*\d{0,4}\s*\|?\s*p\s*a\s*g\s*e\b"
 LEADER = r"\.(\s?\.){3}"
@@ -198,7 +198,7 @@ def sections(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos")
     head = F.col("type") == "heading"
     rows = blocks.withColumn("section", F.sum(head.cast("int")).over(order)).where("section > 0")
-    counted = F.when(F.col("type").isin("paragraph", "list"), word_count(F.col("text"))).otherwise(0)
+    counted = F.when(F.col("type").isin("paragraph", "list", "table"), word_count(F.col("text"))).otherwise(0)
     return rows.groupBy("doc_id", "section").agg(F.max(F.when(head, F.col("text"))).alias("title"), F.coalesce(F.max(F.when(head, F.col("level"))), F.lit(2)).alias("level"), F.sum(counted).alias("word_count"))
 
 

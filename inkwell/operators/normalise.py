@@ -133,30 +133,51 @@ def header_of(text: Column, seed: Column) -> Column:
     return F.when((seed != "") & (F.length(title) >= 5) & title.rlike(r"\p{L}"), title)
 
 
-FIELDS = ("pos", "part", "type", "text", "level", "table_row", "math_degraded")
+FIELDS = ("pos", "part", "type", "text", "level", "table_row", "math_degraded", "rows")
+ROWS = "array<array<string>>"
+#: Blocks as sources give them: a table has rows of cells, the others a text.
+SOURCE_BLOCKS = f"array<struct<type:string,text:string,level:int,rows:{ROWS}>>"
+
+
+def block_of(pos: Column, kind: Column, text: Column, level: Column, rows: Column | None = None) -> Column:
+    no = F.lit(False)
+    values = (pos, F.lit(1), kind, text, level.cast("int"), no, no, F.lit(None).cast(ROWS) if rows is None else rows)
+    return F.struct(*(v.alias(n) for v, n in zip(values, FIELDS, strict=True)))
+
+
+def cells_of(rows: Column) -> Column:
+    """The cells of a table that hold something, row by row."""
+    return F.filter(F.flatten(rows), lambda c: trim(c) != "")
+
+
+def given_blocks(found: Column) -> Column:
+    """Blocks of a source in place; a table's text is its cells, one a line; tables without a cell go."""
+    filled = F.filter(found, lambda x: (x["type"] != "table") | (F.size(cells_of(x["rows"])) > 0))
+    text = lambda x: F.when(x["type"] == "table", F.array_join(cells_of(x["rows"]), "\n")).otherwise(F.coalesce(x["text"], F.lit("")))
+    return F.transform(filled, lambda x, i: block_of(i, x["type"], text(x), x["level"], F.when(x["type"] == "table", x["rows"])))
 
 
 def plain_blocks(text: Column, block) -> Column:
     """Blocks of a text's lines without cleaning, in place."""
     lines = F.transform(F.split(text, b.LINE_BREAK, -1), lambda x, i: F.struct(i.alias("pos"), block(trim(x)).alias("b"), trim(x).alias("line")))
-    no = F.lit(False)
-    whole = lambda x: F.struct(x["pos"].alias("pos"), F.lit(1).alias("part"), x["b"]["type"].alias("type"), x["b"]["text"].alias("text"), x["b"]["level"].cast("int").alias("level"), no.alias("table_row"), no.alias("math_degraded"))
-    return F.transform(F.filter(lines, lambda x: x["line"] != ""), whole)
+    return F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: block_of(x["pos"], x["b"]["type"], x["b"]["text"], x["b"]["level"]))
 
 
 def normalise(docs: DataFrame) -> DataFrame:
     """doc_id, text (rebuilt from the blocks), blocks (in order), list_ratio, removed, header, size_bytes: one row a document.
 
-    Without a block that stays, the blocks are the plain lines. A null text is empty.
+    Without a block that stays, the blocks are the plain lines, or a PDF's paragraphs (docs may have a `kind`). A null text is empty.
     """
     marked = marked_lines(docs)
-    whole = clean_blocks(docs, marked).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("blocks"))
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
+    whole = clean_blocks(docs, marked).withColumn("rows", F.lit(None).cast(ROWS)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("blocks"))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source"), (F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")).alias("kind"))
+    lines = plain_blocks(F.col("source"), b.text_block)
+    paragraphs = F.transform(b.paragraph_blocks(F.col("source")), lambda x: block_of(x["pos"], x["type"], x["text"], x["level"]))
     every = source.join(whole, "doc_id", "left").join(furniture(marked), "doc_id", "left")
     return every.select(
         "doc_id",
         F.coalesce(text_of(F.col("blocks")), F.lit("")).alias("text"),
-        F.coalesce("blocks", plain_blocks(F.col("source"), b.text_block)).alias("blocks"),
+        F.coalesce(F.col("blocks"), F.when(F.col("kind") == "PDF", paragraphs).otherwise(lines)).alias("blocks"),
         F.coalesce("removed", F.array().cast("array<string>")).alias("removed"),
         header_of(F.col("source"), F.col("seed")).alias("header"),
         F.octet_length("source").alias("size_bytes"),
@@ -173,8 +194,23 @@ def ratio_of(blocks: Column) -> Column:
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """Documents as normalise gives them, and their parser: plain text cleaned, Markdown with the blocks of its own marks."""
-    parsed = docs.withColumn("parser", b.parser_expr())
-    plain = normalise(parsed.where("coalesce(parser, 'text') = 'text'")).withColumn("parser", F.lit("text"))
-    marked = parsed.where("parser = 'markdown'").select("doc_id", "text", plain_blocks(F.col("text"), b.markdown_block).alias("blocks"), F.array().cast("array<string>").alias("removed"), F.lit(None).cast("string").alias("header"), F.octet_length("text").alias("size_bytes"), "parser")
-    return plain.unionByName(marked.withColumn("list_ratio", ratio_of(F.col("blocks"))))
+    """Documents as normalise gives them, and their parser and source type: plain text cleaned, Markdown with the blocks of its
+    own marks, documents with `source_blocks` with these. docs: doc_id, text and, from files, kind and source_blocks."""
+    kind = F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")
+    given = F.col("source_blocks") if "source_blocks" in docs.columns else F.lit(None).cast(SOURCE_BLOCKS)
+    parser = F.when(given.isNotNull(), "given").when(kind == "MD", "markdown").when(kind == "PDF", "text").otherwise(b.parser_expr())
+    parsed = docs.select("doc_id", "text", kind.alias("kind"), given.alias("source_blocks"), F.coalesce(parser, F.lit("text")).alias("parser"))
+    kept = lambda name: parsed.where(F.col("parser") == name)
+
+    def as_is(rows: DataFrame, text: Column, blocks: Column) -> DataFrame:
+        out = rows.select("doc_id", text.alias("text"), blocks.alias("blocks"), F.array().cast("array<string>").alias("removed"), F.lit(None).cast("string").alias("header"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size_bytes"), "parser")
+        return out.withColumn("list_ratio", ratio_of(F.col("blocks")))
+
+    plain = normalise(kept("text")).withColumn("parser", F.lit("text"))
+    every = plain.unionByName(as_is(kept("markdown"), F.col("text"), plain_blocks(F.col("text"), b.markdown_block)))
+    if "source_blocks" in docs.columns:
+        every = every.unionByName(as_is(kept("given").withColumn("_blocks", given_blocks(F.col("source_blocks"))), text_of(F.col("_blocks")), F.col("_blocks")))
+    by_parser = F.when(F.col("parser") == "markdown", "MD").otherwise("TXT")
+    if "kind" not in docs.columns:
+        return every.withColumn("source_type", by_parser)
+    return every.join(docs.select("doc_id", F.col("kind").alias("source_type")), "doc_id", "left").withColumn("source_type", F.when(F.col("source_type").isin("PDF", "DOCX"), F.col("source_type")).otherwise(by_parser))

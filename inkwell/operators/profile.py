@@ -173,6 +173,16 @@ def correlations(text: DataFrame, columns: list[str]) -> DataFrame:
     return agg.select(F.get(names, F.col("k")).alias("p"), "n", r.alias("r")).select("p.a", "p.b", "n", "r")
 
 
+def matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """column and one column for each of `columns`: the square of correlations, to two places, 1.0 on the diagonal, null where a
+    pair has none; empty with fewer than two columns."""
+    spark = pairs.sparkSession
+    r = F.round("r", 2).alias("r")
+    itself = spark.createDataFrame([(c, c, 1.0) for c in columns if len(columns) > 1], "a string, b string, r double")
+    cells = pairs.select("a", "b", r).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), r)).unionByName(itself)
+    return cells.groupBy(F.col("a").alias("column")).pivot("b", columns).agg(F.first("r"))
+
+
 def strong_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.abs("r") >= STRONG).select("a", "b", F.round("r", 2).alias("r"))
 

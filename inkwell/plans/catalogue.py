@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.operators import blocks, cite, library, normalise, profile, quality, references, stats, summary
 
+from inkwell.sources import writers
 from inkwell.sources.tables import spread
 
 from . import documents
@@ -63,10 +64,12 @@ def _matches(text: str, *patterns: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns) + ")"
 
 
+#: DuckDB's patterns have no possessive repeats, and need none.
+SECTION = blocks.SECTION.replace("*+", "*")
 TOKENS_OF = "regexp_split_to_array(line, '\\s+')"
-HEADER_LINE = f"""(line <> '' AND length(line) <= 70 AND NOT {_matches("line", "[.!?:;,]$", blocks.BULLET, blocks.NUMBERED, blocks.SECTION, blocks.LEADER)} AND len({TOKENS_OF}) BETWEEN 3 AND 8
+HEADER_LINE = f"""(line <> '' AND length(line) <= 70 AND NOT {_matches("line", "[.!?:;,]$", blocks.BULLET, blocks.NUMBERED, SECTION, blocks.LEADER)} AND len({TOKENS_OF}) BETWEEN 3 AND 8
     AND len(list_filter({TOKENS_OF}, lambda t: regexp_matches(t, '^[(\\[]?\\p{{Lu}}'))) >= greatest(3, len({TOKENS_OF}) - 1))"""
-ROW_LINE = f"""(line <> '' AND length(line) <= 120 AND NOT {_matches("line", blocks.BULLET, blocks.SECTION, blocks.LEADER)} AND len({TOKENS_OF}) >= 3 AND {_matches(f"{TOKENS_OF}[1]", "^\\d{1,3}$", "^\\p{Lu}{2,5}$")})"""
+ROW_LINE = f"""(line <> '' AND length(line) <= 120 AND NOT {_matches("line", blocks.BULLET, SECTION, blocks.LEADER)} AND len({TOKENS_OF}) >= 3 AND {_matches(f"{TOKENS_OF}[1]", "^\\d{1,3}$", "^\\p{Lu}{2,5}$")})"""
 
 def _is_math(x: str) -> str:
     return f"""(length({x}) BETWEEN 3 AND 600 AND len(regexp_extract_all({x}, '{blocks.MATH}')) >= 5 AND len(regexp_extract_all({x}, '{blocks.MATH}')) / greatest(1, length(regexp_replace({x}, '\\s+', '', 'g'))) >= 0.12
@@ -79,7 +82,7 @@ MARKED = f"""{LINES},
       coalesce(lag(line) OVER o, '') = '' OR coalesce(lead(line) OVER o, '') = '' AS alone FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
     m2 AS (SELECT *, bool_or(label) OVER (PARTITION BY doc_id) AS labelled, sig <> '' AND count(*) OVER (PARTITION BY doc_id, sig) >= {normalise.REPEATS} AS recurs FROM m1),
     m3 AS (SELECT *, CASE WHEN label THEN 'label' WHEN NOT labelled AND {_matches("line", blocks.PAGE_NUMBER)} AND alone THEN 'number' END AS marker,
-      line <> '' AND CASE WHEN labelled THEN NOT recurs ELSE {_matches("line", blocks.BULLET, blocks.NUMBERED, blocks.SECTION, "[.!?,;:]$")} OR length(line) > 80 END AS stops FROM m2),
+      line <> '' AND CASE WHEN labelled THEN NOT recurs ELSE {_matches("line", blocks.BULLET, blocks.NUMBERED, SECTION, "[.!?,;:]$")} OR length(line) > 80 END AS stops FROM m2),
     reach AS (SELECT a.doc_id, a.pos, k.pos AS mark, k.marker FROM m3 a JOIN m3 k ON a.doc_id = k.doc_id AND k.marker IS NOT NULL AND k.pos <> a.pos AND abs(k.pos - a.pos) <= {normalise.REACH} AND (k.pos > a.pos OR k.labelled) WHERE a.line <> '' AND NOT a.stops),
     near AS (SELECT doc_id, pos, mark, marker FROM reach QUALIFY row_number() OVER (PARTITION BY doc_id, pos, mark > pos ORDER BY abs(mark - pos)) = 1),
     walked AS (SELECT n.doc_id, n.pos FROM near n JOIN m3 b ON b.doc_id = n.doc_id AND b.pos BETWEEN least(n.pos, n.mark) AND greatest(n.pos, n.mark) AND b.pos <> n.mark GROUP BY n.doc_id, n.pos, n.mark, n.marker
@@ -93,10 +96,10 @@ def _kinds(source: str, tables: bool) -> str:
     k2 AS (SELECT *, last_value(CASE WHEN line <> '' THEN header END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS header_before,
       first_value(CASE WHEN line <> '' THEN line END IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following,
       first_value(CASE WHEN line <> '' THEN "row" END IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS row_after,
-      sum(CAST({_matches("line", blocks.SECTION)} AND length(line) < 150 AND NOT dropped AS INTEGER)) OVER (PARTITION BY doc_id) >= 2 AS skeleton FROM k1 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+      sum(CAST({_matches("line", SECTION)} AND length(line) < 150 AND NOT dropped AS INTEGER)) OVER (PARTITION BY doc_id) >= 2 AS skeleton FROM k1 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
     k3 AS (SELECT *, header AND coalesce(row_after, false) AS opens, last_value(CASE WHEN "row" AND coalesce(header_before, false) THEN 1 WHEN line = '' OR (NOT dropped AND NOT "row") THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) = 1 AS inside FROM k2),
     kinds AS (SELECT doc_id, pos, line, opens, CASE WHEN line = '' THEN 'blank' WHEN opens OR ("row" AND coalesce(inside, false)) THEN 'row' WHEN {_matches("line", blocks.LEADER)} THEN 'leader' WHEN {_matches("line", blocks.CAPTION)} THEN 'caption'
-      WHEN {_matches("line", blocks.SECTION)} AND length(line) < 150 THEN CASE WHEN {_matches("coalesce(following, '')", blocks.LEADER)} THEN 'leader' ELSE 'section' END
+      WHEN {_matches("line", SECTION)} AND length(line) < 150 THEN CASE WHEN {_matches("coalesce(following, '')", blocks.LEADER)} THEN 'leader' ELSE 'section' END
       WHEN NOT skeleton AND {_matches("line", blocks.NUMBERED)} AND {_words("line")} BETWEEN 1 AND 12 AND length(line) <= 90 AND NOT {_matches("line", ":\\s+\\S+\\s+\\S+")} AND NOT {_matches("coalesce(following, '')", "^\\p{Ll}")} THEN 'numbered'
       WHEN {_matches("line", blocks.BULLET)} THEN 'bullet' ELSE 'text' END AS kind FROM k3 WHERE NOT dropped),
     b1 AS (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM (SELECT *, kind = 'text' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) IN ('text', 'bullet'), false) AS joins FROM kinds)),
@@ -466,6 +469,28 @@ def document_passages(spark, sf_dir):
     return cite.passages(normalise.prepare(docs(spark, sf_dir)))
 
 
+# -- table blocks -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, l_linenumber, [l_linenumber::VARCHAR, 'part ' || l_partkey, l_returnflag || '|' || l_linestatus] AS cells FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
+    g AS (SELECT o_orderkey AS doc_id, any_value(o_orderpriority) AS priority, count(l_linenumber) AS n, string_agg('| ' || array_to_string(list_transform(cells, lambda c: replace(c, '|', chr(92) || '|')), ' | ') || ' |', chr(10) ORDER BY l_linenumber, cells) AS lines,
+      string_agg(array_to_string(cells, chr(10)), chr(10) ORDER BY l_linenumber, cells) AS words FROM r GROUP BY o_orderkey)
+    SELECT doc_id, CASE WHEN n > 0 THEN 'form' ELSE 'prose' END AS doc_class, 'Order ' || doc_id AS title, """ + _words("priority") + " + CASE WHEN n > 0 THEN " + _words("('line' || chr(10) || 'part' || chr(10) || 'flags' || chr(10) || words)") + """ ELSE 0 END AS word_count,
+      CASE WHEN n > 0 THEN '| line | part | flags |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines END AS table_markdown FROM g""")
+def order_tables(spark, sf_dir):
+    """Every order as a document of a heading, a paragraph and its lines as a table block: section words, class and Markdown."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_linenumber").cast("string"), F.concat(F.lit("part "), "l_partkey"), F.concat_ws("|", "l_returnflag", "l_linestatus")).alias("cells"))
+    rows = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "cells"))), lambda x: x["cells"]).alias("rows"))
+    orders_ = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    one = lambda kind, text, level, rows: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), level.cast("int").alias("level"), rows.cast(normalise.ROWS).alias("rows"))
+    none, header = F.lit(None), F.array(F.array(*map(F.lit, ("line", "part", "flags"))))
+    given = F.array(one("heading", F.concat(F.lit("Order "), "o_orderkey"), F.lit(1), none), one("paragraph", F.col("o_orderpriority"), none, none), one("table", none, none, F.when(F.col("rows").isNotNull(), F.concat(header, "rows"))))
+    made = orders_.select(F.col("o_orderkey").alias("doc_id"), normalise.given_blocks(given).alias("blocks"))
+    tables = F.filter("blocks", lambda x: x["type"] == "table")
+    first = F.get(documents.sections_of(F.col("blocks")), F.lit(0))
+    return made.select("doc_id", documents.doc_class(F.lit(False), F.size(tables)).alias("doc_class"), first["title"].alias("title"), first["words"].alias("word_count"), F.get(F.transform(tables, writers.block_markdown), F.lit(0)).alias("table_markdown")).withColumn("table_markdown", F.regexp_replace("table_markdown", "\n$", ""))
+
+
 # -- library ----------------------------------------------------------------------------------------------------------
 
 REPORTS = "r AS (SELECT doc_id AS id, sha256(text) AS fingerprint, left(trim(string_split(text, chr(10))[1]), 255) AS title, upper(lang) AS source_type, CAST(strlen(text) AS BIGINT) AS size_bytes, left(text, 500) AS excerpt, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS created_at FROM documents)"
@@ -618,6 +643,16 @@ def profile_strong_pairs(spark, sf_dir):
     return profile.strong_pairs(profile.correlations(profile.as_text(made, "l_orderkey"), [*LINE_NUMBERS, *MADE]))
 
 
+NUMBERS = (*LINE_NUMBERS, *MADE)
+
+
+@query("WITH m AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in MADE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{a}' AS "column", """ + ", ".join("1.0::DOUBLE AS " + b if a == b else f"round(corr({min(a, b, key=NUMBERS.index)}, {max(a, b, key=NUMBERS.index)}), 2) + 0.0 AS {b}" for b in NUMBERS) + " FROM m" for a in NUMBERS))
+def profile_matrix(spark, sf_dir):
+    """The square of correlations of lineitem's numbers."""
+    made = table(spark, sf_dir, "lineitem").withColumns({k: F.expr(v) for k, v in MADE.items()})
+    return profile.matrix(profile.correlations(profile.as_text(made, "l_orderkey"), list(NUMBERS)), list(NUMBERS))
+
+
 @query('WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 3), g AS (SELECT *, count(*) AS n FROM x GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS "rows", count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g')
 def profile_duplicates(spark, sf_dir):
     """Whole rows of lineitem, third lines planted twice: the table itself repeats none."""

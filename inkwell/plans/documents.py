@@ -20,7 +20,7 @@ def sections_of(found: Column) -> Column:
     def whole(heads: Column) -> Column:
         def section(p: Column, i: Column) -> Column:
             end = F.coalesce(F.get(heads, i + 1), F.size(found))
-            body = F.filter(F.slice(found, p + 2, end - p - 1), lambda x: x["type"].isin("paragraph", "list"))
+            body = F.filter(F.slice(found, p + 2, end - p - 1), lambda x: x["type"].isin("paragraph", "list", "table"))
             words = F.aggregate(body, F.lit(0).cast("bigint"), lambda n, x: n + word_count(x["text"]))
             head = F.get(found, p)
             return F.struct(head["text"].alias("title"), F.coalesce(head["level"], F.lit(2)).alias("level"), words.alias("words"))
@@ -30,10 +30,16 @@ def sections_of(found: Column) -> Column:
     return F.get(F.transform(F.array(at), whole), F.lit(0))
 
 
+def doc_class(by_template: Column, tables: Column) -> Column:
+    return F.when(by_template, "list-dominant").when(tables > 0, "form").otherwise("prose")
+
+
 def findings(prepared: DataFrame, ranked: DataFrame) -> DataFrame:
     """doc_id, key_findings: from the ranked sentences, or, where the summary is a template, from lists and paragraphs."""
-    bodies = prepared.where("by_template").select("doc_id", F.explode(F.filter("blocks", lambda x: x["type"].isin("list", "paragraph"))).alias("x"))
-    parts = bodies.select("doc_id", F.struct("x.pos", "x.part").alias("at"), F.posexplode(F.split(trim(F.col("x.text")), r"(?<=[.!?])\s+")).alias("nth", "sentence")).where("sentence NOT IN ('', '0')")
+    bodies = prepared.where("by_template").select("doc_id", F.explode(F.filter("blocks", lambda x: x["type"].isin("list", "paragraph", "table"))).alias("x"))
+    #: Every cell of a table stands for itself.
+    pieces = F.flatten(F.transform(F.when(F.col("x.type") == "table", normalise.cells_of(F.col("x.rows"))).otherwise(F.array("x.text")), lambda t: F.split(trim(t), r"(?<=[.!?])\s+")))
+    parts = bodies.select("doc_id", F.struct("x.pos", "x.part").alias("at"), F.posexplode(pieces).alias("nth", "sentence")).where("sentence NOT IN ('', '0')")
     once = parts.withColumn("signature", summary.signature(F.col("sentence")))
     twice = once.groupBy("doc_id", "signature").agg(F.count("*").alias("n")).where("n > 1")
     listed = once.join(twice, ["doc_id", "signature"], "left_anti").select("doc_id", F.struct("at.pos", "at.part", "nth").alias("at"), "sentence")
@@ -47,14 +53,15 @@ def findings(prepared: DataFrame, ranked: DataFrame) -> DataFrame:
 def document_reports(docs: DataFrame, stem: Column | None = None, meta_title: Column | None = None) -> DataFrame:
     """One row a document: title, blocks, statistics, references, phrases, summaries, checks, notes, scores and flags.
 
-    docs: doc_id, text and what `stem` (a name without suffix) and `meta_title` refer to. Documents are prepared by one
+    docs: doc_id, text, what `stem` (a name without suffix) and `meta_title` refer to and, from files, kind, source_blocks and
+    pages. Documents are prepared by one
     shuffle of their lines and written once, as are their ranked sentences, since several parts read both; what needs no
     neighbours is one projection, and phrases and findings come back as one small row a document.
     """
-    names = docs.select("doc_id", (F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem).alias("stem"), (F.lit(None).cast("string") if meta_title is None else meta_title).alias("meta_title"))
+    names = docs.select("doc_id", (F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem).alias("stem"), (F.lit(None).cast("string") if meta_title is None else meta_title).alias("meta_title"), (F.col("pages") if "pages" in docs.columns else F.lit(None).cast("int")).alias("pages"))
     strip = lambda x: F.regexp_replace(x, blocks.NUMBER, "")
     prose = F.concat(F.col("removed"), F.transform(F.filter("blocks", lambda x: x["table_row"]), lambda x: x["text"]))
-    prepared = normalise.prepare(docs.select("doc_id", "text")).withColumns({
+    prepared = normalise.prepare(docs.select("doc_id", "text", *(c for c in ("kind", "source_blocks") if c in docs.columns))).withColumns({
         "titles": F.transform(F.filter("blocks", lambda x: x["type"] == "heading"), lambda x: strip(x["text"])),
         "furniture": F.array_distinct(F.filter(F.transform(prose, summary.normal), lambda x: F.length(x) >= 8)),
     })
@@ -75,7 +82,7 @@ def judged(whole: DataFrame) -> DataFrame:
     title_like = lambda x: F.when(blocks.looks_like_title(trim(x)), trim(x))
     words = word_count(c("text"))
     facts = whole.select(
-        "doc_id", "parser", "text", "blocks", "list_ratio", "removed", "by_template", "titles", "size_bytes",
+        "doc_id", "source_type", "text", "blocks", "list_ratio", "removed", "by_template", "titles", "size_bytes", blocks.pages_shown(c("source_type"), F.coalesce("pages", F.lit(1))).alias("pages"),
         F.left(F.coalesce(title_like(c("meta_title")), title_like(c("header")), first_heading, c("stem")), F.lit(255)).alias("title"),
         words.alias("words"),
         stats.readability(c("text")).alias("statistics"),
@@ -99,7 +106,6 @@ def judged(whole: DataFrame) -> DataFrame:
         "top_share": F.coalesce(F.try_divide(F.array_max(F.transform("sections", lambda x: x["words"])), F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])), F.lit(0.0)),
         "n_references": F.size("references"), "n_phrases": F.size("phrases"),
         "glyph_phrases": F.size(F.filter("phrases", lambda p: p["phrase"].rlike(quality.GLYPHS))),
-        "source_type": F.when(c("parser") == "markdown", "MD").otherwise("TXT"),
         "n_tables": F.size(F.filter("blocks", lambda x: x["type"] == "table")),
         "n_flattened": F.size(F.filter("blocks", lambda x: (x["type"] == "note") & (x["text"] == normalise.TABLE_NOTE))),
         "n_formulas": F.size(F.filter("blocks", lambda x: x["math_degraded"])),
@@ -112,11 +118,18 @@ def judged(whole: DataFrame) -> DataFrame:
     scored = checked.withColumns({
         "knowledge_score": quality.composite(c("structure_score"), c("content_score"), c("reference_score")),
         "issues": quality.issues(), "flags": quality.flags(), "notes": quality.notes(),
-        "doc_class": F.when(c("by_template"), "list-dominant").when(c("n_tables") > 0, "form").otherwise("prose"),
+        "doc_class": doc_class(c("by_template"), c("n_tables")),
     })
     return scored.select(
-        "doc_id", "title", "doc_class", "source_type", "size_bytes", c("words").alias("word_count"), "language", (c("language") == "und").alias("language_fallback"), "statistics",
+        "doc_id", "title", "doc_class", "source_type", "pages", "n_tables", "size_bytes", c("words").alias("word_count"), "language", (c("language") == "und").alias("language_fallback"), "statistics",
         "sections", "n_sections", "n_references", "n_phrases", "list_ratio", "summary", "extended", "key_findings", "findings_note", "phrases", "references", "titles", "blocks", "removed",
         "structure_score", "content_score", "reference_score", "knowledge_score", quality.stars(c("knowledge_score")).alias("stars"), quality.band(c("knowledge_score")).alias("band"),
         "issues", "notes", quality.verdict_text(F.size("issues"), F.size("notes")).alias("verdict"), F.array_join("flags", " ").alias("verdict_flags"),
     )
+
+
+def file_reports(files: DataFrame) -> DataFrame:
+    """path and the report of each file that read_documents gave, under a number hashed from its path."""
+    name = F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z0-9]+)?$", 1)
+    docs = files.withColumn("doc_id", F.xxhash64("path"))
+    return docs.select("doc_id", "path").join(document_reports(docs, name, F.col("meta_title")), "doc_id")

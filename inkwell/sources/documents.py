@@ -73,26 +73,35 @@ def decode_bytes(raw: bytes) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def docx_blocks(content: bytes) -> list[tuple[str, str, int | None]]:
-    """(type, text, level) of paragraphs and tables, in order."""
+def docx_blocks(content: bytes) -> list[dict]:
+    """Blocks (type, text, level, rows) in order. A table of two columns or more keeps its rows, those without a text left out;
+    one of a single column is layout, and what its cells hold counts as any other content."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
     text = lambda e: "".join("\t" if t.tag == f"{WORD}tab" else t.text or "" for t in e.iter() if t.tag in (f"{WORD}t", f"{WORD}tab"))
-    out: list[tuple[str, str, int | None]] = []
-    for e in body if body is not None else ():
-        if e.tag == f"{WORD}p":
-            style = e.find(f"{WORD}pPr/{WORD}pStyle")
-            name = (style.get(f"{WORD}val") if style is not None else "") or ""
-            if text(e).strip():
-                head = "heading" in name.lower()
+    out: list[dict] = []
+
+    def walk(elements) -> None:
+        for e in elements:
+            if e.tag == f"{WORD}p" and text(e).strip():
+                style = e.find(f"{WORD}pPr/{WORD}pStyle")
+                name = (style.get(f"{WORD}val") if style is not None else "") or ""
                 level = re.search(r"\d", name)
-                out.append(("heading" if head else "paragraph", space_repair(text(e).strip()), (int(level[0]) if level else 1) if head else None))
-        elif e.tag == f"{WORD}tbl":
-            rows = [[text(c).strip() for c in r.iter(f"{WORD}tc")] for r in e.iter(f"{WORD}tr")]
-            if rows and max(map(len, rows)) >= 2:
-                out.append(("table", "\n".join(" | ".join(r) for r in rows), None))
-            else:
-                out += [("paragraph", c, None) for r in rows for c in r if c]
+                head = "heading" in name.lower()
+                out.append({"type": "heading" if head else "paragraph", "text": space_repair(text(e).strip()), "level": (int(level[0]) if level else 1) if head else None, "rows": None})
+            elif e.tag == f"{WORD}tbl":
+                rows = [r.findall(f"{WORD}tc") for r in e.findall(f"{WORD}tr")]
+                if max(map(len, rows), default=0) >= 2:
+                    grid = [[" ".join(filter(None, (space_repair(text(p).strip()) for p in c.iter(f"{WORD}p")))) for c in r] for r in rows]
+                    filled = [r for r in grid if any(r)]
+                    if filled:
+                        out.append({"type": "table", "text": None, "level": None, "rows": filled})
+                else:
+                    for r in rows:
+                        for c in r:
+                            walk(c)
+
+    walk(body if body is not None else ())
     return out
 
 
@@ -132,23 +141,34 @@ def is_readable(x: str) -> bool:
     return len(raw) >= 20 and sum(32 <= b < 127 or b in (9, 10, 13) for b in raw) >= 0.7 * len(raw)
 
 
+def pdf_pages(content: bytes) -> int:
+    """Page objects of a PDF, at least one."""
+    return max(1, len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", content)))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, meta_title) of text, Markdown, DOCX and PDF files; a file is one row of a task's batch."""
+    """path, kind, text, meta_title, source_blocks (of DOCX files) and pages (of PDF files) of text, Markdown, DOCX and PDF
+    files; a file is one row of a task's batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            texts, titles = [], []
-            for kind, content in zip(files["kind"], files["content"], strict=True):
-                titles.append(docx_title(content) if kind == "DOCX" else None)
+            rows = []
+            for path, kind, content in zip(files["path"], files["kind"], files["content"], strict=True):
+                text, title, blocks, pages = None, None, None, None
                 if kind == "DOCX":
-                    texts.append("\n".join(("#" * (level or 1) + " " if t == "heading" else "") + x for t, x, level in docx_blocks(content)))
+                    title, blocks = docx_title(content), docx_blocks(content)
+                    cells = lambda b: [c for r in b["rows"] for c in r if c]
+                    text = "\n".join("\n".join(cells(b)) if b["type"] == "table" else b["text"] for b in blocks)
                 elif kind == "PDF":
                     found = pdf_text(content)
-                    texts.append(found if is_readable(found) else "")
+                    text, pages = found if is_readable(found) else "", pdf_pages(content)
                 else:
-                    texts.append(decode_bytes(content))
-            yield pd.DataFrame({"path": files["path"], "kind": files["kind"], "text": texts, "meta_title": titles})
+                    text = decode_bytes(content)
+                rows.append((path, kind, text, title, blocks, pages))
+            out = pd.DataFrame(rows, columns=["path", "kind", "text", "meta_title", "source_blocks", "pages"])
+            yield out.astype({"pages": "Int32"})
 
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= LIMIT)
     kinds = files.withColumn("kind", kind_of(F.col("content"), F.col("path"))).where(F.col("kind").isin("TXT", "MD", "DOCX", "PDF"))
-    return kinds.select("path", "kind", "content").mapInPandas(run, "path string, kind string, text string, meta_title string")
+    schema = "path string, kind string, text string, meta_title string, source_blocks array<struct<type:string,text:string,level:int,rows:array<array<string>>>>, pages int"
+    return kinds.select("path", "kind", "content").mapInPandas(run, schema)

@@ -57,7 +57,7 @@ def block_markdown(b: Column) -> Column:
     """A block by its type; headings one level below the report's own."""
     head = F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.coalesce(b["level"] + 1, F.lit(3)))), F.lit(" "), b["text"])
     return (
-        F.when(b["type"] == "heading", F.concat(F.lit("\n"), head, F.lit("\n"))).when(b["type"] == "list", F.concat(F.lit("- "), b["text"]))
+        F.when(b["type"] == "table", F.concat(table_markdown(b["rows"]), F.lit("\n"))).when(b["type"] == "heading", F.concat(F.lit("\n"), head, F.lit("\n"))).when(b["type"] == "list", F.concat(F.lit("- "), b["text"]))
         .when(b["type"] == "note", F.concat(F.lit("_"), b["text"], F.lit("_\n"))).when(b["type"] == "caption", F.concat(F.lit("**"), b["text"], F.lit("**\n")))
         .otherwise(F.concat(b["text"], F.lit("\n")))
     )
@@ -80,7 +80,7 @@ def document_markdown(reports: DataFrame) -> DataFrame:
     """doc_id, markdown: a whole report; sections 10 to 12 are never produced, and sections without content are left out."""
     c = F.col
     some = lambda name: F.size(name) > 0
-    head = front_matter({"title": c("title"), "doc_class": c("doc_class"), "knowledge_score": c("knowledge_score"), "verdict_flags": flag_list(F.split("verdict_flags", " ")), "type": c("source_type"), "pages": F.lit("n/a (flowed format)"), "language": c("language")})
+    head = front_matter({"title": c("title"), "doc_class": c("doc_class"), "knowledge_score": c("knowledge_score"), "verdict_flags": flag_list(F.split("verdict_flags", " ")), "type": c("source_type"), "pages": c("pages"), "language": c("language")})
     parts = {"structure": c("structure_score"), "content": c("content_score"), "references": c("reference_score"), "tables": F.lit(None)}
     tree = F.transform("sections", lambda x: F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), x["level"] - 1)), F.lit("- "), x["title"]))
     refs = F.transform("references", lambda r: F.concat(F.lit("- "), r["raw"], F.coalesce(F.concat(F.lit(" — DOI: "), r["doi"]), F.lit(""))))
@@ -88,7 +88,7 @@ def document_markdown(reports: DataFrame) -> DataFrame:
         say("# ", c("title"), "\n"),
         section("1. Executive Summary", c("summary"), c("summary") != ""),
         section("2. Knowledge Score", score_lines(c("knowledge_score"), parts)),
-        section("3. Document Metadata", lines(say("- Type: ", c("source_type")), say("- Size: ", format_bytes(c("size_bytes"))), say("- Words: ", c("word_count")), say("- Language: ", c("language")))),
+        section("3. Document Metadata", lines(say("- Type: ", c("source_type")), say("- Size: ", format_bytes(c("size_bytes"))), say("- Pages: ", c("pages")), say("- Words: ", c("word_count")), say("- Language: ", c("language")))),
         section("4. Quality Verdict", verdict_lines(c("verdict"), c("issues"), c("notes"))),
         section("5. Contents", F.array_join(tree, "\n"), some("sections")),
         section("6. Structure", F.array_join(F.transform("sections", lambda x: F.concat(F.lit("### "), x["title"], F.lit(" ("), x["words"], F.lit(" words)"))), "\n"), some("sections")),

@@ -168,7 +168,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/g.txt").write_bytes(b"x" * 8191 + "é".encode())
     got = {r.path.rsplit("/", 1)[1]: (r.kind, r.text) for r in documents.read_documents(spark, str(tmp_path / "in")).collect()}
     assert got.pop("g.txt")[0] == "TXT"
-    assert got == {"a.txt": ("TXT", "plain text"), "b.md": ("MD", "# Title"), "d.docx": ("DOCX", "## Head\nBody")}
+    assert got == {"a.txt": ("TXT", "plain text"), "b.md": ("MD", "# Title"), "d.docx": ("DOCX", "Head\nBody")}
     info = documents.inspect(spark.read.format("binaryFile").load(str(tmp_path / "in"))).collect()
     assert {r.kind for r in info} == {"TXT", "MD", "DOCX"}
 
@@ -312,6 +312,64 @@ def test_reports(spark):
     assert "## 1.4 Quality Verdict" in short and "Knowledge Score" not in short
 
 
+def word_file(path, body):
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+
+
+def test_tables_and_pages_of_files(spark, tmp_path):
+    para = lambda x, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{x}</w:t></w:r></w:p>'
+    table = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{c}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    grid = table([[para("name"), para("a|b")], [para(""), para("")], [para("Anna"), para("two words") + para("more")], [para("Bo")]])
+    layout = table([[para("Inner head", "Heading2") + para("inner text")], [grid]])
+    word_file(tmp_path / "a.docx", para("Top", "Heading1") + para("one two three") + grid + layout)
+    word_file(tmp_path / "b.docx", table([[para(""), para("")]]))
+    stream = b"stream\n(Short head) Tj\n(A paragraph of text that is long enough to be read by all.) Tj endstream "
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 /Type /Pages /Type /Page " + stream + b"/Type /Page")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4 nothing")
+    (tmp_path / "e.txt").write_text("plain words here")
+    files = documents.read_documents(spark, str(tmp_path))
+    rows = [["name", "a | b"], ["Anna", "two words more"], ["Bo"]]
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.collect()}
+    assert [(b.type, b.text, b.level, b.rows) for b in got["a.docx"].source_blocks] == [
+        ("heading", "Top", 1, None), ("paragraph", "one two three", None, None), ("table", None, None, rows), ("heading", "Inner head", 2, None), ("paragraph", "inner text", None, None), ("table", None, None, rows),
+    ]
+    assert got["b.docx"].source_blocks == [] and (got["c.pdf"].pages, got["d.pdf"].pages, got["e.txt"].pages) == (2, 1, None)
+    reports = plan.file_reports(files)
+    seen = {r.path.rsplit("/", 1)[1]: r for r in reports.collect()}
+    a = seen["a.docx"]
+    assert (a.doc_class, a.source_type, a.pages, a.n_tables, a.title) == ("form", "DOCX", "n/a (flowed format)", 2, "Inner head")
+    assert [(s.title, s.words) for s in a.sections] == [("Top", 3 + 8), ("Inner head", 2 + 8)] and a.word_count == 2 * 8 + 8
+    assert any("2 table(s)" in n for n in a.notes) and not any("Tables" in n for n in a.notes)
+    assert (seen["b.docx"].doc_class, seen["b.docx"].n_tables, seen["c.pdf"].pages, seen["c.pdf"].source_type, seen["e.txt"].source_type) == ("prose", 0, "2", "PDF", "TXT")
+    md = {r.doc_id: r.markdown for r in writers.document_markdown(reports).collect()}[a.doc_id]
+    assert md.count("| name | a \\| b |\n| --- | --- |\n| Anna | two words more |\n| Bo |  |\n") == 2
+    fields = redact.fields_of(normalise.prepare(files.withColumn("doc_id", F.col("path")))).where("endswith(doc_id, 'a.docx')").orderBy("field").collect()
+    assert fields[2].text == "name\na | b\nAnna\ntwo words more\nBo"
+
+
+def test_findings_from_cells(spark):
+    given = [("heading", "One", 1, None), ("list", "plain", None, None), ("list", "other", None, None), ("heading", "Two", 1, None), ("list", "third", None, None), ("list", "fourth", None, None), ("table", None, None, [["costs", "rose by 12%"], ["staff", "20 people left. They were paid."]])]
+    df = spark.createDataFrame([(1, "x", "DOCX", given)], f"doc_id long, text string, kind string, source_blocks {normalise.SOURCE_BLOCKS}")
+    r = plan.document_reports(df).first()
+    assert r.doc_class == "list-dominant" and r.key_findings == ["rose by 12%", "20 people left."]
+
+
+def test_pdf_paragraphs_where_no_line_stays(spark):
+    df = spark.createDataFrame([(1, "1 | Page\n2 | Page", "PDF"), (2, None, "PDF"), (3, "# Head", None)], "doc_id long, text string, kind string")
+    got = {r.doc_id: r for r in normalise.prepare(df).collect()}
+    assert [(b.type, b.text) for b in got[1].blocks] == [("heading", "1 | Page\n2 | Page")] and got[1].source_type == "PDF"
+    assert got[2].blocks == [] and got[3].source_type == "MD"
+
+
+def test_correlation_square(spark):
+    df = spark.createDataFrame([(i, str(i), str(2 * i), str((-1) ** i), "5") for i in range(10)], "id int, a string, b string, c string, d string")
+    pairs = profile.correlations(profile.as_text(df, "id"), ["a", "b", "c", "d"])
+    got = {r["column"]: tuple(r)[1:] for r in profile.matrix(pairs, ["a", "b", "c", "d"]).collect()}
+    assert got["a"] == (1.0, 1.0, -0.17, None) and got["d"] == (None, None, None, 1.0) and got["c"][0] == got["a"][2]
+    assert profile.matrix(pairs.limit(0), ["a"]).count() == 0
+
+
 def test_dataset_report(spark):
     rows = [(i, float(i), 2.0 * i, "a@b.ie" if i % 2 else None, "x") for i in range(40)] + [(0, 0.0, 0.0, None, "x")]
     df = spark.createDataFrame(rows, "id long, v double, w double, mail string, one string")
