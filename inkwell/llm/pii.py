@@ -5,7 +5,8 @@ of an address exceed 255, the digits fail Luhn or their number is wrong. Added k
 keys by their issuers' formats, secrets by being long and mixed, passport numbers) count only if their score reaches a
 threshold; a word of the kind's context within `NEAR` code points raises it, and the weaker kinds need one.
 
-Offsets are code points, end exclusive. They come from splitting the text by the same pattern: a match starts after
+What stands near a match is cut from the text's blocks, not from the whole text, so the time grows with text and matches. Offsets are
+code points, end exclusive. They come from splitting the text by the same pattern: a match starts after
 all earlier pieces and matches. Patterns take runs of their characters whole, so a long run isn't tried from each of
 its characters; `\G` lets a match begin in a run whose head the last match has used. Repeated groups are possessive, as
 Java's matcher takes a stack frame a repetition of others and thousands of them would end the executor.
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import cut, in_blocks
+
 from .common import let, prefix_sums
 
 NEAR = 48
@@ -93,7 +96,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """Confirmed spans of one kind in order."""
     pattern = F.lit(kind.pattern)
 
-    def found(matches: Column) -> Column:
+    def found(matches: Column, blocks: Column) -> Column:
         pieces = F.split(text, kind.pattern, -1)
         steps = F.transform(F.arrays_zip(matches.alias("m"), F.slice(pieces, F.lit(1), F.size(matches)).alias("g")), lambda x: (F.length(x["m"]) + F.length(x["g"])).cast("bigint"))
         both = F.arrays_zip(matches.alias("m"), prefix_sums(steps).alias("e"))
@@ -101,7 +104,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
 
         def span(x: Column) -> Column:
             start = x["e"] - F.length(x["m"])
-            around = F.concat_ws("\n", F.substr(text, F.greatest(start - NEAR + 1, F.lit(1)).cast("int"), F.least(start, F.lit(NEAR)).cast("int")), F.substr(text, (x["e"] + 1).cast("int"), F.lit(NEAR)))
+            around = F.concat_ws("\n", cut(blocks, F.greatest(start - NEAR, F.lit(0)), F.least(start, F.lit(NEAR))), cut(blocks, x["e"], F.lit(NEAR)))
             near = around.rlike(rf"(?i)(?<![A-Za-z])(?:{kind.context})")
             score = F.round(F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.25).otherwise(0.0)), 4)
             return F.struct(start.alias("start"), F.lit(rank).alias("rank"), x["e"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
@@ -109,7 +112,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
         return F.transform(good, span)
 
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    some = let(matches, lambda m: F.when(F.size(m) > 0, found(m)).otherwise(F.array().cast(SPAN)))
+    some = let(matches, lambda m: F.when(F.size(m) > 0, let(in_blocks(text), lambda blocks: found(m, blocks))).otherwise(F.array().cast(SPAN)))
     return F.when(text.rlike(kind.hint), some).otherwise(F.array().cast(SPAN))
 
 

@@ -156,6 +156,16 @@ def test_pii(spark):
     assert bad.iban == [] and bad.ssn == []
 
 
+def test_many_addresses_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"{'write to ' if i % 2 else 'see é '}user{i}@host{i % 97}.com." for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = pii.find(df).first()
+    assert [(s.start, s.end) for s in found.email] == [m.span() for m in re.finditer(r"user\d+@host\d+\.com", text)]
+    near = [re.search(r"(?i)(?<![A-Za-z])(?:mail|contact|write|reach)", text[max(s.start - pii.NEAR, 0) : s.start] + "\n" + text[s.end : s.end + pii.NEAR]) is not None for s in found.email]
+    assert [s.score == 1.0 for s in found.email] == near
+
+
 def test_secrets(spark):
     mixed = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
     rows = [
