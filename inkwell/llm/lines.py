@@ -26,11 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import running
+
 from .common import SPACES, Workspace, let, named, unused, words
 
 #: Words a line needs to be compared at all, and to be compared inexactly.
 MIN_WORDS, NEAR_WORDS = 1, 3
 LINE = ["h1", "h2"]
+#: Words of a line up to which its rests are hashed one by one; beyond, a rest's hash is put together from its two ends.
+LONG = 64
 
 
 def hashes(*cols: Column, names: tuple[str, str]) -> list[Column]:
@@ -65,15 +69,36 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return found.agg(F.min("first").alias("first"), F.min(F.when(front, half)).alias("after"), F.max(F.when(~front, F.col("size") - half)).alias("upto"))
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(rest, place, size): the line without each word in which it may differ, and itself with place 0."""
+def variants(lines: DataFrame, long: int) -> DataFrame:
+    """(rest, place, size): the line without each word in which it may differ, and itself with place 0.
+
+    A line of more than `long` words is hashed as all of its words' hashes with their places, joined by exclusive or. Of a rest,
+    the words before the gap keep their places and those behind it move up by one, so running totals of both give each rest
+    in one step. A line of just `long` words is hashed both ways, as it may be the rest of a longer one.
+    """
+
+    def xor(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(x))
+
+    def placed(w: Column, less: int) -> Column:
+        return F.transform(w, lambda x, i: F.xxhash64(x, i + 1 - less))
 
     def all_of(w: Column) -> Column:
         n = F.size(w)
-        rest = lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(n - i, F.lit(0))))
-        one = lambda i, r: F.struct(F.xxhash64(r).alias("rest"), i.alias("place"), n.alias("size"))
         places = F.filter(F.sequence(F.lit(1), n), lambda i: (i > F.coalesce("after", n)) | (i <= F.coalesce("upto", F.lit(0))))
-        return F.concat(F.transform(places, lambda i: one(i, rest(i))), F.array(one(F.lit(0), w)))
+        rest = lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(n - i, F.lit(0))))
+        one = lambda i, r: F.struct(r.alias("rest"), i.alias("place"), n.alias("size"))
+        short = lambda: F.concat(F.transform(places, lambda i: one(i, F.xxhash64(rest(i)))), F.array(one(F.lit(0), F.xxhash64(w))))
+        whole = lambda: F.array(one(F.lit(0), xor(placed(w, 0))))
+
+        def split(ends: Column) -> Column:
+            """ends: of each word its place's hash and that of the place before, and running totals before it of both."""
+            behind = lambda i: xor(F.transform(F.slice(ends, n, F.lit(1)), lambda e: e["before"].bitwiseXOR(e["moved"]))).bitwiseXOR(F.get(ends, i - 1)["before"]).bitwiseXOR(F.get(ends, i - 1)["moved"])
+            return F.transform(places, lambda i: one(i, F.get(ends, i - 1)["stays"].bitwiseXOR(behind(i))))
+
+        stays, moved = running(placed(w, 0), xor, lambda x, y: x.bitwiseXOR(y)), placed(w, 1)
+        ends = F.arrays_zip(stays.alias("stays"), running(moved, xor, lambda x, y: x.bitwiseXOR(y)).alias("before"), moved.alias("moved"))
+        return F.when(n < long, short()).when(n == long, F.concat(short(), whole())).otherwise(F.concat(let(ends, split), whole()))
 
     by_hash = F.transform("w", lambda x: F.xxhash64(x))
     return lines.select(*LINE, "first", F.explode(let(by_hash, all_of)).alias("v")).select(*LINE, "first", "v.*")
@@ -98,7 +123,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame
     split = text.join(wanted, ["k1", "k2"]).select("takes", F.split("_text", "\n", -1).alias("ls"))
     lines = split.select(F.explode(F.transform("takes", lambda t: F.struct(t.alias("t"), F.get("ls", t["pos"]).alias("line")))).alias("x")).select("x.t.*", words(F.col("x.line")).alias("w"))
     lines = ws.cut(lines.select(*LINE, "first", "after", "upto", "w").dropDuplicates(LINE))
-    own = ws.cut(variants(lines))
+    own = ws.cut(variants(lines, LONG))
     # Replacement: equal rests at the same place of lines of the same size.
     sub = ["rest", "place", "size"]
     top = own.where("place > 0").groupBy(*sub).agg(F.min(F.struct("first", *LINE)).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from inkwell.llm import lines, mixing, nearjoin, nearvec, warc
 from inkwell.llm.common import Workspace, connected_components
@@ -126,7 +127,9 @@ def one_edit(a, b):
     return abs(len(a) - len(b)) <= 1 and i + j >= max(len(a), len(b)) - 1
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("long", [4, 9, lines.LONG])
+def test_lines(spark, monkeypatch, long):
+    monkeypatch.setattr(lines, "LONG", long)
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(40)]
     pool = [rng.choices(vocabulary, k=rng.choice([1, 3, 4, 8, 9, 12, 30])) for _ in range(30)]
@@ -168,6 +171,15 @@ def test_lines(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_very_long_lines(spark):
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    replaced, without, swapped, two = [*w[:7000], "other", *w[7001:]], [*w[:9999], *w[10_000:]], [w[1], w[0], *w[2:]], ["x", *w[1:-1], "y"]
+    docs = [w, replaced, without, swapped, two, [*w, "end"], w]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert [r.n_dropped for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 1, 0, 0, 1, 1]
+
+
 def test_short_lines(spark):
     docs = ["Home\nAll rights reserved.\nMenu one\na b c d\np q r s t u v", "Home\n  All   rights reserved.\nMenu two\na b x d\n\np q r s u v", "Contact\nall rights reserved.\nMenu one\na b c\nHome page"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
