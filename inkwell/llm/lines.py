@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import running
 
-from .common import SPACES, Workspace, let, named, unused, words
+from .common import SPACE_CLASS, SPACES, Workspace, let, named, unused, words
 
 #: Words a line needs to be compared at all, and to be compared inexactly.
 MIN_WORDS, NEAR_WORDS = 1, 3
@@ -44,16 +44,20 @@ def hashes(*cols: Column, names: tuple[str, str]) -> list[Column]:
 def halves(w: Column) -> Column:
     """Hashes of the first and last words, half as many as the line has, and as a line shorter by one has."""
     n = F.size(w)
-    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
     one = lambda k, tag, part: F.xxhash64(F.lit(tag), k, part)
-    return F.flatten(F.transform(sizes, lambda k: F.array(one(k, "first", F.slice(w, F.lit(1), k)), one(k, "last", F.slice(w, n - k + 1, k)))))
+    both = lambda k: (one(k, "first", F.slice(w, F.lit(1), k)), one(k, "last", F.slice(w, n - k + 1, k)))
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.when(half == less, F.array(*both(half))).otherwise(F.array(*both(half), *both(less)))
 
 
 def occurrences(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """A row for each line that takes part: its document's key and id, position, hashes and, if compared inexactly, halves."""
     exploded = docs.select("k1", "k2", "_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("pos", "line"))
     line = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
-    cut = line.select("k1", "k2", "_id", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    #: A trimmed line starts and ends with a word, so it is split as it stands.
+    cut = line.select("k1", "k2", "_id", "pos", F.split("line", SPACE_CLASS + "+", -1).alias("w"))
+    if min_words > 1:
+        cut = cut.where(F.size("w") >= min_words)
     near = F.when(F.size("w") >= near_words, halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
     return cut.select("k1", "k2", "_id", "pos", *hashes(F.col("w"), names=("h1", "h2")), F.size("w").alias("size"), near.alias("halves"))
 
