@@ -38,12 +38,12 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 END = b"\n"
 ORDER = 5
 FOLDS, HELD = 5, 1
-CHUNK_BYTES = 20_000_000
+CHUNK_BYTES = 12_000_000
 #: Bytes of text that a counting task combines before its counts are shuffled.
 COUNT_BYTES = 96_000_000
 #: Bytes of text, and rows of a batch, that are worked on together; grams and words that a task holds before it hands them on.
-AT_ONCE, ROWS = 1_000_000, 500
-HOLD, WORDS = 1_000_000, 200_000
+AT_ONCE, ROWS = 400_000, 200
+HOLD, WORDS = 400_000, 60_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
