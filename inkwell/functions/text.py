@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +23,27 @@ def trim(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters that are an ASCII letter with marks, in lower case, and these letters; then the marks themselves."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    known = {c: d[0] for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].islower()}
+    return "".join(known) + "".join(map(chr, range(0x300, 0x370))), "".join(known.values())
+
+
+ACCENTS = _accents()
+
+
+def fold(x: Column) -> Column:
+    """Without case, and Latin letters without accents."""
+    return F.translate(F.lower(x), *ACCENTS)
+
+
+def terms_of(query: str) -> list[str]:
+    """The words of a query, folded as `fold` does."""
+    plain = query.lower().translate(str.maketrans(dict(zip(ACCENTS[0], ACCENTS[1].ljust(len(ACCENTS[0]), "\0"), strict=True)))).replace("\0", "")
+    return [w for w in re.split(r"[^\w]+", plain) if w]
+
+
 def is_missing(x: Column) -> Column:
     return F.coalesce(F.lower(trim(x)).isin(*NULL_TOKENS), F.lit(True))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.functions.text import fold, terms_of
+
 PAGE = 20
 
 
@@ -17,14 +19,11 @@ def as_reports(docs: DataFrame) -> DataFrame:
 
 
 def search(reports: DataFrame, query: str) -> DataFrame:
-    """Reports of which a word equals a term of the query or starts with its last one, whatever the case."""
-    terms = query.lower().split()
-    words = F.split(F.lower(F.concat_ws(" ", "title", "excerpt")), r"[^\p{L}\p{N}_]+")
-    whole = [F.array_contains(words, t) for t in terms[:-1]]
-    hit = F.exists(words, lambda w: w.startswith(terms[-1]))
-    for w in whole:
-        hit = hit | w
-    return reports.where(hit)
+    """Reports of which a word equals a term of the query or starts with its last one, whatever the case and accents: a scan, for
+    libraries without an index (`inkwell.sources.index`). An empty query finds nothing."""
+    terms = terms_of(query)
+    words = F.split(fold(F.concat_ws(" ", "title", "excerpt")), r"[^\p{L}\p{N}_]+")
+    return reports.where(F.exists(words, lambda w: w.isin(terms[:-1]) | w.startswith(terms[-1])) if terms else F.lit(False))
 
 
 def page(reports: DataFrame, number: int, size: int = PAGE) -> DataFrame:

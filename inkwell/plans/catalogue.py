@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.operators import blocks, cite, library, normalise, profile, quality, references, stats, summary
 
-from inkwell.sources import writers
+from inkwell.sources import index, writers
 from inkwell.sources.tables import spread
+from inkwell.sources.workspace import Workspace
 
 from . import documents
 
@@ -500,11 +501,19 @@ def reports(spark, sf_dir):
     return library.as_reports(table(spark, sf_dir, "documents"))
 
 
-@query(f"WITH {REPORTS}, w AS (SELECT id, regexp_split_to_array(lower(title || ' ' || excerpt), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM r) SELECT id FROM w WHERE list_contains(ws, 'the') OR len(list_filter(ws, lambda x: starts_with(x, 'ent'))) > 0")
+@query(f"WITH {REPORTS}, w AS (SELECT id, regexp_split_to_array(strip_accents(lower(title || ' ' || excerpt)), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM r) SELECT id FROM w WHERE list_contains(ws, 'the') OR len(list_filter(ws, lambda x: starts_with(x, 'ent'))) > 0")
 def library_search(spark, sf_dir):
     return library.search(reports(spark, sf_dir), "the ent").select("id")
 
 
+@query(f"WITH {REPORTS}, w AS (SELECT id, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+') || regexp_split_to_array(strip_accents(lower(excerpt)), '[^\\p{{L}}\\p{{N}}_]+')) AS x FROM r) SELECT id, count(*) AS hits FROM w WHERE x IN ('fur', 'ete') OR starts_with(x, 'ent') GROUP BY id")
+def library_index(spark, sf_dir):
+    """The library indexed, and searched in the index: two words with accents and a prefix."""
+    path = Workspace(spark, "index").base
+    index.write(reports(spark, sf_dir), path)
+    return index.search(index.read(spark, path), "FÜR été ent").select(F.col("report_id").alias("id"), "hits")
+
+
 @query(f"WITH {REPORTS} SELECT source_type, count(*) AS n FROM r WHERE source_type = 'EN' GROUP BY ALL")
 def library_count(spark, sf_dir):
     return reports(spark, sf_dir).where("source_type = 'EN'").groupBy("source_type").agg(F.count("*").alias("n"))

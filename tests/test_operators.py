@@ -370,6 +370,28 @@ def test_correlation_square(spark):
     assert profile.matrix(pairs.limit(0), ["a"]).count() == 0
 
 
+def test_index_of_the_library(spark, tmp_path):
+    from inkwell.sources import index
+
+    rows = [(1, "Café culture", "The entry. the end"), (2, "CAFE", None), (3, None, "Enter été_1 x"), (4, "", "Straße naïve"), (5, "theory", "nothing")]
+    reports = spark.createDataFrame([(*r, "clash") for r in rows], "id long, title string, excerpt string, term string")
+    path = str(tmp_path / "index")
+    index.write(reports.where("id < 4"), path, files=3)
+    index.write(reports.where("id >= 4"), path)
+    held = index.read(spark, path)
+    for query in ("cafe", "CAFÉ ent", "the", "the x", "été", "e", "naive", "straße", "zzz", "!", "", "the the ent", "nothing the"):
+        got = sorted(r.report_id for r in index.search(held, query).collect())
+        assert got == sorted(r.id for r in library.search(reports, query).collect()), query
+    assert {r.report_id: r.hits for r in index.search(held, "the ent").collect()} == {1: 3, 3: 1}
+    assert [r.report_id for r in index.search(held, "cafe", field="title").orderBy("report_id").collect()] == [1, 2]
+    plan_of = lambda q: index.search(held, q)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [head" in plan_of("cafe ent") and "StringStartsWith(term,ent)" in plan_of("ent")
+    files = index.search(held, "cafe").inputFiles()
+    assert index.search(held, "zzz").count() == 0 and len(files) >= 1
+    index.write(reports.limit(0), str(tmp_path / "none"))
+    assert index.search(index.read(spark, str(tmp_path / "none")), "a").count() == 0 if (tmp_path / "none").exists() else True
+
+
 def test_dataset_report(spark):
     rows = [(i, float(i), 2.0 * i, "a@b.ie" if i % 2 else None, "x") for i in range(40)] + [(0, 0.0, 0.0, None, "x")]
     df = spark.createDataFrame(rows, "id long, v double, w double, mail string, one string")
