@@ -652,14 +652,14 @@ def profile_strong_pairs(spark, sf_dir):
     return profile.strong_pairs(profile.correlations(profile.as_text(made, "l_orderkey"), [*LINE_NUMBERS, *MADE]))
 
 
-NUMBERS = (*LINE_NUMBERS, *MADE)
+SQUARE = (*LINE_NUMBERS, *MADE)
 
 
-@query("WITH m AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in MADE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{a}' AS "column", """ + ", ".join("1.0::DOUBLE AS " + b if a == b else f"round(corr({min(a, b, key=NUMBERS.index)}, {max(a, b, key=NUMBERS.index)}), 2) + 0.0 AS {b}" for b in NUMBERS) + " FROM m" for a in NUMBERS))
+@query("WITH m AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in MADE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{a}' AS "column", """ + ", ".join("1.0::DOUBLE AS " + b if a == b else f"round(corr({min(a, b, key=SQUARE.index)}, {max(a, b, key=SQUARE.index)}), 2) + 0.0 AS {b}" for b in SQUARE) + " FROM m" for a in SQUARE))
 def profile_matrix(spark, sf_dir):
     """The square of correlations of lineitem's numbers."""
     made = table(spark, sf_dir, "lineitem").withColumns({k: F.expr(v) for k, v in MADE.items()})
-    return profile.matrix(profile.correlations(profile.as_text(made, "l_orderkey"), list(NUMBERS)), list(NUMBERS))
+    return profile.matrix(profile.correlations(profile.as_text(made, "l_orderkey"), list(SQUARE)), list(SQUARE))
 
 
 @query('WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 3), g AS (SELECT *, count(*) AS n FROM x GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS "rows", count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g')
