@@ -144,3 +144,10 @@ def set_fingerprint(groups: DataFrame, by: str, text: Column, parts: int = 256)
     hashed = digest.groupBy(by, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "|"), 256).alias("d"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "|")
     return hashed.groupBy(by).agg(F.sha2(whole, 256).alias("fingerprint"))
+
+
+def exact_fingerprint(groups: DataFrame, by: str, text: Column) -> DataFrame:
+    """The digest of each group's sorted digests joined by `|`, whatever their order: of compilations and reference sets that a
+    user has picked, whose digests fit in a task (64 bytes a text). `set_fingerprint` serves groups of any size."""
+    digest = groups.select(by, F.sha2(F.coalesce(text, F.lit("")), 256).alias("d"))
+    return digest.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "|"), 256).alias("fingerprint"))

@@ -448,6 +448,12 @@ def set_fingerprint(spark, sf_dir):
     return cite.set_fingerprint(table(spark, sf_dir, "documents"), "source", F.col("text"))
 
 
+@query("SELECT conv_id, sha256(string_agg(d, '|' ORDER BY d)) AS fingerprint FROM (SELECT conv_id, sha256(coalesce(text, '')) AS d FROM conversations) GROUP BY conv_id")
+def exact_fingerprint(spark, sf_dir):
+    """Each conversation's turns as a set."""
+    return cite.exact_fingerprint(table(spark, sf_dir, "conversations"), "conv_id", F.col("text"))
+
+
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 120) AS BIGINT))) AS passage FROM w)
     SELECT doc_id, CAST(passage AS INTEGER) AS passage, array_to_string(list_slice(w, passage * 120 + 1, passage * 120 + 120), ' ') AS text FROM p""")
 def passage_windows(spark, sf_dir):
