@@ -79,7 +79,7 @@ def patterns(first_names: tuple[str, ...], surnames: tuple[str, ...]) -> tuple[t
 
 
 #: What a text must hold for an address pattern to match, by pattern: cheap to look for, so most texts are read once.
-NEEDED = (*4 * (rf"{B}(?:{STREETS}){E}",), r"\n\s*+\d", POSTCODE)
+NEEDED = (*4 * (rf"{B}(?=[A-Z])(?:{STREETS}){E}",), r"\n\s*+\d", POSTCODE.replace(B, rf"{B}(?=[A-Za-z]\d)", 1))
 LABELS = {"ppsn": "PPSN", "iban": "IBAN", "card": "CARD", "vat": "VAT", "eircode": "EIRCODE", "email": "EMAIL", "phone": "PHONE", "dob": "DOB", "account": "ACCOUNT", "person": "PERSON", "address": "ADDRESS"}
 MASK = "XXXXXXXXX"
 SPAN = "array<struct<start:int,back:int,tier:int,category:string,surface:string>>"
@@ -135,8 +135,9 @@ def valid(category: str, x: Column, names: tuple[tuple[str, ...], tuple[str, ...
     return checks.get(category, lambda: F.lit(True))()
 
 
-def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES), needed: str | None = None) -> Column:
-    """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match."""
+def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES), needed: Column | None = None) -> Column:
+    """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match. needed:
+    whether the text has what every match needs."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     pieces = F.split(text, pattern, -1)
@@ -152,7 +153,7 @@ def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, n
         return let(running_sums(F.transform(rows, size)), lambda at: F.transform(rows, lambda x, i: span(x, F.get(at, i))))
 
     out = let(zipped, placed)
-    some = text.rlike(needed) & text.rlike(pattern) if needed else text.rlike(pattern)
+    some = text.rlike(pattern) if needed is None else needed & text.rlike(pattern)
     return F.when(some, F.filter(out, lambda s: valid(category, s["surface"], names))).otherwise(F.array().cast(SPAN))
 
 
@@ -164,10 +165,14 @@ def fields_of(prepared: DataFrame) -> DataFrame:
 
 def detect(fields: DataFrame, categories: tuple[str, ...] | None = None, first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = SURNAMES) -> DataFrame:
     """fields (doc_id, text and, if they have it, field) with `spans`: all confirmed spans by start, longer first."""
+    #: Each hint is looked for once, before all patterns.
+    hints = {n: f"_hint{i}" for i, n in enumerate(dict.fromkeys(NEEDED))}
     needed = iter(NEEDED)
     every = [(p, next(needed) if p[0] == "address" else None) for p in patterns(first_names, surnames)]
-    found = [spans_of(F.col("text"), *p, (first_names, surnames), n) for p, n in every if categories is None or p[0] in categories]
-    return fields.select(*own_of(fields), "text", F.sort_array(F.concat(*found)).alias("spans"))
+    wanted = [(p, n) for p, n in every if categories is None or p[0] in categories]
+    rows = fields.select(*own_of(fields), "text", *(F.col("text").rlike(n).alias(h) for n, h in hints.items() if n in {n for _, n in wanted}))
+    found = [spans_of(F.col("text"), *p, (first_names, surnames), None if n is None else F.col(hints[n])) for p, n in wanted]
+    return rows.select(*own_of(fields), "text", F.sort_array(F.concat(*found)).alias("spans"))
 
 
 def own_of(fields: DataFrame) -> list[str]:
