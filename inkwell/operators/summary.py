@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
-from inkwell.functions.text import first_words, trim
+from inkwell.functions.text import first_words, let, trim
 
 from .stats import STOP, density
 
@@ -17,12 +20,18 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve".
 CAP_BYTES, DAMPING, ROUNDS, KEPT = 40_000, 0.85, 20, 8
 #: Cells of a document's matrices up to which ranks are found with them; larger documents take sums by term.
 CELLS = 4_000_000
+#: Pairs that are counted at once.
+PAIRS = 2_000_000
+
+
+def sentences_of(text: Column) -> Column:
+    """A text's sentences: split after end marks; empty ones and "0" go."""
+    return F.filter(F.split(trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: ~s.isin("", "0"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, sentence: split after end marks; empty ones and "0" go."""
-    parts = F.split(trim(F.coalesce(F.col("text"), F.lit(""))), r"(?<=[.!?])\s+")
-    return docs.select("doc_id", F.posexplode(F.filter(parts, lambda s: ~s.isin("", "0"))).alias("pos", "sentence"))
+    return docs.select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("pos", "sentence"))
 
 
 def signature(s: Column) -> Column:
@@ -43,6 +52,26 @@ def without_scaffold(found: DataFrame) -> DataFrame:
     return rows.withColumn("single", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n < 2 OR single < 3").select("doc_id", "pos", "sentence")
 
 
+def plain_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id and `found`, the array (pos, sentence) that without_scaffold gives of its sentences; a row has its whole document,
+    so nothing is shuffled. Equal signatures are neighbours once they are sorted."""
+
+    def whole(parts: Column) -> Column:
+        by_name = F.array_sort(F.transform(parts, lambda s, i: F.struct(signature(s).alias("sig"), i.alias("at"))))
+        near = lambda xs, i, x: F.coalesce(F.get(xs, i)["sig"] == x["sig"], F.lit(False))
+        marked = let(by_name, lambda xs: F.transform(xs, lambda x, i: F.struct(x["at"].alias("at"), (near(xs, i - 1, x) | near(xs, i + 1, x)).alias("again"))))
+        again = F.transform(F.array_sort(marked), lambda x: x["again"])
+        rows = F.transform(parts, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence")))
+        return let(again, lambda a: let(F.size(F.filter(a, lambda x: ~x)), lambda single: F.filter(rows, lambda r: ~F.get(a, r["pos"]) | (single < 3))))
+
+    return docs.select("doc_id", let(sentences_of(F.col("text")), whole).alias("found"))
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """doc_id and `found`, the array of its rows (pos, sentence) in order."""
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("found"))
+
+
 def head(found: DataFrame) -> DataFrame:
     """Whole sentences up to 40 000 bytes a document, as the SQL of scaffold_removed has it; nothing is ranked from these."""
     w = Window.partitionBy("doc_id").orderBy("pos")
@@ -59,19 +88,71 @@ def findings(found: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "sentence", "score")
 
 
-def term_sets(found: DataFrame) -> DataFrame:
-    """doc_id, pos, sentence and its distinct words but stop words."""
-    words = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*STOP))
-    return found.select("doc_id", "pos", "sentence", F.array_sort(F.array_distinct(words)).alias("terms"))
-
-
-def pair_weights(found: DataFrame) -> DataFrame:
-    """(doc_id, i, j, weight): shared words of sentence pairs over the logarithms of their sizes (two at least); an equi-join
-    on document and word, so a word that is frequent everywhere meets only within a document."""
-    t = term_sets(found).select("doc_id", "pos", F.greatest(F.size("terms"), F.lit(2)).alias("n"), F.explode("terms").alias("term"))
-    u = t.select("doc_id", F.col("pos").alias("j"), F.col("n").alias("m"), "term")
-    pairs = t.join(u, ["doc_id", "term"]).where("pos < j").groupBy("doc_id", F.col("pos").alias("i"), "j").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return pairs.select("doc_id", "i", "j", (F.col("common") / (F.ln("n") + F.ln("m"))).alias("weight"))
+def terms_of(sentence: Column) -> Column:
+    """The distinct words of a sentence but stop words."""
+    return F.array_distinct(F.filter(F.split(F.lower(sentence), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*STOP)))
+
+
+def with_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, found (an array of pos and sentence) and the terms of each sentence."""
+    return docs.select("doc_id", "found", F.transform("found", lambda x: terms_of(x["sentence"])).alias("terms"))
+
+
+def flat_terms(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents' lists of sentences' lists of terms: where documents begin among sentences, where sentences begin among
+    terms, and numbers for the terms."""
+    sentences = lists.flatten()
+    words = sentences.flatten().dictionary_encode()
+    count = lambda x: pa.compute.fill_null(pa.compute.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    begins = lambda x: np.concatenate(([0], np.cumsum(count(x), dtype=np.int64)))
+    return begins(lists), begins(sentences), words.indices.to_numpy()
+
+
+def pair_counts(lists: pa.Array, at_once: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, i, j, weight) of the pairs of sentences of a document that share terms; at most `at_once` meetings of
+    a term in two sentences, or those of one sentence, are held together."""
+    docs, begins, term = flat_terms(lists)
+    size = np.diff(begins)
+    where = np.repeat(np.arange(len(size)), size)
+    doc = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
+    if not len(term):
+        return
+    key = doc[where] * (int(term.max()) + 1) + term
+    order = np.argsort(key, kind="stable")
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    last = np.searchsorted(key[order], key, side="right")
+    met = last - place - 1
+    upto = np.concatenate(([0], np.cumsum(met)))[begins]
+    log = np.log(np.maximum(size, 2))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + at_once, side="right")) - 1)
+        mine = slice(begins[at], begins[end])
+        n = met[mine]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j = where[order[np.repeat(place[mine], n) + 1 + step]]
+        pairs, common = np.unique(np.repeat(where[mine], n) * len(size) + j, return_counts=True)
+        i, j = pairs // len(size), pairs % len(size)
+        yield doc[i], i - docs[doc[i]], j - docs[doc[i]], common / (log[i] + log[j])
+        at = end
+
+
+def pair_weights(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, j, weight): shared words of sentence pairs over the logarithms of their sizes (two at least). docs: doc_id and
+    found, as plain_sentences or gathered give them; pairs leave a task in bounded batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0), batch.column(1)
+            begins = found.offsets.to_numpy() - found.offsets[0].as_py()
+            pos = found.flatten().to_numpy()
+            for doc, i, j, weight in pair_counts(batch.column(2)):
+                at = begins[doc]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(pos[at + i]), pa.array(pos[at + j]), pa.array(weight)], names=["doc_id", "i", "j", "weight"])
+
+    rows = with_terms(docs).select("doc_id", F.transform("found", lambda x: x["pos"]).alias("pos"), "terms")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, i int, j int, weight double")
 
 
 def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
@@ -80,25 +161,34 @@ def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
     Past `cells` no matrix is made: what sentences of one size give a term is summed, then what its terms give a sentence,
     so memory grows with the text and not with the square of its sentences. Both ways give the same scores.
     """
-    n, ids = len(sets), {}
-    where = np.repeat(np.arange(n), [len(s) for s in sets])
+    ids: dict = {}
     term = np.array([ids.setdefault(t, len(ids)) for s in sets for t in s], np.int64)
-    common = np.bincount(where, minlength=n)
+    return scores_of(np.array([len(s) for s in sets], np.int64), term, len(ids), cells)
+
+
+def scores_of(common: np.ndarray, term: np.ndarray, terms: int, cells: int = CELLS) -> np.ndarray:
+    """rank_scores of sentences of `common` terms each; term: these, as numbers below `terms`."""
+    n = len(common)
+    where = np.repeat(np.arange(n), common)
     size = np.log(np.maximum(common, 2))
-    if n * max(n, len(ids)) <= cells:
-        hits = np.zeros((n, max(1, len(ids))))
+    if n * max(n, terms) <= cells:
+        hits = np.zeros((n, max(1, terms)))
         hits[where, term] = 1
         weight = hits @ hits.T / (size[:, None] + size[None, :])
         np.fill_diagonal(weight, 0)
-        spread = weight.__matmul__
-    else:
-
-        def spread(x: np.ndarray) -> np.ndarray:
-            out = -common * x / (2 * size)
-            for level in np.unique(size):
-                by_term = np.bincount(term, np.where(size == level, x, 0)[where], len(ids))
-                out += np.bincount(where, by_term[term], n) / (level + size)
-            return out
+        total = weight.sum(axis=0)
+        given = DAMPING * weight / np.where(total > 0, total, 1)
+        score = np.ones(n)
+        for _ in range(ROUNDS):
+            score = (1 - DAMPING) + given @ score
+        return score
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        out = -common * x / (2 * size)
+        for level in np.unique(size):
+            by_term = np.bincount(term, np.where(size == level, x, 0)[where], terms)
+            out += np.bincount(where, by_term[term], n) / (level + size)
+        return out
 
     total = spread(np.ones(n))
     # A weight is far above this; below are sentences that share nothing, or what rounding leaves of them.
@@ -109,17 +199,38 @@ def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
     return score
 
 
-def text_rank(found: DataFrame) -> DataFrame:
-    """doc_id, rank, pos, sentence: the eight sentences that others resemble most by pair_weights, of whole documents. A
-    document is one group, as large as its text."""
+@F.arrow_udf(ArrayType(IntegerType()))
+def best_places(lists: pa.Array) -> pa.Array:
+    """Of each document the places of its best sentences, the best first."""
+    docs, begins, term = flat_terms(lists)
+    #: Terms are numbered anew in each document.
+    size = np.diff(begins[docs])
+    distinct, own = np.unique(np.repeat(np.arange(len(size)), size) * (int(term.max(initial=0)) + 1) + term, return_inverse=True)
+    first = np.searchsorted(distinct, np.arange(len(size) + 1) * (int(term.max(initial=0)) + 1))
+    out = []
+    for k, (a, b) in enumerate(zip(docs[:-1], docs[1:], strict=True)):
+        score = scores_of(np.diff(begins[a : b + 1]), own[begins[a] : begins[b]] - first[k], int(first[k + 1] - first[k]))
+        out.append(np.argsort(-np.round(score, 6), kind="stable")[:KEPT].astype(np.int32))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def ranked_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id and `ranked`, the array (rank, pos, sentence) of the eight sentences that others resemble most by pair_weights, of
+    whole documents. docs: doc_id and found, as plain_sentences or gathered give them; a row has its whole document."""
+    placed = with_terms(docs).select("doc_id", "found", best_places("terms").alias("places"))
+    one = lambda at, i: F.struct((i + 1).alias("rank"), F.get("found", at)["pos"].alias("pos"), F.get("found", at)["sentence"].alias("sentence"))
+    return placed.select("doc_id", F.transform("places", one).alias("ranked"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        score = rank_scores(rows["terms"].tolist())
-        best = np.lexsort((rows["pos"], -np.round(score, 6)))[:KEPT]
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "pos": rows["pos"].iloc[best].astype(np.int32), "sentence": rows["sentence"].iloc[best]})
 
-    return term_sets(found).groupBy("doc_id").applyInPandas(run, "doc_id bigint, rank int, pos int, sentence string")
+def in_rows(ranked: DataFrame) -> DataFrame:
+    """doc_id, rank, pos, sentence: one row a sentence."""
+    #: An inner explode would make Spark look for empty arrays first, by computing them twice.
+    return ranked.select("doc_id", F.explode_outer("ranked").alias("r")).where("r IS NOT NULL").select("doc_id", "r.*")
+
+
+def text_rank(found: DataFrame) -> DataFrame:
+    """doc_id, rank, pos, sentence: ranked_sentences of the rows of documents."""
+    return in_rows(ranked_sentences(gathered(found)))
 
 
 def lead(found: DataFrame, k: int = KEPT) -> DataFrame:
@@ -158,9 +269,15 @@ def densest(found: Column, k: int = 5) -> Column:
 
 def summaries(ranked: DataFrame) -> DataFrame:
     """doc_id, short (five sentences, 150 words), extended (all, 500 words)."""
-    agg = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence"))).alias("s"))
+    return summaries_of(ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("ranked")))
+
+
+def summaries_of(ranked: DataFrame) -> DataFrame:
+    """doc_id, short, extended of ranked_sentences; documents without sentences have none."""
     join = lambda a: F.array_join(F.transform(a, lambda x: x["sentence"]), " ")
-    return agg.select("doc_id", first_words(join(F.slice("s", 1, 5)), 150).alias("short"), first_words(join(F.col("s")), 500).alias("extended"))
+    made = F.when(F.size("ranked") > 0, F.array(F.struct(join(F.slice("ranked", 1, 5)).alias("five"), join(F.col("ranked")).alias("every"))))
+    texts = ranked.select("doc_id", F.explode_outer(made).alias("t")).where("t IS NOT NULL")
+    return texts.select("doc_id", first_words(F.col("t.five"), 150).alias("short"), first_words(F.col("t.every"), 500).alias("extended"))
 
 
 def joined_words(found: Column, n: int, words: int) -> Column:

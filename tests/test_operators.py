@@ -3,6 +3,7 @@
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -518,3 +519,32 @@ def test_windowed_counts(spark):
 def test_paragraph_blocks(spark):
     got = spark.createDataFrame([("HEAD\n\n A line.\nsame\n \n" + "x" * 120,)], "t string").select(blocks.paragraph_blocks(F.col("t")).alias("b")).first().b
     assert [(b.type, b.level) for b in got] == [("heading", 2), ("heading", 2), ("paragraph", None)]
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_sentences_are_ranked_and_paired_in_their_rows(spark):
+    df = spark.createDataFrame([(1, "One red fox. Note: a fox ran. Note: it ran on. A red dog sat. The dog and fox met. Red dogs ran."), (2, ""), (3, None), (4, "Alone. Alone."), (5, "Twice: x. Twice: y. Only this.")], "doc_id long, text string")
+    plain = summary.plain_sentences(df)
+    found = summary.without_scaffold(summary.sentences(df))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(plain.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")) == rows(found)
+    ranked = summary.in_rows(summary.ranked_sentences(plain))
+    assert rows(ranked) == rows(summary.text_rank(found)) and {r.doc_id for r in ranked.collect()} == {1, 4, 5}
+    pairs = summary.pair_weights(plain)
+    assert rows(pairs) == rows(summary.pair_weights(summary.gathered(found))) and pairs.where("doc_id = 1").count() > 3
+    assert {r.doc_id for r in summary.summaries_of(summary.ranked_sentences(plain)).collect()} == {1, 4, 5}
+    assert [shuffles(x) for x in (ranked, pairs, summary.summaries_of(summary.ranked_sentences(plain)))] == [0, 0, 0]
+
+
+def test_pairs_are_the_same_in_any_steps():
+    rng = np.random.default_rng(1)
+    lists = pa.array([[[f"w{t}" for t in rng.choice(30, k, replace=False)] for k in rng.integers(0, 6, n)] for n in (0, 7, 1, 25)])
+    want = {(d, i, j): len(set(x) & set(y)) for d, doc in enumerate(lists.to_pylist()) for i, x in enumerate(doc) for j, y in enumerate(doc) if i < j and set(x) & set(y)}
+    for at_once in (1, 10, 10_000):
+        got = {(d, i, j): w for part in summary.pair_counts(lists, at_once) for d, i, j, w in zip(*(x.tolist() for x in part), strict=True)}
+        assert got.keys() == want.keys()
+        size = lambda d, i: np.log(max(2, len(lists[d][i])))
+        assert all(np.isclose(w, want[k] / (size(k[0], k[1]) + size(k[0], k[2]))) for k, w in got.items())
