@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
-from inkwell.operators import blocks, cite, library, normalise, profile, redact, summary
+from inkwell.operators import blocks, cite, library, normalise, profile, redact, stats, summary
 from inkwell.plans import catalogue
 from inkwell.plans import documents as plan
 from inkwell.sources import documents, tables, writers
@@ -548,3 +548,12 @@ def test_pairs_are_the_same_in_any_steps():
         assert got.keys() == want.keys()
         size = lambda d, i: np.log(max(2, len(lists[d][i])))
         assert all(np.isclose(w, want[k] / (size(k[0], k[1]) + size(k[0], k[2]))) for k, w in got.items())
+
+
+def test_key_phrases_are_found_in_their_rows(spark):
+    df = spark.createDataFrame([(1, "Red fox runs. The red fox and a dog; dog of blue hills, blue hills. " + "x" * 90 + " " + ", ".join(f"p{chr(97 + i)}" for i in range(20))), (2, ""), (3, None), (4, "the of and"), (5, "ab")], "doc_id long, text string")
+    found = stats.rake(df)
+    got = [(r.doc_id, r["rank"], r.phrase, r.score) for r in found.orderBy("doc_id", "rank").collect()]
+    assert got[:5] == [(1, 1, "red fox runs", 8.0), (1, 2, "red fox", 5.0), (1, 3, "blue hills", 4.0), (1, 4, "dog", 1.0)] and len(got) == 4 and shuffles(found) == 0
+    many = spark.createDataFrame([(1, ", ".join(f"word{i:02d}z" for i in reversed(range(40))))], "doc_id long, text string")
+    assert [r.phrase for r in stats.rake(many).orderBy("rank").collect()] == [f"word{i:02d}z" for i in range(15)]
