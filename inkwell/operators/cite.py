@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.functions.text import let
+
 K1, B = 1.5, 0.75
 MIN_AFFINITY, TOP, SHARED = 0.15, 3, 6
 #: Words that don't count as terms (fixed values).
@@ -69,18 +71,44 @@ def suited(docs: DataFrame, kind: Column) -> DataFrame:
     return docs.where(kind.isin(*KINDS))
 
 
+def counted(words: Column) -> Column:
+    """The distinct words of an array with their numbers, as an array (term, tf): equal words are neighbours once sorted."""
+
+    def whole(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.get(xs, i - 1)), i)), lambda i: i.isNotNull())
+        one = lambda at: F.transform(at, lambda p, j: F.struct(F.get(xs, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(xs)) - p).cast("bigint").alias("tf")))
+        return let(starts, one)
+
+    return let(F.sort_array(words), whole)
+
+
+#: Bytes of passages up to which tables of a few rows a passage and term go to all tasks.
+FEW_BYTES = 4_000_000
+
+
+def near(rows: DataFrame, passages: DataFrame, few: int = FEW_BYTES) -> DataFrame:
+    """Rows that belong to passages, to be sent to all tasks where the passages are small; else they are shuffled."""
+    size = passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return F.broadcast(rows) if size <= few else rows
+
+
 def bm25(passages: DataFrame, refs: DataFrame) -> DataFrame:
     """(passage_id, ref_id, term, contribution) for terms that both hold: an equi-join on the term.
 
-    Document frequency and length are joined to the reference terms; a term's idf falls with its frequency, and no
-    pair without a shared term is ever made.
+    Terms are counted in their reference's row, and only those that a passage holds leave it, dealt by reference once; document
+    frequencies are counted from these, lengths from all terms. Where passages are small, pairs stay in their reference's task.
+    A term's idf falls with its frequency, and no pair without a shared term is ever made.
     """
-    tf = terms(refs, "ref_id")
-    length = tf.groupBy("ref_id").agg(F.sum("tf").alias("len"))
+    q = terms(passages, "passage_id").withColumnRenamed("tf", "qtf")
+    words = refs.select("ref_id", tokens(F.col("text")).alias("words"))
+    length = words.groupBy("ref_id").agg(F.sum(F.size("words").cast("bigint")).alias("len"))
     stats = refs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total")))
+    #: An inner explode would make Spark look for empty arrays first, by computing them twice.
+    every = words.select("ref_id", F.explode_outer(counted(F.col("words"))).alias("t")).where("t IS NOT NULL").select("ref_id", "t.*")
+    held = every.join(near(q.select("term").distinct(), passages), "term", "left_semi").repartition("ref_id")
+    tf = held.groupBy("ref_id", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    q = terms(passages, "passage_id").withColumnRenamed("tf", "qtf")
-    rows = q.join(tf, "term").join(df, "term").join(length, "ref_id").crossJoin(F.broadcast(stats))
+    rows = tf.join(length, "ref_id").join(near(q.join(df, "term"), passages), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("len") / F.greatest(F.lit(1.0), F.col("total") / F.col("n")))
     return rows.select("passage_id", "ref_id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm) * F.least("qtf", F.lit(5))).alias("contribution"))

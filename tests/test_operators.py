@@ -557,3 +557,25 @@ def test_key_phrases_are_found_in_their_rows(spark):
     assert got[:5] == [(1, 1, "red fox runs", 8.0), (1, 2, "red fox", 5.0), (1, 3, "blue hills", 4.0), (1, 4, "dog", 1.0)] and len(got) == 4 and shuffles(found) == 0
     many = spark.createDataFrame([(1, ", ".join(f"word{i:02d}z" for i in reversed(range(40))))], "doc_id long, text string")
     assert [r.phrase for r in stats.rake(many).orderBy("rank").collect()] == [f"word{i:02d}z" for i in range(15)]
+
+
+def test_terms_are_counted_in_their_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["c"])], "id long, w array<string>")
+    assert [[tuple(x) for x in r.c] for r in df.orderBy("id").select(cite.counted(F.col("w")).alias("c")).collect()] == [[("a", 1), ("b", 2)], [], [("c", 1)]]
+    passages = spark.createDataFrame([("p1", "solar energy policy energy"), ("p2", "castles walls repair")], "passage_id string, text string")
+    refs = spark.createDataFrame([("r0", "solar panels convert sunlight solar energy"), ("r1", "wind turbines convert wind energy"), ("r2", "medieval castles"), ("r2", "stone walls castles"), ("r3", None)], "ref_id string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = cite.bm25(passages, refs)
+        rows = lambda x: sorted((r.passage_id, r.ref_id, r.term, round(r.contribution, 9)) for r in x.collect())
+        #: References are dealt once (and read from there for document frequencies), not again for terms or pairs.
+        plan = cite.scores(parts)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(passage_id" not in plan.split("HashAggregate(keys=[passage_id", 2)[1].split("BroadcastHashJoin")[0]
+        near = rows(parts)
+        monkeypatch.setattr(cite.near, "__defaults__", (-1,))
+        assert near == rows(cite.bm25(passages, refs)) and {(r[1], r[2]) for r in near} == {("r0", "solar"), ("r0", "energy"), ("r1", "energy"), ("r2", "castles"), ("r2", "walls")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    #: A reference of two rows is one text.
+    one = cite.bm25(passages, refs.where("ref_id <> 'r2'").unionByName(spark.createDataFrame([("r2", "medieval castles stone walls castles")], "ref_id string, text string")))
+    assert {r[1:3]: r[3] for r in rows(one) if r[1] == "r2"}.keys() == {r[1:3]: r[3] for r in near if r[1] == "r2"}.keys()
