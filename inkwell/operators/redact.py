@@ -11,6 +11,9 @@ fields of one id are one document; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +81,25 @@ def patterns(first_names: tuple[str, ...], surnames: tuple[str, ...]) -> tuple[t
     return tuple((c, t, p.replace(person(FIRST_NAMES, SURNAMES), person(first_names, surnames)), g) for c, t, p, g in PATTERNS)
 
 
-#: What a text must hold for an address pattern to match, by pattern: cheap to look for, so most texts are read once.
-NEEDED = (*4 * (rf"{B}(?=[A-Z])(?:{STREETS}){E}",), r"\n\s*+\d", POSTCODE.replace(B, rf"{B}(?=[A-Za-z]\d)", 1))
+#: What a text must hold for a pattern to match: strings of which one is enough, or a pattern after other hints.
+HINTS = {
+    "digit": r"[0-9]",
+    "at": ("@",),
+    "abroad": ("+353",),
+    "title": ("Mr", "Ms", "Dr", "Prof"),
+    "dear": ("Dear",),
+    "header": ("From:", "To:", "Cc:"),
+    "capitals": r"[A-Z][A-Za-z'’\-]+\s+[A-Z]",
+    "street": rf"{B}(?=[A-Z])(?:{STREETS}){E}",
+    "number": r"\n\s*+\d",
+    "postcode": POSTCODE.replace(B, rf"{B}(?=[A-Za-z]\d)", 1),
+}
+#: The hints of each of PATTERNS, cheap ones first: all of them must hold, so most texts are read once or twice for all patterns.
+#: Every street line has two capitalised words apart by white space; every house, date and number a digit.
+NEEDED = (
+    ("digit",), ("digit",), ("digit",), ("digit",), ("digit",), ("at",), ("abroad",), ("digit",), ("digit",), ("digit",), ("title",), ("dear",), ("header",), ("capitals",),
+    ("digit", "capitals", "street"), ("digit", "capitals", "street"), ("capitals", "street"), ("digit", "number", "capitals", "street"), ("digit", "number"), ("digit", "postcode"),
+)
 LABELS = {"ppsn": "PPSN", "iban": "IBAN", "card": "CARD", "vat": "VAT", "eircode": "EIRCODE", "email": "EMAIL", "phone": "PHONE", "dob": "DOB", "account": "ACCOUNT", "person": "PERSON", "address": "ADDRESS"}
 MASK = "XXXXXXXXX"
 SPAN = "array<struct<start:int,back:int,tier:int,category:string,surface:string>>"
@@ -135,7 +155,16 @@ def valid(category: str, x: Column, names: tuple[tuple[str, ...], tuple[str, ...
     return checks.get(category, lambda: F.lit(True))()
 
 
-def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]] = (FIRST_NAMES, SURNAMES), needed: Column | None = None) -> Column:
+#: Hints that are only looked for where others hold.
+AFTER = {"street": ("capitals",), "number": ("digit",), "postcode": ("digit",)}
+
+
+def holds(text: Column, hint: str | tuple[str, ...]) -> Column:
+    """Whether a text holds a pattern, or one of several strings."""
+    return text.rlike(hint) if isinstance(hint, str) else reduce(or_, (text.contains(x) for x in hint))
+
+
+def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, names: tuple[tuple[str, ...], tuple[str, ...]], needed: Column) -> Column:
     """Spans in code points: a match starts after all pieces and matches before it; a group is found inside its match. needed:
     whether the text has what every match needs."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -153,8 +182,7 @@ def spans_of(text: Column, category: str, tier: int, pattern: str, group: int, n
         return let(running_sums(F.transform(rows, size)), lambda at: F.transform(rows, lambda x, i: span(x, F.get(at, i))))
 
     out = let(zipped, placed)
-    some = text.rlike(pattern) if needed is None else needed & text.rlike(pattern)
-    return F.when(some, F.filter(out, lambda s: valid(category, s["surface"], names))).otherwise(F.array().cast(SPAN))
+    return F.when(needed & text.rlike(pattern), F.filter(out, lambda s: valid(category, s["surface"], names))).otherwise(F.array().cast(SPAN))
 
 
 def fields_of(prepared: DataFrame) -> DataFrame:
@@ -165,13 +193,14 @@ def fields_of(prepared: DataFrame) -> DataFrame:
 
 def detect(fields: DataFrame, categories: tuple[str, ...] | None = None, first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = SURNAMES) -> DataFrame:
     """fields (doc_id, text and, if they have it, field) with `spans`: all confirmed spans by start, longer first."""
-    #: Each hint is looked for once, before all patterns.
-    hints = {n: f"_hint{i}" for i, n in enumerate(dict.fromkeys(NEEDED))}
-    needed = iter(NEEDED)
-    every = [(p, next(needed) if p[0] == "address" else None) for p in patterns(first_names, surnames)]
-    wanted = [(p, n) for p, n in every if categories is None or p[0] in categories]
-    rows = fields.select(*own_of(fields), "text", *(F.col("text").rlike(n).alias(h) for n, h in hints.items() if n in {n for _, n in wanted}))
-    found = [spans_of(F.col("text"), *p, (first_names, surnames), None if n is None else F.col(hints[n])) for p, n in wanted]
+    wanted = [(p, n) for p, n in zip(patterns(first_names, surnames), NEEDED, strict=True) if categories is None or p[0] in categories]
+    #: Each hint is looked for once, before all patterns: first those that stand alone, then those that follow others.
+    used = {h for _, n in wanted for h in n}
+    known = lambda h: F.col(f"_hint_{h}")
+    alone = [h for h in HINTS if h in used and h not in AFTER]
+    rows = fields.select(*own_of(fields), "text", *(holds(F.col("text"), HINTS[h]).alias(f"_hint_{h}") for h in alone))
+    rows = rows.withColumns({f"_hint_{h}": reduce(and_, map(known, AFTER[h])) & holds(F.col("text"), HINTS[h]) for h in AFTER if h in used})
+    found = [spans_of(F.col("text"), *p, (first_names, surnames), reduce(and_, map(known, n))) for p, n in wanted]
     return rows.select(*own_of(fields), "text", F.sort_array(F.concat(*found)).alias("spans"))
 
 

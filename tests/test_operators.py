@@ -579,3 +579,18 @@ def test_terms_are_counted_in_their_rows(spark, monkeypatch):
     #: A reference of two rows is one text.
     one = cite.bm25(passages, refs.where("ref_id <> 'r2'").unionByName(spark.createDataFrame([("r2", "medieval castles stone walls castles")], "ref_id string, text string")))
     assert {r[1:3]: r[3] for r in rows(one) if r[1] == "r2"}.keys() == {r[1:3]: r[3] for r in near if r[1] == "r2"}.keys()
+
+
+def test_every_pattern_is_tried_only_where_its_hints_hold(spark):
+    assert len(redact.NEEDED) == len(redact.PATTERNS)
+    street, near = "Mary Murphy \n 69A Belgard Downs \n Cork Road", "Mr. X Y\n12 Oak Lane\nT12 AB34"
+    said = ("1234567T", "gb82west12345698765432", "4111-1111 1111 1111", "ie7654321a", "t23xy12", "a.b@c.org", "+353861234567", "021 490 3000", "born 1 May 1990", "BIC: 12345678", "Mrs Ada Byrne", "Dear\tMary", "Cc:Anna", "Mary  O'Brien",
+            street, "9 Oak\nRoad", "12 Oak Park", "Oak's Hill Green", near, "nothing here", "Road", "Mary Oak", None)
+    rows = catalogue.docs(spark, "/root/testdata/sf0.001").select("text").unionByName(spark.createDataFrame([(x,) for x in said], "text string")).cache()
+    text = F.col("text")
+    for (category, _, pattern, _), needed in zip(redact.PATTERNS, redact.NEEDED, strict=True):
+        hinted = F.lit(True)
+        for h in needed:
+            hinted = hinted & redact.holds(text, redact.HINTS[h])
+        n = rows.select(F.count_if(text.rlike(pattern)).alias("met"), F.count_if(text.rlike(pattern) & ~hinted).alias("lost"), F.count_if(~hinted).alias("spared")).first()
+        assert n.met and not n.lost and n.spared, (category, pattern, n)
