@@ -594,3 +594,13 @@ def test_every_pattern_is_tried_only_where_its_hints_hold(spark):
             hinted = hinted & redact.holds(text, redact.HINTS[h])
         n = rows.select(F.count_if(text.rlike(pattern)).alias("met"), F.count_if(text.rlike(pattern) & ~hinted).alias("lost"), F.count_if(~hinted).alias("spared")).first()
         assert n.met and not n.lost and n.spared, (category, pattern, n)
+
+
+def test_first_values_are_taken_without_sorting_a_table(spark):
+    rows = [(i // 2, None if i % 3 else f"v{i:03d}", "" if i < 50 else str(i)) for i in reversed(range(100))]
+    text = profile.as_text(spark.createDataFrame(rows, "k long, a string, b string"), "k")
+    first = profile.first_values(text, ["a", "b"], 5)
+    got = sorted((r.column, r["_row"], r.value) for r in first.collect())
+    assert got == [("a", 0, "v000"), ("a", 1, "v003"), ("a", 3, "v006"), ("a", 4, "v009"), ("a", 6, "v012")] + [("b", 25 + i // 2, str(50 + i)) for i in range(5)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
