@@ -1,6 +1,6 @@
 """Cleaning of plain text: page furniture out, lines to blocks, tables and formulas declared, a title from the furniture.
 
-Every rule looks at a line and its neighbours, so all of them are windows over a document's lines; the lines are shuffled
+Every rule looks at a line and its neighbours, so all of them are windows over a document's lines; the texts are shuffled
 once, by document. The walk from a page marker through its surroundings is a comparison of running counts: a line is
 reached if the nearest marker is at most `REACH` lines away and no line that stops the walk lies between.
 """
@@ -28,13 +28,23 @@ def in_order() -> WindowSpec:
     return by_doc().orderBy("pos")
 
 
+#: Tasks that the texts of one split are dealt over.
+SHARES = 4
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents by doc_id over so many tasks that what one of them sorts doesn't grow with the table; all windows over lines
+    stay within these."""
+    return docs.repartition(SHARES * docs.rdd.getNumPartitions(), "doc_id")
+
+
 def marked_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line, marker (label, number or null), dropped: markers and the running headers and footers at them.
 
     Where a document has page labels, lines next to one go both ways as long as they recur; else up to four short lines
     above each lone page number go, unless they read like content.
     """
-    rows = b.lines_of(docs).withColumns({"label": F.col("line").rlike(b.PAGE_LABEL), "sig": b.signature(F.col("line"))})
+    rows = b.lines_of(dealt(docs.select("doc_id", "text"))).withColumns({"label": F.col("line").rlike(b.PAGE_LABEL), "sig": b.signature(F.col("line"))})
     rows = rows.withColumns({
         "labelled": F.max("label").over(by_doc()),
         "alone": (F.coalesce(F.lag("line").over(in_order()), F.lit("")) == "") | (F.coalesce(F.lead("line").over(in_order()), F.lit("")) == ""),

@@ -604,3 +604,10 @@ def test_first_values_are_taken_without_sorting_a_table(spark):
     assert got == [("a", 0, "v000"), ("a", 1, "v003"), ("a", 3, "v006"), ("a", 4, "v009"), ("a", 6, "v012")] + [("b", 25 + i // 2, str(50 + i)) for i in range(5)]
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan
+
+
+def test_lines_are_cleaned_in_tasks_that_grow_in_number(spark):
+    for n in (2, 6):
+        df = spark.range(12).repartition(n).select(F.col("id").alias("doc_id"), F.lit("1 | P a g e\none\ntwo").alias("text"))
+        plan = normalise.clean_blocks(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and f"Exchange hashpartitioning(doc_id#" in plan and f", {normalise.SHARES * n}), REPARTITION_BY_NUM" in plan
