@@ -97,6 +97,49 @@ def test_held_out_texts_are_predicted(spark):
     assert got and all(r.score > -2.0 * r.n_tokens for r in got)
 
 
+def test_language_model_packs_what_chunks_share(spark, monkeypatch):
+    """Tables between steps have a row for a chunk and a part, not one for each gram and word; odd spaces, slices of few
+    texts and of few bytes, and counts that are handed on early change nothing."""
+    rows = {}
+
+    class Watched(ppm.Workspace):
+        def cut(self, df, *codec):
+            out = super().cut(df, *codec)
+            rows[len(rows)] = out.count()
+            return out
+
+    monkeypatch.setattr(ppm, "Workspace", Watched)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(500)]
+    texts = [None, "", " \t\r\n\x0b\x0c ", "\x00\x1c a\x85b \u00a0 ", " A  a\n\nA\t"] + ["".join(w + rng.choice([" ", "\n", " \t ", "  "]) for w in rng.choices(words, k=rng.randint(0, 200))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    size = sum(len((t or "").encode()) + 1 for t in texts)
+    got = {r.doc_id: r for r in ppm.score(df, chunk_bytes=size // 3).collect()}
+    #: One row for the words and one for the grams of each of at most four chunks and as many parts.
+    assert rows and max(rows.values()) <= 2 * 4 * 4
+    tokens = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(ppm.LOWER)) for i, t in enumerate(texts)}
+    coded = {i: b"\n" * 5 + b" ".join(t) + b"\n" for i, t in tokens.items()}
+    seen, train = defaultdict(Counter), [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    for x in (coded[i] for i in train):
+        for p in range(5, len(x)):
+            for k in range(6):
+                seen[x[p - k : p]][x[p]] += 1
+    counts = Counter(w for i in train for w in [*tokens[i], b"\n"])
+    n, v = sum(counts.values()), len(counts)
+    for i, x in coded.items():
+        r, own = got[i], [*tokens[i], b"\n"]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(gram_value(x[p - 5 : p + 1], seen) for p in range(5, len(x))), rel_tol=1e-9), i
+    for name, value in (("AT_ONCE", 300), ("ROWS", 2), ("TEXTS", 3), ("WORDS", 5)):
+        monkeypatch.setattr(ppm, name, value)
+    monkeypatch.setattr(ppm.Tally.__init__, "__defaults__", (20,))
+    again = {r.doc_id: r for r in ppm.score(df, chunk_bytes=size // 3).collect()}
+    assert len(again) == len(got)
+    for i, r in got.items():
+        assert again[i][:5] == r[:5] and math.isclose(again[i].base_score, r.base_score, rel_tol=1e-12) and math.isclose(again[i].score, r.score, rel_tol=1e-12)
+
+
 def test_adaptive(spark):
     rows = [(1, "abc abc abc abc abc abc"), (2, None), (3, "q")]
     got = {r.doc_id: r.score for r in ppm.score_adaptive(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
