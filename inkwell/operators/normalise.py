@@ -1,17 +1,22 @@
 """Cleaning of plain text: page furniture out, lines to blocks, tables and formulas declared, a title from the furniture.
 
-Every rule looks at a line and its neighbours, so all of them are windows over a document's lines; the texts are shuffled
-once, by document. The walk from a page marker through its surroundings is a comparison of running counts: a line is
-reached if the nearest marker is at most `REACH` lines away and no line that stops the walk lies between.
+Every rule looks at a line and its neighbours. Where lines or blocks come as rows, the rules are windows over a document's
+lines, and the texts are shuffled once, by document. Where a row has its whole document (`normalise`), what a line is by
+itself goes as a number to a task, which walks through all lines at once, so nothing is shuffled. The walk from a page marker
+through its surroundings is a comparison of running counts: a line is reached if the nearest marker is at most `REACH` lines
+away and no line that stops the walk lies between.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from inkwell.functions.text import collapse, trim, word_count
+from inkwell.functions.text import collapse, held, let, split_lines, trim, word_count
 
 from . import blocks as b
 
@@ -135,9 +140,9 @@ def furniture(marked: DataFrame) -> DataFrame:
     return per_doc.select("doc_id", "removed", F.when(F.size("fits") <= 3, few).otherwise(most).alias("seed"))
 
 
-def header_of(text: Column, seed: Column) -> Column:
+def header_of(lines: Column, seed: Column) -> Column:
     """A running header as a title, or the fuller line near the top that holds it; null if it's no title."""
-    top = F.transform(F.slice(F.split(text, b.LINE_BREAK, -1), 1, 35), trim)
+    top = F.slice(lines, 1, 35)
     fuller = lambda x: ~x.contains(":") & (F.length(x) > F.length(seed)) & (F.length(x) <= 100) & F.lower(x).contains(F.lower(seed)) & ~x.rlike(b.LEADER)
     title = F.coalesce(F.get(F.filter(top, fuller), F.lit(0)), seed)
     return F.when((seed != "") & (F.length(title) >= 5) & title.rlike(r"\p{L}"), title)
@@ -169,29 +174,218 @@ def given_blocks(found: Column) -> Column:
 
 def plain_blocks(text: Column, block) -> Column:
     """Blocks of a text's lines without cleaning, in place."""
-    lines = F.transform(F.split(text, b.LINE_BREAK, -1), lambda x, i: F.struct(i.alias("pos"), block(trim(x)).alias("b"), trim(x).alias("line")))
+    lines = F.transform(split_lines(text), lambda x, i: F.struct(i.alias("pos"), block(trim(x)).alias("b"), trim(x).alias("line")))
     return F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: block_of(x["pos"], x["b"]["type"], x["b"]["text"], x["b"]["level"]))
 
 
+# -- documents in their rows ------------------------------------------------------------------------------------------
+
+#: What a line may be by itself, each a bit.
+BLANK, LABEL, ALONE, STOP, HEADER, ROW, LEADER, CAPTION, SECTION, NUMBERED, TITLE, BULLET, LOWER = (1 << i for i in range(13))
+KINDS = ("blank", "row", "leader", "caption", "section", "numbered", "bullet", "text")
+NAMES = {"row": "paragraph", "caption": "caption", "section": "heading", "numbered": "heading", "bullet": "list", "text": "paragraph"}
+WALKED = StructType([
+    StructField("gone", ArrayType(StructType([StructField("pos", IntegerType()), StructField("marker", BooleanType())]))),
+    StructField("kept", ArrayType(IntegerType())),
+    StructField("blocks", ArrayType(StructType([StructField(x, IntegerType()) for x in ("pos", "first", "n", "kind")] + [StructField("opens", BooleanType())]))),
+])
+
+
+def bits_of(line: Column) -> Column:
+    """What a trimmed line is by itself; patterns that only short lines can meet are tried on these."""
+    hit = lambda bit, when: F.when(when, F.lit(bit)).otherwise(F.lit(0))
+    digit = line.rlike(r"^\s*\d")
+    numbered = line.rlike(b.NUMBERED)
+    title = numbered & (F.length(line) <= 90) & word_count(line).between(1, 12) & ~line.rlike(r":\s+\S+\s+\S+")
+    by_digit = hit(ALONE, line.rlike(b.PAGE_NUMBER)) + hit(SECTION, line.rlike(b.SECTION) & (F.length(line) < 150)) + hit(NUMBERED, numbered) + hit(TITLE, title)
+    every = (
+        hit(LABEL, line.rlike(b.PAGE_LABEL)) + hit(STOP, (F.length(line) > 80) | line.rlike(r"[.!?,;:]$")) + hit(HEADER, b.is_table_header(line)) + hit(ROW, b.is_table_row(line))
+        + hit(LEADER, line.contains(".") & line.rlike(b.LEADER)) + hit(CAPTION, line.rlike(b.CAPTION)) + hit(BULLET, line.rlike(b.BULLET)) + hit(LOWER, line.rlike(r"^\p{Ll}"))
+    )
+    return F.when(line == "", F.lit(BLANK)).otherwise(every + F.when(digit, by_digit).otherwise(F.lit(0)))
+
+
+@F.arrow_udf(WALKED)
+def walked(bits: pa.Array, signs: pa.Array) -> pa.Array:
+    """Of documents' lines, as bits_of has them: the lines that go (and which are markers), those that stay if any go, and the
+    blocks (place of the first line, its place among those that stay, number of lines, kind, whether it opens a table).
+
+    signs: the signatures of the lines of documents with page labels, else null. The rules are those of marked_lines, table_lines,
+    kinds and clean_blocks.
+    """
+    starts = (bits.offsets.to_numpy() - bits.offsets[0].as_py()).astype(np.int64)
+    f = bits.flatten().to_numpy()
+    n, docs = len(f), len(bits)
+    doc, here = np.repeat(np.arange(docs), np.diff(starts)), np.arange(n)
+    is_ = lambda bit: (f & bit) > 0
+    ends = starts[1:][doc]
+    begins = starts[:-1][doc]
+    solid = ~is_(BLANK)
+
+    def upto(hit: np.ndarray) -> np.ndarray:
+        """The last hit at each place or before, -1 if none."""
+        return np.maximum.accumulate(np.where(hit, here, -1))
+
+    def before(hit: np.ndarray) -> np.ndarray:
+        """The last hit before each place in its document, -1 if none."""
+        last = np.concatenate(([-1], upto(hit)[:-1])) if n else here
+        return np.where(last >= begins, last, -1)
+
+    def after(hit: np.ndarray) -> np.ndarray:
+        """The first hit after each place in its document, -1 if none."""
+        nxt = np.append(np.minimum.accumulate(np.where(hit, here, n)[::-1])[::-1][1:], n) if n else here
+        return np.where(nxt < ends, nxt, -1)
+
+    def at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return (places >= 0) & values[places]
+
+    per_doc = lambda hit: np.bincount(doc[hit], minlength=docs)[doc]
+    labelled = per_doc(is_(LABEL)) > 0
+    edge = (here == begins) | (here == ends - 1)
+    blank_near = edge | np.concatenate(([False], ~solid[:-1])) | np.append(~solid[1:], False) if n else solid
+    marker = is_(LABEL) | (~labelled & is_(ALONE) & blank_near)
+    recurs = np.zeros(n, bool)
+    if labelled.any():
+        coded = signs.flatten().dictionary_encode()
+        key, count = np.unique(doc[labelled] * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True, return_counts=True)[1:]
+        recurs[labelled] = (count[key] >= REPEATS) & (pa.compute.binary_length(coded.dictionary).to_numpy()[coded.indices.to_numpy()] > 0)
+    stops = solid & np.where(labelled, ~recurs, is_(STOP | BULLET | NUMBERED | SECTION))
+    stopped = np.cumsum(stops)
+    free = solid & ~marker
+    freed = np.cumsum(free)
+    down, up = before(marker), after(marker)
+    near_up = (up >= 0) & (up - here <= REACH)
+    near_up &= (stopped - stops)[up] == stopped - stops
+    near_down = (down >= 0) & (here - down <= REACH)
+    near_down &= stopped[down] == stopped
+    few = freed[up] - freed + free <= LONE
+    gone = marker | (solid & np.where(labelled, near_up | near_down, near_up & few))
+
+    header, row = is_(HEADER) & ~gone, is_(ROW) & ~gone
+    previous, following = before(solid), after(solid)
+    opens = header & at(row, following)
+    starts_rows = row & at(header, previous)
+    event = starts_rows | ~solid | (~gone & ~row)
+    last = upto(event)
+    inside = (last >= begins) & starts_rows[last]
+    in_table = opens | (row & inside)
+    skeleton = per_doc(is_(SECTION) & ~gone) >= 2
+    numbered = ~skeleton & is_(NUMBERED) & is_(TITLE) & ~at(is_(LOWER), following)
+    leader = is_(LEADER) | (is_(SECTION) & ~is_(CAPTION) & at(is_(LEADER), following))
+    rules = [~solid, in_table, leader, is_(CAPTION), is_(SECTION), numbered, is_(BULLET)]
+    kind = np.select(rules, range(len(rules)), len(rules))
+
+    kept = np.flatnonzero(~gone)
+    own, mine = kind[kept], doc[kept]
+    joins = np.zeros(len(kept), bool)
+    text, bullet = KINDS.index("text"), KINDS.index("bullet")
+    joins[1:] = (own[1:] == text) & (mine[1:] == mine[:-1]) & ((own[:-1] == text) | (own[:-1] == bullet))
+    heads = np.flatnonzero(~joins)
+    size = np.diff(np.append(heads, len(kept)))
+    shown = (own[heads] != KINDS.index("blank")) & (own[heads] != KINDS.index("leader"))
+    heads, size = heads[shown], size[shown]
+    head = kept[heads]
+    kept_from = np.searchsorted(kept, starts)
+
+    def lists(at: np.ndarray, values: pa.Array, none: np.ndarray | None = None) -> pa.Array:
+        cuts = np.searchsorted(at, starts)
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values, mask=None if none is None else pa.array(none))
+
+    int_ = lambda x: pa.array(x.astype(np.int32))
+    lost = np.flatnonzero(gone)
+    whole = np.bincount(doc[lost], minlength=docs) == 0
+    removed = lists(lost, pa.StructArray.from_arrays([int_(lost - begins[lost]), pa.array(marker[lost])], ["pos", "marker"]))
+    stay = kept[~whole[mine]]
+    left = lists(stay, int_(stay - begins[stay]), whole)
+    found = lists(head, pa.StructArray.from_arrays([int_(head - begins[head]), int_(heads - kept_from[doc[head]]), int_(size), int_(kind[head]), pa.array(opens[head])], ["pos", "first", "n", "kind", "opens"]))
+    return pa.StructArray.from_arrays([removed, left, found], ["gone", "kept", "blocks"])
+
+
+def blocks_in(lines: Column, walk: Column) -> Column:
+    """The blocks of a document from its lines and what walked gives of them."""
+    kind = lambda x, *names: x["kind"].isin(*(KINDS.index(n) for n in names))
+    no, none = F.lit(False), F.lit(None)
+
+    def joined(kept: Column) -> Column:
+        def text(x: Column) -> Column:
+            mine = F.slice(kept, x["first"] + 1, x["n"])
+            clean = lambda ls: F.concat(F.array(F.regexp_replace(ls[0], b.BULLET, "")), F.slice(ls, 2, x["n"]))
+            return trim(F.array_join(F.when(kind(x, "bullet"), let(mine, clean)).otherwise(mine), " "))
+
+        made = F.filter(F.transform(walk["blocks"], lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), x["opens"].alias("opens"), text(x).alias("text"))), lambda x: x["text"] != "")
+        return F.transform(made, lambda x: F.struct(x["pos"], x["kind"], x["opens"], x["text"], (kind(x, "text") & b.is_math_dense(x["text"])).alias("math")))
+
+    def part(pos: Column, n: int, kind: Column, text: Column, level: Column, row: Column, degraded: Column) -> Column:
+        values = (pos, F.lit(n), kind, text, level.cast("int"), row, degraded, none.cast(ROWS))
+        return F.struct(*(v.alias(name) for v, name in zip(values, FIELDS, strict=True)))
+
+    def parts(x: Column) -> Column:
+        names = F.element_at(F.array(*(F.lit(NAMES.get(k)) for k in KINDS)), x["kind"] + 1)
+        heading = F.when(kind(x, "section", "numbered"), 2)
+        block = part(x["pos"], 1, names, x["text"], heading, kind(x, "row"), x["math"])
+        before = F.when(x["opens"], part(x["pos"], 0, F.lit("note"), F.lit(TABLE_NOTE), none, no, no))
+        after = F.when(x["math"], part(x["pos"], 2, F.lit("note"), F.lit(MATH_NOTE), none, no, no))
+        return F.when(x["opens"] | x["math"], F.array_compact(F.array(before, block, after))).otherwise(F.array(block))
+
+    kept = F.when(walk["kept"].isNull(), lines).otherwise(F.transform(walk["kept"], lambda i: F.get(lines, i)))
+    return F.flatten(F.transform(let(kept, joined), parts))
+
+
+def furniture_in(lines: Column, gone: Column) -> Column:
+    """removed and header of a document, as furniture and header_of give them, from its lines and the places of those that go; null
+    if none go."""
+    fit = F.filter(F.transform(gone, lambda x: F.struct(x["pos"].alias("pos"), F.get(lines, x["pos"]).alias("line"), x["marker"].alias("marker"))), lambda x: ~x["marker"] & is_title_like(x["line"]))
+    sorted_ = F.array_sort(F.transform(fit, lambda x: F.struct(F.lower(collapse(x["line"])).alias("key"), x["pos"].alias("pos"), x["line"].alias("line"))))
+
+    def counted(xs: Column) -> Column:
+        heads = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (F.get(xs, i - 1)["key"] != x["key"]), i)), lambda i: i.isNotNull())
+        size = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(xs)) - F.get(at, j)
+        return let(heads, lambda at: F.transform(at, lambda i, j: F.struct(F.get(xs, i)["pos"].alias("pos"), F.get(xs, i)["line"].alias("line"), size(at, j).alias("n"))))
+
+    def seed(fits: Column) -> Column:
+        most = F.array_max(F.transform(fits, lambda x: F.struct(x["n"].alias("n"), (-x["pos"]).alias("p"), x["line"].alias("line"))))["line"]
+        return F.when(F.size(fits) <= 3, F.array_join(F.transform(F.array_sort(fits), lambda x: x["line"]), " ")).otherwise(most)
+
+    removed = F.transform(gone, lambda x: F.get(lines, x["pos"]))
+    header = let(let(let(sorted_, counted), seed), lambda s: F.when(s != "", header_of(lines, s)))
+    return F.when(F.size(gone) > 0, F.struct(removed.alias("removed"), header.alias("header")))
+
+
+def cleaned(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, columns to carry, text (rebuilt from the blocks, but of Markdown as it is), blocks (in order), removed, header,
+    size_bytes, kind, parser: one row a document, in its row. docs: doc_id, text, kind, source_blocks, parser and what to carry."""
+    c = F.col
+    lined = docs.withColumn("_lines", F.when(c("parser") == "text", F.transform(split_lines(F.make_valid_utf8(F.coalesce("text", F.lit("")))), trim)).otherwise(F.array().cast("array<string>")))
+    marked = lined.withColumn("_bits", F.transform("_lines", bits_of))
+    label = F.exists("_bits", lambda x: x.bitwiseAND(F.lit(LABEL)) > 0)
+    walk = marked.withColumn("_walk", walked("_bits", F.when(label, F.transform("_lines", b.signature))))
+    source = F.coalesce("text", F.lit(""))
+    paragraphs = F.transform(b.paragraph_blocks(source), lambda x: block_of(x["pos"], x["type"], x["text"], x["level"]))
+    spare = F.when(c("kind") == "PDF", paragraphs).otherwise(plain_blocks(source, b.text_block))
+    found = let(blocks_in(c("_lines"), c("_walk")), lambda x: F.struct(F.when(F.size(x) > 0, x).otherwise(spare).alias("blocks"), text_of(x).alias("text")))
+    as_marked = F.struct(plain_blocks(c("text"), b.markdown_block).alias("blocks"), c("text").alias("text"))
+    as_given = let(given_blocks(c("source_blocks")), lambda x: F.struct(x.alias("blocks"), text_of(x).alias("text")))
+    made = walk.select(
+        "doc_id", *carry, "kind", "parser", F.octet_length(source).alias("size_bytes"), furniture_in(c("_lines"), c("_walk.gone")).alias("furniture"),
+        F.when(c("parser") == "markdown", as_marked).when(c("parser") == "given", as_given).otherwise(found).alias("made"),
+    )
+    return held(made).select("doc_id", *carry, "made.text", "made.blocks", F.coalesce("furniture.removed", F.array().cast("array<string>")).alias("removed"), "furniture.header", "size_bytes", "kind", "parser", ratio_of(c("made.blocks")).alias("list_ratio"))
+
+
+def with_parts(docs: DataFrame, parser: Column | None = None, *carry: str) -> DataFrame:
+    """doc_id, text, kind, source_blocks, parser and columns to carry."""
+    kind = F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")
+    given = F.col("source_blocks") if "source_blocks" in docs.columns else F.lit(None).cast(SOURCE_BLOCKS)
+    by_kind = F.when(given.isNotNull(), "given").when(kind == "MD", "markdown").when(kind == "PDF", "text").otherwise(b.parser_expr())
+    return docs.select("doc_id", "text", *carry, kind.alias("kind"), given.alias("source_blocks"), (F.coalesce(by_kind, F.lit("text")) if parser is None else parser).alias("parser"))
+
+
 def normalise(docs: DataFrame) -> DataFrame:
     """doc_id, text (rebuilt from the blocks), blocks (in order), list_ratio, removed, header, size_bytes: one row a document.
 
     Without a block that stays, the blocks are the plain lines, or a PDF's paragraphs (docs may have a `kind`). A null text is empty.
     """
-    marked = marked_lines(docs)
-    whole = clean_blocks(docs, marked).withColumn("rows", F.lit(None).cast(ROWS)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("blocks"))
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source"), (F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")).alias("kind"))
-    lines = plain_blocks(F.col("source"), b.text_block)
-    paragraphs = F.transform(b.paragraph_blocks(F.col("source")), lambda x: block_of(x["pos"], x["type"], x["text"], x["level"]))
-    every = source.join(whole, "doc_id", "left").join(furniture(marked), "doc_id", "left")
-    return every.select(
-        "doc_id",
-        F.coalesce(text_of(F.col("blocks")), F.lit("")).alias("text"),
-        F.coalesce(F.col("blocks"), F.when(F.col("kind") == "PDF", paragraphs).otherwise(lines)).alias("blocks"),
-        F.coalesce("removed", F.array().cast("array<string>")).alias("removed"),
-        header_of(F.col("source"), F.col("seed")).alias("header"),
-        F.octet_length("source").alias("size_bytes"),
-    ).withColumn("list_ratio", ratio_of(F.col("blocks")))
+    return cleaned(with_parts(docs, F.lit("text"))).select("doc_id", "text", "blocks", "removed", "header", "size_bytes", "list_ratio")
 
 
 def text_of(blocks: Column) -> Column:
@@ -203,24 +397,11 @@ def ratio_of(blocks: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.filter(blocks, lambda x: x["type"] == "list")), F.size(blocks)), 3), F.lit(0.0))
 
 
-def prepare(docs: DataFrame) -> DataFrame:
+def prepare(docs: DataFrame, *carry: str) -> DataFrame:
     """Documents as normalise gives them, and their parser and source type: plain text cleaned, Markdown with the blocks of its
-    own marks, documents with `source_blocks` with these. docs: doc_id, text and, from files, kind and source_blocks."""
-    kind = F.col("kind") if "kind" in docs.columns else F.lit(None).cast("string")
-    given = F.col("source_blocks") if "source_blocks" in docs.columns else F.lit(None).cast(SOURCE_BLOCKS)
-    parser = F.when(given.isNotNull(), "given").when(kind == "MD", "markdown").when(kind == "PDF", "text").otherwise(b.parser_expr())
-    parsed = docs.select("doc_id", "text", kind.alias("kind"), given.alias("source_blocks"), F.coalesce(parser, F.lit("text")).alias("parser"))
-    kept = lambda name: parsed.where(F.col("parser") == name)
-
-    def as_is(rows: DataFrame, text: Column, blocks: Column) -> DataFrame:
-        out = rows.select("doc_id", text.alias("text"), blocks.alias("blocks"), F.array().cast("array<string>").alias("removed"), F.lit(None).cast("string").alias("header"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size_bytes"), "parser")
-        return out.withColumn("list_ratio", ratio_of(F.col("blocks")))
-
-    plain = normalise(kept("text")).withColumn("parser", F.lit("text"))
-    every = plain.unionByName(as_is(kept("markdown"), F.col("text"), plain_blocks(F.col("text"), b.markdown_block)))
-    if "source_blocks" in docs.columns:
-        every = every.unionByName(as_is(kept("given").withColumn("_blocks", given_blocks(F.col("source_blocks"))), text_of(F.col("_blocks")), F.col("_blocks")))
+    own marks, documents with `source_blocks` with these; all in their rows. docs: doc_id, text, columns to carry and, from files,
+    kind and source_blocks."""
+    rows = cleaned(with_parts(docs, None, *carry), *carry)
     by_parser = F.when(F.col("parser") == "markdown", "MD").otherwise("TXT")
-    if "kind" not in docs.columns:
-        return every.withColumn("source_type", by_parser)
-    return every.join(docs.select("doc_id", F.col("kind").alias("source_type")), "doc_id", "left").withColumn("source_type", F.when(F.col("source_type").isin("PDF", "DOCX"), F.col("source_type")).otherwise(by_parser))
+    source_type = by_parser if "kind" not in docs.columns else F.when(F.col("kind").isin("PDF", "DOCX"), F.col("kind")).otherwise(by_parser)
+    return rows.withColumn("source_type", source_type).drop("kind")

@@ -36,8 +36,9 @@ def extract(docs: DataFrame) -> DataFrame:
 def listed(text: Column) -> Column:
     """A text's references (raw, doi, url) in one array: the first of each key across kinds, at most a hundred."""
 
-    def hits(kind: int, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("raw")))
+    def hits(kind: int, pattern: str, hint: str) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("raw")))
+        return F.when(text.contains(hint), found).when(text.isNotNull(), F.array().cast("array<struct<kind:int,raw:string>>"))
 
     def keyed(x: Column, i: Column) -> Column:
         cut = F.regexp_replace(x["raw"], r"[.,;]+$", "")
@@ -49,7 +50,7 @@ def listed(text: Column) -> Column:
         in_order = F.array_sort(F.transform(once, lambda x: F.struct(x["at"].alias("at"), x["raw"].alias("raw"), x["doi"].alias("doi"), x["url"].alias("url"))))
         return F.transform(F.slice(in_order, 1, CAP), lambda x: F.struct(x["raw"].alias("raw"), x["doi"].alias("doi"), x["url"].alias("url")))
 
-    return F.get(F.transform(F.array(F.array_sort(F.transform(F.concat(hits(1, DOI), hits(2, URL), hits(3, NUMBERED)), keyed))), first), F.lit(0))
+    return F.get(F.transform(F.array(F.array_sort(F.transform(F.concat(hits(1, DOI, "10."), hits(2, URL, "://"), hits(3, NUMBERED, "[")), keyed))), first), F.lit(0))
 
 
 def dedupe(found: DataFrame) -> DataFrame:

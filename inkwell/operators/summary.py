@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
+from inkwell.functions import tokens
 from inkwell.functions.text import first_words, let, trim
 
 from .stats import STOP, density
@@ -18,8 +19,10 @@ from .stats import STOP, density
 SIGNAL = r"(?i)%|\d{2,}|\b(therefore|thus|conclude[ds]?|concluded|significant(ly)?|increase[ds]?|decrease[ds]?|reduced|improved)\b"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve".split()
 CAP_BYTES, DAMPING, ROUNDS, KEPT = 40_000, 0.85, 20, 8
-#: Cells of a document's matrices up to which ranks are found with them; larger documents take sums by term.
-CELLS = 4_000_000
+#: Cells of a document's matrices up to which ranks are found with them.
+DENSE = 20_000
+#: Meetings of a term in two sentences up to which a larger document's ranks are found by its pairs; others take sums by term.
+CELLS = 1_000_000
 #: Pairs that are counted at once.
 PAIRS = 2_000_000
 
@@ -35,9 +38,10 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def signature(s: Column) -> Column:
-    """The label before a colon, else the sentence; lower-cased, blanks collapsed."""
+    """The label before a colon, else the sentence; lower-cased, blanks collapsed. Most have neither a colon nor such blanks."""
+    plain = lambda x: F.when(x.rlike(r"\s\s|[^\S ]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
     label = F.regexp_extract(s, r"^(.{2,60}?):\s", 1)
-    return F.lower(F.regexp_replace(F.when(label != "", label).otherwise(s), r"\s+", " "))
+    return F.lower(F.when(s.contains(":"), plain(F.coalesce(F.nullif(label, F.lit("")), s))).otherwise(plain(s)))
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -52,19 +56,28 @@ def without_scaffold(found: DataFrame) -> DataFrame:
     return rows.withColumn("single", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n < 2 OR single < 3").select("doc_id", "pos", "sentence")
 
 
+def repeated(sentences: Column) -> Column:
+    """Of an array of sentences which have another's signature, as an array of booleans, or null if none has. Equal signatures are
+    neighbours once they are sorted; only arrays that hold some are."""
+
+    def marked(signs: Column) -> Column:
+        by_name = F.array_sort(F.transform(signs, lambda s, i: F.struct(s.alias("sig"), i.alias("at"))))
+        near = lambda xs, i, x: F.coalesce(F.get(xs, i)["sig"] == x["sig"], F.lit(False))
+        found = let(by_name, lambda xs: F.transform(xs, lambda x, i: F.struct(x["at"].alias("at"), (near(xs, i - 1, x) | near(xs, i + 1, x)).alias("again"))))
+        return F.transform(F.array_sort(found), lambda x: x["again"])
+
+    return let(F.transform(sentences, signature), lambda signs: F.when(F.size(F.array_distinct(signs)) < F.size(signs), marked(signs)))
+
+
 def plain_sentences(docs: DataFrame) -> DataFrame:
     """doc_id and `found`, the array (pos, sentence) that without_scaffold gives of its sentences; a row has its whole document,
-    so nothing is shuffled. Equal signatures are neighbours once they are sorted."""
+    so nothing is shuffled."""
 
-    def whole(parts: Column) -> Column:
-        by_name = F.array_sort(F.transform(parts, lambda s, i: F.struct(signature(s).alias("sig"), i.alias("at"))))
-        near = lambda xs, i, x: F.coalesce(F.get(xs, i)["sig"] == x["sig"], F.lit(False))
-        marked = let(by_name, lambda xs: F.transform(xs, lambda x, i: F.struct(x["at"].alias("at"), (near(xs, i - 1, x) | near(xs, i + 1, x)).alias("again"))))
-        again = F.transform(F.array_sort(marked), lambda x: x["again"])
+    def plain(parts: Column, again: Column) -> Column:
         rows = F.transform(parts, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence")))
-        return let(again, lambda a: let(F.size(F.filter(a, lambda x: ~x)), lambda single: F.filter(rows, lambda r: ~F.get(a, r["pos"]) | (single < 3))))
+        return let(F.filter(rows, lambda r: ~F.coalesce(F.get(again, r["pos"]), F.lit(False))), lambda single: F.when(F.size(single) < 3, rows).otherwise(single))
 
-    return docs.select("doc_id", let(sentences_of(F.col("text")), whole).alias("found"))
+    return docs.select("doc_id", let(sentences_of(F.col("text")), lambda parts: let(repeated(parts), lambda again: plain(parts, again))).alias("found"))
 
 
 def gathered(found: DataFrame) -> DataFrame:
@@ -158,23 +171,42 @@ def pair_weights(docs: DataFrame) -> DataFrame:
 def rank_scores(sets: list[list[str]], cells: int = CELLS) -> np.ndarray:
     """A score a sentence by power iteration over shared terms over the logarithms of both sizes.
 
-    Past `cells` no matrix is made: what sentences of one size give a term is summed, then what its terms give a sentence,
-    so memory grows with the text and not with the square of its sentences. Both ways give the same scores.
+    Small documents take a matrix, larger ones the pairs that share terms. Past `cells` neither is made: what sentences of one
+    size give a term is summed, then what its terms give a sentence, so memory grows with the text and not with the square of
+    its sentences. All ways give the same scores.
     """
     ids: dict = {}
     term = np.array([ids.setdefault(t, len(ids)) for s in sets for t in s], np.int64)
     return scores_of(np.array([len(s) for s in sets], np.int64), term, len(ids), cells)
 
 
+def meetings(common: np.ndarray, term: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) of different sentences that share terms, both ways and by i, and how many they share."""
+    n, where = len(common), np.repeat(np.arange(len(common)), common)
+    users = where[np.argsort(term, kind="stable")]
+    times = uses[term]
+    at = np.arange(times.sum()) + np.repeat((np.cumsum(uses) - uses)[term] - np.cumsum(times) + times, times)
+    cell = np.repeat(where * n, times) + users[at]
+    if n * n <= 4 * CELLS:
+        shared = np.bincount(cell, minlength=n * n)
+        cell = np.flatnonzero(shared)
+        shared = shared[cell]
+    else:
+        cell, shared = np.unique(cell, return_counts=True)
+    i, j = np.divmod(cell, n)
+    apart = i != j
+    return i[apart], j[apart], shared[apart]
+
+
 def scores_of(common: np.ndarray, term: np.ndarray, terms: int, cells: int = CELLS) -> np.ndarray:
     """rank_scores of sentences of `common` terms each; term: these, as numbers below `terms`."""
     n = len(common)
     where = np.repeat(np.arange(n), common)
     size = np.log(np.maximum(common, 2))
-    if n * max(n, terms) <= cells:
-        hits = np.zeros((n, max(1, terms)))
+    if n * max(n, terms) <= min(cells, DENSE):
+        hits = np.zeros((n, max(1, terms)), np.float32)
         hits[where, term] = 1
-        weight = hits @ hits.T / (size[:, None] + size[None, :])
+        weight = (hits @ hits.T) / (size[:, None] + size[None, :])
         np.fill_diagonal(weight, 0)
         total = weight.sum(axis=0)
         given = DAMPING * weight / np.where(total > 0, total, 1)
@@ -182,6 +214,19 @@ def scores_of(common: np.ndarray, term: np.ndarray, terms: int, cells: int = CEL
         for _ in range(ROUNDS):
             score = (1 - DAMPING) + given @ score
         return score
+    uses = np.bincount(term, minlength=terms)
+    if (uses.astype(float) ** 2).sum() <= cells:
+        i, j, shared = meetings(common, term, uses)
+        weight = shared / (size[i] + size[j])
+        given = DAMPING * weight / np.bincount(i, weight, n)[j]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else i
+        score, linked = np.ones(n), i[first]
+        for _ in range(ROUNDS):
+            new = np.full(n, 1 - DAMPING)
+            if len(i):
+                new[linked] += np.add.reduceat(given * score.take(j), first)
+            score = new
+        return score
 
     def spread(x: np.ndarray) -> np.ndarray:
         out = -common * x / (2 * size)
@@ -199,25 +244,77 @@ def scores_of(common: np.ndarray, term: np.ndarray, terms: int, cells: int = CEL
     return score
 
 
+def places(lists: pa.Array) -> list[np.ndarray]:
+    """Of each document, a list of sentences, the places of its best ones, the best first."""
+    docs = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    w = tokens.Words(lists.flatten(), tokens.LETTER | tokens.NUMBER)
+    kept, terms = ~w.among(STOP), max(1, len(w.names))
+    once = lambda x: x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+    sentence, code = np.divmod(once(np.sort(w.row[kept] * terms + w.code[kept])), terms)
+    begins = np.searchsorted(sentence, np.arange(docs[-1] + 1))
+    out = []
+    #: Terms are numbered anew in each document.
+    number = np.empty(terms, np.int64)
+    for a, b in zip(docs[:-1], docs[1:], strict=True):
+        mine = code[begins[a] : begins[b]]
+        number[mine] = np.arange(len(mine))
+        first = number[mine]
+        known = first == np.arange(len(mine))
+        own = (np.cumsum(known) - 1)[first]
+        score = scores_of(np.diff(begins[a : b + 1]), own, int(known.sum()))
+        out.append(np.argsort(-np.round(score, 6), kind="stable")[:KEPT].astype(np.int32))
+    return out
+
+
+def in_parts(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of documents, lists of sentences, that are worked on together."""
+    return tokens.parts(np.diff(tokens.bytes_of(lists.flatten())[1][lists.offsets.to_numpy() - lists.offsets[0].as_py()]))
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def best_places(lists: pa.Array) -> pa.Array:
-    """Of each document the places of its best sentences, the best first."""
-    docs, begins, term = flat_terms(lists)
-    #: Terms are numbered anew in each document.
-    size = np.diff(begins[docs])
-    distinct, own = np.unique(np.repeat(np.arange(len(size)), size) * (int(term.max(initial=0)) + 1) + term, return_inverse=True)
-    first = np.searchsorted(distinct, np.arange(len(size) + 1) * (int(term.max(initial=0)) + 1))
+    """Of each document, an array of sentences, the places of its best ones, the best first."""
+    return pa.array([x for a, b in in_parts(lists) for x in places(lists.slice(a, b - a))], pa.list_(pa.int32()))
+
+
+def summary_places(lists: pa.Array, again: np.ndarray) -> list[np.ndarray]:
+    """places of documents' sentences without templates, as without_scaffold gives them, but no template among the best; or the
+    first sentences that aren't templates, or the first ones where all are. again: which sentences are templates."""
+    begins = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), np.diff(begins))
+    single = np.bincount(doc[~again], minlength=len(lists))[doc]
+    kept = np.flatnonzero(~again | (single < 3))
+    cuts = np.searchsorted(kept, begins)
+    plain = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), lists.flatten().take(pa.array(kept))) if len(kept) < len(again) else lists
     out = []
-    for k, (a, b) in enumerate(zip(docs[:-1], docs[1:], strict=True)):
-        score = scores_of(np.diff(begins[a : b + 1]), own[begins[a] : begins[b]] - first[k], int(first[k + 1] - first[k]))
-        out.append(np.argsort(-np.round(score, 6), kind="stable")[:KEPT].astype(np.int32))
+    for k, best in enumerate(places(plain)):
+        at = kept[cuts[k] + best] - begins[k]
+        mine = again[begins[k] : begins[k + 1]]
+        if mine.any():
+            at = at[~mine[at]]
+            if not len(at):
+                at = (np.arange(len(mine)) if mine.all() else np.flatnonzero(~mine))[:KEPT]
+        out.append(at.astype(np.int32))
+    return out
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def ranked_or_lead_places(lists: pa.Array, marks: pa.Array) -> pa.Array:
+    """The places of what ranked_or_lead gives of each document. lists: its sentences; marks: repeated of these."""
+    out = []
+    for a, b in in_parts(lists):
+        some, given = lists.slice(a, b - a), marks.slice(a, b - a)
+        again = np.zeros(len(some.flatten()), bool)
+        marked = np.repeat(given.is_valid().to_numpy(zero_copy_only=False), np.diff(some.offsets.to_numpy()))
+        again[marked] = given.flatten().to_numpy(zero_copy_only=False)
+        out += summary_places(some, again)
     return pa.array(out, pa.list_(pa.int32()))
 
 
 def ranked_sentences(docs: DataFrame) -> DataFrame:
     """doc_id and `ranked`, the array (rank, pos, sentence) of the eight sentences that others resemble most by pair_weights, of
     whole documents. docs: doc_id and found, as plain_sentences or gathered give them; a row has its whole document."""
-    placed = with_terms(docs).select("doc_id", "found", best_places("terms").alias("places"))
+    placed = docs.select("doc_id", "found", best_places(F.transform("found", lambda x: F.make_valid_utf8(x["sentence"]))).alias("places"))
     one = lambda at, i: F.struct((i + 1).alias("rank"), F.get("found", at)["pos"].alias("pos"), F.get("found", at)["sentence"].alias("sentence"))
     return placed.select("doc_id", F.transform("places", one).alias("ranked"))
 
@@ -257,14 +354,15 @@ def normal(s: Column) -> Column:
 def is_genuine(s: Column, furniture: Column) -> Column:
     """Reports something, isn't a row of dates and holds none of the lines (normalised) that aren't prose."""
     dates = F.regexp_count(s, F.lit(r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"))
-    return s.rlike(SIGNAL) & (dates < 2) & ~F.exists(furniture, lambda f: normal(s).contains(f))
+    return s.rlike(SIGNAL) & (dates < 2) & ((F.size(furniture) == 0) | let(normal(s), lambda n: ~F.exists(furniture, lambda f: n.contains(f))))
 
 
 def densest(found: Column, k: int = 5) -> Column:
     """The k sentences of an array that report most, equal ones once, earlier first."""
-    keyed = F.transform(found, lambda s, i: F.struct((-density(s)).alias("score"), i.alias("at"), s.alias("s"), normal(s).alias("key")))
-    once = F.filter(keyed, lambda x: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == x["at"] + 1)
-    return F.transform(F.slice(F.array_sort(once), 1, k), lambda x: x["s"])
+    keyed = F.array_sort(F.transform(found, lambda s, i: F.struct(normal(s).alias("key"), i.alias("at"), s.alias("s"))))
+    once = let(keyed, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["key"] != x["key"])))
+    scored = F.transform(once, lambda x: F.struct((-density(x["s"])).alias("score"), x["at"].alias("at"), x["s"].alias("s")))
+    return F.transform(F.slice(F.array_sort(scored), 1, k), lambda x: x["s"])
 
 
 def summaries(ranked: DataFrame) -> DataFrame:

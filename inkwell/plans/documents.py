@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import trim, word_count
+from inkwell.functions.text import held, let, trim, word_count
 from inkwell.operators import blocks, normalise, quality, references, stats, summary
-from inkwell.sources.workspace import Workspace
 
 #: Share of list blocks, with two headings or more, from which a summary is a template of the headings.
 LIST_SHARE = 0.5
@@ -34,63 +33,55 @@ def doc_class(by_template: Column, tables: Column) -> Column:
     return F.when(by_template, "list-dominant").when(tables > 0, "form").otherwise("prose")
 
 
-def findings(prepared: DataFrame, ranked: DataFrame) -> DataFrame:
-    """doc_id, key_findings: from the ranked sentences, or, where the summary is a template, from lists and paragraphs."""
-    bodies = prepared.where("by_template").select("doc_id", F.explode(F.filter("blocks", lambda x: x["type"].isin("list", "paragraph", "table"))).alias("x"))
+def findings_of(found: Column, by_template: Column, ranked: Column, furniture: Column) -> Column:
+    """A document's key findings: from its ranked sentences, or, where the summary is a template, from lists and paragraphs."""
+    bodies = F.filter(found, lambda x: x["type"].isin("list", "paragraph", "table"))
     #: Every cell of a table stands for itself.
-    pieces = F.flatten(F.transform(F.when(F.col("x.type") == "table", normalise.cells_of(F.col("x.rows"))).otherwise(F.array("x.text")), lambda t: F.split(trim(t), r"(?<=[.!?])\s+")))
-    parts = bodies.select("doc_id", F.struct("x.pos", "x.part").alias("at"), F.posexplode(pieces).alias("nth", "sentence")).where("sentence NOT IN ('', '0')")
-    once = parts.withColumn("signature", summary.signature(F.col("sentence")))
-    twice = once.groupBy("doc_id", "signature").agg(F.count("*").alias("n")).where("n > 1")
-    listed = once.join(twice, ["doc_id", "signature"], "left_anti").select("doc_id", F.struct("at.pos", "at.part", "nth").alias("at"), "sentence")
-    chosen = ranked.join(prepared.where("NOT by_template").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.struct(F.col("rank").alias("pos"), F.lit(0).alias("part"), F.lit(0).alias("nth")).alias("at"), "sentence")
-    candidates = listed.unionByName(chosen).where(F.col("sentence").rlike(summary.SIGNAL))
-    rows = candidates.join(prepared.select("doc_id", "furniture"), "doc_id").where(summary.is_genuine(F.col("sentence"), F.col("furniture")))
-    agg = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"]).alias("s"))
-    return agg.select("doc_id", summary.densest(F.col("s")).alias("key_findings"))
+    texts = F.flatten(F.transform(bodies, lambda x: F.when(x["type"] == "table", normalise.cells_of(x["rows"])).otherwise(F.array(x["text"]))))
+    once = lambda xs: let(summary.repeated(xs), lambda again: F.filter(xs, lambda _, i: ~F.coalesce(F.get(again, i), F.lit(False))))
+    listed = let(F.flatten(F.transform(texts, summary.sentences_of)), once)
+    genuine = F.filter(F.when(by_template, listed).otherwise(ranked), lambda s: summary.is_genuine(s, furniture))
+    return let(genuine, lambda s: F.when(F.size(s) > 0, summary.densest(s)).otherwise(s))
 
 
 def document_reports(docs: DataFrame, stem: Column | None = None, meta_title: Column | None = None) -> DataFrame:
     """One row a document: title, blocks, statistics, references, phrases, summaries, checks, notes, scores and flags.
 
     docs: doc_id, text, what `stem` (a name without suffix) and `meta_title` refer to and, from files, kind, source_blocks and
-    pages. Documents are prepared by one
-    shuffle of their lines and written once, as are their ranked sentences, since several parts read both; what needs no
-    neighbours is one projection, and phrases and findings come back as one small row a document.
+    pages. A row has its whole document, so nothing is shuffled; what needs neighbours or a document's words goes through
+    tasks twice, first its lines, then its text and sentences.
     """
-    names = docs.select("doc_id", (F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem).alias("stem"), (F.lit(None).cast("string") if meta_title is None else meta_title).alias("meta_title"), (F.col("pages") if "pages" in docs.columns else F.lit(None).cast("int")).alias("pages"))
+    named = docs.withColumns({"_stem": F.concat(F.lit("document-"), F.col("doc_id")) if stem is None else stem, "_meta_title": F.lit(None).cast("string") if meta_title is None else meta_title, "_pages": F.col("pages") if "pages" in docs.columns else F.lit(None).cast("int")})
     strip = lambda x: F.regexp_replace(x, blocks.NUMBER, "")
     prose = F.concat(F.col("removed"), F.transform(F.filter("blocks", lambda x: x["table_row"]), lambda x: x["text"]))
-    prepared = normalise.prepare(docs.select("doc_id", "text", *(c for c in ("kind", "source_blocks") if c in docs.columns))).withColumns({
+    prepared = normalise.prepare(named, "_stem", "_meta_title", "_pages").withColumnsRenamed({"_stem": "stem", "_meta_title": "meta_title", "_pages": "pages"})
+    sentences = let(summary.sentences_of(F.col("text")), lambda s: F.struct(s.alias("all"), summary.repeated(s).alias("again")))
+    ready = held(prepared.withColumn("text", stats.valid(F.col("text"))).withColumns({
         "titles": F.transform(F.filter("blocks", lambda x: x["type"] == "heading"), lambda x: strip(x["text"])),
         "furniture": F.array_distinct(F.filter(F.transform(prose, summary.normal), lambda x: F.length(x) >= 8)),
-    })
-    prepared = prepared.withColumn("by_template", (F.col("list_ratio") >= LIST_SHARE) & (F.size("titles") >= 2))
-    ws = Workspace(docs.sparkSession, "documents")
-    prepared = ws.cut(prepared)
-    ranked = ws.cut(summary.ranked_or_lead(summary.sentences(prepared.select("doc_id", "text"))))
-    short = ranked.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]).alias("ranked"))
-    phrases = stats.rake(prepared.select("doc_id", "text")).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "phrase", "score"))), lambda x: F.struct(x["phrase"].alias("phrase"), x["score"].alias("score"))).alias("phrases"))
-    whole = prepared.join(names, "doc_id", "left").join(short, "doc_id", "left").join(phrases, "doc_id", "left").join(findings(prepared, ranked), "doc_id", "left")
-    return judged(whole)
+        "sentences": sentences,
+    }))
+    ready = ready.withColumn("by_template", (F.col("list_ratio") >= LIST_SHARE) & (F.size("titles") >= 2))
+    scored = ready.withColumns({"places": summary.ranked_or_lead_places("sentences.all", "sentences.again"), "phrases": stats.rake_of(F.col("text")), "counts": stats.counts_of(stats.valid(F.col("text")))})
+    ranked = F.transform("places", lambda i: F.get("sentences.all", i))
+    chosen = let(ranked, lambda r: F.struct(r.alias("ranked"), findings_of(F.col("blocks"), F.col("by_template"), r, F.col("furniture")).alias("key_findings")))
+    return judged(held(scored.withColumn("chosen", chosen).drop("sentences", "places", "furniture")).select("*", "chosen.*"))
 
 
 def judged(whole: DataFrame) -> DataFrame:
-    """Reports from prepared documents with their sentences, phrases and findings: projections only."""
+    """Reports from prepared documents with their counts, sentences, phrases and findings: projections only."""
     c = F.col
     first_heading = F.get(F.transform(F.filter("blocks", lambda x: (x["type"] == "heading") & (F.octet_length(x["text"]) > 3)), lambda x: x["text"]), F.lit(0))
     title_like = lambda x: F.when(blocks.looks_like_title(trim(x)), trim(x))
-    words = word_count(c("text"))
+    words = c("counts.w")
     facts = whole.select(
         "doc_id", "source_type", "text", "blocks", "list_ratio", "removed", "by_template", "titles", "size_bytes", blocks.pages_shown(c("source_type"), F.coalesce("pages", F.lit(1))).alias("pages"),
         F.left(F.coalesce(title_like(c("meta_title")), title_like(c("header")), first_heading, c("stem")), F.lit(255)).alias("title"),
         words.alias("words"),
-        stats.readability(c("text")).alias("statistics"),
-        stats.language_of(c("text")).alias("language"),
+        stats.readability(c("text"), c("counts")).alias("statistics"),
+        stats.language_by(words, c("counts.l")).alias("language"),
         references.listed(c("text")).alias("references"),
-        F.coalesce("phrases", F.array().cast("array<struct<phrase:string,score:double>>")).alias("phrases"),
-        F.coalesce("ranked", F.array().cast("array<string>")).alias("ranked"),
-        F.coalesce("key_findings", F.array().cast("array<string>")).alias("key_findings"),
+        "phrases", "ranked", "key_findings",
         sections_of(c("blocks")).alias("sections"),
         F.regexp_count("text", F.lit(quality.MOJIBAKE)).alias("mojibake"),
         quality.fragments(c("text")).alias("fragments"),
@@ -105,7 +96,7 @@ def judged(whole: DataFrame) -> DataFrame:
         "n_blocks": F.size("blocks"), "n_sections": F.size("sections"), "empty_sections": F.size(F.filter("sections", lambda x: x["words"] == 0)),
         "top_share": F.coalesce(F.try_divide(F.array_max(F.transform("sections", lambda x: x["words"])), F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])), F.lit(0.0)),
         "n_references": F.size("references"), "n_phrases": F.size("phrases"),
-        "glyph_phrases": F.size(F.filter("phrases", lambda p: p["phrase"].rlike(quality.GLYPHS))),
+        "glyph_phrases": F.size(F.filter("phrases", lambda p: quality.holds_glyph(p["phrase"]))),
         "n_tables": F.size(F.filter("blocks", lambda x: x["type"] == "table")),
         "n_flattened": F.size(F.filter("blocks", lambda x: (x["type"] == "note") & (x["text"] == normalise.TABLE_NOTE))),
         "n_formulas": F.size(F.filter("blocks", lambda x: x["math_degraded"])),
